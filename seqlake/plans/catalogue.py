@@ -1,6 +1,6 @@
 """All registered queries (import side effect fills the registry)."""
 
-from . import catalogue_queries, ingest_queries  # noqa: F401
+from . import catalogue_queries, ingest_queries, search_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -169,7 +169,15 @@ kmer_index AS (
   FROM kmer_codes
 )"""
 
+HMM_HITS = """
+hmm_hits AS (
+  SELECT replace(qseqid, 'q', 'HMM') AS query_name, sseqid AS target_name, evalue, bitscore AS score,
+         round(pident / 10, 3) AS bias
+  FROM protein_hits
+)"""
+
 VIEWS = {
+    "hmm_hits": (HMM_HITS, ("protein_hits",)),
     "genomes": (GENOMES, ()),
     "seq_base": (SEQ_BASE, ()),
     "sequences": (SEQUENCES, ("seq_base",)),
@@ -203,6 +211,8 @@ def _closure(names) -> list[str]:
 def with_views(sql: str, *names: str) -> str:
     ctes = ",\n".join(VIEWS[n][0].strip() for n in _closure(names))
     body = sql.strip()
+    if not ctes:
+        return body
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

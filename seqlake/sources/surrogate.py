@@ -146,6 +146,13 @@ def protein_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def hmm_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile-search style hits (query_name, target_name, evalue, score, bias)."""
+    return protein_hits(spark, sf_dir).select(
+        F.regexp_replace("qseqid", "q", "HMM").alias("query_name"), F.col("sseqid").alias("target_name"),
+        "evalue", F.col("bitscore").alias("score"), F.round(F.col("pident") / 10, 3).alias("bias"))
+
+
 def ani_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANI-tool style hits: many per query, some to unknown genomes, both sides of 80/95."""
     d = F.col("doc_id")
