@@ -146,6 +146,26 @@ def annotation_matrix(seqs: DataFrame, field: str = "emapper_cog_category", leve
     return top(g, n, F.col("sequences").desc(), F.col(f"gvclass_{level}"), F.col("annotation_value"))
 
 
+def annotation_matrix_all(seqs: DataFrame, fields: list[str],
+                          levels: tuple[str, ...] = ("order", "family", "genus", "class", "phylum", "domain"),
+                          anchored: bool = True) -> DataFrame:
+    """U2 for annotations: every (field, level) matrix from ONE scan, long format
+    (field, level, rank_label, annotation_value, sequences)."""
+    aa = seqs.filter(_is("AA"))
+    lv = [F.struct(F.lit(l).alias("level"),
+                   clean_label(rank_raw(F.col("taxonomy_majority"), l, anchored)).alias("rank_label"))
+          for l in levels]
+    fv = [F.struct(F.lit(f).alias("field"),
+                   F.coalesce(F.nullif(F.col(f), F.lit("")), F.lit("Unannotated")).alias("annotation_value"))
+          for f in fields]
+    long = (aa.select(F.explode(F.array(*lv)).alias("l"), *[F.col(f) for f in fields])
+            .select("l", F.explode(F.array(*fv)).alias("f")))
+    return (long.groupBy(F.col("f.field").alias("field"), F.col("l.level").alias("level"),
+                         F.col("l.rank_label").alias("rank_label"),
+                         F.col("f.annotation_value").alias("annotation_value"))
+            .agg(F.count(F.lit(1)).alias("sequences")))
+
+
 def filter_unannotated(matrix: DataFrame, include_unannotated: bool = False) -> DataFrame:
     """P9."""
     return matrix if include_unannotated else matrix.filter(F.col("annotation_value") != "Unannotated")

@@ -1,0 +1,10 @@
+"""Incremental ingest with Structured Streaming.
+
+The reference has no stream processing (no watermarks, windows or state);
+its ingest appends genomes to the lake in batches.  ``stream_ingest`` is the
+same ingest run incrementally over FASTA files arriving in a folder.
+"""
+
+from .ingest import stream_ingest
+
+__all__ = ["stream_ingest"]
