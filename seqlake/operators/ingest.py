@@ -126,18 +126,33 @@ def build_sequences(records: DataFrame, genomes: DataFrame, members: DataFrame |
 
 
 def write_sequences(df: DataFrame, root: str, num_partitions: int | None = None,
-                    mode: str = "overwrite") -> None:
+                    mode: str = "overwrite", observation: Observation | None = None,
+                    keep_col: str | None = None) -> None:
     """Sorted lake: range partitions on (dataset_id, gid), zstd, by seq_type.
 
     Sorting makes row-group min/max statistics selective for every reference
-    predicate (seq_type partition, dataset_id and gid ranges).  ``overwrite``
-    replaces earlier files (re-ingest never duplicates).
+    predicate (seq_type partition, dataset_id and gid ranges), and range
+    partitioning on (dataset_id, gid) splits a hot genome over many tasks.
+    ``overwrite`` replaces earlier files (re-ingest never duplicates).
+
+    ``observation`` is attached AFTER the range exchange: the partitioner's
+    sampling pass re-runs the plan below the exchange, so metrics observed
+    there would be counted twice.  With ``keep_col`` the observation sees
+    every row (``read``) and the kept ones (``written``), and the rest are
+    dropped after it.
     """
     n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    (df.repartitionByRange(n, "dataset_id", "gid")
-       .sortWithinPartitions("dataset_id", "gid")
-       .write.mode(mode).option("compression", "zstd")
-       .partitionBy("seq_type").parquet(root))
+    out = df.repartitionByRange(n, "dataset_id", "gid")
+    if observation is not None:
+        metrics = [F.count(F.lit(1)).alias("read")]
+        if keep_col:
+            metrics.append(F.count_if(F.col(keep_col)).alias("written"))
+        out = out.observe(observation, *metrics)
+    if keep_col:
+        out = out.filter(F.col(keep_col)).drop(keep_col)
+    (out.sortWithinPartitions("dataset_id", "gid")
+        .write.mode(mode).option("compression", "zstd")
+        .partitionBy("seq_type").parquet(root))
 
 
 def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
@@ -146,14 +161,17 @@ def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
            num_partitions: int | None = None) -> dict:
     """Metadata -> (annotations if all three given) -> NT and AA -> lake.
 
-    Returns the ingest report (records read, written, skipped) gathered with
-    ``Observation`` metrics on the single write job.
+    One write job.  Records of genomes without metadata travel with a flag up
+    to the write and are dropped there, so the job's own metrics give the
+    report (records read, written, skipped) without a second pass.
     """
     from ..sources import files
 
-    meta = files.read_metadata(spark, metadata_path)
-    cls = files.read_classifier(spark, classifier_path) if classifier_path else None
-    genomes = genome_table(meta, cls)
+    meta = files.read_metadata(spark, metadata_path, with_position=True)
+    cls = None
+    if classifier_path:
+        cls = dedupe_genomes(files.read_classifier(spark, classifier_path, with_position=True)).drop("row_pos")
+    genomes = genome_table(meta, cls, order_col="row_pos").drop("row_pos")
     members = singletons = annotations = None
     if orthogroups_path and singletons_path and annotations_path:
         members = files.read_orthogroups(spark, orthogroups_path)
@@ -161,15 +179,17 @@ def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
         annotations = files.read_annotations(spark, annotations_path)
     records = None
     for p in fasta_paths:
-        r = files.read_fasta(spark, p)
+        r = files.read_fasta(spark, p).select("record_id", "sequence")
         records = r if records is None else records.unionByName(r)
-    seen = Observation("records_read")
-    records = records.observe(seen, F.count(F.lit(1)).alias("read"))
-    wide = build_sequences(records, genomes, members, singletons, annotations)
-    written = Observation("records_written")
-    wide = wide.observe(written, F.count(F.lit(1)).alias("written"))
-    write_sequences(wide, root, num_partitions)
-    read_n = seen.get["read"]
-    out = written.get
-    return {"records_read": read_n, "records_written": out["written"],
-            "records_skipped": read_n - out["written"]}
+    parsed = parse_records(records)
+    g = genomes.withColumnRenamed("genome", "dataset_id").withColumn("_known", F.lit(True))
+    wide = parsed.join(g, "dataset_id", "left").withColumn("_known", F.coalesce(F.col("_known"), F.lit(False)))
+    if members is not None:
+        wide = attach_orthogroups(wide, members, singletons)
+    if annotations is not None:
+        wide = attach_annotations(wide, annotations)
+    obs = Observation("ingest")
+    write_sequences(wide, root, num_partitions, observation=obs, keep_col="_known")
+    m = obs.get
+    return {"records_read": m["read"], "records_written": m["written"],
+            "records_skipped": m["read"] - m["written"]}

@@ -35,8 +35,10 @@ def fasta_text(df: DataFrame, header: Column | None = None, width: int = 60) ->
 def _write_sorted_text(text: DataFrame, path: str, num_partitions: int | None) -> int:
     obs = Observation("fasta_export")
     n = num_partitions or text.sparkSession.sparkContext.defaultParallelism
-    out = text.observe(obs, F.count(F.lit(1)).alias("records"))
-    (out.repartitionByRange(n, "gid").sortWithinPartitions("gid").select("value")
+    # observed after the range exchange: the partitioner's sampling pass
+    # re-runs the plan below it and would count records twice
+    out = text.repartitionByRange(n, "gid").observe(obs, F.count(F.lit(1)).alias("records"))
+    (out.sortWithinPartitions("gid").select("value")
         .write.mode("overwrite").option("compression", "none").text(path))
     return int(obs.get["records"])
 

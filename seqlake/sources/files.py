@@ -72,13 +72,32 @@ def _typed(c: str, ints, floats) -> Column:
     return v.alias(c)
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Genome metadata TSV: normalised headers, NA handling, typed numbers."""
+def file_order() -> Column:
+    """A sortable position of each row in its input files.
+
+    (file, split start offset, increasing id within the task): rows of one
+    split keep their order within a task, and split offsets order the splits,
+    so this orders rows as they appear in the files -- without numbering them
+    on the driver.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def read_metadata(spark: SparkSession, path: str, with_position: bool = False) -> DataFrame:
+    """Genome metadata TSV: normalised headers, NA handling, typed numbers.
+
+    ``with_position`` adds ``row_pos`` (file order) for last-row-wins dedupe.
+    """
     df = _read_tsv_strings(spark, path)
-    return df.select(*[_typed(c, S.METADATA_INT_COLUMNS, S.METADATA_FLOAT_COLUMNS) for c in df.columns])
+    cols = [_typed(c, S.METADATA_INT_COLUMNS, S.METADATA_FLOAT_COLUMNS) for c in df.columns]
+    if with_position:
+        cols.append(file_order().alias("row_pos"))
+    return df.select(*cols)
 
 
-def read_classifier(spark: SparkSession, path: str) -> DataFrame:
+def read_classifier(spark: SparkSession, path: str, with_position: bool = False) -> DataFrame:
     """Classifier TSV: ``query`` -> ``genome``, ranks prefixed ``gvclass_``."""
     df = _read_tsv_strings(spark, path)
     renames = {"query": "genome", **S.CLASSIFIER_RANK_RENAMES}
@@ -86,6 +105,8 @@ def read_classifier(spark: SparkSession, path: str) -> DataFrame:
     for c in df.columns:
         name = renames.get(c, c)
         cols.append(_typed(c, S.CLASSIFIER_INT_COLUMNS, S.CLASSIFIER_FLOAT_COLUMNS).alias(name))
+    if with_position:
+        cols.append(file_order().alias("row_pos"))
     return df.select(*cols)
 
 
