@@ -30,3 +30,19 @@ def checked_broadcast(df: DataFrame, max_rows: int, what: str) -> DataFrame:
 
 def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over at least the cluster's parallelism before heavy per-row work.
+
+    A scan yields one task per file split / row group; a small or unsplittable
+    input (one row group, a gzip FASTA) would otherwise run every per-row
+    expression -- regex recoding, k-mer generation -- in a single task.  The
+    check is plan-time only; a big multi-split input is left untouched, so no
+    shuffle is added at scale.  Round-robin repartitioning sorts rows locally
+    first, so a retried task after executor loss sees the same rows.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

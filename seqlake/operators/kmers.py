@@ -54,20 +54,58 @@ def canonical_index(spark: SparkSession, k: int = 4) -> DataFrame:
 def kmer_occurrences(df: DataFrame, k: int, id_cols: list[str], seq_col: str = "sequence",
                      chunk: int = 256) -> DataFrame:
     """One row per k-mer window: (*id_cols, kmer).  Windows of every letter are
-    produced; callers filter the alphabet (or inner-join a k-mer table)."""
+    produced; callers filter the alphabet (or inner-join a k-mer table).
+
+    Chunks come from one regex pass; positions are exploded as integers and
+    the k-mer is cut in the following (codegen'd) projection from its short
+    chunk, so no per-chunk array of strings is built.
+    """
     seq = F.col(seq_col)
     chunks = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{chunk}}}"), 0)
     ext = F.transform(chunks, lambda c, i: F.concat(
         c, F.substring(F.coalesce(F.get(chunks, i + 1), F.lit("")), 1, k - 1)))
     per_chunk = df.select(*id_cols, F.explode(ext).alias("_chunk")).filter(F.length("_chunk") >= k)
-    pos = F.sequence(F.lit(1), F.length("_chunk") - (k - 1))
-    kmers = F.transform(pos, lambda p: F.substr(F.col("_chunk"), p, F.lit(k)))
-    return per_chunk.select(*id_cols, F.explode(kmers).alias("kmer"))
+    pos = F.explode(F.sequence(F.lit(1), F.length("_chunk") - (k - 1))).alias("_p")
+    return (per_chunk.select(*id_cols, "_chunk", pos)
+            .select(*id_cols, F.substr(F.col("_chunk"), F.col("_p"), F.lit(k)).alias("kmer")))
+
+
+def decode_kmer(code: Column, k: int, alphabet: str) -> Column:
+    """Integer code -> k-mer text (base len(alphabet) digits mapped to letters)."""
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[:len(alphabet)]
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, len(alphabet)), k, "0"), digits, alphabet)
 
 
 def kmer_counts(df: DataFrame, k: int = 4, id_col: str = "gid", seq_col: str = "sequence",
-                alphabet: str | None = BASES, chunk: int = 256) -> DataFrame:
-    """V1: (id, kmer, count); windows with a letter outside ``alphabet`` are skipped."""
+                alphabet: str | None = BASES, chunk: int = 256, method: str = "arrow") -> DataFrame:
+    """V1: (id, kmer, count); windows with a letter outside ``alphabet`` are skipped.
+
+    ``arrow`` (default, needs an alphabet): each record's k-mers are counted
+    as integer codes inside its own task -- a record is one row, so no
+    shuffle is needed -- and exploded as (code, count) pairs.  ``explode``:
+    one row per window and a (id, kmer) aggregate.
+    """
+    if method == "arrow" and alphabet and len(alphabet) <= 36 and len(alphabet) ** k < 2 ** 63:
+        import pandas as pd
+        from pyspark.sql import types as T
+
+        from ..functions.codes import code_counts
+
+        def run(batches):
+            for pdf in batches:
+                codes, counts = [], []
+                for s in pdf[seq_col].tolist():
+                    c, n = code_counts(s or "", k, alphabet)
+                    codes.append(c.astype("int64").tolist())
+                    counts.append(n.astype("int64").tolist())
+                yield pd.DataFrame({id_col: pdf[id_col], "codes": codes, "counts": counts})
+
+        schema = T.StructType([df.schema[id_col], T.StructField("codes", T.ArrayType(T.LongType())),
+                               T.StructField("counts", T.ArrayType(T.LongType()))])
+        per = df.select(id_col, seq_col).mapInPandas(run, schema)
+        pairs = per.select(id_col, F.explode(F.arrays_zip("codes", "counts")).alias("z"))
+        return pairs.select(id_col, decode_kmer(F.col("z.codes"), k, alphabet).alias("kmer"),
+                            F.col("z.counts").alias("count"))
     occ = kmer_occurrences(df, k, [id_col], seq_col, chunk)
     if alphabet:
         occ = occ.filter(F.col("kmer").rlike(f"^[{alphabet}]+$"))
@@ -97,21 +135,90 @@ def _to_vector(class_counts: DataFrame, id_col: str) -> DataFrame:
     return per.select(id_col, vec.alias("tnf_136"), F.col("total").alias("windows"))
 
 
-def tnf_136(df: DataFrame, id_col: str = "gid", seq_col: str = "sequence", chunk: int = 256) -> DataFrame:
+def _class_index_array():
+    import numpy as np
+    return np.array([i for _, _, i in canonical_classes(4)], dtype=np.int64)
+
+
+def class_counts_batch(seqs) -> "list":
+    """Canonical 4-mer class counts (136 ints) of each sequence in a batch.
+
+    Small numpy helper run inside Arrow-batched tasks: bases are coded 0-3
+    through a byte lookup table, a window is valid when its 4 bases are, the
+    2-bit window codes are folded to their reverse-complement class and
+    counted with one ``bincount`` per sequence.
+    """
+    import numpy as np
+    lut = np.full(256, -1, dtype=np.int64)
+    for j, b in enumerate(BASES):
+        lut[ord(b)] = j
+    cls = _class_index_array()
+    out = []
+    for s in seqs:
+        if s is None or len(s) < 4:
+            out.append(np.zeros(TNF_DIM, dtype=np.int64))
+            continue
+        v = lut[np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8)]
+        ok = (v[:-3] >= 0) & (v[1:-2] >= 0) & (v[2:-1] >= 0) & (v[3:] >= 0)
+        code = (v[:-3] << 6) | (v[1:-2] << 4) | (v[2:-1] << 2) | v[3:]
+        out.append(np.bincount(cls[code[ok]], minlength=TNF_DIM))
+    return out
+
+
+def _arrow_class_counts(df: DataFrame, id_col: str, seq_col: str, extra: list[str]) -> DataFrame:
+    from pyspark.sql import types as T
+
+    def run(batches):
+        for pdf in batches:
+            counts = class_counts_batch(pdf[seq_col].tolist())
+            res = pdf[[id_col, *extra]].copy()
+            res["class_counts"] = [c.tolist() for c in counts]
+            yield res
+
+    schema = df.select(id_col, *extra).schema.add("class_counts", T.ArrayType(T.LongType()))
+    return df.select(id_col, *extra, seq_col).mapInPandas(run, schema)
+
+
+def tnf_136(df: DataFrame, id_col: str = "gid", seq_col: str = "sequence", chunk: int = 256,
+            method: str = "arrow") -> DataFrame:
     """V3: (id, tnf_136 array<float>, windows): canonical 136-dim tetranucleotide
     frequencies; each valid window counted once under its class, divided by the
-    number of valid windows; all zeros when there is none."""
-    return _to_vector(_class_counts(df, id_col, seq_col, chunk), id_col)
+    number of valid windows; all zeros when there is none.
+
+    ``method="arrow"`` (default): per-row vectors from Arrow batches -- no
+    shuffle at all, each record is handled where it is read.  ``"explode"``:
+    pure DataFrame plan (k-mer rows -> broadcast 256-row class table ->
+    partial aggregates -> vector); same result, two small shuffles.
+    """
+    if method == "explode":
+        return _to_vector(_class_counts(df, id_col, seq_col, chunk), id_col)
+    if method != "arrow":
+        raise ValueError(f"unknown method {method}")
+    cc = _arrow_class_counts(df, id_col, seq_col, [])
+    total = F.aggregate(F.col("class_counts"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    vec = F.transform(F.col("class_counts"), lambda x: F.when(F.col("_t") > 0, x / F.col("_t"))
+                      .otherwise(F.lit(0.0)).cast("float"))
+    return cc.withColumn("_t", total).select(id_col, vec.alias("tnf_136"), F.col("_t").alias("windows"))
 
 
 def genome_tnf(df: DataFrame, genome_col: str = "dataset_id", id_col: str = "gid",
-               seq_col: str = "sequence", chunk: int = 256) -> DataFrame:
+               seq_col: str = "sequence", chunk: int = 256, method: str = "arrow") -> DataFrame:
     """V4: TNF of a whole genome = class counts summed over its contigs (no
-    windows are invented across contig ends)."""
-    cc = _class_counts(df.select(genome_col, id_col, seq_col), id_col, seq_col, chunk)
-    owner = df.select(id_col, genome_col)
-    per_genome = (cc.join(owner, id_col).groupBy(genome_col, "idx").agg(F.sum("n").alias("n")))
-    return _to_vector(per_genome, genome_col)
+    windows are invented across contig ends).
+
+    Per-contig class counts (136 numbers) are exploded and summed per
+    (genome, class) -- a partial aggregate, so a genome with a third of all
+    contigs is reduced map-side -- then turned into one vector per genome.
+    """
+    if method == "explode":
+        cc = _class_counts(df.select(genome_col, id_col, seq_col), id_col, seq_col, chunk)
+        owner = df.select(id_col, genome_col)
+        per_genome = cc.join(owner, id_col).groupBy(genome_col, "idx").agg(F.sum("n").alias("n"))
+        return _to_vector(per_genome, genome_col)
+    cc = _arrow_class_counts(df, id_col, seq_col, [genome_col])
+    per_class = (cc.select(genome_col, F.posexplode("class_counts").alias("idx", "n"))
+                 .groupBy(genome_col, "idx").agg(F.sum("n").alias("n")))
+    return _to_vector(per_class, genome_col)
 
 
 def tnf_long(vectors: DataFrame, id_col: str = "gid", vec_col: str = "tnf_136", digits: int = 6) -> DataFrame:

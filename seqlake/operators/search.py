@@ -10,7 +10,10 @@ questions are answered as Spark joins:
   2022-23): keep the canonical k-mers whose hash falls in the lowest 1/c of
   the hash space, C = |A n B| / |A|, ANI ~ 100 * C^(1/k).
 
-Sketching happens map-side before any shuffle (only sampled k-mers move).
+K-mers are integer codes computed per record in Arrow batches (a small
+numpy helper, ``seqlake.functions.codes``) where the record is read: no
+k-mer string rows are materialised and sketching happens before any shuffle
+(only sampled codes move).
 Queries are a bounded set: their sketch is size-checked and broadcast, so the
 big reference side is streamed once and never shuffled for the join; a hot
 k-mer shared by many references cannot skew a shuffle it does not take part
@@ -24,8 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fits
-from .kmers import kmer_occurrences
-
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
 
@@ -37,23 +38,38 @@ def revcomp(kmer: Column) -> Column:
     return F.reverse(F.translate(kmer, "ACGT", "TGCA"))
 
 
-def hash_keep(kmer: Column, c: int) -> Column:
-    """True for k-mers whose md5 prefix falls in the lowest ~1/c of the hash space.
+def _codes_per_row(df: DataFrame, owner_col: str, seq_col: str, fn) -> DataFrame:
+    """(owner, code) rows: ``fn(sequence) -> distinct int codes`` run in Arrow
+    batches where the rows are read (no shuffle); ``distinct`` afterwards
+    merges owners spread over several records (partial aggregate)."""
+    import pandas as pd
+    from pyspark.sql import types as T
 
-    The first 4 hex digits of md5 are compared as text (fixed width, lower
-    case, so text order = numeric order); threshold = floor(65536 / c).
-    """
-    threshold = f"{max(1, 65536 // c):04x}"
-    return F.substr(F.md5(kmer), F.lit(1), F.lit(4)) < F.lit(threshold)
+    def run(batches):
+        for pdf in batches:
+            owners, codes = [], []
+            for o, s in zip(pdf[owner_col].tolist(), pdf[seq_col].tolist()):
+                c = fn(s or "")
+                owners.extend([o] * len(c))
+                codes.append(c.astype("int64"))
+            import numpy as np
+            yield pd.DataFrame({owner_col: owners,
+                                "code": np.concatenate(codes) if codes else np.zeros(0, dtype="int64")})
+
+    schema = T.StructType([df.schema[owner_col], T.StructField("code", T.LongType(), False)])
+    return df.select(owner_col, seq_col).mapInPandas(run, schema).distinct()
 
 
-def sketch(seqs: DataFrame, owner_col: str, k: int = 16, c: int = 1000, seq_col: str = "sequence",
-           chunk: int = 256) -> DataFrame:
-    """Distinct sampled canonical k-mers per owner: (owner, kmer)."""
-    occ = kmer_occurrences(seqs.select(owner_col, seq_col), k, [owner_col], seq_col, chunk)
-    occ = occ.filter(F.col("kmer").rlike("^[ACGT]+$"))
-    canon = F.least(F.col("kmer"), revcomp(F.col("kmer")))
-    return (occ.select(owner_col, canon.alias("kmer")).filter(hash_keep(F.col("kmer"), c)).distinct())
+def sketch(seqs: DataFrame, owner_col: str, k: int = 16, c: int = 1000, seq_col: str = "sequence") -> DataFrame:
+    """Distinct sampled canonical k-mer codes per owner: (owner, code).
+
+    Canonical code = min(2-bit code, reverse-complement code); kept when the
+    32-bit murmur3-finalizer hash of the code is below 2^32/c (FracMinHash).
+    """
+    from ..functions.codes import sketch_codes
+    if not 1 <= k <= 31:
+        raise ValueError("k must be in 1..31")
+    return _codes_per_row(seqs, owner_col, seq_col, lambda s: sketch_codes(s, k, c))
 
 
 def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame, k: int = 16, c: int = 1000,
@@ -64,7 +80,7 @@ def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame, k: int = 16, c: int
     rs = sketch(ref_seqs, ref_col, k, c).withColumnRenamed(ref_col, "_r")
     qn = qs.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
     rn = rs.groupBy("_r").agg(F.count(F.lit(1)).alias("ref_kmers"))
-    shared = (rs.join(_bounded(qs, max_broadcast), "kmer")
+    shared = (rs.join(_bounded(qs, max_broadcast), "code")
               .groupBy("_q", "_r").agg(F.count(F.lit(1)).alias("shared")))
     out = (shared.join(qn, "_q").join(rn, "_r")
            .withColumn("containment", F.col("shared") / F.col("query_kmers"))
@@ -77,10 +93,11 @@ def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame, k: int = 16, c: int
 
 def protein_kmers(seqs: DataFrame, id_col: str, k: int = 5, alphabet: str = AMINO_ACIDS,
                   seq_col: str = "sequence") -> DataFrame:
-    occ = kmer_occurrences(seqs.select(id_col, seq_col), k, [id_col], seq_col)
-    if alphabet:
-        occ = occ.filter(F.col("kmer").rlike(f"^[{alphabet}]+$"))
-    return occ.distinct()
+    """Distinct k-mer codes (base len(alphabet)) per protein: (id, code)."""
+    from ..functions.codes import distinct_codes
+    if len(alphabet) ** k >= 2 ** 63:
+        raise ValueError("k too large for 64-bit codes")
+    return _codes_per_row(seqs, id_col, seq_col, lambda s: distinct_codes(s, k, alphabet))
 
 
 def protein_seed_search(queries: DataFrame, targets: DataFrame, k: int = 5, max_target_seqs: int = 100,
@@ -96,7 +113,7 @@ def protein_seed_search(queries: DataFrame, targets: DataFrame, k: int = 5, max_
     qk = protein_kmers(queries, query_col, k).withColumnRenamed(query_col, "_q")
     tk = protein_kmers(targets, target_col, k).withColumnRenamed(target_col, "_t")
     qn = qk.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
-    pairs = (tk.join(_bounded(qk, max_broadcast), "kmer")
+    pairs = (tk.join(_bounded(qk, max_broadcast), "code")
              .groupBy("_q", "_t").agg(F.count(F.lit(1)).alias("shared"))
              .filter(F.col("shared") >= min_shared)
              .join(qn, "_q")

@@ -163,24 +163,33 @@ def q_nn_embed(spark, d):
 
 # ------------------------------------------------------------------ ANI / seeds
 
+def _code_sql(expr_char, k: int) -> str:
+    terms = f"list_transform(range({k}), lambda i: CAST({expr_char} AS UBIGINT) * CAST(pow(4, {k - 1} - i) AS UBIGINT))"
+    return f"CAST(list_sum({terms}) AS UBIGINT)"
+
+
 def _sketch_sql(k: int = 16, c: int = 1000) -> str:
-    thr = f"{max(1, 65536 // c):04x}"
-    canon = f"least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))"
+    fwd = _code_sql("strpos('ACGT', substr(kmer, i + 1, 1)) - 1", k)
+    rev = _code_sql(f"4 - strpos('ACGT', substr(kmer, {k} - i, 1))", k)
     return f"""
 sk_occ AS (
   SELECT dataset_id AS owner, substr(sequence, p, {k}) AS kmer
   FROM (SELECT dataset_id, sequence, unnest(generate_series(1, length(sequence) - {k - 1})) AS p
         FROM catalogue WHERE seq_type = 'NT')
 ),
-ref_sk AS (
-  SELECT DISTINCT owner, {canon} AS kmer FROM sk_occ
-  WHERE regexp_full_match(kmer, '[ACGT]+') AND substr(md5({canon}), 1, 4) < '{thr}'
-),
+sk_code AS (SELECT owner, least({fwd}, {rev}) AS code FROM sk_occ WHERE regexp_full_match(kmer, '[ACGT]+')),
+sk_h1 AS (SELECT owner, code, xor(code, code >> 32) & CAST(4294967295 AS UBIGINT) AS h FROM sk_code),
+sk_h2 AS (SELECT owner, code, xor(h, h >> 16) AS h FROM sk_h1),
+sk_h3 AS (SELECT owner, code, (h * CAST(2246822507 AS UBIGINT)) % CAST(4294967296 AS UBIGINT) AS h FROM sk_h2),
+sk_h4 AS (SELECT owner, code, xor(h, h >> 13) AS h FROM sk_h3),
+sk_h5 AS (SELECT owner, code, (h * CAST(3266489909 AS UBIGINT)) % CAST(4294967296 AS UBIGINT) AS h FROM sk_h4),
+sk_h6 AS (SELECT owner, code, xor(h, h >> 16) AS h FROM sk_h5),
+ref_sk AS (SELECT DISTINCT owner, code FROM sk_h6 WHERE h < {(1 << 32) // c}),
 q_sk AS (SELECT * FROM ref_sk WHERE owner IN ('src1', 'src2')),
 qn AS (SELECT owner, COUNT(*) AS n FROM q_sk GROUP BY owner),
 rn AS (SELECT owner, COUNT(*) AS n FROM ref_sk GROUP BY owner),
 shared AS (SELECT q.owner AS query_id, r.owner AS dataset_id, COUNT(*) AS shared
-           FROM q_sk q JOIN ref_sk r ON q.kmer = r.kmer GROUP BY 1, 2),
+           FROM q_sk q JOIN ref_sk r ON q.code = r.code GROUP BY 1, 2),
 ani AS (
   SELECT s.query_id, s.dataset_id, CAST(s.shared AS BIGINT) AS shared, CAST(qn.n AS BIGINT) AS query_kmers,
          CAST(rn.n AS BIGINT) AS ref_kmers, CAST(s.shared AS DOUBLE) / qn.n AS containment,

@@ -26,8 +26,16 @@ NT_RECODE = "ACGTACGTACGTACGTACGTACGTAC"
 RAW_NT_RECODE = "acgtacgtnacgtacgtacguacgta"
 
 
+# tables whose rows carry heavy per-row work (long texts, vectors)
+SPREAD = ("documents", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in SPREAD:
+        from ..operators.common import ensure_parallelism
+        df = ensure_parallelism(df)
+    return df
 
 
 def _s(x) -> F.Column:
