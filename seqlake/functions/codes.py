@@ -83,3 +83,20 @@ def distinct_codes(seq: str, k: int, alphabet: str) -> np.ndarray:
 def code_counts(seq: str, k: int, alphabet: str):
     code, _ = window_codes(symbols(seq, alphabet), k, len(alphabet))
     return np.unique(code, return_counts=True)
+
+
+def shared_counts(target_codes: np.ndarray, index_codes: np.ndarray, index_owner: np.ndarray,
+                  n_owners: int) -> np.ndarray:
+    """Number of ``target_codes`` each owner shares, from a code-sorted index
+    of (code, owner) pairs: binary search per target code, then one bincount."""
+    lo = np.searchsorted(index_codes, target_codes, side="left")
+    hi = np.searchsorted(index_codes, target_codes, side="right")
+    hit = hi > lo
+    if not hit.any():
+        return np.zeros(n_owners, dtype=np.int64)
+    lo, hi = lo[hit], hi[hit]
+    lens = hi - lo
+    # positions lo..hi-1 of every matched code, concatenated
+    starts = np.repeat(lo - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens)
+    pos = starts + np.arange(lens.sum())
+    return np.bincount(index_owner[pos], minlength=n_owners)

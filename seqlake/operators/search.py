@@ -53,8 +53,8 @@ def _codes_per_row(df: DataFrame, owner_col: str, seq_col: str, fn) -> DataFrame
                 owners.extend([o] * len(c))
                 codes.append(c.astype("int64"))
             import numpy as np
-            yield pd.DataFrame({owner_col: owners,
-                                "code": np.concatenate(codes) if codes else np.zeros(0, dtype="int64")})
+            if owners:
+                yield pd.DataFrame({owner_col: owners, "code": np.concatenate(codes)})
 
     schema = T.StructType([df.schema[owner_col], T.StructField("code", T.LongType(), False)])
     return df.select(owner_col, seq_col).mapInPandas(run, schema).distinct()
@@ -100,24 +100,71 @@ def protein_kmers(seqs: DataFrame, id_col: str, k: int = 5, alphabet: str = AMIN
     return _codes_per_row(seqs, id_col, seq_col, lambda s: distinct_codes(s, k, alphabet))
 
 
+def _seed_pairs_arrow(qk: DataFrame, targets: DataFrame, target_col: str, seq_col: str, k: int,
+                      alphabet: str, min_shared: int) -> DataFrame:
+    """(q, t, shared) scored per target inside its task against a broadcast,
+    code-sorted index of the (bounded, size-checked) query k-mers."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from ..functions.codes import distinct_codes, shared_counts
+
+    spark = targets.sparkSession
+    qpdf = qk.toPandas()  # bounded by the caller's size check
+    qids = sorted(set(qpdf["_q"].tolist()))
+    qnum = {q: i for i, q in enumerate(qids)}
+    order = np.argsort(qpdf["code"].to_numpy(), kind="stable")
+    index = spark.sparkContext.broadcast((qpdf["code"].to_numpy()[order],
+                                          qpdf["_q"].map(qnum).to_numpy()[order].astype(np.int64), qids))
+
+    def run(batches):
+        codes_sorted, owners, names = index.value
+        for pdf in batches:
+            out_q, out_t, out_n = [], [], []
+            for t, s in zip(pdf[target_col].tolist(), pdf[seq_col].tolist()):
+                counts = shared_counts(distinct_codes(s or "", k, alphabet), codes_sorted, owners, len(names))
+                nz = np.nonzero(counts >= min_shared)[0]
+                out_q.extend(names[i] for i in nz)
+                out_t.extend([t] * len(nz))
+                out_n.extend(counts[nz].tolist())
+            if out_q:  # an empty frame is simply not emitted
+                yield pd.DataFrame({"_q": pd.Series(out_q, dtype=object), "_t": pd.Series(out_t, dtype=object),
+                                    "shared": np.asarray(out_n, dtype=np.int64)})
+
+    schema = T.StructType([T.StructField("_q", T.StringType()), T.StructField("_t", T.StringType()),
+                           T.StructField("shared", T.LongType())])
+    return targets.select(target_col, seq_col).mapInPandas(run, schema)
+
+
 def protein_seed_search(queries: DataFrame, targets: DataFrame, k: int = 5, max_target_seqs: int = 100,
-                        query_col: str = "query_id", target_col: str = "gid",
-                        min_shared: int = 1, max_broadcast: int = 5_000_000) -> DataFrame:
+                        query_col: str = "query_id", target_col: str = "gid", seq_col: str = "sequence",
+                        alphabet: str = AMINO_ACIDS, min_shared: int = 1,
+                        max_broadcast: int = 5_000_000) -> DataFrame:
     """J11 (+W2): per query protein, the targets sharing the most distinct k-mers.
 
     Output: query, target, shared, query_kmers, containment (shared /
     query_kmers), hit_rank <= max_target_seqs (ties -> target id).
+
+    When the query k-mer set passes the size check it is broadcast as a
+    sorted code index and each target is scored in its own task (only
+    (query, target, shared) rows leave the task).  Otherwise the k-mer sets
+    are joined with a shuffle join (AQE splits skewed k-mers) and the pair
+    counts are partial aggregates.
     """
     from .hits import top_hits_per_query
 
-    qk = protein_kmers(queries, query_col, k).withColumnRenamed(query_col, "_q")
-    tk = protein_kmers(targets, target_col, k).withColumnRenamed(target_col, "_t")
+    qk = protein_kmers(queries, query_col, k, alphabet).withColumnRenamed(query_col, "_q") \
+        .withColumn("_q", F.col("_q").cast("string"))
     qn = qk.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
-    pairs = (tk.join(_bounded(qk, max_broadcast), "code")
-             .groupBy("_q", "_t").agg(F.count(F.lit(1)).alias("shared"))
-             .filter(F.col("shared") >= min_shared)
-             .join(qn, "_q")
-             .withColumn("containment", F.col("shared") / F.col("query_kmers")))
-    ranked = top_hits_per_query(pairs, max_target_seqs, "_q", "shared", "_t")
+    if fits(qk, max_broadcast):
+        pairs = _seed_pairs_arrow(qk, targets.withColumn(target_col, F.col(target_col).cast("string")),
+                                  target_col, seq_col, k, alphabet, min_shared)
+    else:
+        tk = protein_kmers(targets, target_col, k, alphabet).withColumnRenamed(target_col, "_t")
+        pairs = (tk.join(qk, "code").groupBy("_q", "_t").agg(F.count(F.lit(1)).alias("shared"))
+                 .filter(F.col("shared") >= min_shared))
+    scored = pairs.join(qn, "_q").withColumn("containment", F.col("shared") / F.col("query_kmers"))
+    ranked = top_hits_per_query(scored, max_target_seqs, "_q", "shared", "_t")
     return ranked.select(F.col("_q").alias(query_col), F.col("_t").alias("target_id"), "shared", "query_kmers",
                          "containment", "hit_rank")
