@@ -215,11 +215,12 @@ def length_histogram(stats: DataFrame, color_field: str = "taxonomy_phylum", bin
                      value: str = "genome_length_mb") -> DataFrame:
     """Equal-width histogram of genome length per colour group.
 
-    Range bounds come from scalar subqueries (one tiny aggregate each), so no
-    global window pulls rows into a single partition.
+    Range bounds come from one scalar subquery (a tiny two-phase aggregate,
+    reused for both bounds), so no global window pulls rows into a single
+    partition.
     """
-    lo = stats.select(F.min(value)).scalar()
-    hi = stats.select(F.max(value)).scalar()
+    bounds = stats.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     width = (hi - lo) / F.lit(bins)
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1))).cast("int")

@@ -342,3 +342,23 @@ def q_rep_breakdown(spark, d):
 SELECT dataset_id, "order", MAX(lenbp) AS genome_size FROM catalogue WHERE seq_type = 'NT' GROUP BY 1, 2""", CAT)
 def q_size_by_order(spark, d):
     return cat.genome_size_by_order(sg.catalogue(spark, d))
+
+
+@query("annotation_matrix_annotated", f"""
+SELECT COALESCE(NULLIF(NULLIF({_rank_sql('order')}, ''), 'NA'), 'Unassigned') AS gvclass_order,
+       emapper_cog_category AS annotation_value, CAST(COUNT(*) AS BIGINT) AS sequences
+FROM catalogue WHERE seq_type = 'AA' AND NULLIF(emapper_cog_category, '') IS NOT NULL
+GROUP BY 1, 2""", CAT)
+def q_annot_annotated(spark, d):
+    m = an.annotation_matrix(sg.catalogue(spark, d), "emapper_cog_category", "order", None)
+    return an.filter_unannotated(m, include_unannotated=False)
+
+
+@query("taxonomy_bar_order", f"""
+SELECT label, genomes FROM (
+  SELECT COALESCE(NULLIF(NULLIF({_rank_sql('phylum')}, ''), 'NA'), 'Unassigned') AS label,
+         CAST(COUNT(DISTINCT dataset_id) AS BIGINT) AS genomes
+  FROM catalogue WHERE seq_type = 'NT' GROUP BY 1 ORDER BY genomes DESC, label LIMIT 10)""", CAT)
+def q_bar_order(spark, d):
+    dist = an.taxonomy_distribution(sg.catalogue(spark, d), "phylum", "classifier", None)
+    return an.bar_order(dist, 10)

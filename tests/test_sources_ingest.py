@@ -177,3 +177,60 @@ def test_reference_fixtures(spark, tmp_path):
     ani = files.read_ani_hits(spark, str(tmp_path / "with_ci.tsv")).collect()
     assert len(ani) == 1 and ani[0].ANI_5_percentile is not None
     assert files.read_ani_hits(spark, str(tmp_path / "exact_cmd.tsv")).count() == 0
+
+
+def test_hit_exports_placement_and_upsert(spark, tmp_path):
+    import json
+
+    ext = spark.createDataFrame([("g1|c1", "g1", "P1", 5, "ACGTA"), ("g2|c2", None, None, 3, "MKV")],
+                                "gid string, dataset_id string, phylum string, length int, sequence string")
+    X.export_hits(ext, fasta_path=str(tmp_path / "fa"), tsv_path=str(tmp_path / "tsv"), json_path=str(tmp_path / "js"))
+    text = "".join(open(tmp_path / "fa" / f).read() for f in sorted(os.listdir(tmp_path / "fa")) if f.startswith("part"))
+    assert ">g1|c1 | genome=g1 | phylum=P1 | length=5\nACGTA\n" in text
+    assert ">g2|c2 | genome=NA | phylum=NA | length=3\nMKV" in text
+    tsv = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv"))
+    assert tsv.count() == 2 and "sequence" in tsv.columns
+    js = [json.loads(line) for f in os.listdir(tmp_path / "js") if f.startswith("part")
+          for line in open(tmp_path / "js" / f)]
+    assert {r["gid"] for r in js} == {"g1|c1", "g2|c2"}
+    with pytest.raises(ValueError):
+        X.export_hits(ext)
+    raw = spark.createDataFrame([("q", "g1|c1", 99.0)], "qseqid string, sseqid string, pident double")
+    X.write_hits(raw, str(tmp_path / "raw"), raw, str(tmp_path / "ann"))
+    first = [l for f in os.listdir(tmp_path / "raw") if f.startswith("part") for l in open(tmp_path / "raw" / f)]
+    assert first == ["q\tg1|c1\t99.0\n"]
+    pl = spark.createDataFrame([("q1", "g1", 0.1)], "query_id string, tnf_top_match string, tnf_distance double")
+    X.write_placement(pl, str(tmp_path / "place"))
+    assert spark.read.json(str(tmp_path / "place" / "placement_json")).collect()[0].tnf_top_match == "g1"
+
+    import datetime as dt
+    old = spark.createDataFrame([("a", "fna", "u1", "h1", "v1", dt.datetime(2024, 1, 1)),
+                                 ("a", "faa", "u2", "h2", "v1", dt.datetime(2024, 1, 1))],
+                                "dataset_id string, product string, uri string, sha256 string, version string, created_at timestamp")
+    new = spark.createDataFrame([("a", "fna", "u3", "h3", "v2", dt.datetime(2024, 2, 1))],
+                                "dataset_id string, product string, uri string, sha256 string, version string, created_at timestamp")
+    up = {(r.dataset_id, r.product): r.version for r in R.upsert_products(old, new).collect()}
+    assert up == {("a", "fna"): "v2", ("a", "faa"): "v1"}
+    assert R.get_product(R.upsert_products(old, new), "a", "fna").collect()[0].uri == "u3"
+    assert R.list_products(old, product="faa").count() == 1
+
+
+def test_build_marts_and_read_through(spark, tmp_path):
+    from conftest import SF_SMALL
+    from seqlake.operators import analytics as an
+    from seqlake.sinks.marts import MART_NAMES, build_marts, taxonomy_from_mart
+    from seqlake.sources import surrogate as sg
+
+    if not os.path.exists(SF_SMALL):
+        pytest.skip("driver tables missing")
+    seqs = sg.catalogue(spark, SF_SMALL)
+    paths = build_marts(seqs, str(tmp_path / "marts"))
+    assert set(paths) == set(MART_NAMES)
+    mart = read_mart(spark, str(tmp_path / "marts"), "taxonomy")
+    got = [tuple(r) for r in taxonomy_from_mart(mart, "classifier", "order", None).collect()]
+    exp = [tuple(r) for r in an.taxonomy_distribution(seqs, "order", "classifier", None).collect()]
+    assert got == exp
+    ov = read_mart(spark, str(tmp_path / "marts"), "overview").collect()[0]
+    assert ov.total_sequences == seqs.count()
+    ann = read_mart(spark, str(tmp_path / "marts"), "annotations")
+    assert ann.select("field").distinct().count() == 4
