@@ -158,7 +158,7 @@ def write_sequences(df: DataFrame, root: str, num_partitions: int | None = None,
 def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
            classifier_path: str | None = None, orthogroups_path: str | None = None,
            singletons_path: str | None = None, annotations_path: str | None = None,
-           num_partitions: int | None = None) -> dict:
+           num_partitions: int | None = None, compute_tnf: bool = True) -> dict:
     """Metadata -> (annotations if all three given) -> NT and AA -> lake.
 
     One write job.  Records of genomes without metadata travel with a flag up
@@ -182,6 +182,9 @@ def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
         r = files.read_fasta(spark, p).select("record_id", "sequence")
         records = r if records is None else records.unionByName(r)
     parsed = parse_records(records)
+    if compute_tnf:
+        from .kmers import with_tnf
+        parsed = with_tnf(parsed)
     g = genomes.withColumnRenamed("genome", "dataset_id").withColumn("_known", F.lit(True))
     wide = parsed.join(g, "dataset_id", "left").withColumn("_known", F.coalesce(F.col("_known"), F.lit(False)))
     if members is not None:

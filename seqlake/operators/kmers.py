@@ -175,7 +175,8 @@ def _arrow_class_counts(df: DataFrame, id_col: str, seq_col: str, extra: list[st
             res["class_counts"] = [c.tolist() for c in counts]
             yield res
 
-    schema = df.select(id_col, *extra).schema.add("class_counts", T.ArrayType(T.LongType()))
+    schema = T.StructType([*df.select(id_col, *extra).schema.fields,
+                           T.StructField("class_counts", T.ArrayType(T.LongType()))])
     return df.select(id_col, *extra, seq_col).mapInPandas(run, schema)
 
 
@@ -231,3 +232,30 @@ def valid_vectors(df: DataFrame, vec_col: str = "tnf_136", dim: int = TNF_DIM) -
     """V8: split rows into (valid, rejected) by vector length."""
     ok = F.coalesce(F.size(F.col(vec_col)) == dim, F.lit(False))
     return df.filter(ok), df.filter(~ok)
+
+
+def with_tnf(df: DataFrame, seq_col: str = "sequence", type_col: str = "seq_type",
+             out_col: str = "tnf_136") -> DataFrame:
+    """Append ``tnf_136`` (null for non-NT rows) to every row, in Arrow batches.
+
+    Used at ingest so the lake stores the vector, as the reference's table
+    does: rows pass through the task once, nothing is shuffled.
+    """
+    import numpy as np
+    from pyspark.sql import types as T
+
+    def run(batches):
+        for pdf in batches:
+            seqs = pdf[seq_col].tolist()
+            kinds = pdf[type_col].tolist()
+            nt_idx = [i for i, t in enumerate(kinds) if t == "NT"]
+            counts = class_counts_batch([seqs[i] for i in nt_idx])
+            vecs = [None] * len(seqs)
+            for i, c in zip(nt_idx, counts):
+                total = c.sum()
+                vecs[i] = (c / total).astype(np.float32).tolist() if total else [0.0] * TNF_DIM
+            pdf[out_col] = vecs
+            yield pdf
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.FloatType()))])
+    return df.mapInPandas(run, schema)

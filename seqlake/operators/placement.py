@@ -20,10 +20,15 @@ TNF_CANDIDATE_COLS = ["dataset_id", "gid", "contig_length", "lenbp", "gcperc", "
 
 
 def tnf_candidates(seqs: DataFrame, dataset_filter: str | None = None) -> DataFrame:
-    """Longest contig per genome with its TNF and genome metadata."""
+    """Longest contig per genome with its TNF and genome metadata (stored
+    vectors are used when the catalogue has them, else computed for the
+    selected contigs only)."""
     best = longest_contig(seqs, dataset_filter)
-    contigs = seqs.select("gid", "sequence").join(best.select("gid"), "gid", "left_semi")
-    vec = tnf_136(contigs).select("gid", F.col("tnf_136"))
+    if "tnf_136" in seqs.columns:  # vectors stored in the lake at ingest
+        vec = seqs.select("gid", "tnf_136").join(best.select("gid"), "gid", "left_semi")
+    else:
+        contigs = seqs.select("gid", "sequence").join(best.select("gid"), "gid", "left_semi")
+        vec = tnf_136(contigs).select("gid", F.col("tnf_136"))
     meta = (seqs.select("dataset_id", "lenbp", "gcperc", "common_name", "phylum", "order", "taxonomy_majority",
                         "s_cluster", "skani_rep")
             .groupBy("dataset_id").agg(*[F.first(c).alias(c) for c in

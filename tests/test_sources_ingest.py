@@ -111,6 +111,8 @@ def test_ingest_end_to_end(spark, tmp_path):
     # g2 is not its own representative -> no orthogroup/annotation attached
     assert rows["g2|g2_7"].orthogroup_id is None and rows["g2|g2_7"].emapper_COG_category is None
     assert rows["g1|c_1"].is_skani_representative is True
+    assert len(rows["g1|c_1"].tnf_136) == 136 and abs(sum(rows["g1|c_1"].tnf_136) - 1.0) < 1e-5
+    assert rows["g2|g2_7"].tnf_136 is None and rows["g1|c_2"].tnf_136 is None  # empty -> AA
     # last metadata row of g1 won
     assert rows["g1|c_1"].order == "OrdB"
     got = cat.lookup_gid(lake, "g1|c_2").collect()
