@@ -100,3 +100,32 @@ def shared_counts(target_codes: np.ndarray, index_codes: np.ndarray, index_owner
     starts = np.repeat(lo - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens)
     pos = starts + np.arange(lens.sum())
     return np.bincount(index_owner[pos], minlength=n_owners)
+
+
+def distance_block(C: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
+    """Distances (candidates x queries) in float64.
+
+    cosine: 1 - c.q / (|c| |q|), 1.0 when a norm is zero; euclidean via
+    |c|^2 + |q|^2 - 2 c.q clipped at 0 (absolute error ~1e-9 near 0).
+    """
+    dots = C @ Q.T
+    nc = np.sqrt((C * C).sum(axis=1))[:, None]
+    nq = np.sqrt((Q * Q).sum(axis=1))[None, :]
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 1.0 - dots / (nc * nq)
+        return np.where((nc == 0) | (nq == 0), 1.0, d)
+    if metric == "euclidean":
+        return np.sqrt(np.maximum(nc ** 2 + nq ** 2 - 2.0 * dots, 0.0))
+    raise ValueError(f"Unknown distance metric: {metric}")
+
+
+def topk_with_ties(d: np.ndarray, k: int) -> list[np.ndarray]:
+    """Per column, the row indices whose value is within the k smallest
+    (every row tying with the k-th value is kept, so a later exact ranking
+    with tie-breakers sees all contenders)."""
+    n = d.shape[0]
+    if n <= k:
+        return [np.arange(n)] * d.shape[1]
+    kth = np.partition(d, k - 1, axis=0)[k - 1]
+    return [np.nonzero(d[:, j] <= kth[j])[0] for j in range(d.shape[1])]

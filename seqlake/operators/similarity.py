@@ -18,8 +18,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import vector_distance
-from .common import fits
 
 
 def longest_contig(seqs: DataFrame, dataset_filter: str | None = None) -> DataFrame:
@@ -41,30 +39,68 @@ def longest_contig(seqs: DataFrame, dataset_filter: str | None = None) -> DataFr
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, metric: str = "cosine",
             query_id: str = "query_id", vec_col: str = "vector", order_cols: tuple[str, ...] = (),
-            max_batch: int = 20000, distance_col: str = "distance") -> DataFrame:
-    """For every query, the k candidates closest by ``metric``.
+            max_batch: int = 20000, distance_col: str = "distance", query_chunk: int = 256) -> DataFrame:
+    """For every query, the k candidates closest by ``metric`` (exact).
 
     ``queries``: (query_id, vector); ``candidates``: any columns + ``vec_col``.
     Ties are broken by ``order_cols`` (candidate id columns).  Output: query
     id, rank (1..k), candidate columns without the vector, distance.
+
+    Queries are processed in size-checked batches of at most ``max_batch``:
+    a batch is broadcast as a matrix, every candidate Arrow batch computes its
+    distance block against it where the candidates are read, and only the
+    per-query top k of that block (ties included) leaves the task.  The
+    final ``row_number <= k`` ranks those few rows exactly.  No pairwise rows
+    are materialised and no candidate is skipped.
     """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from ..functions.codes import distance_block, topk_with_ties
+
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"Unknown distance metric: {metric}")
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(vec_col).alias("_qvec"))
-    if fits(q, max_batch):
-        batches = [q]
-    else:
-        nb = math.ceil(q.count() / (max_batch / 2))
-        batches = [q.filter(F.pmod(F.hash("_qid"), F.lit(nb)) == b) for b in range(nb)]
+    spark = candidates.sparkSession
+    q = queries.select(F.col(query_id), F.col(vec_col).alias("_qvec")).filter(F.col("_qvec").isNotNull())
+    n = q.count()
+    nb = max(1, math.ceil(2 * n / max_batch)) if n > max_batch else 1
+    batches = [q] if nb == 1 else [q.filter(F.pmod(F.hash(query_id), F.lit(nb)) == b) for b in range(nb)]
     cand_cols = [c for c in candidates.columns if c != vec_col]
+    out_schema = T.StructType([q.schema[query_id], *[candidates.schema[c] for c in cand_cols],
+                               T.StructField(distance_col, T.DoubleType())])
     outs = []
     for b in batches:
-        scored = candidates.join(F.broadcast(b), how="inner").select(
-            F.col("_qid").alias(query_id), *cand_cols,
-            vector_distance(F.col("_qvec"), F.col(vec_col), metric).alias(distance_col))
-        w = Window.partitionBy(query_id).orderBy(F.col(distance_col), *[F.col(c) for c in order_cols])
-        outs.append(scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, outs)
+        pdf = b.toPandas()  # a size-checked batch of query vectors
+        if len(pdf) > max_batch:
+            raise ValueError("query batch above the broadcast bound")
+        bc = spark.sparkContext.broadcast((pdf[query_id].tolist(),
+                                           np.array(pdf["_qvec"].tolist(), dtype=np.float64)))
+
+        def score(frames, bc=bc):
+            ids, Q = bc.value
+            for cdf in frames:
+                vecs = cdf[vec_col]
+                ok = vecs.map(lambda v: v is not None and len(v) == Q.shape[1]).to_numpy()
+                if not ok.any():
+                    continue
+                cdf = cdf[ok].reset_index(drop=True)
+                C = np.array(cdf[vec_col].tolist(), dtype=np.float64)
+                parts = []
+                for s in range(0, Q.shape[0], query_chunk):
+                    d = distance_block(C, Q[s:s + query_chunk], metric)
+                    for j, rows in enumerate(topk_with_ties(d, k)):
+                        part = cdf.loc[rows, cand_cols].copy()
+                        part.insert(0, query_id, ids[s + j])
+                        part[distance_col] = d[rows, j]
+                        parts.append(part)
+                if parts:
+                    yield pd.concat(parts, ignore_index=True)
+
+        outs.append(candidates.select(*cand_cols, vec_col).mapInPandas(score, out_schema))
+    scored = reduce(DataFrame.unionByName, outs)
+    w = Window.partitionBy(query_id).orderBy(F.col(distance_col), *[F.col(c) for c in order_cols])
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def compare_tnf_ani(tnf_hits: DataFrame, ani_hits: DataFrame, genome_col: str = "dataset_id",

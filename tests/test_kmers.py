@@ -139,3 +139,28 @@ def test_protein_seed_search_brute_force(spark):
         return {s[i:i + 3] for i in range(len(s) - 2)}
     exp = sorted(((g, len(km("MKVLAAG") & km(s))) for g, s in t if km("MKVLAAG") & km(s)), key=lambda x: (-x[1], x[0]))
     assert [(g, n) for g, n, _ in got] == exp and [r for _, _, r in got] == list(range(1, len(exp) + 1))
+
+
+def test_nearest_brute_force_batches_and_ties(spark):
+    from seqlake.operators.similarity import nearest
+
+    random.seed(21)
+    cands = [(f"c{i:03d}", [random.random() for _ in range(6)]) for i in range(120)]
+    cands += [("dup_a", cands[0][1]), ("dup_b", cands[0][1])]  # exact ties
+    qs = [(f"q{i}", [random.random() for _ in range(6)]) for i in range(30)] + [("qz", [0.0] * 6)]
+    qdf = spark.createDataFrame(qs, "query_id string, vector array<double>")
+    cdf = spark.createDataFrame(cands, "cid string, vector array<double>")
+
+    def cos(a, b):
+        na, nb = math.sqrt(sum(x * x for x in a)), math.sqrt(sum(x * x for x in b))
+        return 1.0 if na == 0 or nb == 0 else 1 - sum(x * y for x, y in zip(a, b)) / (na * nb)
+
+    for metric, fn in (("cosine", cos), ("euclidean", lambda a, b: math.dist(a, b))):
+        got = {}
+        for r in nearest(qdf, cdf, k=4, metric=metric, order_cols=("cid",), max_batch=8, query_chunk=5).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.cid, r.distance))
+        for qid, qv in qs:
+            exp = sorted(((fn(qv, v), c) for c, v in cands), key=lambda x: (round(x[0], 12), x[1]))[:4]
+            g = sorted(got[qid])
+            assert [c for _, c, _ in g] == [c for _, c in exp], (metric, qid)
+            assert all(abs(d - e) < 1e-9 for (_, _, d), (e, _) in zip(g, exp))
