@@ -60,6 +60,14 @@ def _codes_per_row(df: DataFrame, owner_col: str, seq_col: str, fn) -> DataFrame
     return df.select(owner_col, seq_col).mapInPandas(run, schema).distinct()
 
 
+def write_sketch(seqs: DataFrame, path: str, owner_col: str = "dataset_id", k: int = 16, c: int = 1000) -> None:
+    """Store the reference sketch (owner, code) once, clustered by code so a
+    later join reads it without a shuffle-heavy rebuild."""
+    (sketch(seqs.filter(F.col("seq_type") == "NT") if "seq_type" in seqs.columns else seqs, owner_col, k, c)
+     .repartitionByRange("code").sortWithinPartitions("code")
+     .write.mode("overwrite").option("compression", "zstd").parquet(path))
+
+
 def sketch(seqs: DataFrame, owner_col: str, k: int = 16, c: int = 1000, seq_col: str = "sequence") -> DataFrame:
     """Distinct sampled canonical k-mer codes per owner: (owner, code).
 
@@ -72,12 +80,17 @@ def sketch(seqs: DataFrame, owner_col: str, k: int = 16, c: int = 1000, seq_col:
     return _codes_per_row(seqs, owner_col, seq_col, lambda s: sketch_codes(s, k, c))
 
 
-def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame, k: int = 16, c: int = 1000,
+def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame | None, k: int = 16, c: int = 1000,
                  min_ani: float | None = 80.0, query_col: str = "query_id", ref_col: str = "dataset_id",
-                 max_broadcast: int = 5_000_000) -> DataFrame:
-    """(query, ref, shared, query_kmers, ref_kmers, containment, ani)."""
+                 max_broadcast: int = 5_000_000, ref_sketch: DataFrame | None = None) -> DataFrame:
+    """(query, ref, shared, query_kmers, ref_kmers, containment, ani).
+
+    ``ref_sketch``: a stored (ref_col, code) sketch table built once with
+    :func:`sketch` (same k and c) -- then only the queries are sketched.
+    """
     qs = sketch(query_seqs, query_col, k, c).withColumnRenamed(query_col, "_q")
-    rs = sketch(ref_seqs, ref_col, k, c).withColumnRenamed(ref_col, "_r")
+    rs = (ref_sketch if ref_sketch is not None else sketch(ref_seqs, ref_col, k, c)) \
+        .select(F.col(ref_col).alias("_r"), "code")
     qn = qs.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
     rn = rs.groupBy("_r").agg(F.count(F.lit(1)).alias("ref_kmers"))
     shared = (rs.join(_bounded(qs, max_broadcast), "code")

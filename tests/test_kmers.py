@@ -125,6 +125,9 @@ def test_ani_containment_brute_force(spark):
     assert got["A"].shared == len(qa & ra) and got["A"].ani == 100.0 and got["A"].query_kmers == len(qa)
     assert got["B"].shared == len(qa & rb) and got["B"].ref_kmers == len(rb)
     assert math.isclose(got["B"].ani, 100 * (len(qa & rb) / len(qa)) ** (1 / 8))
+    stored = SR.sketch(r, "dataset_id", k=8, c=4)
+    again = {x.dataset_id: x.shared for x in SR.ani_estimate(q, None, k=8, c=4, min_ani=None, ref_sketch=stored).collect()}
+    assert again == {"A": got["A"].shared, "B": got["B"].shared}
 
 
 def test_protein_seed_search_brute_force(spark):
