@@ -77,43 +77,52 @@ def enrich_ani_hits(hits: DataFrame, seqs: DataFrame, min_ani: float | None = 80
     cols = ["dataset_id", *(metadata_cols or [c for c in GENOME_META if c != "dataset_id"])]
     meta = genomes_of(seqs, h.select("dataset_id").distinct(), cols)
     out = h.join(meta, "dataset_id", "left")
+    if max_results is None:
+        return out  # callers order with order_by_ani() when presenting; aggregates need no sort
     return top(out, max_results, F.col("ANI").desc(), F.col("Query_name"), F.col("Ref_name"))
 
 
+def order_by_ani(hits: DataFrame) -> DataFrame:
+    """Best ANI first (ties: query, reference)."""
+    return hits.orderBy(F.col("ANI").desc(), F.col("Query_name"), F.col("Ref_name"))
+
+
 def cluster_hit_counts(enriched: DataFrame, n: int = 5, col: str = "s_cluster") -> DataFrame:
     """Most frequent clusters among the hits."""
     g = enriched.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("hits"))
     return top(g, n, F.col("hits").desc(), F.col(col))
 
 
-def _mode(df: DataFrame, key: str, col: str, name: str) -> DataFrame:
-    """Most frequent non-null ``col`` per key (ties: smallest label) and its count."""
-    c = df.filter(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
-    return (c.groupBy(key).agg(F.min_by(F.struct(F.col(col).alias("v"), "_n"),
-                                        F.struct((-F.col("_n")).alias("a"), F.col(col).alias("b"))).alias("m"))
-            .select(key, F.col("m.v").alias(name), F.col("m._n").alias(f"{name}_genomes")))
-
-
 def cluster_membership(enriched: DataFrame, species_threshold: float = 95.0,
                        query_col: str = "Query_name") -> DataFrame:
     """Per query: hit counts, top hit, likely species cluster (mode among
     species-level hits), its representative and phylogenetic cluster, or a
-    'no species-level match' message.  Every step is a per-query aggregate."""
-    tops = enriched.groupBy(query_col).agg(
+    'no species-level match' message.
+
+    Two partial aggregates over the hits: one per query (counts, best hit,
+    representative of the best species-level hit -- ``min_by`` ignores rows
+    whose ordering key is null), one per (query, kind, label) for the two
+    modes; the per-query results are joined (one row per query each).
+    """
+    species = F.col("ANI") >= species_threshold
+    best_key = F.struct((-F.col("ANI")).alias("a"), F.col("Ref_name").alias("r"))
+    per_query = enriched.groupBy(query_col).agg(
         F.count(F.lit(1)).alias("total_hits"),
-        F.count_if(F.col("ANI") >= species_threshold).alias("species_level_matches"))
-    # the top hit: highest ANI, ties -> smallest Ref_name (deterministic)
-    best = enriched.groupBy(query_col).agg(
-        F.min_by(F.struct("ANI", "dataset_id", "Ref_name"),
-                 F.struct((-F.col("ANI")).alias("a"), F.col("Ref_name").alias("r"))).alias("b"))
-    species = enriched.filter(F.col("ANI") >= species_threshold)
-    rep = species.groupBy(query_col).agg(
-        F.min_by(F.col("skani_rep"), F.struct((-F.col("ANI")).alias("a"), F.col("Ref_name").alias("r")))
-         .alias("cluster_representative"))
-    out = (tops.join(best, query_col)
-           .join(_mode(species, query_col, "s_cluster", "likely_species_cluster"), query_col, "left")
-           .join(_mode(species, query_col, "pdm_cluster", "phylogenetic_cluster"), query_col, "left")
-           .join(rep, query_col, "left"))
+        F.count_if(species).alias("species_level_matches"),
+        F.min_by(F.struct("ANI", "dataset_id", "Ref_name"), best_key).alias("b"),
+        F.min_by(F.col("skani_rep"), F.when(species, best_key)).alias("cluster_representative"))
+    labels = (enriched.filter(species)
+              .select(query_col, F.explode(F.array(
+                  F.struct(F.lit("s").alias("kind"), F.col("s_cluster").alias("label")),
+                  F.struct(F.lit("p").alias("kind"), F.col("pdm_cluster").alias("label")))).alias("x"))
+              .select(query_col, "x.kind", "x.label").filter(F.col("label").isNotNull())
+              .groupBy(query_col, "kind", "label").agg(F.count(F.lit(1)).alias("n")))
+    modes = (labels.groupBy(query_col)
+             .agg(F.min_by(F.struct("label", "n"), F.when(F.col("kind") == "s", F.struct(
+                      (-F.col("n")).alias("a"), F.col("label").alias("b")))).alias("ms"),
+                  F.min_by(F.col("label"), F.when(F.col("kind") == "p", F.struct(
+                      (-F.col("n")).alias("a"), F.col("label").alias("b")))).alias("phylogenetic_cluster")))
+    out = per_query.join(modes, query_col, "left")
     msg = F.when(F.col("species_level_matches") == 0,
                  F.concat(F.lit(f"No species-level matches (>={species_threshold:g}% ANI). Top hit: "),
                           F.format_number(F.col("b.ANI"), 2), F.lit("%")))
@@ -121,7 +130,7 @@ def cluster_membership(enriched: DataFrame, species_threshold: float = 95.0,
         query_col, "total_hits", "species_level_matches",
         F.col("b.ANI").alias("top_match_ani"), F.col("b.dataset_id").alias("top_match_genome"),
         F.col("b.Ref_name").alias("top_match_ref"),
-        "likely_species_cluster", F.col("likely_species_cluster_genomes").alias("species_cluster_genomes"),
+        F.col("ms.label").alias("likely_species_cluster"), F.col("ms.n").alias("species_cluster_genomes"),
         "cluster_representative", "phylogenetic_cluster", msg.alias("message"))
 
 
