@@ -236,3 +236,22 @@ def test_build_marts_and_read_through(spark, tmp_path):
     assert ov.total_sequences == seqs.count()
     ann = read_mart(spark, str(tmp_path / "marts"), "annotations")
     assert ann.select("field").distinct().count() == 4
+
+
+def test_ingest_with_classifier(spark, tmp_path):
+    fa = write(tmp_path, "nt.fna", FASTA)
+    meta = write(tmp_path, "m.tsv", METADATA)
+    cls = write(tmp_path, "c.tsv", "query\torder\ttaxonomy_majority\torder_completeness\tcontigs\tlenbp\n"
+                                   "g1\tGOrd\td_V;o_GOrd\t77.5\t3.5\t555\n"
+                                   "g1\tGOrd2\td_V;o_GOrd2\t88\t4\t556\n")
+    root = str(tmp_path / "lake")
+    report = ing.ingest(spark, meta, [fa], root, classifier_path=cls)
+    assert report["records_written"] == 3
+    rows = {r.gid: r for r in open_catalog(spark, root, view=None).collect()}
+    g1 = rows["g1|c_1"]
+    # classifier renamed ranks, overrode the overlapping count columns, last classifier row won
+    assert g1.gvclass_order == "GOrd2" and g1.taxonomy_majority == "d_V;o_GOrd2"
+    assert g1.order_completeness == 88.0 and g1.lenbp == 556 and g1.contigs == 4
+    assert g1.order == "OrdB"  # metadata's own phylogeny order is kept
+    g2 = rows["g2|g2_7"]
+    assert g2.gvclass_order is None and g2.order_completeness is None  # no classifier row -> nulls
