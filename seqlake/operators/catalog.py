@@ -135,8 +135,7 @@ def orthogroup_coverage(seqs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_proteins"),
         F.count("orthogroup_id").alias("with_orthogroup"),
         F.count_if(F.coalesce(F.col("is_singleton"), F.lit(False))).alias("singletons"),
-        F.count_if(F.col("orthogroup_id").isNull() & ~F.coalesce(F.col("is_singleton"), F.lit(False)))
-         .alias("unassigned"),
+        F.count_if(F.col("orthogroup_id").isNull() & F.col("is_singleton").isNull()).alias("no_assignment"),
     )
 
 

@@ -19,6 +19,10 @@ from .analytics import latest_per_key
 
 LAKE_COLUMNS = ["gid", "dataset_id", "header", "seq_type", "length", "gc_content", "sequence"]
 
+ANNOTATION_CONTRACT = {"orthogroup_id": "string", "is_singleton": "boolean",
+                       **{f"emapper_{c}": ("double" if c in ("evalue", "score") else "string")
+                          for c in S.ANNOTATION_COLUMNS}}
+
 
 def parse_records(records: DataFrame, id_col: str = "record_id", seq_col: str = "sequence",
                   protein_u_to_t: bool = False) -> DataFrame:
@@ -191,6 +195,9 @@ def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
         wide = attach_orthogroups(wide, members, singletons)
     if annotations is not None:
         wide = attach_annotations(wide, annotations)
+    # fixed table contract: the orthogroup / annotation columns always exist
+    # (typed nulls when their inputs were not given)
+    wide = wide.withColumns({c: F.lit(None).cast(t) for c, t in ANNOTATION_CONTRACT.items() if c not in wide.columns})
     obs = Observation("ingest")
     write_sequences(wide, root, num_partitions, observation=obs, keep_col="_known")
     m = obs.get

@@ -308,7 +308,7 @@ def q_label_share(spark, d):
 @query("orthogroup_coverage", """
 SELECT CAST(COUNT(*) AS BIGINT) AS total_proteins, CAST(COUNT(orthogroup_id) AS BIGINT) AS with_orthogroup,
        CAST(SUM(CASE WHEN is_singleton THEN 1 ELSE 0 END) AS BIGINT) AS singletons,
-       CAST(SUM(CASE WHEN orthogroup_id IS NULL AND NOT COALESCE(is_singleton, false) THEN 1 ELSE 0 END) AS BIGINT) AS unassigned
+       CAST(SUM(CASE WHEN orthogroup_id IS NULL AND is_singleton IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_assignment
 FROM catalogue WHERE seq_type = 'AA'""", CAT)
 def q_og_cov(spark, d):
     return cat.orthogroup_coverage(sg.catalogue(spark, d))

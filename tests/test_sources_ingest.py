@@ -255,3 +255,42 @@ def test_ingest_with_classifier(spark, tmp_path):
     assert g1.order == "OrdB"  # metadata's own phylogeny order is kept
     g2 = rows["g2|g2_7"]
     assert g2.gvclass_order is None and g2.order_completeness is None  # no classifier row -> nulls
+
+
+@pytest.mark.skipif(not os.path.exists(REF_DATA), reason="reference fixtures not present")
+def test_reference_test_queries_on_fixture_lake(spark, tmp_path):
+    """The reference's annotation-test SQL, run by DuckDB on the lake we ingest
+    from its fixtures, against our operators on the same lake."""
+    import duckdb
+
+    from seqlake.operators import catalog as C
+
+    for n in ("test_small.faa", "test_metadata_matched.tsv"):
+        shutil.copy(os.path.join(REF_DATA, n), tmp_path / n)
+    root = str(tmp_path / "lake")
+    rep = ing.ingest(spark, str(tmp_path / "test_metadata_matched.tsv"), [str(tmp_path / "test_small.faa")], root)
+    # Ac19 has no metadata row in the fixture: its 526 proteins are skipped
+    assert (rep["records_read"], rep["records_written"], rep["records_skipped"]) == (684, 158, 526)
+    lake = open_catalog(spark, root, view=None)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW sequences AS SELECT * FROM read_parquet('{root}/**/*.parquet', hive_partitioning = true)")
+
+    q1 = con.sql("SELECT is_skani_representative, seq_type, COUNT(*) AS n FROM sequences GROUP BY 1, 2").fetchall()
+    got1 = [tuple(r) for r in C.representative_breakdown(lake).collect()]
+    assert sorted(got1, key=repr) == sorted(q1, key=repr)
+    q2 = con.sql("""SELECT COUNT(*), COUNT(orthogroup_id), SUM(CASE WHEN is_singleton THEN 1 ELSE 0 END),
+                    SUM(CASE WHEN orthogroup_id IS NULL AND is_singleton IS NULL THEN 1 ELSE 0 END)
+                    FROM sequences WHERE seq_type = 'AA'""").fetchall()[0]
+    got2 = C.orthogroup_coverage(lake).collect()[0]
+    assert (got2.total_proteins, got2.with_orthogroup, got2.singletons, got2.no_assignment) == \
+        (q2[0], q2[1], q2[2] or 0, q2[3])
+    q3 = con.sql("""SELECT COUNT(*), COUNT(emapper_Description), COUNT(emapper_COG_category),
+                    COUNT(emapper_KEGG_ko), COUNT(emapper_PFAMs) FROM sequences WHERE seq_type = 'AA'""").fetchall()[0]
+    got3 = C.annotation_coverage(lake, ["emapper_Description", "emapper_COG_category", "emapper_KEGG_ko",
+                                        "emapper_PFAMs"]).collect()[0]
+    assert tuple(got3) == q3
+    stats = C.stats(lake).collect()[0]
+    q4 = con.sql("SELECT COUNT(*), COUNT(DISTINCT dataset_id), SUM(length) FROM sequences").fetchall()[0]
+    assert (stats.total_sequences, stats.unique_genomes, stats.total_bases) == q4
+    top = [tuple(r) for r in C.top_datasets(lake).collect()]
+    assert top == [("AbALV", 158)]
