@@ -19,6 +19,10 @@ DEFAULT_CONF = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # records are whole sequences (a contig can be megabases): bound the Arrow
+    # batches handed to the k-mer helpers by bytes, not only by record count
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
 
