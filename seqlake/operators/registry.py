@@ -53,3 +53,10 @@ def verify_checksums(products: DataFrame, hashes: DataFrame, uri_col: str = "uri
           .when(F.col("_actual").isNull(), F.lit(False))
           .otherwise(F.col("sha256") == F.col("_actual")))
     return j.select(*products.columns, ok.alias("verified"))
+
+
+def manifest(spark: SparkSession, path_glob: str, dataset_id: str, product: str, version: str) -> DataFrame:
+    """R1 re-aimed: registry rows for every file an export wrote (one job)."""
+    return file_hashes(spark, path_glob).select(
+        F.lit(dataset_id).alias("dataset_id"), F.lit(product).alias("product"), F.col("path").alias("uri"),
+        "sha256", F.lit(version).alias("version"), F.current_timestamp().alias("created_at"))

@@ -63,17 +63,22 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, metric: str
         raise ValueError(f"Unknown distance metric: {metric}")
     spark = candidates.sparkSession
     q = queries.select(F.col(query_id), F.col(vec_col).alias("_qvec")).filter(F.col("_qvec").isNotNull())
-    n = q.count()
-    nb = max(1, math.ceil(2 * n / max_batch)) if n > max_batch else 1
-    batches = [q] if nb == 1 else [q.filter(F.pmod(F.hash(query_id), F.lit(nb)) == b) for b in range(nb)]
     cand_cols = [c for c in candidates.columns if c != vec_col]
     out_schema = T.StructType([q.schema[query_id], *[candidates.schema[c] for c in cand_cols],
                                T.StructField(distance_col, T.DoubleType())])
+    # one bounded collection decides: within the bound it IS the only batch
+    first = q.limit(max_batch + 1).toPandas()
+    if len(first) <= max_batch:
+        frames = [first]
+    else:
+        nb = max(2, math.ceil(2 * q.count() / max_batch))
+        frames = (q.filter(F.pmod(F.hash(query_id), F.lit(nb)) == b).toPandas() for b in range(nb))
     outs = []
-    for b in batches:
-        pdf = b.toPandas()  # a size-checked batch of query vectors
+    for pdf in frames:  # each a size-checked batch of query vectors
         if len(pdf) > max_batch:
             raise ValueError("query batch above the broadcast bound")
+        if len(pdf) == 0:
+            continue
         bc = spark.sparkContext.broadcast((pdf[query_id].tolist(),
                                            np.array(pdf["_qvec"].tolist(), dtype=np.float64)))
 
@@ -98,6 +103,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, metric: str
                     yield pd.concat(parts, ignore_index=True)
 
         outs.append(candidates.select(*cand_cols, vec_col).mapInPandas(score, out_schema))
+    if not outs:
+        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
     scored = reduce(DataFrame.unionByName, outs)
     w = Window.partitionBy(query_id).orderBy(F.col(distance_col), *[F.col(c) for c in order_cols])
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -143,6 +143,8 @@ def test_export_roundtrip_and_registry(spark, tmp_path):
     ok = {(r.dataset_id, r.product): r.verified for r in R.verify_checksums(products, hashes).collect()}
     assert ok == {("a", "fna"): True, ("a", "faa"): False, ("b", "fna"): True, ("c", "fna"): False}
     assert read_mart(spark, str(tmp_path), "nothing_here") is None
+    man = R.manifest(spark, files_glob, "a", "fna", "v1")
+    assert man.count() == 2 and R.verify_checksums(man, hashes).filter("NOT verified").count() == 0
 
 
 def test_streaming_ingest(spark, tmp_path):
