@@ -46,3 +46,11 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
+
+
+def map_in_pandas(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInPandas`` after making sure executors can import ``seqlake``."""
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
+    return df.mapInPandas(fn, schema)

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from .common import map_in_pandas
 
 BASES = "ACGT"
 TNF_DIM = 136
@@ -102,7 +103,7 @@ def kmer_counts(df: DataFrame, k: int = 4, id_col: str = "gid", seq_col: str = "
 
         schema = T.StructType([df.schema[id_col], T.StructField("codes", T.ArrayType(T.LongType())),
                                T.StructField("counts", T.ArrayType(T.LongType()))])
-        per = df.select(id_col, seq_col).mapInPandas(run, schema)
+        per = map_in_pandas(df.select(id_col, seq_col), run, schema)
         pairs = per.select(id_col, F.explode(F.arrays_zip("codes", "counts")).alias("z"))
         return pairs.select(id_col, decode_kmer(F.col("z.codes"), k, alphabet).alias("kmer"),
                             F.col("z.counts").alias("count"))
@@ -177,7 +178,7 @@ def _arrow_class_counts(df: DataFrame, id_col: str, seq_col: str, extra: list[st
 
     schema = T.StructType([*df.select(id_col, *extra).schema.fields,
                            T.StructField("class_counts", T.ArrayType(T.LongType()))])
-    return df.select(id_col, *extra, seq_col).mapInPandas(run, schema)
+    return map_in_pandas(df.select(id_col, *extra, seq_col), run, schema)
 
 
 def tnf_136(df: DataFrame, id_col: str = "gid", seq_col: str = "sequence", chunk: int = 256,
@@ -258,4 +259,4 @@ def with_tnf(df: DataFrame, seq_col: str = "sequence", type_col: str = "seq_type
             yield pdf
 
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.FloatType()))])
-    return df.mapInPandas(run, schema)
+    return map_in_pandas(df, run, schema)

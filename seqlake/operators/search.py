@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fits
+from .common import map_in_pandas
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
 
@@ -57,7 +58,7 @@ def _codes_per_row(df: DataFrame, owner_col: str, seq_col: str, fn) -> DataFrame
                 yield pd.DataFrame({owner_col: owners, "code": np.concatenate(codes)})
 
     schema = T.StructType([df.schema[owner_col], T.StructField("code", T.LongType(), False)])
-    return df.select(owner_col, seq_col).mapInPandas(run, schema).distinct()
+    return map_in_pandas(df.select(owner_col, seq_col), run, schema).distinct()
 
 
 def write_sketch(seqs: DataFrame, path: str, owner_col: str = "dataset_id", k: int = 16, c: int = 1000) -> None:
@@ -147,7 +148,7 @@ def _seed_pairs_arrow(qk: DataFrame, targets: DataFrame, target_col: str, seq_co
 
     schema = T.StructType([T.StructField("_q", T.StringType()), T.StructField("_t", T.StringType()),
                            T.StructField("shared", T.LongType())])
-    return targets.select(target_col, seq_col).mapInPandas(run, schema)
+    return map_in_pandas(targets.select(target_col, seq_col), run, schema)
 
 
 def protein_seed_search(queries: DataFrame, targets: DataFrame, k: int = 5, max_target_seqs: int = 100,

@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from .common import map_in_pandas
 
 
 
@@ -102,7 +103,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, metric: str
                 if parts:
                     yield pd.concat(parts, ignore_index=True)
 
-        outs.append(candidates.select(*cand_cols, vec_col).mapInPandas(score, out_schema))
+        outs.append(map_in_pandas(candidates.select(*cand_cols, vec_col), score, out_schema))
     if not outs:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
     scored = reduce(DataFrame.unionByName, outs)

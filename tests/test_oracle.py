@@ -47,3 +47,24 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["label", "genomes"] and df.count() > 0
+
+
+def test_entry_from_foreign_cwd_plain_session(tmp_path):
+    """The driver imports the entry file from elsewhere and builds its own
+    session: Python-worker stages must still import the package."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('e', '{root}/__spark_entry__.py')\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').getOrCreate()\n"
+        f"print('ROWS', m.queries()['tnf_136'](s, '{SF_SMALL}').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "ROWS 21760" in out.stdout, out.stderr[-2000:]
