@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.taxonomy import (ENVIRONMENT_COLUMNS, PHYLO_COLUMNS, RANK_PREFIX, clean_label,
                                   rank_raw)
+from ..schemas import CLASSIFIER_PREFIX
 from .common import top
 
 def _is(kind: str) -> Column:
@@ -34,7 +35,7 @@ def taxonomy_distribution(seqs: DataFrame, level: str, source: str = "classifier
     Unassigned); ``phylo``: the metadata rank column ('' -> Unassigned).
     """
     nt = seqs.filter(_is("NT"))
-    if source in ("classifier", "gvclass"):
+    if source in ("classifier", CLASSIFIER_PREFIX.rstrip("_")):
         label = clean_label(rank_raw(F.col("taxonomy_majority"), level, anchored), na_is_missing=True)
     elif source == "phylo":
         column = PHYLO_COLUMNS.get(level)
@@ -141,9 +142,10 @@ def annotation_matrix(seqs: DataFrame, field: str = "emapper_cog_category", leve
     aa = seqs.filter(_is("AA"))
     rank = clean_label(rank_raw(F.col("taxonomy_majority"), level, anchored), na_is_missing=True)
     value = F.coalesce(F.nullif(F.col(field), F.lit("")), F.lit("Unannotated"))
-    g = aa.groupBy(rank.alias(f"gvclass_{level}"), value.alias("annotation_value")) \
+    rank_col = f"{CLASSIFIER_PREFIX}{level}"
+    g = aa.groupBy(rank.alias(rank_col), value.alias("annotation_value")) \
           .agg(F.count(F.lit(1)).alias("sequences"))
-    return top(g, n, F.col("sequences").desc(), F.col(f"gvclass_{level}"), F.col("annotation_value"))
+    return top(g, n, F.col("sequences").desc(), F.col(rank_col), F.col("annotation_value"))
 
 
 def annotation_matrix_all(seqs: DataFrame, fields: list[str],
@@ -171,7 +173,7 @@ def filter_unannotated(matrix: DataFrame, include_unannotated: bool = False) ->
     return matrix if include_unannotated else matrix.filter(F.col("annotation_value") != "Unannotated")
 
 
-def annotation_pivot(matrix: DataFrame, values: list[str], rank_col: str = "gvclass_order",
+def annotation_pivot(matrix: DataFrame, values: list[str], rank_col: str = CLASSIFIER_PREFIX + "order",
                      include_unannotated: bool = True) -> DataFrame:
     """Rank x annotation-value matrix, 0 where absent.
 

@@ -58,7 +58,7 @@ def representative_flag(genome: Column, skani_rep: Column) -> Column:
 
 def merge_classifier(base: DataFrame, classifier: DataFrame | None, genome_col: str = "genome") -> DataFrame:
     """Classifier wins on the overlapping count columns; other name clashes
-    get a ``_gvclass`` suffix; LEFT join keeps every base genome.  Without a
+    get the classifier suffix; LEFT join keeps every base genome.  Without a
     classifier the classifier columns are added as typed nulls."""
     if classifier is None:
         missing = {c: F.lit(None).cast(t) for c, t in S.CLASSIFIER_COLUMNS.items() if c not in base.columns}
@@ -66,7 +66,7 @@ def merge_classifier(base: DataFrame, classifier: DataFrame | None, genome_col:
     overlap = [c for c in S.CLASSIFIER_OVERLAP_COLUMNS if c in base.columns and c in classifier.columns]
     left = base.drop(*overlap)
     clash = [c for c in classifier.columns if c in left.columns and c != genome_col]
-    right = classifier.withColumnsRenamed({c: f"{c}_gvclass" for c in clash})
+    right = classifier.withColumnsRenamed({c: f"{c}{S.CLASSIFIER_SUFFIX}" for c in clash})
     return left.join(right, genome_col, "left")
 
 

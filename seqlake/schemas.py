@@ -11,6 +11,11 @@ METADATA_INT_COLUMNS = (
 )
 METADATA_FLOAT_COLUMNS = ("order_completeness", "gvog8_dup", "mirus_dup", "gcperc", "codingperc")
 
+# Prefix of classifier rank columns and suffix of other
+# classifier columns clashing with metadata names (the table contract).
+CLASSIFIER_PREFIX = "gvclass_"
+CLASSIFIER_SUFFIX = "_gvclass"
+
 # Classifier table renames, integer and float columns.
 CLASSIFIER_RANK_RENAMES = {
     "species": "gvclass_species",
