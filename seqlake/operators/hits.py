@@ -53,8 +53,11 @@ def enrich_protein_hits(hits: DataFrame, seqs: DataFrame, id_col: str = "sseqid"
     alignment length."""
     ids = hits.select(F.col(id_col).alias("gid")).distinct()
     cat = seqs if seq_type is None else seqs.filter(F.col("seq_type") == F.lit(seq_type))
-    meta = cat.select(*meta_cols).join(ids, "gid", "left_semi").withColumnRenamed("length", "target_length")
-    return hits.join(meta, hits[id_col] == meta["gid"], "left").drop(meta["gid"])
+    meta = (cat.select(*meta_cols).join(ids, "gid", "left_semi")
+            .withColumnRenamed("length", "target_length").withColumnRenamed("gid", "_meta_gid"))
+    # join on a uniquely named key and drop it by name (hits and ids share
+    # lineage, so a column-reference drop could miss a re-aliased attribute)
+    return hits.join(meta, hits[id_col] == F.col("_meta_gid"), "left").drop("_meta_gid")
 
 
 def genome_of_ref(ref_col: str = "Ref_name"):
@@ -167,3 +170,20 @@ def export_counts(seqs: DataFrame, seq_type: str | None = None, genome_ids: list
     if genome_ids:
         df = df.filter(F.col("dataset_id").isin(genome_ids))
     return df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("sequences"))
+
+
+def seed_search_with_metadata(seed_hits: DataFrame, seqs: DataFrame) -> DataFrame:
+    """E3 as one lineage: protein candidate hits joined back to target metadata."""
+    return enrich_protein_hits(seed_hits, seqs, id_col="target_id", seq_type="AA")
+
+
+def ani_with_metadata(ani: DataFrame, seqs: DataFrame, metadata_cols: list[str] | None = None,
+                      max_results: int | None = None) -> DataFrame:
+    """E3 for genomes: ANI estimates joined to the reference genome's metadata,
+    optionally only the best ``max_results`` (ANI desc)."""
+    cols = ["dataset_id", *(metadata_cols or [c for c in GENOME_META if c != "dataset_id"])]
+    meta = genomes_of(seqs, ani.select("dataset_id").distinct(), cols)
+    out = ani.join(meta, "dataset_id", "left")
+    if max_results is None:
+        return out
+    return top(out, max_results, F.col("ani").desc(), F.col("query_id"), F.col("dataset_id"))

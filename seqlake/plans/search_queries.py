@@ -415,3 +415,48 @@ def q_extract_gids(spark, d):
 SELECT dataset_id, CAST(COUNT(*) AS BIGINT) AS sequences FROM catalogue WHERE seq_type = 'AA' GROUP BY 1""", CAT)
 def q_export_counts(spark, d):
     return H.export_counts(sg.catalogue(spark, d), "AA")
+
+
+SEED_SQL = """
+aa AS (SELECT gid, dataset_id, sequence FROM catalogue WHERE seq_type = 'AA'),
+aa_k AS (
+  SELECT DISTINCT gid, kmer FROM (
+    SELECT gid, substr(sequence, p, 5) AS kmer
+    FROM (SELECT gid, sequence, unnest(generate_series(1, length(sequence) - 4)) AS p FROM aa))
+  WHERE regexp_full_match(kmer, '[ACDEFGHIKLMNPQRSTVWY]+')
+),
+q_k AS (SELECT gid AS q, kmer FROM aa_k WHERE gid IN (SELECT gid FROM aa WHERE dataset_id = 'src5')),
+qn AS (SELECT q, COUNT(*) AS n FROM q_k GROUP BY q),
+pairs AS (SELECT q.q, t.gid AS t, COUNT(*) AS shared FROM q_k q JOIN aa_k t ON q.kmer = t.kmer GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY shared DESC, t) AS hit_rank FROM pairs),
+seed AS (
+  SELECT r.q AS query_id, r.t AS target_id, CAST(r.shared AS BIGINT) AS shared, CAST(qn.n AS BIGINT) AS query_kmers,
+         round(CAST(r.shared AS DOUBLE) / qn.n, 6) AS containment, CAST(r.hit_rank AS INTEGER) AS hit_rank
+  FROM ranked r JOIN qn USING (q) WHERE r.hit_rank <= 25
+)"""
+
+
+@query("seed_search_with_metadata", "WITH " + SEED_SQL.strip() + """
+SELECT s.*, m.dataset_id, m.length AS target_length, m.common_name, m.phylum, m."class", m."order", m.family,
+       m.genus, m.ecosystem, m.habitat
+FROM seed s LEFT JOIN (SELECT * FROM catalogue WHERE seq_type = 'AA') m ON m.gid = s.target_id""", CAT)
+def q_seed_meta(spark, d):
+    c = sg.catalogue(spark, d)
+    aa = c.filter(F.col("seq_type") == "AA")
+    q = aa.filter(F.col("dataset_id") == "src5").select(F.col("gid").alias("query_id"), "sequence")
+    hits = SR.protein_seed_search(q, aa.select("gid", "sequence"), k=5, max_target_seqs=25) \
+        .withColumn("containment", F.round("containment", 6))
+    return H.seed_search_with_metadata(hits, c)
+
+
+@query("ani_with_metadata", "WITH " + _sketch_sql().strip() + f"""
+SELECT a.query_id, a.dataset_id, a.shared, a.query_kmers, a.ref_kmers, round(a.containment, 6) AS containment,
+       round(a.ani, 6) AS ani, {ANI_META_SQL}
+FROM ani a LEFT JOIN {GMETA_SQL} g ON g.dataset_id = a.dataset_id
+WHERE a.ani >= 80""", CAT)
+def q_ani_meta(spark, d):
+    c, q = _query_genomes(spark, d)
+    refs = c.filter(F.col("seq_type") == "NT").select("dataset_id", "sequence")
+    ani = SR.ani_estimate(q, refs, 16, 1000, 80.0)
+    out = H.ani_with_metadata(ani, c, ANI_META)
+    return out.withColumn("containment", F.round("containment", 6)).withColumn("ani", F.round("ani", 6))
