@@ -19,6 +19,16 @@ TNF_CANDIDATE_COLS = ["dataset_id", "gid", "contig_length", "lenbp", "gcperc", "
                       "order", "taxonomy_majority", "s_cluster", "skani_rep"]
 
 
+META_COLS = ["lenbp", "gcperc", "common_name", "phylum", "order", "taxonomy_majority", "s_cluster", "skani_rep"]
+
+
+def genome_meta(seqs: DataFrame) -> DataFrame:
+    """One row per genome with the columns placement reports (partial aggregate).
+    Built identically wherever it is needed so Spark can reuse the exchange."""
+    return seqs.select("dataset_id", *META_COLS).groupBy("dataset_id") \
+               .agg(*[F.first(c).alias(c) for c in META_COLS])
+
+
 def tnf_candidates(seqs: DataFrame, dataset_filter: str | None = None) -> DataFrame:
     """Longest contig per genome with its TNF and genome metadata (stored
     vectors are used when the catalogue has them, else computed for the
@@ -29,12 +39,7 @@ def tnf_candidates(seqs: DataFrame, dataset_filter: str | None = None) -> DataFr
     else:
         contigs = seqs.select("gid", "sequence").join(best.select("gid"), "gid", "left_semi")
         vec = tnf_136(contigs).select("gid", F.col("tnf_136"))
-    meta = (seqs.select("dataset_id", "lenbp", "gcperc", "common_name", "phylum", "order", "taxonomy_majority",
-                        "s_cluster", "skani_rep")
-            .groupBy("dataset_id").agg(*[F.first(c).alias(c) for c in
-                                         ["lenbp", "gcperc", "common_name", "phylum", "order",
-                                          "taxonomy_majority", "s_cluster", "skani_rep"]]))
-    return best.join(vec, "gid").join(meta, "dataset_id")
+    return best.join(vec, "gid").join(genome_meta(seqs), "dataset_id")
 
 
 def nearest_by_tnf(query_vectors: DataFrame, seqs: DataFrame, metric: str = "cosine", k: int = 10,
@@ -59,22 +64,22 @@ def place_genome(query_seqs: DataFrame, seqs: DataFrame, metric: str = "cosine",
 
     ``query_seqs``: (query_id, gid, sequence) NT contigs of the query genomes.
     """
-    queries = query_seqs.select("query_id").distinct()
-    out = queries
     if not skip_tnf:
         qv = genome_tnf(query_seqs.select(F.col("query_id"), "gid", "sequence"), genome_col="query_id")
+        out = qv.select("query_id")  # every query genome has a (possibly all-zero) vector
         tn = nearest_by_tnf(qv, seqs, metric, k, exclude_self=exclude_self).filter(F.col("rank") == 1)
         out = out.join(tn.select("query_id", F.col("dataset_id").alias("tnf_top_match"),
                                  F.col("tnf_distance"), F.col("taxonomy_majority").alias("tnf_taxonomy"),
                                  (F.lit(1.0) - F.col("tnf_distance")).alias("tnf_similarity")),
                        "query_id", "left")
+    else:
+        out = query_seqs.select("query_id").distinct()
     if not skip_ani:
         refs = seqs.filter(F.col("seq_type") == "NT").select("dataset_id", "sequence")
         ani = ani_estimate(query_seqs.select("query_id", "sequence"), refs, ani_k, ani_c, min_ani)
         if exclude_self:
             ani = ani.filter(F.col("query_id") != F.col("dataset_id"))
-        clusters = (seqs.select("dataset_id", "s_cluster").groupBy("dataset_id")
-                    .agg(F.first("s_cluster").alias("s_cluster")))
+        clusters = genome_meta(seqs).select("dataset_id", "s_cluster")
         best = (ani.groupBy("query_id")
                 .agg(F.min_by(F.struct("dataset_id", "ani"),
                               F.struct((-F.col("ani")).alias("a"), F.col("dataset_id").alias("d"))).alias("b"))
