@@ -189,14 +189,23 @@ def cluster_summary(seqs: DataFrame, n: int | None = 50, anchored: bool = True)
 
     ``representatives`` counts records of representative genomes (reference
     semantics); ``representative_genomes`` counts the genomes themselves.
+    Records are first reduced to one row per genome (partial aggregate on
+    dataset_id; cluster, flag and lineage are genome columns), so the two
+    distinct counts need no Expand over the records.
     """
     nt = seqs.filter(_is("NT"))
     raw = F.nullif(F.nullif(rank_raw(F.col("taxonomy_majority"), "order", anchored), F.lit("")), F.lit("NA"))
-    g = nt.groupBy(F.coalesce(F.col("s_cluster"), F.lit("Unclustered")).alias("cluster_id")).agg(
-        F.countDistinct("dataset_id").alias("genomes"),
-        F.sum(F.when(F.col("is_skani_representative"), 1).otherwise(0)).cast("long").alias("representatives"),
-        F.countDistinct(F.when(F.col("is_skani_representative"), F.col("dataset_id"))).alias("representative_genomes"),
-        F.coalesce(F.min(raw), F.lit("Unassigned")).alias("gvclass_order"),
+    per_genome = nt.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.first("s_cluster", ignorenulls=True).alias("s_cluster"),
+        F.first("is_skani_representative", ignorenulls=True).alias("_rep"),
+        F.min(raw).alias("_order"))
+    rep = F.coalesce(F.col("_rep"), F.lit(False))
+    g = per_genome.groupBy(F.coalesce(F.col("s_cluster"), F.lit("Unclustered")).alias("cluster_id")).agg(
+        F.count(F.lit(1)).alias("genomes"),
+        F.sum(F.when(rep, F.col("_rows")).otherwise(0)).cast("long").alias("representatives"),
+        F.count_if(rep).alias("representative_genomes"),
+        F.coalesce(F.min("_order"), F.lit("Unassigned")).alias("gvclass_order"),
     )
     return top(g, n, F.col("genomes").desc(), F.col("cluster_id"))
 

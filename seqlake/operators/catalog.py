@@ -112,19 +112,28 @@ def avg_gc(seqs: DataFrame) -> DataFrame:
 def overview_metrics(seqs: DataFrame, approximate: bool = False) -> DataFrame:
     """One row of overview counts.
 
-    Several exact COUNT DISTINCTs plan as one Expand + two-phase aggregate;
-    ``approximate=True`` swaps them for HyperLogLog sketches (bounded memory,
-    no Expand) for very large catalogues.
+    The distinct counts are over genome-level columns (constant per genome in
+    the catalogue contract), so the records are first reduced to one row per
+    genome -- a partial aggregate keyed by dataset_id that also carries the
+    record count and the GC sum -- and the distinct counts run on that tiny
+    table.  Several COUNT DISTINCTs over the records would instead plan an
+    Expand that copies every record once per distinct aggregate.
+    ``approximate=True`` uses HyperLogLog sketches on the genome rows.
     """
+    nt_gc = F.when((F.col("seq_type") == "NT") & F.col("gc_content").isNotNull(), F.col("gc_content"))
+    per_genome = seqs.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(nt_gc.cast("double")).alias("_gc_sum"),
+        F.count(nt_gc).alias("_gc_n"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("taxonomy_majority", "gvclass_species", "s_cluster")])
     cd = (lambda c: F.approx_count_distinct(c)) if approximate else (lambda c: F.countDistinct(c))
-    return seqs.agg(
-        F.count(F.lit(1)).alias("total_sequences"),
-        cd("dataset_id").alias("unique_genomes"),
+    return per_genome.agg(
+        F.sum("_rows").alias("total_sequences"),
+        F.count("dataset_id").alias("unique_genomes"),
         cd("taxonomy_majority").alias("taxonomy_labels"),
         cd("gvclass_species").alias("gvclass_species"),
         cd("s_cluster").alias("ani_clusters"),
-        F.coalesce(F.avg(F.when((F.col("seq_type") == "NT") & F.col("gc_content").isNotNull(),
-                                F.col("gc_content"))), F.lit(0.0)).alias("avg_gc_nt"),
+        F.coalesce(F.sum("_gc_sum") / F.sum("_gc_n"), F.lit(0.0)).alias("avg_gc_nt"),
     )
 
 
