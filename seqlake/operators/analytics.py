@@ -22,8 +22,24 @@ def _is(kind: str) -> Column:
     return F.col("seq_type") == kind
 
 
-def _genomes_per_label(df: DataFrame, label: Column, n: int | None, extra=()) -> DataFrame:
-    g = df.groupBy(label.alias("label")).agg(F.countDistinct("dataset_id").alias("genomes"), *extra)
+def per_genome(df: DataFrame, cols, with_rows: bool = False) -> DataFrame:
+    """One row per genome carrying genome-level columns (constant per genome in
+    the catalogue contract) and optionally its record count.
+
+    A partial aggregate keyed by dataset_id: label parsing, explodes and
+    distinct counts then run over genomes instead of records (thousands of
+    rows instead of billions), and a genome holding a third of all records is
+    reduced map-side.
+    """
+    aggs = [F.first(c, ignorenulls=True).alias(c) for c in cols]
+    if with_rows:
+        aggs.append(F.count(F.lit(1)).alias("_rows"))
+    return df.groupBy("dataset_id").agg(*aggs)
+
+
+def _genomes_per_label(genomes: DataFrame, label: Column, n: int | None, with_rows: bool = False) -> DataFrame:
+    extra = [F.sum("_rows").alias("sequences")] if with_rows else []
+    g = genomes.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("genomes"), *extra)
     return top(g, n, F.col("genomes").desc(), F.col("label"))
 
 
@@ -36,24 +52,27 @@ def taxonomy_distribution(seqs: DataFrame, level: str, source: str = "classifier
     """
     nt = seqs.filter(_is("NT"))
     if source in ("classifier", CLASSIFIER_PREFIX.rstrip("_")):
+        g = per_genome(nt, ["taxonomy_majority"])
         label = clean_label(rank_raw(F.col("taxonomy_majority"), level, anchored), na_is_missing=True)
     elif source == "phylo":
         column = PHYLO_COLUMNS.get(level)
         if column is None:
             raise ValueError(f"Unsupported taxonomy level: {level}")
+        g = per_genome(nt, [column])
         label = clean_label(F.col(column), na_is_missing=False)
     else:
         raise ValueError(f"Unsupported taxonomy source: {source}")
-    return _genomes_per_label(nt, label, n)
+    return _genomes_per_label(g, label, n)
 
 
 def taxonomy_all_levels(seqs: DataFrame, anchored: bool = True) -> DataFrame:
     """Every classifier level and every phylo level in ONE scan.
 
-    Each record is projected to a (source, level, label) triple per level via
-    ``stack``/``explode`` -- no per-level rescans and unions.
+    Records are reduced to genome rows first; each genome is then projected
+    to a (source, level, label) triple per level -- no per-level rescans and
+    unions, and no per-record explode.
     """
-    nt = seqs.filter(_is("NT"))
+    nt = per_genome(seqs.filter(_is("NT")), ["taxonomy_majority", *PHYLO_COLUMNS.values()])
     triples = [F.struct(F.lit("classifier").alias("source"), F.lit(lv).alias("level"),
                         clean_label(rank_raw(F.col("taxonomy_majority"), lv, anchored)).alias("label"))
                for lv in RANK_PREFIX]
@@ -61,8 +80,7 @@ def taxonomy_all_levels(seqs: DataFrame, anchored: bool = True) -> DataFrame:
                          clean_label(F.col(col), na_is_missing=False).alias("label"))
                 for lv, col in PHYLO_COLUMNS.items()]
     long = nt.select("dataset_id", F.explode(F.array(*triples)).alias("t")).select("dataset_id", "t.*")
-    return (long.groupBy("source", "level", "label")
-            .agg(F.countDistinct("dataset_id").alias("genomes")))
+    return long.groupBy("source", "level", "label").agg(F.count(F.lit(1)).alias("genomes"))
 
 
 def environment_distribution(seqs: DataFrame, dimension: str, n: int | None = 30) -> DataFrame:
@@ -70,16 +88,17 @@ def environment_distribution(seqs: DataFrame, dimension: str, n: int | None = 30
     if dimension not in ENVIRONMENT_COLUMNS:
         raise ValueError(f"Unsupported environment dimension: {dimension}")
     label = clean_label(F.col(dimension), na_is_missing=False)
-    return _genomes_per_label(seqs, label, n, extra=[F.count(F.lit(1)).alias("sequences")])
+    return _genomes_per_label(per_genome(seqs, [dimension], with_rows=True), label, n, with_rows=True)
 
 
 def environment_all_dimensions(seqs: DataFrame) -> DataFrame:
     """U2 for environments: all six dimensions in one scan (long format)."""
+    g = per_genome(seqs, list(ENVIRONMENT_COLUMNS), with_rows=True)
     pairs = [F.struct(F.lit(d).alias("dimension"), clean_label(F.col(d), na_is_missing=False).alias("label"))
              for d in ENVIRONMENT_COLUMNS]
-    long = seqs.select("dataset_id", F.explode(F.array(*pairs)).alias("p")).select("dataset_id", "p.*")
-    return long.groupBy("dimension", "label").agg(F.countDistinct("dataset_id").alias("genomes"),
-                                                  F.count(F.lit(1)).alias("sequences"))
+    long = g.select("_rows", F.explode(F.array(*pairs)).alias("p")).select("_rows", "p.*")
+    return long.groupBy("dimension", "label").agg(F.count(F.lit(1)).alias("genomes"),
+                                                  F.sum("_rows").alias("sequences"))
 
 
 def genome_statistics(seqs: DataFrame, metadata: DataFrame | None = None,
@@ -140,11 +159,12 @@ def annotation_matrix(seqs: DataFrame, field: str = "emapper_cog_category", leve
                       n: int | None = 25, anchored: bool = True) -> DataFrame:
     """Protein counts per (classifier rank label, annotation value)."""
     aa = seqs.filter(_is("AA"))
-    rank = clean_label(rank_raw(F.col("taxonomy_majority"), level, anchored), na_is_missing=True)
     value = F.coalesce(F.nullif(F.col(field), F.lit("")), F.lit("Unannotated"))
+    # count per (lineage string, value) first; ranks are parsed on those rows
+    pre = aa.groupBy("taxonomy_majority", value.alias("annotation_value")).agg(F.count(F.lit(1)).alias("_n"))
+    rank = clean_label(rank_raw(F.col("taxonomy_majority"), level, anchored), na_is_missing=True)
     rank_col = f"{CLASSIFIER_PREFIX}{level}"
-    g = aa.groupBy(rank.alias(rank_col), value.alias("annotation_value")) \
-          .agg(F.count(F.lit(1)).alias("sequences"))
+    g = pre.groupBy(rank.alias(rank_col), "annotation_value").agg(F.sum("_n").alias("sequences"))
     return top(g, n, F.col("sequences").desc(), F.col(rank_col), F.col("annotation_value"))
 
 
@@ -153,19 +173,19 @@ def annotation_matrix_all(seqs: DataFrame, fields: list[str],
                           anchored: bool = True) -> DataFrame:
     """U2 for annotations: every (field, level) matrix from ONE scan, long format
     (field, level, rank_label, annotation_value, sequences)."""
-    aa = seqs.filter(_is("AA"))
+    aa = (seqs.filter(_is("AA")).groupBy("taxonomy_majority", *fields).agg(F.count(F.lit(1)).alias("_n")))
     lv = [F.struct(F.lit(l).alias("level"),
                    clean_label(rank_raw(F.col("taxonomy_majority"), l, anchored)).alias("rank_label"))
           for l in levels]
     fv = [F.struct(F.lit(f).alias("field"),
                    F.coalesce(F.nullif(F.col(f), F.lit("")), F.lit("Unannotated")).alias("annotation_value"))
           for f in fields]
-    long = (aa.select(F.explode(F.array(*lv)).alias("l"), *[F.col(f) for f in fields])
-            .select("l", F.explode(F.array(*fv)).alias("f")))
+    long = (aa.select(F.explode(F.array(*lv)).alias("l"), "_n", *[F.col(f) for f in fields])
+            .select("l", "_n", F.explode(F.array(*fv)).alias("f")))
     return (long.groupBy(F.col("f.field").alias("field"), F.col("l.level").alias("level"),
                          F.col("l.rank_label").alias("rank_label"),
                          F.col("f.annotation_value").alias("annotation_value"))
-            .agg(F.count(F.lit(1)).alias("sequences")))
+            .agg(F.sum("_n").alias("sequences")))
 
 
 def filter_unannotated(matrix: DataFrame, include_unannotated: bool = False) -> DataFrame:
