@@ -71,8 +71,18 @@ def kmer_occurrences(df: DataFrame, k: int, id_cols: list[str], seq_col: str = "
             .select(*id_cols, F.substr(F.col("_chunk"), F.col("_p"), F.lit(k)).alias("kmer")))
 
 
-def decode_kmer(code: Column, k: int, alphabet: str) -> Column:
-    """Integer code -> k-mer text (base len(alphabet) digits mapped to letters)."""
+def decode_kmer(code: Column, k: int, alphabet: str, max_table: int = 4096) -> Column:
+    """Integer code -> k-mer text.
+
+    Small k-mer spaces (<= ``max_table`` words, e.g. all 4-mers) use an array
+    of every k-mer generated from the alphabet (index = code); larger ones
+    convert the code to base len(alphabet) digits and map digits to letters.
+    """
+    import itertools
+
+    if len(alphabet) ** k <= max_table:
+        words = F.array(*[F.lit("".join(w)) for w in itertools.product(alphabet, repeat=k)])
+        return F.element_at(words, (code + 1).cast("int"))
     digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[:len(alphabet)]
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, len(alphabet)), k, "0"), digits, alphabet)
 

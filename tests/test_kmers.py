@@ -167,3 +167,13 @@ def test_nearest_brute_force_batches_and_ties(spark):
             g = sorted(got[qid])
             assert [c for _, c, _ in g] == [c for _, c in exp], (metric, qid)
             assert all(abs(d - e) < 1e-9 for (_, _, d), (e, _) in zip(g, exp))
+
+
+def test_decode_kmer_both_paths(spark):
+    from pyspark.sql import functions as F
+    from seqlake.operators.kmers import decode_kmer
+
+    rows = spark.createDataFrame([(0,), (27,), (255,)], "code long")
+    small = [r[0] for r in rows.select(decode_kmer(F.col("code"), 4, "ACGT")).collect()]
+    big = [r[0] for r in rows.select(decode_kmer(F.col("code"), 4, "ACGT", max_table=1)).collect()]
+    assert small == big == ["AAAA", "ACGT", "TTTT"]
