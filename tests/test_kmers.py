@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from seqlake.operators import kmers as K
@@ -43,12 +45,13 @@ def test_canonical_table():
     assert by["AAAA"] == 0 and by["TTTT"] == 0
 
 
-def test_tnf_matches_brute_force(spark):
+@pytest.mark.parametrize("method", ["arrow", "explode"])
+def test_tnf_matches_brute_force(spark, method):
     random.seed(7)
     seqs = [("s1", "".join(random.choice("ACGTN") for _ in range(1000))),
             ("s2", "ACG"), ("s3", "NNNNACGTNNNN"), ("s4", "".join(random.choice("ACGT") for _ in range(700)))]
     df = spark.createDataFrame(seqs, "gid string, sequence string")
-    got = {r.gid: r.tnf_136 for r in K.tnf_136(df, chunk=37).collect()}
+    got = {r.gid: r.tnf_136 for r in K.tnf_136(df, chunk=37, method=method).collect()}
     for gid, s in seqs:
         exp = brute_tnf(s)
         assert len(got[gid]) == 136
@@ -74,13 +77,16 @@ def test_kmer_counts_chunk_independent(spark):
         if "N" not in w:
             exp[w] = exp.get(w, 0) + 1
     for chunk in (5, 64, 256, 5000):
-        got = {r.kmer: r["count"] for r in K.kmer_counts(df, 4, chunk=chunk).collect()}
+        got = {r.kmer: r["count"] for r in K.kmer_counts(df, 4, chunk=chunk, method="explode").collect()}
         assert got == exp, chunk
+    got = {r.kmer: r["count"] for r in K.kmer_counts(df, 4).collect()}
+    assert got == exp
 
 
-def test_genome_tnf_sums_contigs_without_junction_kmers(spark):
+@pytest.mark.parametrize("method", ["arrow", "explode"])
+def test_genome_tnf_sums_contigs_without_junction_kmers(spark, method):
     df = spark.createDataFrame([("g", "c1", "AAAA"), ("g", "c2", "CCCC")], "dataset_id string, gid string, sequence string")
-    v = K.genome_tnf(df).collect()[0]
+    v = K.genome_tnf(df, method=method).collect()[0]
     assert v.windows == 2  # no window spans the contig junction
 
 
