@@ -8,8 +8,6 @@ which has one row per genome.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,7 +283,3 @@ def bar_order(distribution: DataFrame, n: int | None = None, count_col: str = "g
     """Ascending bar order (optionally the top n first)."""
     d = distribution if n is None else top(distribution, n, F.col(count_col).desc(), F.col("label"))
     return d.orderBy(F.col(count_col).asc(), F.col("label"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -16,19 +16,10 @@ def top(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int, what: str) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check is a bounded count (``limit(max_rows + 1)``), so it never scans
-    more than the bound.  Callers fall back to a shuffle join (or batching)
-    when the bound fails.
-    """
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows, refusing to broadcast")
-    return F.broadcast(df)
-
-
 def fits(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows -- the size check in front
+    of every explicit broadcast.  A bounded count (``limit(max_rows + 1)``),
+    so it never scans more than the bound."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 

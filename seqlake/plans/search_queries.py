@@ -35,11 +35,6 @@ def tnf_ctes(name: str, src: str, id_col: str) -> str:
 )"""
 
 
-def _views_with(extra: str, *names: str) -> str:
-    # helper: extra CTE text is appended after the registered views
-    return extra
-
-
 LONGEST_SQL = """
 lc AS (
   SELECT dataset_id, gid, length AS contig_length FROM (

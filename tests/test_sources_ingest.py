@@ -327,3 +327,25 @@ def test_annotation_queries_on_fixture_lake(spark, tmp_path):
     assert (stats.total_sequences, stats.unique_genomes, stats.total_bases) == q4
     top = [tuple(r) for r in C.top_datasets(lake).collect()]
     assert top == sorted(((g, c) for g, c in per.items() if g in known), key=lambda x: (-x[1], x[0]))[:10]
+
+
+def test_hmm_reader_build_sequences_and_vectors(spark, tmp_path):
+    from seqlake.operators import kmers as K
+    from seqlake.operators import search as SR
+
+    h = write(tmp_path, "hmm.tsv", "query_name\ttarget_name\tevalue\tscore\tbias\nPF1\tg1|p1\t1e-9\t50.5\t0.1\n")
+    row = files.read_hmm_hits(spark, h).collect()[0]
+    assert row.target_name == "g1|p1" and row.score == 50.5
+    recs = files.read_fasta(spark, write(tmp_path, "a.fa", FASTA))
+    genomes = spark.createDataFrame([("g1", "g1"), ("g2", "g1")], "genome string, skani_rep string")
+    genomes = ing.genome_table(genomes)
+    wide = ing.build_sequences(recs, genomes)
+    assert {r.gid for r in wide.collect()} == {"g1|c_1", "g1|c_2", "g2|g2_7"}
+    vecs = spark.createDataFrame([("a", [0.0] * 136), ("b", [1.0] * 5), ("c", None)], "id string, tnf_136 array<float>")
+    ok, bad = K.valid_vectors(vecs)
+    assert [r.id for r in ok.collect()] == ["a"] and sorted(r.id for r in bad.collect()) == ["b", "c"]
+    nt = spark.createDataFrame([("A", "ACGTACGTAAACCCGGGTTT" * 50)], "dataset_id string, sequence string")
+    path = str(tmp_path / "sketch")
+    SR.write_sketch(nt, path, k=8, c=2)
+    stored = spark.read.parquet(path)
+    assert stored.count() == SR.sketch(nt, "dataset_id", k=8, c=2).count() > 0
