@@ -6,14 +6,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
-def open_catalog(spark: SparkSession, root: str, view: str | None = "sequences") -> DataFrame:
+def open_catalog(spark: SparkSession, root: str, view: str | None = "sequences",
+                 options: dict[str, str] | None = None) -> DataFrame:
     """The lake (local, HDFS, s3a://, gs:// -- whatever the cluster's Hadoop
     configuration can reach) as a DataFrame and, optionally, a temp view.
 
+    ``options`` are passed to the reader; file sources merge them into the
+    Hadoop configuration of this read, so object-store settings (for example
+    ``fs.s3a.endpoint`` or credentials providers) can be given per catalogue.
     ``seq_type`` comes back from the directory names; partition column type
     inference should be off so ids stay strings.
     """
-    df = spark.read.option("basePath", root).parquet(root)
+    df = spark.read.options(**(options or {})).option("basePath", root).parquet(root)
     if view:
         df.createOrReplaceTempView(view)
     return df
