@@ -26,15 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits
 from .common import map_in_pandas
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
 
-def _bounded(small: DataFrame, max_rows: int) -> DataFrame:
-    return F.broadcast(small) if fits(small, max_rows) else small
-
-
 def revcomp(kmer: Column) -> Column:
     return F.reverse(F.translate(kmer, "ACGT", "TGCA"))
 
@@ -89,12 +84,18 @@ def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame | None, k: int = 16,
     ``ref_sketch``: a stored (ref_col, code) sketch table built once with
     :func:`sketch` (same k and c) -- then only the queries are sketched.
     """
+    spark = query_seqs.sparkSession
     qs = sketch(query_seqs, query_col, k, c).withColumnRenamed(query_col, "_q")
     rs = (ref_sketch if ref_sketch is not None else sketch(ref_seqs, ref_col, k, c)) \
         .select(F.col(ref_col).alias("_r"), "code")
+    # the query sketch is small (1/c of the query k-mers): one bounded
+    # collection serves as size check, broadcast side and per-query counts
+    qpdf = qs.limit(max_broadcast + 1).toPandas()
+    if len(qpdf) <= max_broadcast:
+        qs = F.broadcast(spark.createDataFrame(qpdf, qs.schema))
     qn = qs.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
     rn = rs.groupBy("_r").agg(F.count(F.lit(1)).alias("ref_kmers"))
-    shared = (rs.join(_bounded(qs, max_broadcast), "code")
+    shared = (rs.join(qs, "code")
               .groupBy("_q", "_r").agg(F.count(F.lit(1)).alias("shared")))
     out = (shared.join(qn, "_q").join(rn, "_r")
            .withColumn("containment", F.col("shared") / F.col("query_kmers"))
@@ -114,10 +115,10 @@ def protein_kmers(seqs: DataFrame, id_col: str, k: int = 5, alphabet: str = AMIN
     return _codes_per_row(seqs, id_col, seq_col, lambda s: distinct_codes(s, k, alphabet))
 
 
-def _seed_pairs_arrow(qk: DataFrame, targets: DataFrame, target_col: str, seq_col: str, k: int,
+def _seed_pairs_arrow(qpdf, targets: DataFrame, target_col: str, seq_col: str, k: int,
                       alphabet: str, min_shared: int) -> DataFrame:
     """(q, t, shared) scored per target inside its task against a broadcast,
-    code-sorted index of the (bounded, size-checked) query k-mers."""
+    code-sorted index of the (bounded, already collected) query k-mers."""
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
@@ -125,7 +126,6 @@ def _seed_pairs_arrow(qk: DataFrame, targets: DataFrame, target_col: str, seq_co
     from ..functions.codes import distinct_codes, shared_counts
 
     spark = targets.sparkSession
-    qpdf = qk.toPandas()  # bounded by the caller's size check
     qids = sorted(set(qpdf["_q"].tolist()))
     qnum = {q: i for i, q in enumerate(qids)}
     order = np.argsort(qpdf["code"].to_numpy(), kind="stable")
@@ -168,13 +168,18 @@ def protein_seed_search(queries: DataFrame, targets: DataFrame, k: int = 5, max_
     """
     from .hits import top_hits_per_query
 
+    spark = queries.sparkSession
     qk = protein_kmers(queries, query_col, k, alphabet).withColumnRenamed(query_col, "_q") \
         .withColumn("_q", F.col("_q").cast("string"))
-    qn = qk.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
-    if fits(qk, max_broadcast):
-        pairs = _seed_pairs_arrow(qk, targets.withColumn(target_col, F.col(target_col).cast("string")),
+    # one bounded collection is the size check, the index and the per-query counts
+    qpdf = qk.limit(max_broadcast + 1).toPandas()
+    if len(qpdf) <= max_broadcast:
+        counts = qpdf.groupby("_q").size()
+        qn = spark.createDataFrame([(q, int(n)) for q, n in counts.items()], "_q string, query_kmers long")
+        pairs = _seed_pairs_arrow(qpdf, targets.withColumn(target_col, F.col(target_col).cast("string")),
                                   target_col, seq_col, k, alphabet, min_shared)
     else:
+        qn = qk.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
         tk = protein_kmers(targets, target_col, k, alphabet).withColumnRenamed(target_col, "_t")
         pairs = (tk.join(qk, "code").groupBy("_q", "_t").agg(F.count(F.lit(1)).alias("shared"))
                  .filter(F.col("shared") >= min_shared))

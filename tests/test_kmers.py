@@ -183,3 +183,12 @@ def test_decode_kmer_both_paths(spark):
     small = [r[0] for r in rows.select(decode_kmer(F.col("code"), 4, "ACGT")).collect()]
     big = [r[0] for r in rows.select(decode_kmer(F.col("code"), 4, "ACGT", max_table=1)).collect()]
     assert small == big == ["AAAA", "ACGT", "TTTT"]
+
+
+def test_searches_with_empty_query_side(spark):
+    q = spark.createDataFrame([("q", "ACG")], "query_id string, sequence string")  # shorter than k
+    r = spark.createDataFrame([("A", "ACGTACGTACGTACGTACGT")], "dataset_id string, sequence string")
+    assert SR.ani_estimate(q, r, k=8, c=1, min_ani=None).count() == 0
+    t = spark.createDataFrame([("t1", "MKVLAAG")], "gid string, sequence string")
+    qp = spark.createDataFrame([("q1", "MK")], "query_id string, sequence string")
+    assert SR.protein_seed_search(qp, t, k=3).count() == 0
