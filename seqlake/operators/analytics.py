@@ -228,14 +228,24 @@ def cluster_summary(seqs: DataFrame, n: int | None = 50, anchored: bool = True)
     return top(g, n, F.col("genomes").desc(), F.col("cluster_id"))
 
 
-def group_summary(stats: DataFrame, group_field: str = "taxonomy_order", n: int = 10) -> DataFrame:
-    """Per group: genomes and exact medians (rounded half-even 3/2/2/2)."""
+def _median(col: str, approximate: bool) -> Column:
+    return F.percentile_approx(col, 0.5, 10000) if approximate else F.median(col)
+
+
+def group_summary(stats: DataFrame, group_field: str = "taxonomy_order", n: int = 10,
+                  approximate: bool = False) -> DataFrame:
+    """Per group: genomes and medians (rounded half-even 3/2/2/2).
+
+    Runs on genome rows.  Exact medians keep a value-count map per group
+    (bounded by the genomes in the group, not by records).
+    ``approximate=True`` uses fixed-size quantile sketches instead.
+    """
     g = stats.groupBy(F.col(group_field).alias("group")).agg(
         F.countDistinct("dataset_id").alias("genomes"),
-        F.bround(F.median("genome_length_mb"), 3).alias("median_length_mb"),
-        F.bround(F.median("gc_percent"), 2).alias("median_gc"),
-        F.bround(F.median("completeness"), 2).alias("median_completeness"),
-        F.bround(F.median("contamination"), 2).alias("median_contamination"),
+        F.bround(_median("genome_length_mb", approximate), 3).alias("median_length_mb"),
+        F.bround(_median("gc_percent", approximate), 2).alias("median_gc"),
+        F.bround(_median("completeness", approximate), 2).alias("median_completeness"),
+        F.bround(_median("contamination", approximate), 2).alias("median_contamination"),
     )
     return top(g, n, F.col("genomes").desc(), F.col("group"))
 
@@ -261,12 +271,15 @@ def length_histogram(stats: DataFrame, color_field: str = "taxonomy_phylum", bin
 
 
 def box_stats(stats: DataFrame, group_field: str = "taxonomy_order",
-              metrics: tuple[str, ...] = ("completeness", "contamination")) -> DataFrame:
-    """Five-number summary (exact, linear interpolation) per group and metric."""
+              metrics: tuple[str, ...] = ("completeness", "contamination"),
+              approximate: bool = False) -> DataFrame:
+    """Five-number summary per group and metric (exact with linear
+    interpolation; ``approximate=True``: fixed-size quantile sketches)."""
     long = stats.select(F.col(group_field).alias("group"),
                         F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"))
                                             for m in metrics])).alias("p")).select("group", "p.*")
-    q = F.percentile(F.col("v"), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    probs = F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    q = F.percentile_approx(F.col("v"), probs, 10000) if approximate else F.percentile(F.col("v"), probs)
     return (long.groupBy("group", "metric").agg(q.alias("q"), F.count("v").alias("n"))
             .select("group", "metric", "n",
                     *[F.round(F.col("q")[i], 6).alias(name) for i, name in

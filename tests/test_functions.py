@@ -67,3 +67,19 @@ def test_half_even_integers(spark):
     df = spark.createDataFrame([("2.5",), ("3.5",), ("NA",), ("x",), (None,)], "lenbp string")
     got = [r[0] for r in df.select(_typed("lenbp", ("lenbp",), ())).collect()]
     assert got == [2, 4, None, None, None]
+
+
+def test_approximate_summaries_close(spark):
+    from seqlake.operators import analytics as an
+
+    rows = [(f"g{i}", "A" if i % 3 else "B", i / 10.0, 40.0 + i % 7, 90.0 - i % 5, (i % 4) / 4.0) for i in range(200)]
+    stats = spark.createDataFrame(rows, "dataset_id string, taxonomy_order string, genome_length_mb double, "
+                                        "gc_percent double, completeness double, contamination double")
+    exact = {r.group: r for r in an.group_summary(stats).collect()}
+    approx = {r.group: r for r in an.group_summary(stats, approximate=True).collect()}
+    assert set(exact) == set(approx)
+    for g in exact:
+        assert exact[g].genomes == approx[g].genomes
+        assert abs(exact[g].median_length_mb - approx[g].median_length_mb) <= 0.1
+    b = an.box_stats(stats, approximate=True).collect()
+    assert len(b) == 4 and all(r["min"] <= r.median <= r["max"] for r in b)
