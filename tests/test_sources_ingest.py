@@ -349,3 +349,19 @@ def test_hmm_reader_build_sequences_and_vectors(spark, tmp_path):
     SR.write_sketch(nt, path, k=8, c=2)
     stored = spark.read.parquet(path)
     assert stored.count() == SR.sketch(nt, "dataset_id", k=8, c=2).count() > 0
+
+
+def test_hot_genome_spreads_over_many_files(spark, tmp_path):
+    """A genome holding 90% of the records is written by many tasks (range
+    partitioning on (dataset_id, gid)), not funnelled into one."""
+    recs = [(f"hot|c{i:05d}", "ACGT" * 10) for i in range(1800)] + \
+           [(f"cold{i % 5}|c{i:05d}", "ACGT" * 10) for i in range(200)]
+    fa = write(tmp_path, "hot.fa", "".join(f">{r}\n{s}\n" for r, s in recs))
+    meta = write(tmp_path, "m.tsv", "genome\tskani_rep\n" + "".join(f"{g}\t{g}\n" for g in
+                                                                   ["hot", "cold0", "cold1", "cold2", "cold3", "cold4"]))
+    root = str(tmp_path / "lake")
+    rep = ing.ingest(spark, meta, [fa], root, num_partitions=8, compute_tnf=False)
+    assert rep["records_written"] == 2000
+    files_with_hot = (open_catalog(spark, root, view=None).filter(F.col("dataset_id") == "hot")
+                      .select(F.input_file_name().alias("f")).distinct().count())
+    assert files_with_hot >= 6
