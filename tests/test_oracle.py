@@ -68,3 +68,15 @@ def test_entry_from_foreign_cwd_plain_session(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env, capture_output=True,
                          text=True, timeout=600)
     assert "ROWS 21760" in out.stdout, out.stderr[-2000:]
+
+
+def test_plan_shapes(spark):
+    """Scale rules enforced on every registered query's physical plan."""
+    offenders = []
+    for name, fn in sorted(E.queries().items()):
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        if "BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan or "BatchEvalPython" in plan:
+            offenders.append(name)
+        if name in ("top_hits_per_query", "protein_seed_search"):
+            assert "WindowGroupLimit" in plan, name
+    assert offenders == []
