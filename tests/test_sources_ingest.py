@@ -265,6 +265,10 @@ def test_build_marts_and_read_through(spark, tmp_path):
     assert ov.total_sequences == seqs.count()
     ann = read_mart(spark, str(tmp_path / "marts"), "annotations")
     assert ann.select("field").distinct().count() == 4
+    top3 = read_mart(spark, str(tmp_path / "marts"), "cluster_summary",
+                     order=[F.col("genomes").desc(), F.col("cluster_id")], n=3).collect()
+    full = an.cluster_summary(seqs, None).collect()
+    assert [tuple(r) for r in top3] == [tuple(r) for r in full[:3]]
 
 
 def test_ingest_with_classifier(spark, tmp_path):
