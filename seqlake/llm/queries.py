@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import orcout, packing, sharding, warc
+from . import decontam, orcout, packing, sharding, warc
 from .common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,10 @@ def query(fn):
     return fn
 
 
+def oracle(name: str, sql: str) -> None:
+    ORACLE[name] = sql
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +35,41 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_captures(warc.read_warc(spark, path))
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontam.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return hits.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"),
+                       F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+                       (F.size("hit_words") > 0).alias("contaminated"))
+
+
+oracle("op2_decontamination", r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+item AS (
+  SELECT item_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS k FROM item WHERE len(w) > 0),
+iwin AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+sizes AS (SELECT DISTINCT k FROM iwin),
+dwin AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, sizes WHERE len(w) >= k)),
+hit AS (SELECT rid, i, d.k, item_id FROM dwin d JOIN iwin USING (k, g)),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
+""")
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
