@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, orcout, packing, sharding, simhash, warc
+from . import decontam, langid, orcout, packing, quality, sharding, simhash, warc
 from .common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,40 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # which rule rejects first follows measured costs, so the query returns the verdict alone
+    return quality.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+oracle("op8_quality_rules", r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln
+  FROM documents),
+win AS (SELECT rid, i, w[i:i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) > 2)),
+rep AS (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win
+  JOIN (SELECT rid, g FROM win GROUP BY rid, g HAVING count(*) > 1) USING (rid, g)),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM rep GROUP BY rid),
+m AS (
+  SELECT doc_id, text, ln, len(w)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters,
+    length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS uppers
+  FROM doc LEFT JOIN cov USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
+    OR 100 * n_dup_lines > 60 * len(ln) OR 100 * letters < 60 * word_chars OR 100 * uppers > 60 * letters
+    OR 100 * len(list_filter(ln, lambda x: regexp_matches(x, '^\s*[-*•]'))) > 90 * len(ln)
+    OR 100 * len(list_filter(ln, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) > 30 * len(ln)) AS kept
+FROM b
+""")
+
+
 @query
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_folder(spark, "token-orc")
