@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, orcout, packing, quality, sharding, simhash, warc
+from . import decontam, langid, orcout, packing, quality, secret_scan, sharding, simhash, warc
 from .common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset", "sequence_tokens", "padded_length")
 
 
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["rank"] == secret_scan.KINDS.index(kind)))
+    return found.select("doc_id", *[count(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 @query
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
