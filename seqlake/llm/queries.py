@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, orcout, packing, quality, secret_scan, sharding, simhash, warc
+from . import decontam, hmm, langid, orcout, packing, quality, secret_scan, sharding, simhash, warc
 from .common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,6 +144,11 @@ FROM b
 """)
 
 
+@query
+def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), hmm.held_out_tenth(F.col("doc_id")))
+
+
 @query
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_folder(spark, "token-orc")
