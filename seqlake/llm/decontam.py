@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, reserve
 
 #: Words: letters and digits of ASCII and everything beyond it, A-Z in lower case.
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -140,43 +141,58 @@ def item_blocks(benchmark: DataFrame, block_words: int, item_col: str, text_col:
             yield held
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = BLOCK_WORDS,
-              id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-              item_text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, text, n_words, hit_words (ascending numbers of hit words), hit_spans
-    (first and last byte of every maximal run of hit words) and items (ids with occurring windows).
+HIT_TYPES = {"n_words": "bigint", "hit_words": "array<int>", "hit_spans": "array<struct<first:int,last:int>>",
+             "items": "array<bigint>"}
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, names: dict[str, str], n: int = 10, block_words: int = BLOCK_WORDS,
+         text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` with four columns named by ``names``: n_words, hit_words (ascending numbers of hit words),
+    hit_spans (first and last byte of every maximal run of hit words) and items (ids with occurring windows).
 
     Null texts have no words; test items of null or wordless text have no windows; items with a null id
-    count as hits but are not listed; repeated documents are each reported; other columns of both
-    tables are ignored, whatever their names; an empty table gives no rows or no hits.
+    count as hits but are not listed; repeated documents are each reported; other columns of the test
+    set are ignored; an empty table gives no rows or no hits.
     """
-    spark = docs.sparkSession
-    schema = ("doc_id long, text string, n_words long, hit_words array<int>,"
-              " hit_spans array<struct<first:int,last:int>>, items array<long>")
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                        F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_words"),
-                        F.array().cast("array<struct<first:int,last:int>>").alias("hit_spans"),
-                        F.array().cast("array<long>").alias("items"))
-    blocks = 0
-    for items in item_blocks(benchmark, block_words, item_col, item_text_col):
-        found = map_arrow(found, _scanner(spark.sparkContext.broadcast(NgramIndex(items, n))), schema)
-        blocks += 1
-    if not blocks:
-        found = map_arrow(found, _scanner(spark.sparkContext.broadcast(NgramIndex([], n))), schema)
+    found = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[
+        (F.lit(0) if c == "n_words" else F.array()).cast(t).alias(names[c]) for c, t in HIT_TYPES.items()])
+    fields = [(f.name, f.dataType.simpleString()) for f in found.schema.fields]
+    schema = ", ".join(f"`{c}` {t}" for c, t in fields)
+    text, width = docs.columns.index(text_col), len(docs.columns)
+    blocks = item_blocks(benchmark, block_words, item_col, item_text_col)
+    for items in chain([next(blocks, [])], blocks):
+        found = map_arrow(found, _scanner(docs.sparkSession, items, n, text, width), schema)
     return found
 
 
-def _scanner(index):
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = BLOCK_WORDS,
+              id_col: str = "doc_id", text_col: str = "text", **of_items) -> DataFrame:
+    """(doc_id, text, n_words, hit_words, hit_spans, items) per document, as :func:`scan` finds them; other
+    columns of ``docs`` are ignored, whatever their names."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return scan(rows, benchmark, {c: c for c in HIT_TYPES}, n, block_words, **of_items)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, **options) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, without a hit."""
+    names = {c: reserve(docs, f"__{c}") for c in HIT_TYPES}
+    found = scan(docs, benchmark, names, n, **options)
+    return found.where(F.size(names["hit_words"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _scanner(spark, items: list, n: int, text: int, width: int):
+    """Scan for one block of test items; earlier blocks' hits are in the columns from ``width`` on."""
+    index = spark.sparkContext.broadcast(NgramIndex(items, n))
+
     def scan(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
-                yield _scan(index.value, batch.slice(i, 2000))
+                yield _scan(index.value, batch.slice(i, 2000), text, width)
     return scan
 
 
-def _scan(index: NgramIndex, batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = batch.column(1).fill_null("").cast(pa.large_binary())
-    texts = pa.concat_arrays([texts])  # offsets from 0
+def _scan(index: NgramIndex, batch: pa.RecordBatch, text: int, width: int) -> pa.RecordBatch:
+    texts = pa.concat_arrays([batch.column(text).fill_null("").cast(pa.large_binary())])
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
     body = texts.buffers()[2]
     data = np.frombuffer(body, dtype=np.uint8) if body else np.zeros(0, dtype=np.uint8)
@@ -189,7 +205,7 @@ def _scan(index: NgramIndex, batch: pa.RecordBatch) -> pa.RecordBatch:
         hits[int(doc[i])].update(range(i, i + size))
         items[int(doc[i])] |= index.items[window]
     hit_words, spans, found = [], [], []
-    for d, (old, old_items) in enumerate(zip(batch.column(3), batch.column(5))):
+    for d, (old, old_items) in enumerate(zip(batch.column(width + 1), batch.column(width + 3))):
         first, base = int(bounds[d]), int(offsets[d])
         numbers = sorted({w - first for w in hits[d]} | set(old.as_py())) if d in hits or len(old) else []
         runs: list[list[int]] = []
@@ -202,14 +218,10 @@ def _scan(index: NgramIndex, batch: pa.RecordBatch) -> pa.RecordBatch:
         spans.append([{"first": int(starts[first + a]) - base, "last": int(ends[first + b]) - base} for a, b in runs])
         ids = items[d] | set(old_items.as_py()) if d in items or len(old_items) else set()
         found.append(sorted(x for x in ids if x is not None))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()),
-                        ("hit_words", pa.list_(pa.int32())),
-                        ("hit_spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
-                        ("items", pa.list_(pa.int64()))])
+    span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1).cast(pa.string()), pa.array(np.diff(bounds).astype(np.int64)),
-         pa.array(hit_words, schema.field(3).type), pa.array(spans, schema.field(4).type),
-         pa.array(found, schema.field(5).type)], schema=schema)
+        [*batch.columns[:width], pa.array(np.diff(bounds).astype(np.int64)), pa.array(hit_words, pa.list_(pa.int32())),
+         pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(pa.int64()))], batch.schema.names)
 
 
 def remove_spans(hits: DataFrame) -> DataFrame:
@@ -226,6 +238,6 @@ def remove_spans(hits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clean, pa.string())],
                                              [*batch.schema.names, "clean_text"])
 
-    names = ["doc_id", "text", "n_words", "hit_words", "hit_spans", "items"]
+    names = ["doc_id", "text", *HIT_TYPES]
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
     return map_arrow(hits.select(names), cut, ", ".join(f"{c} {kinds[c]}" for c in names) + ", clean_text string")

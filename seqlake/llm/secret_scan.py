@@ -251,3 +251,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     """(doc_id, text, base, spans) of every document; other columns are ignored, whatever their names."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return with_spans(rows, "text", "base", "spans", q)
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", q: float = FDR) -> DataFrame:
+    """``docs``, rows and columns unchanged, with every secret in ``text_col`` replaced by a mark; a number
+    of characters in ``chars_col``, if there is such a column, changes by as much as the text."""
+    base, spans, old = (reserve(docs, c) for c in ("__base", "__spans", "__text"))
+    found = with_spans(docs, text_col, base, spans, q).withColumn(old, F.col(text_col))
+    out = found.withColumn(text_col, redacted(F.col(old), F.col(spans)))
+    kinds = dict(docs.dtypes)
+    if kinds.get(chars_col) in ("int", "bigint"):
+        shorter = F.char_length(F.col(text_col)) - F.char_length(F.col(old))
+        out = out.withColumn(chars_col, (F.col(chars_col) + F.coalesce(shorter, F.lit(0))).cast(kinds[chars_col]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
