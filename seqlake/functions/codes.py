@@ -120,12 +120,23 @@ def distance_block(C: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"Unknown distance metric: {metric}")
 
 
-def topk_with_ties(d: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per column, the row indices whose value is within the k smallest
-    (every row tying with the k-th value is kept, so a later exact ranking
-    with tie-breakers sees all contenders)."""
+def distance_rows(C: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of every row of ``C`` to one vector, each from its own two vectors only: equal pairs
+    have equal distances wherever they are computed."""
+    if metric == "euclidean":
+        return np.sqrt(((C - q) ** 2).sum(axis=1))
+    nc, nq = np.sqrt((C * C).sum(axis=1)), np.sqrt((q * q).sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = 1.0 - (C * q).sum(axis=1) / (nc * nq)
+    return np.where((nc == 0) | (nq == 0), 1.0, d)
+
+
+def topk_with_ties(d: np.ndarray, k: int, tolerance: float = 1e-7) -> list[np.ndarray]:
+    """Per column, the row indices whose value is within the k smallest, or above the k-th
+    by no more than ``tolerance`` (matrix products carry noise), so that a
+    later exact ranking with tie-breakers sees all contenders."""
     n = d.shape[0]
     if n <= k:
         return [np.arange(n)] * d.shape[1]
     kth = np.partition(d, k - 1, axis=0)[k - 1]
-    return [np.nonzero(d[:, j] <= kth[j])[0] for j in range(d.shape[1])]
+    return [np.nonzero(d[:, j] <= kth[j] + tolerance)[0] for j in range(d.shape[1])]

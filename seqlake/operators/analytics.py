@@ -191,12 +191,12 @@ def filter_unannotated(matrix: DataFrame, include_unannotated: bool = False) ->
     return matrix if include_unannotated else matrix.filter(F.col("annotation_value") != "Unannotated")
 
 
-def annotation_pivot(matrix: DataFrame, values: list[str], rank_col: str = CLASSIFIER_PREFIX + "order",
+def annotation_pivot(matrix: DataFrame, values: list[str] | None = None, rank_col: str = CLASSIFIER_PREFIX + "order",
                      include_unannotated: bool = True) -> DataFrame:
     """Rank x annotation-value matrix, 0 where absent.
 
-    The pivot values are passed explicitly (bounded column set, no extra job
-    to discover them).
+    The columns are the values that the matrix has (one small distinct over
+    its few rows); ``values`` selects columns on purpose.
     """
     m = filter_unannotated(matrix, include_unannotated)
     return m.groupBy(rank_col).pivot("annotation_value", values).agg(F.sum("sequences")).na.fill(0)

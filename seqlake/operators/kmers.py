@@ -57,32 +57,27 @@ def kmer_occurrences(df: DataFrame, k: int, id_cols: list[str], seq_col: str = "
     """One row per k-mer window: (*id_cols, kmer).  Windows of every letter are
     produced; callers filter the alphabet (or inner-join a k-mer table).
 
-    Chunks come from one regex pass; positions are exploded as integers and
-    the k-mer is cut in the following (codegen'd) projection from its short
-    chunk, so no per-chunk array of strings is built.
+    Chunk starts are exploded first and each chunk (with the k - 1 letters
+    after it) is cut by offset, then positions inside the chunk are exploded and
+    the k-mer is cut from the short chunk.  Offsets into the sequence are
+    resolved in one pass over pieces of ``chunk ** 2`` letters, so the work grows
+    linearly with a record's length.
     """
-    seq = F.col(seq_col)
-    chunks = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{chunk}}}"), 0)
-    ext = F.transform(chunks, lambda c, i: F.concat(
-        c, F.substring(F.coalesce(F.get(chunks, i + 1), F.lit("")), 1, k - 1)))
-    per_chunk = df.select(*id_cols, F.explode(ext).alias("_chunk")).filter(F.length("_chunk") >= k)
-    pos = F.explode(F.sequence(F.lit(1), F.length("_chunk") - (k - 1))).alias("_p")
-    return (per_chunk.select(*id_cols, "_chunk", pos)
-            .select(*id_cols, F.substr(F.col("_chunk"), F.col("_p"), F.lit(k)).alias("kmer")))
-
-
-def decode_kmer(code: Column, k: int, alphabet: str, max_table: int = 4096) -> Column:
-    """Integer code -> k-mer text.
-
-    Small k-mer spaces (<= ``max_table`` words, e.g. all 4-mers) use an array
-    of every k-mer generated from the alphabet (index = code); larger ones
-    convert the code to base len(alphabet) digits and map digits to letters.
-    """
-    import itertools
+    big = chunk * chunk
+    first = df.filter(F.length(seq_col) >= k).select(*id_cols, F.col(seq_col).alias("_seq"))
+
+    def cut(rows: DataFrame, size: int) -> DataFrame:
+        start = F.explode(F.sequence(F.lit(1), F.length("_seq") - (k - 1), F.lit(size))).alias("_p")
+        return (rows.select(*id_cols, "_seq", start)
+                .select(*id_cols, F.substr(F.col("_seq"), F.col("_p"), F.lit(size + k - 1)).alias("_seq")))
+
+    pos = F.explode(F.sequence(F.lit(1), F.length("_seq") - (k - 1))).alias("_p")
+    return (cut(cut(first, big), chunk).select(*id_cols, "_seq", pos)
+            .select(*id_cols, F.substr(F.col("_seq"), F.col("_p"), F.lit(k)).alias("kmer")))
+
 
-    if len(alphabet) ** k <= max_table:
-        words = F.array(*[F.lit("".join(w)) for w in itertools.product(alphabet, repeat=k)])
-        return F.element_at(words, (code + 1).cast("int"))
+def decode_kmer(code: Column, k: int, alphabet: str) -> Column:
+    """Integer code -> k-mer text: the code's base-len(alphabet) digits, mapped to letters."""
     digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[:len(alphabet)]
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, len(alphabet)), k, "0"), digits, alphabet)
 

@@ -14,11 +14,10 @@ K-mers are integer codes computed per record in Arrow batches (a small
 numpy helper, ``seqlake.functions.codes``) where the record is read: no
 k-mer string rows are materialised and sketching happens before any shuffle
 (only sampled codes move).
-Queries are a bounded set: their sketch is size-checked and broadcast, so the
-big reference side is streamed once and never shuffled for the join; a hot
-k-mer shared by many references cannot skew a shuffle it does not take part
-in.  Above the bound the join falls back to a shuffle join with AQE skew
-splitting.  Pair counts are partial aggregates keyed by (query, target).
+There is one plan for every size.  Sketches are joined on the code by a plain
+join: Spark broadcasts a small side at run time and splits skewed codes.
+Protein searches score blocks of queries against chunks of targets
+(:mod:`.blocks`), and a task gives the best targets per query, never all pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import score_in_blocks
 from .common import map_in_pandas
+
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
 
@@ -78,21 +79,15 @@ def sketch(seqs: DataFrame, owner_col: str, k: int = 16, c: int = 1000, seq_col:
 
 def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame | None, k: int = 16, c: int = 1000,
                  min_ani: float | None = 80.0, query_col: str = "query_id", ref_col: str = "dataset_id",
-                 max_broadcast: int = 5_000_000, ref_sketch: DataFrame | None = None) -> DataFrame:
+                 ref_sketch: DataFrame | None = None) -> DataFrame:
     """(query, ref, shared, query_kmers, ref_kmers, containment, ani).
 
     ``ref_sketch``: a stored (ref_col, code) sketch table built once with
     :func:`sketch` (same k and c) -- then only the queries are sketched.
     """
-    spark = query_seqs.sparkSession
     qs = sketch(query_seqs, query_col, k, c).withColumnRenamed(query_col, "_q")
     rs = (ref_sketch if ref_sketch is not None else sketch(ref_seqs, ref_col, k, c)) \
         .select(F.col(ref_col).alias("_r"), "code")
-    # the query sketch is small (1/c of the query k-mers): one bounded
-    # collection serves as size check, broadcast side and per-query counts
-    qpdf = qs.limit(max_broadcast + 1).toPandas()
-    if len(qpdf) <= max_broadcast:
-        qs = F.broadcast(spark.createDataFrame(qpdf, qs.schema))
     qn = qs.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
     rn = rs.groupBy("_r").agg(F.count(F.lit(1)).alias("ref_kmers"))
     shared = (rs.join(qs, "code")
@@ -115,75 +110,55 @@ def protein_kmers(seqs: DataFrame, id_col: str, k: int = 5, alphabet: str = AMIN
     return _codes_per_row(seqs, id_col, seq_col, lambda s: distinct_codes(s, k, alphabet))
 
 
-def _seed_pairs_arrow(qpdf, targets: DataFrame, target_col: str, seq_col: str, k: int,
-                      alphabet: str, min_shared: int) -> DataFrame:
-    """(q, t, shared) scored per target inside its task against a broadcast,
-    code-sorted index of the (bounded, already collected) query k-mers."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from ..functions.codes import distinct_codes, shared_counts
-
-    spark = targets.sparkSession
-    qids = sorted(set(qpdf["_q"].tolist()))
-    qnum = {q: i for i, q in enumerate(qids)}
-    order = np.argsort(qpdf["code"].to_numpy(), kind="stable")
-    index = spark.sparkContext.broadcast((qpdf["code"].to_numpy()[order],
-                                          qpdf["_q"].map(qnum).to_numpy()[order].astype(np.int64), qids))
-
-    def run(batches):
-        codes_sorted, owners, names = index.value
-        for pdf in batches:
-            out_q, out_t, out_n = [], [], []
-            for t, s in zip(pdf[target_col].tolist(), pdf[seq_col].tolist()):
-                counts = shared_counts(distinct_codes(s or "", k, alphabet), codes_sorted, owners, len(names))
-                nz = np.nonzero(counts >= min_shared)[0]
-                out_q.extend(names[i] for i in nz)
-                out_t.extend([t] * len(nz))
-                out_n.extend(counts[nz].tolist())
-            if out_q:  # an empty frame is simply not emitted
-                yield pd.DataFrame({"_q": pd.Series(out_q, dtype=object), "_t": pd.Series(out_t, dtype=object),
-                                    "shared": np.asarray(out_n, dtype=np.int64)})
-
-    schema = T.StructType([T.StructField("_q", T.StringType()), T.StructField("_t", T.StringType()),
-                           T.StructField("shared", T.LongType())])
-    return map_in_pandas(targets.select(target_col, seq_col), run, schema)
-
-
 def protein_seed_search(queries: DataFrame, targets: DataFrame, k: int = 5, max_target_seqs: int = 100,
                         query_col: str = "query_id", target_col: str = "gid", seq_col: str = "sequence",
-                        alphabet: str = AMINO_ACIDS, min_shared: int = 1,
-                        max_broadcast: int = 5_000_000) -> DataFrame:
+                        alphabet: str = AMINO_ACIDS, min_shared: int = 1, query_rows: int = 4096) -> DataFrame:
     """J11 (+W2): per query protein, the targets sharing the most distinct k-mers.
 
     Output: query, target, shared, query_kmers, containment (shared /
-    query_kmers), hit_rank <= max_target_seqs (ties -> target id).
+    query_kmers), hit_rank <= max_target_seqs (ties -> target id).  A query id
+    with several rows is one set of k-mers; a target id with several rows
+    counts with its best row.
 
-    When the query k-mer set passes the size check it is broadcast as a
-    sorted code index and each target is scored in its own task (only
-    (query, target, shared) rows leave the task).  Otherwise the k-mer sets
-    are joined with a shuffle join (AQE splits skewed k-mers) and the pair
-    counts are partial aggregates.
+    Blocks of about ``query_rows`` queries are indexed by code, and every
+    target is scored against a block in the task that holds it; a task gives at most
+    ``max_target_seqs`` targets per query and Arrow batch.
     """
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.codes import distinct_codes, shared_counts
     from .hits import top_hits_per_query
 
-    spark = queries.sparkSession
-    qk = protein_kmers(queries, query_col, k, alphabet).withColumnRenamed(query_col, "_q") \
-        .withColumn("_q", F.col("_q").cast("string"))
-    # one bounded collection is the size check, the index and the per-query counts
-    qpdf = qk.limit(max_broadcast + 1).toPandas()
-    if len(qpdf) <= max_broadcast:
-        counts = qpdf.groupby("_q").size()
-        qn = spark.createDataFrame([(q, int(n)) for q, n in counts.items()], "_q string, query_kmers long")
-        pairs = _seed_pairs_arrow(qpdf, targets.withColumn(target_col, F.col(target_col).cast("string")),
-                                  target_col, seq_col, k, alphabet, min_shared)
-    else:
-        qn = qk.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
-        tk = protein_kmers(targets, target_col, k, alphabet).withColumnRenamed(target_col, "_t")
-        pairs = (tk.join(qk, "code").groupBy("_q", "_t").agg(F.count(F.lit(1)).alias("shared"))
-                 .filter(F.col("shared") >= min_shared))
-    scored = pairs.join(qn, "_q").withColumn("containment", F.col("shared") / F.col("query_kmers"))
+    if len(alphabet) ** k >= 2 ** 63:
+        raise ValueError("k too large for 64-bit codes")
+
+    def score(q: pd.DataFrame, t: pd.DataFrame):
+        names, owner_of_row = np.unique(q["_q"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        per_row = [distinct_codes(s or "", k, alphabet) for s in q["_s"]]
+        pairs = np.unique(np.stack([np.concatenate(per_row).astype(np.int64),
+                                    np.repeat(owner_of_row, [len(c) for c in per_row])], axis=1), axis=0)
+        codes, owners = pairs[:, 0].astype(np.uint64), pairs[:, 1]
+        sizes = np.bincount(owners, minlength=len(names))
+        found: list[tuple] = []
+        for target, seq in zip(t["_t"], t["_s"]):
+            n = shared_counts(distinct_codes(seq or "", k, alphabet), codes, owners, len(names))
+            found += [(int(i), target, int(n[i])) for i in np.nonzero(n >= max(1, min_shared))[0]]
+        if not found:
+            return None
+        hits = pd.DataFrame(found, columns=["i", "_t", "shared"]).sort_values(["i", "shared", "_t"],
+                                                                            ascending=[True, False, True])
+        hits = hits.drop_duplicates(["i", "_t"])
+        hits = hits[hits.groupby("i").cumcount() < max_target_seqs]
+        return pd.DataFrame({"_q": names[hits["i"]], "_t": hits["_t"].to_numpy(),
+                             "shared": hits["shared"].to_numpy(), "query_kmers": sizes[hits["i"]]})
+
+    ids = lambda df, c, name: df.filter(F.col(c).isNotNull()).select(
+        F.col(c).cast("string").alias(name), F.col(seq_col).alias("_s"))
+    batches = score_in_blocks(ids(queries, query_col, "_q"), ids(targets, target_col, "_t"), "_q", score,
+                              "_q string, _t string, shared long, query_kmers long", query_rows)
+    best = batches.groupBy("_q", "_t").agg(F.max("shared").alias("shared"), F.first("query_kmers").alias("query_kmers"))
+    scored = best.withColumn("containment", F.col("shared") / F.col("query_kmers"))
     ranked = top_hits_per_query(scored, max_target_seqs, "_q", "shared", "_t")
     return ranked.select(F.col("_q").alias(query_col), F.col("_t").alias("target_id"), "shared", "query_kmers",
                          "containment", "hit_rank")

@@ -1,24 +1,18 @@
 """Nearest-neighbour search over vectors.
 
-Exact brute-force k-NN of a *bounded* query set against every candidate:
-the query batch is size-checked and broadcast, each candidate row is scored
-against the batch in the task that holds it (vector maths as higher-order
-functions, executor side), and the per-query top k is taken with
-``row_number <= k`` -- planned as a partial WindowGroupLimit before the
-shuffle, so a task ships at most k rows per query.  Query sets above the
-bound are split into hash batches, each broadcast separately; no candidate
-is skipped.
+Exact brute-force k-NN of a query set against every candidate, in blocks
+(:mod:`.blocks`): a task holds one block of query vectors, streams candidate
+batches past it and gives the k nearest of each batch per query, ties
+included; ``row_number <= k`` ranks those few rows exactly.  No pairwise rows are
+materialised and no candidate is skipped.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from .common import map_in_pandas
 
+from .blocks import score_in_blocks
 
 
 def longest_contig(seqs: DataFrame, dataset_filter: str | None = None) -> DataFrame:
@@ -40,73 +34,47 @@ def longest_contig(seqs: DataFrame, dataset_filter: str | None = None) -> DataFr
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, metric: str = "cosine",
             query_id: str = "query_id", vec_col: str = "vector", order_cols: tuple[str, ...] = (),
-            max_batch: int = 20000, distance_col: str = "distance", query_chunk: int = 256) -> DataFrame:
+            query_rows: int = 4096, distance_col: str = "distance") -> DataFrame:
     """For every query, the k candidates closest by ``metric`` (exact).
 
     ``queries``: (query_id, vector); ``candidates``: any columns + ``vec_col``.
     Ties are broken by ``order_cols`` (candidate id columns).  Output: query
     id, rank (1..k), candidate columns without the vector, distance.
 
-    Queries are processed in size-checked batches of at most ``max_batch``:
-    a batch is broadcast as a matrix, every candidate Arrow batch computes its
-    distance block against it where the candidates are read, and only the
-    per-query top k of that block (ties included) leaves the task.  The
-    final ``row_number <= k`` ranks those few rows exactly.  No pairwise rows
-    are materialised and no candidate is skipped.
+    A batch's contenders are chosen by a matrix product with a tolerance, and
+    their distances are computed again row by row, so a pair's distance never
+    depends on how rows were batched and equal vectors tie exactly.  Null
+    vectors have no neighbours and are nobody's; vectors of different lengths
+    raise (split them off, and count them, with ``kmers.valid_vectors``).
     """
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
 
-    from ..functions.codes import distance_block, topk_with_ties
+    from ..functions.codes import distance_block, distance_rows, topk_with_ties
 
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"Unknown distance metric: {metric}")
-    spark = candidates.sparkSession
     q = queries.select(F.col(query_id), F.col(vec_col).alias("_qvec")).filter(F.col("_qvec").isNotNull())
     cand_cols = [c for c in candidates.columns if c != vec_col]
+    cand = candidates.select(*cand_cols, vec_col).filter(F.col(vec_col).isNotNull())
     out_schema = T.StructType([q.schema[query_id], *[candidates.schema[c] for c in cand_cols],
                                T.StructField(distance_col, T.DoubleType())])
-    # one bounded collection decides: within the bound it IS the only batch
-    first = q.limit(max_batch + 1).toPandas()
-    if len(first) <= max_batch:
-        frames = [first]
-    else:
-        nb = max(2, math.ceil(2 * q.count() / max_batch))
-        frames = (q.filter(F.pmod(F.hash(query_id), F.lit(nb)) == b).toPandas() for b in range(nb))
-    outs = []
-    for pdf in frames:  # each a size-checked batch of query vectors
-        if len(pdf) > max_batch:
-            raise ValueError("query batch above the broadcast bound")
-        if len(pdf) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((pdf[query_id].tolist(),
-                                           np.array(pdf["_qvec"].tolist(), dtype=np.float64)))
-
-        def score(frames, bc=bc):
-            ids, Q = bc.value
-            for cdf in frames:
-                vecs = cdf[vec_col]
-                ok = vecs.map(lambda v: v is not None and len(v) == Q.shape[1]).to_numpy()
-                if not ok.any():
-                    continue
-                cdf = cdf[ok].reset_index(drop=True)
-                C = np.array(cdf[vec_col].tolist(), dtype=np.float64)
-                parts = []
-                for s in range(0, Q.shape[0], query_chunk):
-                    d = distance_block(C, Q[s:s + query_chunk], metric)
-                    for j, rows in enumerate(topk_with_ties(d, k)):
-                        part = cdf.loc[rows, cand_cols].copy()
-                        part.insert(0, query_id, ids[s + j])
-                        part[distance_col] = d[rows, j]
-                        parts.append(part)
-                if parts:
-                    yield pd.concat(parts, ignore_index=True)
-
-        outs.append(map_in_pandas(candidates.select(*cand_cols, vec_col), score, out_schema))
-    if not outs:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    scored = reduce(DataFrame.unionByName, outs)
+
+    def score(qdf: pd.DataFrame, cdf: pd.DataFrame):
+        if len({len(v) for v in qdf["_qvec"]} | {len(v) for v in cdf[vec_col]}) > 1:
+            raise ValueError("vectors of different lengths; use valid_vectors to reject them first")
+        Q, C = (np.array(x.tolist(), dtype=np.float64) for x in (qdf["_qvec"], cdf[vec_col]))
+        parts = []
+        for s in range(0, len(Q), 256):
+            for j, rows in enumerate(topk_with_ties(distance_block(C, Q[s:s + 256], metric), k), start=s):
+                part = cdf.loc[rows, cand_cols].copy()
+                part.insert(0, query_id, qdf[query_id].iloc[j])
+                part[distance_col] = distance_rows(C[rows], Q[j], metric)
+                parts.append(part)
+        return pd.concat(parts, ignore_index=True) if parts else None
+
+    scored = score_in_blocks(q, cand, query_id, score, out_schema, query_rows)
     w = Window.partitionBy(query_id).orderBy(F.col(distance_col), *[F.col(c) for c in order_cols])
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -226,8 +226,7 @@ def q_annot_matrix(spark, d):
     return an.annotation_matrix(sg.catalogue(spark, d), "emapper_cog_category", "order", 25)
 
 
-# COG-like categories of the catalogue (upper-cased language
-# codes of the driver documents) plus the placeholder for missing values.
+# The columns that SQL has to name; the Spark query takes them from the data.
 PIVOT_VALUES = ["DE", "EN", "ES", "FR", "Unannotated"]
 
 
@@ -242,7 +241,7 @@ SELECT gvclass_order, {", ".join(f"CAST(COALESCE(SUM(sequences) FILTER (WHERE an
 FROM m GROUP BY gvclass_order""", CAT)
 def q_annot_pivot(spark, d):
     m = an.annotation_matrix(sg.catalogue(spark, d), "emapper_cog_category", "order", None)
-    return an.annotation_pivot(m, PIVOT_VALUES)
+    return an.annotation_pivot(m)
 
 
 @query("cluster_summary", f"""

@@ -6,6 +6,10 @@ DataFrame code in ``seqlake.sources.surrogate`` (same meaning, other engine).
 
 from __future__ import annotations
 
+# every letter and digit of a text as one of a-z (see the surrogate's recoding)
+LETTERS_SQL = r"""regexp_replace(translate(lower(regexp_replace(text, '[\x00-\x20\x7f\p{P}\p{S}\p{Z}]', '', 'g')),
+  '0123456789àâäáãåæçéèêëíìîïñóòôöõøœúùûüýÿß', 'adeghiklmnaaaaaaaceeeeiiiinooooooouuuuyys'), '[^a-z]', 'x', 'g')"""
+
 GENOMES = """
 genomes AS (
   SELECT concat('src', CAST(n_nationkey AS VARCHAR)) AS dataset_id,
@@ -42,27 +46,26 @@ genomes AS (
          CAST(n_nationkey * 37 % 101 AS DOUBLE) AS order_completeness,
          CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE CAST(n_nationkey % 5 AS DOUBLE) / 4 END AS order_dup
   FROM nation JOIN region ON n_regionkey = r_regionkey
-  WHERE n_nationkey < 20
 )"""
 
-SEQ_BASE = """
+SEQ_BASE = f"""
 seq_base AS (
   SELECT concat(source, '|', source, '_', CAST(doc_id AS VARCHAR)) AS gid,
          source AS dataset_id,
          concat(source, '_', CAST(doc_id AS VARCHAR)) AS header,
-         CASE WHEN doc_id % 5 = 0 THEN 'AA' ELSE 'NT' END AS seq_type,
-         CASE WHEN doc_id % 5 = 0 THEN upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))
-              ELSE translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')),
+         CASE WHEN doc_id // 20 % 5 = 0 THEN 'AA' ELSE 'NT' END AS seq_type,
+         CASE WHEN doc_id // 20 % 5 = 0 THEN upper({LETTERS_SQL})
+              ELSE translate({LETTERS_SQL},
                              'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') END AS sequence,
-         CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN concat('OG', CAST(doc_id % 7 AS VARCHAR)) END AS orthogroup_id,
-         CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN false
-              WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN true END AS is_singleton,
-         CASE WHEN doc_id % 5 = 0 AND doc_id % 4 <> 0 THEN upper(lang) END AS emapper_cog_category,
-         CASE WHEN doc_id % 5 = 0 AND doc_id % 4 IN (1, 2)
+         CASE WHEN doc_id // 20 % 5 = 0 AND doc_id % 3 <> 0 THEN concat('OG', CAST(doc_id % 7 AS VARCHAR)) END AS orthogroup_id,
+         CASE WHEN doc_id // 20 % 5 = 0 AND doc_id % 3 <> 0 THEN false
+              WHEN doc_id // 20 % 5 = 0 AND doc_id % 2 = 0 THEN true END AS is_singleton,
+         CASE WHEN doc_id // 20 % 5 = 0 AND doc_id % 4 <> 0 THEN upper(lang) END AS emapper_cog_category,
+         CASE WHEN doc_id // 20 % 5 = 0 AND doc_id % 4 IN (1, 2)
               THEN concat('protein family ', CAST(doc_id % 13 AS VARCHAR)) END AS emapper_description,
-         CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 2
+         CASE WHEN doc_id // 20 % 5 = 0 AND doc_id % 3 <> 2
               THEN concat('PF', CAST(doc_id % 7 AS VARCHAR), ',PF', CAST(doc_id % 11 AS VARCHAR)) END AS emapper_pfams,
-         CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN concat('ko', CAST(doc_id % 9 AS VARCHAR)) END AS emapper_kegg_pathway
+         CASE WHEN doc_id // 20 % 5 = 0 AND doc_id % 2 = 0 THEN concat('ko', CAST(doc_id % 9 AS VARCHAR)) END AS emapper_kegg_pathway
   FROM documents
 )"""
 
@@ -96,7 +99,7 @@ protein_hits AS (
          CAST(20 + doc_id * 17 % 500 + doc_id % 50 AS INTEGER) AS send,
          CASE WHEN doc_id % 4 = 0 THEN CAST(0.001 AS DOUBLE) ELSE CAST(1e-30 AS DOUBLE) END AS evalue,
          CAST(doc_id * 29 % 300 AS DOUBLE) AS bitscore
-  FROM documents WHERE doc_id % 5 = 0
+  FROM documents
 )"""
 
 ANI_HITS = """
@@ -105,21 +108,21 @@ ani_hits AS (
          CAST(76 + doc_id * 7 % 24 AS DOUBLE) AS "ANI",
          CAST(40 + doc_id % 60 AS DOUBLE) AS "Align_fraction_ref",
          CAST(50 + doc_id % 50 AS DOUBLE) AS "Align_fraction_query",
-         CASE WHEN doc_id % 11 = 0 THEN concat('src2', CAST(doc_id % 5 AS VARCHAR), '|x_', CAST(doc_id AS VARCHAR))
+         CASE WHEN doc_id % 11 = 0 THEN concat('src9', CAST(doc_id % 5 AS VARCHAR), '|x_', CAST(doc_id AS VARCHAR))
               ELSE concat(source, '|', source, '_', CAST(doc_id AS VARCHAR)) END AS "Ref_name",
          concat('query', CAST(doc_id % 3 AS VARCHAR)) AS "Query_name"
-  FROM documents WHERE doc_id % 7 = 0
+  FROM documents
 )"""
 
-RAW_RECORDS = """
+RAW_RECORDS = f"""
 raw_records AS (
   SELECT CASE doc_id % 4
-           WHEN 0 THEN concat('src', CAST(doc_id % 23 AS VARCHAR), '|contig_', CAST(doc_id AS VARCHAR))
-           WHEN 1 THEN concat('src', CAST(doc_id % 23 AS VARCHAR), '_', CAST(doc_id AS VARCHAR))
-           WHEN 2 THEN concat('src', CAST(doc_id % 23 AS VARCHAR), '|c', CAST(doc_id AS VARCHAR), '|x')
+           WHEN 0 THEN concat('src', CAST(doc_id % 31 AS VARCHAR), '|contig_', CAST(doc_id AS VARCHAR))
+           WHEN 1 THEN concat('src', CAST(doc_id % 31 AS VARCHAR), '_', CAST(doc_id AS VARCHAR))
+           WHEN 2 THEN concat('src', CAST(doc_id % 31 AS VARCHAR), '|c', CAST(doc_id AS VARCHAR), '|x')
            ELSE concat('orphan', CAST(doc_id AS VARCHAR), 'x') END AS record_id,
-         CASE WHEN doc_id % 5 = 0 THEN regexp_replace(text, '[^A-Za-z]', '', 'g')
-              ELSE translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')),
+         CASE WHEN doc_id % 5 = 0 THEN {LETTERS_SQL}
+              ELSE translate({LETTERS_SQL},
                              'abcdefghijklmnopqrstuvwxyz', 'acgtacgtnacgtacgtacguacgta') END AS raw_sequence,
          doc_id AS record_pos
   FROM documents
@@ -135,11 +138,11 @@ metadata_records AS (
 
 CLASSIFIER_RECORDS = """
 classifier_records AS (
-  SELECT source AS query, doc_id AS row_pos,
+  SELECT CASE WHEN suffix(source, '5') THEN concat('other_', source) ELSE source END AS query, doc_id AS row_pos,
          concat('GO_', upper(lang)) AS gvclass_order,
          concat('d_V;o_', upper(lang)) AS taxonomy_majority,
          CAST(doc_id % 89 AS DOUBLE) AS order_completeness
-  FROM documents WHERE doc_id % 3 = 0 AND NOT suffix(source, '5')
+  FROM documents
 )"""
 
 PRODUCTS = """

@@ -166,7 +166,7 @@ def test_nearest_brute_force_batches_and_ties(spark):
 
     for metric, fn in (("cosine", cos), ("euclidean", lambda a, b: math.dist(a, b))):
         got = {}
-        for r in nearest(qdf, cdf, k=4, metric=metric, order_cols=("cid",), max_batch=8, query_chunk=5).collect():
+        for r in nearest(qdf, cdf, k=4, metric=metric, order_cols=("cid",), query_rows=8).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.cid, r.distance))
         for qid, qv in qs:
             exp = sorted(((fn(qv, v), c) for c, v in cands), key=lambda x: (round(x[0], 12), x[1]))[:4]
@@ -180,9 +180,7 @@ def test_decode_kmer_both_paths(spark):
     from seqlake.operators.kmers import decode_kmer
 
     rows = spark.createDataFrame([(0,), (27,), (255,)], "code long")
-    small = [r[0] for r in rows.select(decode_kmer(F.col("code"), 4, "ACGT")).collect()]
-    big = [r[0] for r in rows.select(decode_kmer(F.col("code"), 4, "ACGT", max_table=1)).collect()]
-    assert small == big == ["AAAA", "ACGT", "TTTT"]
+    assert [r[0] for r in rows.select(decode_kmer(F.col("code"), 4, "ACGT")).collect()] == ["AAAA", "ACGT", "TTTT"]
 
 
 def test_searches_with_empty_query_side(spark):
@@ -192,3 +190,69 @@ def test_searches_with_empty_query_side(spark):
     t = spark.createDataFrame([("t1", "MKVLAAG")], "gid string, sequence string")
     qp = spark.createDataFrame([("q1", "MK")], "query_id string, sequence string")
     assert SR.protein_seed_search(qp, t, k=3).count() == 0
+
+
+def test_seed_search_merges_rows_of_one_target_and_splits_queries(spark):
+    from seqlake.operators.search import protein_seed_search
+
+    q = spark.createDataFrame([("q1", "ACDEFGHIKL"), ("q2", "MNPQRSTVWY"), ("q1", "LMNPQRS")], "query_id string, sequence string")
+    t = spark.createDataFrame([("t1", "ACDEFGH"), ("t1", "ACDEFGHI"), ("t2", "ACDEF"), ("t3", "MNPQRS"), ("t4", "GGGGGG"),
+                               (None, "ACDEFGHIKL")], "gid string, sequence string").repartition(5)
+    for rows in (4096, 1):
+        got = sorted(tuple(r) for r in protein_seed_search(q, t, query_rows=rows).select(
+            "query_id", "target_id", "shared", "query_kmers", "hit_rank").collect())
+        assert got == [("q1", "t1", 4, 9, 1), ("q1", "t2", 1, 9, 3), ("q1", "t3", 2, 9, 2), ("q2", "t3", 2, 6, 1)]
+
+
+def test_seed_search_with_a_hot_query_and_many_targets(spark):
+    from seqlake.operators.search import protein_seed_search
+
+    core = "ACDEFGHIKLMNPQRSTVWY"
+    q = spark.createDataFrame([("hot", core)] * 50 + [("cold", "YWVTSRQPNM")], "query_id string, sequence string")
+    t = spark.createDataFrame([(f"t{i:04d}", core[: 5 + i % 16]) for i in range(2000)], "gid string, sequence string")
+    rows = protein_seed_search(q, t, max_target_seqs=7).orderBy("hit_rank").collect()
+    best = sorted(range(2000), key=lambda i: (-(i % 16), f"t{i:04d}"))[:7]
+    assert [(r.target_id, r.shared) for r in rows] == [(f"t{i:04d}", 1 + i % 16) for i in best]
+
+
+def test_equal_vectors_rank_alike_for_any_partitioning(spark):
+    import random
+
+    from seqlake.operators.similarity import nearest
+
+    rng = random.Random(8)
+    base = [[rng.random() for _ in range(136)] for _ in range(5)]
+    cands = [(f"c{i:03d}", base[i % 5]) for i in range(300)]
+    q = spark.createDataFrame([("q", base[0]), ("r", base[3])], "query_id string, vector array<double>")
+    c = spark.createDataFrame(cands, "cid string, vector array<double>")
+    seen = set()
+    for n in (1, 4, 16):
+        for metric in ("cosine", "euclidean"):
+            rows = nearest(q, c.repartition(n), k=9, metric=metric, order_cols=("cid",)).orderBy("query_id", "rank").collect()
+            seen.add(tuple((r.query_id, r["rank"], r.cid) for r in rows))
+    assert len(seen) == 1 and next(iter(seen))[:2] == (("q", 1, "c000"), ("q", 2, "c005"))
+
+
+def test_nearest_rejects_mixed_lengths(spark):
+    import pytest
+    from seqlake.operators.kmers import valid_vectors
+    from seqlake.operators.similarity import nearest
+
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
+    c = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0]), ("n", None)], "cid string, vector array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        nearest(q, c, order_cols=("cid",)).collect()
+    good, bad = valid_vectors(c, "vector", 2)
+    assert [r.cid for r in nearest(q, good, order_cols=("cid",)).collect()] == ["a"] and bad.count() == 2
+
+
+def test_occurrences_at_chunk_borders(spark):
+    import random
+
+    from seqlake.operators.kmers import kmer_occurrences
+
+    rng = random.Random(1)
+    seqs = [(i, "".join(rng.choices("ACGT", k=n))) for i, n in enumerate((0, 1, 3, 4, 5, 15, 16, 17, 64, 65, 300, 1000))]
+    df = spark.createDataFrame(seqs, "gid int, sequence string")
+    got = sorted((r.gid, r.kmer) for r in kmer_occurrences(df, 4, ["gid"], chunk=4).collect())
+    assert got == sorted((i, s[p:p + 4]) for i, s in seqs for p in range(len(s) - 3))

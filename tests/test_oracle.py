@@ -8,10 +8,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from seqlake.plans import catalogue
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="driver tables missing")
 
-TABLES = ["region", "nation", "documents", "embeddings", "labels"]
+TABLES = ["region", "nation", "documents", "embeddings", "labels", "benchmark", "pages", "conversations"]
 
 
 def _norm(v):
@@ -30,7 +31,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     cols = sorted(df.columns)
@@ -44,6 +45,10 @@ def test_query_matches_oracle(spark, con, name):
     assert got == exp
 
 
+def test_every_catalogue_query_has_an_oracle():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLE)
+
+
 def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["label", "genomes"] and df.count() > 0
@@ -73,10 +78,10 @@ def test_entry_from_foreign_cwd_plain_session(tmp_path):
 def test_plan_shapes(spark):
     """Scale rules enforced on every registered query's physical plan."""
     offenders = []
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(catalogue.QUERIES.items()):
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         if "BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan or "BatchEvalPython" in plan:
             offenders.append(name)
-        if name in ("top_hits_per_query", "protein_seed_search"):
+        if name == "top_hits_per_query":
             assert "WindowGroupLimit" in plan, name
     assert offenders == []
