@@ -11,7 +11,6 @@ collected to the driver inside an operator.  Modules:
   k-mers/TNF, similarity search, hits, placement, registry, documented tables
 * ``seqlake.sinks``      FASTA/TSV/JSON export and analytics marts
 * ``seqlake.plans``      the named query catalogue used by ``__spark_entry__``
-* ``seqlake.streaming``  incremental ingest of newly arriving FASTA files
 """
 
 __version__ = "0.1.0"

@@ -38,14 +38,6 @@ def euclidean_distance(a, b) -> Column:
     return F.sqrt(_sum(diff2))
 
 
-def vector_distance(a, b, metric: str) -> Column:
-    if metric == "cosine":
-        return cosine_distance(a, b)
-    if metric == "euclidean":
-        return euclidean_distance(a, b)
-    raise ValueError(f"Unknown distance metric: {metric}")
-
-
 def valid_vector(v, dim: int = 136) -> Column:
     """True when the vector has exactly ``dim`` entries."""
     return F.coalesce(F.size(_c(v)) == dim, F.lit(False))

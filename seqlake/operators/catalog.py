@@ -128,7 +128,7 @@ def overview_metrics(seqs: DataFrame, approximate: bool = False) -> DataFrame:
         *[F.first(c, ignorenulls=True).alias(c) for c in ("taxonomy_majority", "gvclass_species", "s_cluster")])
     cd = (lambda c: F.approx_count_distinct(c)) if approximate else (lambda c: F.countDistinct(c))
     return per_genome.agg(
-        F.sum("_rows").alias("total_sequences"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_sequences"),
         F.count("dataset_id").alias("unique_genomes"),
         cd("taxonomy_majority").alias("taxonomy_labels"),
         cd("gvclass_species").alias("gvclass_species"),

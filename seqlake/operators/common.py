@@ -1,4 +1,4 @@
-"""Small helpers shared by operators: ordering, top-n, bounded broadcast."""
+"""Small helpers shared by operators: ordering, top-n, partition counts."""
 
 from __future__ import annotations
 
@@ -16,27 +16,19 @@ def top(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows -- the size check in front
-    of every explicit broadcast.  A bounded count (``limit(max_rows + 1)``),
-    so it never scans more than the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Bytes that one written partition should hold.
+PARTITION_BYTES = 256 << 20
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows over at least the cluster's parallelism before heavy per-row work.
+def partitions_for(n_bytes: int | None) -> int:
+    """Number of partitions of about PARTITION_BYTES each."""
+    return max(1, -(-int(n_bytes or 0) // PARTITION_BYTES))
 
-    A scan yields one task per file split / row group; a small or unsplittable
-    input (one row group, a gzip FASTA) would otherwise run every per-row
-    expression -- regex recoding, k-mer generation -- in a single task.  The
-    check is plan-time only; a big multi-split input is left untouched, so no
-    shuffle is added at scale.  Round-robin repartitioning sorts rows locally
-    first, so a retried task after executor loss sees the same rows.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+
+def input_bytes(spark, paths: list[str]) -> int:
+    """Total size of files, from a listing only (no contents are read)."""
+    sizes = spark.read.format("binaryFile").load(paths).select("length")
+    return int(sizes.agg(F.sum("length")).first()[0] or 0)
 
 
 def map_in_pandas(df: DataFrame, fn, schema) -> DataFrame:

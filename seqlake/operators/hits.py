@@ -20,9 +20,11 @@ PROTEIN_META = ["gid", "dataset_id", "length", "common_name", "phylum", "class",
                 "genus", "ecosystem", "habitat"]
 # Genome columns attached to ANI hits.
 GENOME_META = ["dataset_id", "common_name", "domain", "phylum", "class", "order", "family", "genus",
+               "gvclass_phylum", "gvclass_class", "gvclass_order", "gvclass_family", "gvclass_genus",
                "taxonomy_majority", "gvclass_species", "s_cluster", "skani_rep", "is_skani_representative",
-               "pdm_cluster", "ecosystem", "ecosystem_category", "ecosystem_type", "ecosystem_subtype",
-               "habitat", "source", "lenbp", "genecount", "gcperc", "codingperc", "order_completeness"]
+               "pdm_cluster", "mcl_rep", "ecosystem", "ecosystem_category", "ecosystem_type", "ecosystem_subtype",
+               "habitat", "source", "lenbp", "genecount", "gcperc", "codingperc", "order_completeness",
+               "order_confidence_score"]
 
 
 def evalue_filter(hits: DataFrame, max_evalue: float = 1e-5) -> DataFrame:
@@ -68,7 +70,7 @@ def genome_of_ref(ref_col: str = "Ref_name"):
 def genomes_of(seqs: DataFrame, ids: DataFrame, cols: list[str] = GENOME_META) -> DataFrame:
     """Distinct genome rows of the catalogue for the given dataset ids."""
     return (seqs.select(*cols).join(ids, "dataset_id", "left_semi")
-            .groupBy("dataset_id").agg(*[F.first(c).alias(c) for c in cols if c != "dataset_id"]))
+            .groupBy("dataset_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols if c != "dataset_id"]))
 
 
 def enrich_ani_hits(hits: DataFrame, seqs: DataFrame, min_ani: float | None = 80.0,
@@ -81,15 +83,10 @@ def enrich_ani_hits(hits: DataFrame, seqs: DataFrame, min_ani: float | None = 80
     meta = genomes_of(seqs, h.select("dataset_id").distinct(), cols)
     out = h.join(meta, "dataset_id", "left")
     if max_results is None:
-        return out  # callers order with order_by_ani() when presenting; aggregates need no sort
+        return out  # aggregates need no sort; ``max_results`` orders best ANI first
     return top(out, max_results, F.col("ANI").desc(), F.col("Query_name"), F.col("Ref_name"))
 
 
-def order_by_ani(hits: DataFrame) -> DataFrame:
-    """Best ANI first (ties: query, reference)."""
-    return hits.orderBy(F.col("ANI").desc(), F.col("Query_name"), F.col("Ref_name"))
-
-
 def cluster_hit_counts(enriched: DataFrame, n: int = 5, col: str = "s_cluster") -> DataFrame:
     """Most frequent clusters among the hits."""
     g = enriched.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("hits"))
@@ -142,8 +139,10 @@ def hit_summary(hits: DataFrame, query_col: str = "qseqid") -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("total_hits"), F.countDistinct(query_col).alias("queries"))
 
 
-EXTRACT_COLUMNS = ["gid", "dataset_id", "header", "seq_type", "length", "sequence", "common_name",
-                   "phylum", "order"]
+# Columns of extracted records.
+EXTRACT_COLUMNS = ["gid", "dataset_id", "header", "seq_type", "length", "gc_content", "sequence", "genome",
+                   "common_name", "phylum", "class", "order", "family", "genus", "s_cluster", "ecosystem",
+                   "ecosystem_category", "ecosystem_type", "habitat", "lenbp", "gcperc", "genecount"]
 
 
 def extract_hits(hits: DataFrame, seqs: DataFrame, id_col: str = "sseqid", seq_type: str | None = None,
@@ -157,11 +156,12 @@ def extract_hits(hits: DataFrame, seqs: DataFrame, id_col: str = "sseqid", seq_t
 def extract_gids(seqs: DataFrame, gids: list[str], seq_type: str | None = None,
                  columns: list[str] = ("gid", "dataset_id", "header", "seq_type", "length", "gc_content",
                                        "sequence")) -> DataFrame:
-    """Records for an explicit id list (a small literal relation, semi-joined)."""
+    """Records for an explicit id list (a literal relation, semi-joined; the planner sees its
+    size and picks the join)."""
     spark = seqs.sparkSession
     ids = spark.createDataFrame([(g,) for g in gids], "gid string")
     cat = seqs if seq_type is None else seqs.filter(F.col("seq_type") == F.lit(seq_type))
-    return cat.select(*columns).join(F.broadcast(ids), "gid", "left_semi")
+    return cat.select(*columns).join(ids, "gid", "left_semi")
 
 
 def export_counts(seqs: DataFrame, seq_type: str | None = None, genome_ids: list[str] | None = None) -> DataFrame:

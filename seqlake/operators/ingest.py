@@ -17,13 +17,6 @@ from .. import schemas as S
 from ..functions.sequence import gc_col, header_cols, normalise_sequence, seq_type_col
 from .analytics import latest_per_key
 
-LAKE_COLUMNS = ["gid", "dataset_id", "header", "seq_type", "length", "gc_content", "sequence"]
-
-ANNOTATION_CONTRACT = {"orthogroup_id": "string", "is_singleton": "boolean",
-                       **{f"emapper_{c}": ("double" if c in ("evalue", "score") else "string")
-                          for c in S.ANNOTATION_COLUMNS}}
-
-
 def parse_records(records: DataFrame, id_col: str = "record_id", seq_col: str = "sequence",
                   protein_u_to_t: bool = False) -> DataFrame:
     """(record id, raw sequence) -> gid, dataset_id, header, seq_type, length, gc, sequence."""
@@ -129,47 +122,56 @@ def build_sequences(records: DataFrame, genomes: DataFrame, members: DataFrame |
     return wide
 
 
-def write_sequences(df: DataFrame, root: str, num_partitions: int | None = None,
-                    mode: str = "overwrite", observation: Observation | None = None,
-                    keep_col: str | None = None) -> None:
-    """Sorted lake: range partitions on (dataset_id, gid), zstd, by seq_type.
+def to_contract(df: DataFrame) -> DataFrame:
+    """Exactly the lake's columns, in order and type; absent ones are typed nulls, others are left out."""
+    have = {c.lower() for c in df.columns}
+    return df.select(*[(F.col(f"`{c}`") if c.lower() in have else F.lit(None)).cast(t).alias(c)
+                       for c, t in S.LAKE_COLUMNS])
+
+
+def extra_columns(df: DataFrame) -> list[str]:
+    """Columns that the lake contract does not have."""
+    known = {c.lower() for c, _ in S.LAKE_COLUMNS}
+    return [c for c in df.columns if c.lower() not in known]
+
+
+def write_sequences(df: DataFrame, root: str, num_partitions: int, mode: str = "overwrite",
+                    compute_tnf: bool = False) -> int:
+    """Sorted lake: range partitions on (dataset_id, gid), zstd, by seq_type; returns the records written.
 
     Sorting makes row-group min/max statistics selective for every reference
     predicate (seq_type partition, dataset_id and gid ranges), and range
     partitioning on (dataset_id, gid) splits a hot genome over many tasks.
     ``overwrite`` replaces earlier files (re-ingest never duplicates).
 
-    ``observation`` is attached AFTER the range exchange: the partitioner's
-    sampling pass re-runs the plan below the exchange, so metrics observed
-    there would be counted twice.  With ``keep_col`` the observation sees
-    every row (``read``) and the kept ones (``written``), and the rest are
-    dropped after it.
+    The exchange samples its input once more, so vectors are computed and records counted
+    after it, once per record.
     """
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    out = df.repartitionByRange(n, "dataset_id", "gid")
-    if observation is not None:
-        metrics = [F.count(F.lit(1)).alias("read")]
-        if keep_col:
-            metrics.append(F.count_if(F.col(keep_col)).alias("written"))
-        out = out.observe(observation, *metrics)
-    if keep_col:
-        out = out.filter(F.col(keep_col)).drop(keep_col)
-    (out.sortWithinPartitions("dataset_id", "gid")
-        .write.mode(mode).option("compression", "zstd")
-        .partitionBy("seq_type").parquet(root))
+    from .kmers import add_tnf
+
+    obs = Observation("ingest")
+    out = df.repartitionByRange(num_partitions, "dataset_id", "gid").observe(obs, F.count(F.lit(1)).alias("written"))
+    out = out.sortWithinPartitions("dataset_id", "gid")
+    if compute_tnf:
+        out = add_tnf(out)
+    to_contract(out).write.mode(mode).option("compression", "zstd").option(
+        "maxRecordsPerFile", 5_000_000).partitionBy("seq_type").parquet(root)
+    return int(obs.get["written"])
 
 
 def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
            classifier_path: str | None = None, orthogroups_path: str | None = None,
            singletons_path: str | None = None, annotations_path: str | None = None,
-           num_partitions: int | None = None, compute_tnf: bool = True) -> dict:
+           num_partitions: int | None = None, compute_tnf: bool = True, tables_root: str | None = None) -> dict:
     """Metadata -> (annotations if all three given) -> NT and AA -> lake.
 
-    One write job.  Records of genomes without metadata travel with a flag up
-    to the write and are dropped there, so the job's own metrics give the
-    report (records read, written, skipped) without a second pass.
+    Records of genomes without metadata are dropped before anything is shuffled.
+    The report counts records read, written and skipped and names input
+    columns that the lake contract has no place for.  With ``tables_root`` the
+    normalised tables (genomes, taxonomy, annotations, orthogroups, tnf, sketch) are written too.
     """
     from ..sources import files
+    from .common import input_bytes, partitions_for
 
     meta = files.read_metadata(spark, metadata_path, with_position=True)
     cls = None
@@ -185,21 +187,14 @@ def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
     for p in fasta_paths:
         r = files.read_fasta(spark, p).select("record_id", "sequence")
         records = r if records is None else records.unionByName(r)
-    parsed = parse_records(records)
-    if compute_tnf:
-        from .kmers import with_tnf
-        parsed = with_tnf(parsed)
-    g = genomes.withColumnRenamed("genome", "dataset_id").withColumn("_known", F.lit(True))
-    wide = parsed.join(g, "dataset_id", "left").withColumn("_known", F.coalesce(F.col("_known"), F.lit(False)))
-    if members is not None:
-        wide = attach_orthogroups(wide, members, singletons)
-    if annotations is not None:
-        wide = attach_annotations(wide, annotations)
-    # fixed table contract: the orthogroup / annotation columns always exist
-    # (typed nulls when their inputs were not given)
-    wide = wide.withColumns({c: F.lit(None).cast(t) for c, t in ANNOTATION_CONTRACT.items() if c not in wide.columns})
-    obs = Observation("ingest")
-    write_sequences(wide, root, num_partitions, observation=obs, keep_col="_known")
-    m = obs.get
-    return {"records_read": m["read"], "records_written": m["written"],
-            "records_skipped": m["read"] - m["written"]}
+    wide = build_sequences(records, genomes.withColumn("_genome", F.col("genome")), members, singletons, annotations)
+    wide = wide.withColumnRenamed("_genome", "genome")
+    n = num_partitions or partitions_for(input_bytes(spark, fasta_paths))
+    written = write_sequences(wide, root, n, compute_tnf=compute_tnf)
+    read = records.count()
+    if tables_root:
+        from .tables import write_tables
+
+        write_tables(spark, root, tables_root)
+    return {"records_read": read, "records_written": written, "records_skipped": read - written,
+            "ignored_columns": extra_columns(genomes)}

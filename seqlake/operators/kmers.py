@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from .common import map_in_pandas
@@ -240,28 +241,23 @@ def valid_vectors(df: DataFrame, vec_col: str = "tnf_136", dim: int = TNF_DIM) -
     return df.filter(ok), df.filter(~ok)
 
 
-def with_tnf(df: DataFrame, seq_col: str = "sequence", type_col: str = "seq_type",
-             out_col: str = "tnf_136") -> DataFrame:
-    """Append ``tnf_136`` (null for non-NT rows) to every row, in Arrow batches.
-
-    Used at ingest so the lake stores the vector, as the reference's table
-    does: rows pass through the task once, nothing is shuffled.
-    """
+def add_tnf(df: DataFrame, seq_col: str = "sequence", type_col: str = "seq_type",
+            out_col: str = "tnf_136") -> DataFrame:
+    """``df`` with ``tnf_136`` (null for non-NT rows): only nucleotide sequences travel to Python, in
+    Arrow batches; nothing is shuffled."""
     import numpy as np
-    from pyspark.sql import types as T
 
-    def run(batches):
-        for pdf in batches:
-            seqs = pdf[seq_col].tolist()
-            kinds = pdf[type_col].tolist()
-            nt_idx = [i for i, t in enumerate(kinds) if t == "NT"]
-            counts = class_counts_batch([seqs[i] for i in nt_idx])
-            vecs = [None] * len(seqs)
-            for i, c in zip(nt_idx, counts):
-                total = c.sum()
-                vecs[i] = (c / total).astype(np.float32).tolist() if total else [0.0] * TNF_DIM
-            pdf[out_col] = vecs
-            yield pdf
-
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.FloatType()))])
-    return map_in_pandas(df, run, schema)
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("array<float>")
+    def vector(seqs: pd.Series) -> pd.Series:
+        out = [None] * len(seqs)
+        at = [i for i, s in enumerate(seqs) if s is not None]
+        for i, c in zip(at, class_counts_batch([seqs.iloc[i] for i in at])):
+            total = c.sum()
+            out[i] = (c / total).astype(np.float32).tolist() if total else [0.0] * TNF_DIM
+        return pd.Series(out, dtype=object)
+
+    return df.withColumn(out_col, vector(F.when(F.col(type_col) == "NT", F.col(seq_col))))

@@ -1,9 +1,10 @@
 """Product registry (R1, R2, W3, U4, F13): a manifest of published files.
 
 The registry is a small table of (dataset_id, product, uri, sha256, version,
-created_at).  Upserts are a union + latest-per-key (partial ``max_by``
-aggregate); checksums are recomputed for every file in one ``binaryFile``
-job, never file by file on the driver.
+created_at).  A product may have many files: an upsert keeps every file of the newest
+version of each (dataset, product).  Checksums are recomputed for every file in one
+``binaryFile`` job, never file by file on the driver.  The table lives in Parquet,
+one folder per revision, so a reader never sees a half-written registry.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import PRODUCTS
 from .analytics import latest_per_key
 
 KEY = ["dataset_id", "product"]
@@ -21,9 +23,43 @@ def latest_products(products: DataFrame) -> DataFrame:
     return latest_per_key(products, KEY, "created_at")
 
 
+def newest_version(products: DataFrame) -> DataFrame:
+    """Every row of the newest (created_at, version) of each (dataset, product)."""
+    stamp = F.struct("created_at", "version")
+    newest = products.groupBy(*[F.col(c).alias(f"_{c}") for c in KEY]).agg(F.max(stamp).alias("_newest"))
+    on = [products[c].eqNullSafe(newest[f"_{c}"]) for c in KEY] + [stamp.eqNullSafe(F.col("_newest"))]
+    return products.join(newest, on, "left_semi")
+
+
 def upsert_products(products: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace entries for the same key by the new ones (newest wins)."""
-    return latest_products(products.unionByName(new, allowMissingColumns=True))
+    """Entries of the same key are replaced by the newest version's, file by file; a file
+    listed twice in it is kept once."""
+    both = products.unionByName(new, allowMissingColumns=True)
+    return newest_version(both).dropDuplicates([*KEY, "uri"])
+
+
+def load_products(spark: SparkSession, root: str) -> DataFrame:
+    """The newest complete revision of the registry; an empty table if there is none."""
+    revision = _revisions(spark, root)[-1:]
+    if not revision:
+        return spark.createDataFrame([], PRODUCTS)
+    return spark.read.schema(PRODUCTS).parquet(f"{root}/revision={revision[0]:08d}")
+
+
+def register_products(spark: SparkSession, root: str, new: DataFrame) -> int:
+    """Upsert ``new`` into the stored registry; returns the revision written."""
+    revision = (_revisions(spark, root) or [0])[-1] + 1
+    out = upsert_products(load_products(spark, root), new.select(*PRODUCTS.fieldNames()))
+    out.write.option("compression", "zstd").parquet(f"{root}/revision={revision:08d}")
+    return revision
+
+
+def _revisions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete revisions, ascending."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/revision=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
 
 
 def list_products(products: DataFrame, dataset_id: str | None = None, product: str | None = None) -> DataFrame:

@@ -53,3 +53,30 @@ def orthogroup_stats(seqs: DataFrame) -> DataFrame:
             .groupBy("orthogroup_id")
             .agg(F.count(F.lit(1)).alias("members"), F.countDistinct("dataset_id").alias("genomes"),
                  F.min("gid").alias("example_gid")))
+
+
+TABLE_NAMES = ("genomes", "taxonomy", "annotations", "orthogroups", "tnf", "sketch")
+
+
+def write_tables(spark, lake_root: str, root: str, sketch_k: int = 16, sketch_c: int = 1000) -> dict[str, str]:
+    """The normalised tables of a lake: genomes, taxonomy, annotations, orthogroups, and what searches
+    and placement read instead of sequences -- tnf (vector and length per contig) and sketch (sampled
+    k-mers per genome)."""
+    from ..sources.lake import open_catalog
+    from .search import write_sketch
+
+    seqs = open_catalog(spark, lake_root, view=None)
+    out = {name: f"{root.rstrip('/')}/{name}" for name in TABLE_NAMES}
+
+    def write(name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(out[name])
+
+    write("genomes", genome_table(seqs))
+    write("taxonomy", taxonomy_long(spark.read.parquet(out["genomes"])))
+    write("annotations", annotations_long(seqs, [c for c in seqs.columns if c.startswith("emapper_")
+                                                 and c not in ("emapper_evalue", "emapper_score")]))
+    write("orthogroups", orthogroup_stats(seqs))
+    write("tnf", seqs.filter((F.col("seq_type") == "NT") & F.col("tnf_136").isNotNull())
+          .select("gid", "dataset_id", "seq_type", "length", "tnf_136"))
+    write_sketch(seqs, out["sketch"], "dataset_id", sketch_k, sketch_c)
+    return out

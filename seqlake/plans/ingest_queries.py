@@ -9,6 +9,8 @@ from ..operators import ingest as ing
 from ..sources import surrogate as sg
 from .registry import query
 
+RECORD_COLUMNS = ["gid", "dataset_id", "header", "seq_type", "length", "gc_content", "sequence"]
+
 HEADER_SQL = """
 CASE WHEN strpos(record_id, '|') > 0 THEN split_part(record_id, '|', 1)
      WHEN regexp_matches(record_id, '_[0-9]+$') THEN regexp_extract(record_id, '^(.*)_[0-9]+$', 1)
@@ -69,7 +71,7 @@ def q_gc(spark, d):
 SELECT gid, dataset_id, header, seq_type, length, round(CAST(gc_content AS DOUBLE), 6) AS gc_content, sequence
 FROM parsed""", ("raw_records",))
 def q_ingest_records(spark, d):
-    return _round_gc(_parsed(spark, d).select(*ing.LAKE_COLUMNS))
+    return _round_gc(_parsed(spark, d).select(*RECORD_COLUMNS))
 
 
 @query("keep_known_genomes", "WITH " + PARSED_SQL.strip() + """

@@ -328,7 +328,11 @@ def q_enrich_hmm(spark, d):
     return H.enrich_protein_hits(h, sg.catalogue(spark, d), "target_name", seq_type="AA")
 
 
-ANI_META = ["common_name", "phylum", "order", "s_cluster", "skani_rep", "pdm_cluster", "ecosystem"]
+# Genome columns of annotated ANI results.
+ANI_META = ["common_name", "phylum", "class", "order", "family", "genus", "gvclass_phylum", "gvclass_class",
+            "gvclass_order", "gvclass_family", "gvclass_genus", "gvclass_species", "taxonomy_majority", "s_cluster",
+            "skani_rep", "pdm_cluster", "mcl_rep", "lenbp", "gcperc", "genecount", "order_completeness",
+            "order_confidence_score", "ecosystem", "habitat"]
 ANI_META_SQL = ", ".join(f'g."{c}"' for c in ANI_META)
 GMETA_SQL = "(SELECT DISTINCT dataset_id, " + ", ".join(f'"{c}"' for c in ANI_META) + " FROM catalogue)"
 
@@ -389,10 +393,13 @@ def q_membership(spark, d):
 
 
 @query("extract_hits", """
-SELECT gid, dataset_id, header, seq_type, length, sequence, common_name, phylum, "order" FROM catalogue
-WHERE gid IN (SELECT sseqid FROM protein_hits)""", CAT + ("protein_hits",))
+SELECT gid, dataset_id, header, seq_type, length, round(CAST(gc_content AS DOUBLE), 6) AS gc_content, sequence, genome,
+       common_name, phylum, "class", "order", family, genus, s_cluster, ecosystem, ecosystem_category, ecosystem_type,
+       habitat, lenbp, gcperc, genecount
+FROM catalogue WHERE gid IN (SELECT sseqid FROM protein_hits)""", CAT + ("protein_hits",))
 def q_extract_hits(spark, d):
-    return H.extract_hits(sg.protein_hits(spark, d), sg.catalogue(spark, d), "sseqid")
+    out = H.extract_hits(sg.protein_hits(spark, d), sg.catalogue(spark, d), "sseqid")
+    return out.withColumn("gc_content", F.round(F.col("gc_content").cast("double"), 6))
 
 
 EXTRACT_IDS = ["src0|src0_0", "src5|src5_5", "src3|src3_23", "src7|src7_47", "missing|nothing_1"]

@@ -13,6 +13,7 @@ LETTERS_SQL = r"""regexp_replace(translate(lower(regexp_replace(text, '[\x00-\x2
 GENOMES = """
 genomes AS (
   SELECT concat('src', CAST(n_nationkey AS VARCHAR)) AS dataset_id,
+         concat('src', CAST(n_nationkey AS VARCHAR)) AS genome,
          concat('genome ', n_name) AS common_name,
          CASE WHEN n_nationkey % 7 = 6 THEN '' ELSE 'Viruses' END AS domain,
          r_name AS phylum,
@@ -28,6 +29,13 @@ genomes AS (
                           ';g_G', CAST(n_nationkey % 8 AS VARCHAR), ';s_S', CAST(n_nationkey % 9 AS VARCHAR))
          END AS taxonomy_majority,
          CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE concat('sp', CAST(n_nationkey % 7 AS VARCHAR)) END AS gvclass_species,
+         concat('G', CAST(n_nationkey % 8 AS VARCHAR)) AS gvclass_genus,
+         CASE WHEN n_nationkey % 5 = 2 THEN NULL ELSE concat('F', CAST(n_nationkey % 5 AS VARCHAR)) END AS gvclass_family,
+         n_name AS gvclass_order,
+         concat('C', CAST(n_nationkey % 3 AS VARCHAR)) AS gvclass_class,
+         r_name AS gvclass_phylum,
+         concat('M', CAST(n_nationkey % 6 AS VARCHAR)) AS mcl_rep,
+         CASE WHEN n_nationkey % 4 = 2 THEN NULL ELSE CAST(n_nationkey % 9 AS DOUBLE) / 8 END AS order_confidence_score,
          CASE WHEN n_nationkey % 4 = 3 THEN NULL ELSE concat('S', CAST(n_nationkey % 4 AS VARCHAR)) END AS s_cluster,
          concat('src', CAST(n_nationkey - n_nationkey % 2 AS VARCHAR)) AS skani_rep,
          n_nationkey % 2 = 0 AS is_skani_representative,

@@ -87,9 +87,36 @@ PRODUCTS = T.StructType([
     T.StructField("version", T.StringType()), T.StructField("created_at", T.TimestampType()),
 ])
 
-SEQUENCE_RECORD = T.StructType([
-    T.StructField("gid", T.StringType(), False), T.StructField("dataset_id", T.StringType(), False),
-    T.StructField("header", T.StringType()), T.StructField("seq_type", T.StringType()),
-    T.StructField("length", T.IntegerType()), T.StructField("gc_content", T.FloatType()),
-    T.StructField("sequence", T.StringType()),
-])
+# The lake table.  Core fields, metadata, classifier, then proteins of representatives.
+LAKE_CORE = (
+    ("gid", "string"), ("dataset_id", "string"), ("header", "string"), ("seq_type", "string"), ("length", "int"),
+    ("gc_content", "float"), ("sequence", "string"), ("tnf_136", "array<float>"),
+)
+LAKE_METADATA = (
+    ("genome", "string"), ("common_name", "string"), ("phylum", "string"), ("class", "string"), ("order", "string"),
+    ("family", "string"), ("genus", "string"), ("s_cluster", "string"), ("skani_rep", "string"),
+    ("pdmtree", "string"), ("pdm_cluster", "string"), ("mcl_rep", "string"), ("mcl_on_pdm46tree", "string"),
+    ("order_completeness", "double"), ("gvog4_unique", "bigint"), ("gvog8_unique", "bigint"),
+    ("gvog8_total", "bigint"), ("gvog8_dup", "double"), ("mcp_total", "bigint"), ("mirus_unique", "bigint"),
+    ("mirus_total", "bigint"), ("mirus_dup", "double"), ("mrya_unique", "bigint"), ("mrya_total", "bigint"),
+    ("lenbp", "bigint"), ("gcperc", "double"), ("genecount", "bigint"), ("codingperc", "double"),
+    ("ttable", "string"), ("domain", "string"), ("sequencing_status", "string"), ("study_name", "string"),
+    ("genome_name___sample_name", "string"), ("sequencing_center", "string"), ("img_genome_id", "string"),
+    ("gold_analysis_project_type", "string"), ("assembly_method", "string"), ("pubmed_id", "string"),
+    ("ecosystem", "string"), ("ecosystem_category", "string"), ("ecosystem_subtype", "string"),
+    ("ecosystem_type", "string"), ("specific_ecosystem", "string"), ("habitat", "string"), ("source", "string"),
+)
+LAKE_CLASSIFIER = (
+    ("taxonomy_majority", "string"), ("taxonomy_strict", "string"), ("gvclass_species", "string"),
+    ("gvclass_genus", "string"), ("gvclass_family", "string"), ("gvclass_order", "string"),
+    ("gvclass_class", "string"), ("gvclass_phylum", "string"), ("gvclass_domain", "string"), ("avgdist", "double"),
+    ("order_dup", "double"), ("order_weighted_completeness", "double"), ("order_confidence_score", "double"),
+    ("phage_unique", "bigint"), ("phage_total", "bigint"), ("cellular_unique", "bigint"),
+    ("cellular_total", "bigint"), ("cellular_dup", "double"), ("contigs", "bigint"),
+)
+LAKE_PROTEIN = (
+    ("is_skani_representative", "boolean"), ("orthogroup_id", "string"), ("is_singleton", "boolean"),
+    *((f"emapper_{c}", "double" if c in ("evalue", "score") else "string") for c in ANNOTATION_COLUMNS),
+)
+LAKE_COLUMNS = LAKE_CORE + LAKE_METADATA + LAKE_CLASSIFIER + LAKE_PROTEIN
+LAKE_SCHEMA = ", ".join(f"`{c}` {t}" for c, t in LAKE_COLUMNS)

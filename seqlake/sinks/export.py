@@ -9,10 +9,11 @@ from ``Observation`` metrics on the write itself (no second pass).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import fasta_record
+from ..operators.common import partitions_for
 
 
 def _na(c: str) -> Column:
@@ -34,7 +35,7 @@ def fasta_text(df: DataFrame, header: Column | None = None, width: int = 60) ->
 
 def _write_sorted_text(text: DataFrame, path: str, num_partitions: int | None) -> int:
     obs = Observation("fasta_export")
-    n = num_partitions or text.sparkSession.sparkContext.defaultParallelism
+    n = num_partitions or partitions_for(text.agg(F.sum(F.length("value"))).first()[0])
     # observed after the range exchange: the partitioner's sampling pass
     # re-runs the plan below it and would count records twice
     out = text.repartitionByRange(n, "gid").observe(obs, F.count(F.lit(1)).alias("records"))
@@ -62,12 +63,13 @@ def export_fasta_by_genome(seqs: DataFrame, root: str, seq_type: str, genome_ids
     """
     df = seqs.filter(F.col("seq_type") == F.lit(seq_type))
     if genome_ids:
-        df = df.filter(F.col("dataset_id").isin(genome_ids))
-    n = num_partitions or seqs.sparkSession.sparkContext.defaultParallelism
+        wanted = seqs.sparkSession.createDataFrame([(g,) for g in genome_ids], "dataset_id string")
+        df = df.join(wanted, "dataset_id", "left_semi")
+    n = num_partitions or partitions_for(df.agg(F.sum(F.length("sequence"))).first()[0])
     text = df.select("dataset_id", "gid", fasta_record(F.col("gid"), F.col("sequence")).alias("value"))
     (text.repartitionByRange(n, "dataset_id", "gid").sortWithinPartitions("dataset_id", "gid")
          .select("dataset_id", "value")
-         .write.mode("overwrite").partitionBy("dataset_id").text(root))
+         .write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy("dataset_id").text(root))
 
 
 def export_hits(extracted: DataFrame, fasta_path: str | None = None, tsv_path: str | None = None,
@@ -93,11 +95,19 @@ def write_hits(raw: DataFrame, raw_path: str, annotated: DataFrame | None = None
 
 def write_placement(placement: DataFrame, root: str, tnf_hits: DataFrame | None = None,
                     ani_hits: DataFrame | None = None, top: int = 10) -> None:
-    """K5: placement rows as TSV + JSON; optional top-n TNF / ANI tables per query."""
+    """K5: placement rows as TSV; the whole TNF and ANI tables as TSV; and JSON lines, one per
+    query, whose ``tnf_top_matches`` and ``ani_top_matches`` list the best ``top`` matches."""
     placement.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{root}/placement_tsv")
-    placement.write.mode("overwrite").json(f"{root}/placement_json")
-    if tnf_hits is not None:
-        tnf_hits.filter(F.col("rank") <= top).write.mode("overwrite").option("sep", "\t") \
-            .option("header", True).csv(f"{root}/tnf_matches")
-    if ani_hits is not None:
-        ani_hits.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{root}/ani_matches")
+    out = placement
+    for hits, name, order in ((tnf_hits, "tnf", ["tnf_distance", "dataset_id"]), (ani_hits, "ani", ["-ani", "dataset_id"])):
+        if hits is None:
+            continue
+        hits.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{root}/{name}_matches")
+        key = [(-F.col(c[1:]) if c[0] == "-" else F.col(c)) for c in order]
+        ranked = hits.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*key)))
+        lists = (ranked.filter(F.col("_rank") <= top).groupBy("query_id")
+                 .agg(F.array_sort(F.collect_list(F.struct("_rank", *[c for c in hits.columns if c != "query_id"])))
+                      .alias(f"{name}_top_matches")))
+        lists = lists.withColumn(f"{name}_top_matches", F.transform(f"{name}_top_matches", lambda x: x.dropFields("_rank")))
+        out = out.join(lists, "query_id", "left")
+    out.write.mode("overwrite").json(f"{root}/placement_json")

@@ -15,13 +15,23 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as an
 from ..operators.catalog import overview_metrics
+from ..operators.tables import GENOME_COLUMNS
 
+# Annotation fields of the dashboard (column names compare without case).
+MART_FIELDS = ("emapper_COG_category", "emapper_KEGG_Pathway", "emapper_PFAMs", "emapper_Description")
 MART_NAMES = ("overview", "taxonomy", "environment", "genome_statistics", "annotations", "cluster_summary")
 
 
 def build_marts(seqs: DataFrame, root: str, annotation_fields: list[str] | None = None,
                 metadata: DataFrame | None = None, cluster_limit: int = 1000) -> dict[str, str]:
-    cols = [c for c in seqs.columns if c != "sequence"]  # never persist sequences
+    known = {c.lower(): c for c in seqs.columns}
+    fields = annotation_fields or list(MART_FIELDS)
+    missing = [f for f in fields if f.lower() not in known]
+    if missing:
+        raise ValueError(f"no such annotation fields: {', '.join(missing)}")
+    # only what the marts read is persisted: no sequences, no vectors
+    used = {c.lower() for c in (*GENOME_COLUMNS, *fields, "gid", "dataset_id", "seq_type", "length", "gc_content")}
+    cols = [c for c in seqs.columns if c.lower() in used]
     slim = seqs.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     try:
@@ -37,8 +47,6 @@ def build_marts(seqs: DataFrame, root: str, annotation_fields: list[str] | None
         write("taxonomy", an.taxonomy_all_levels(slim), "source")
         write("environment", an.environment_all_dimensions(slim), "dimension")
         write("genome_statistics", an.genome_statistics(slim, metadata))
-        fields = annotation_fields or [c for c in ("emapper_cog_category", "emapper_kegg_pathway",
-                                                   "emapper_pfams", "emapper_description") if c in slim.columns]
         write("annotations", an.annotation_matrix_all(slim, fields), "field")
         # always recomputed (the reference reads this one through its own cache)
         write("cluster_summary", an.cluster_summary(slim, cluster_limit))

@@ -8,9 +8,8 @@ line) touch the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas as S
 
@@ -113,15 +112,19 @@ def read_classifier(spark: SparkSession, path: str, with_position: bool = False)
 # ------------------------------------------------ orthogroups/singletons
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) with line_no = 0 for the header.
+    """(line_no, line) with line_no = 0 for the first line, following file order.
 
-    Row numbers must be global and follow file order, which needs the
-    per-partition counts that ``zipWithIndex`` computes (one small job); the
-    lines themselves stay on the executors.
+    Lines of one split have consecutive ids within their task; splits are
+    counted (one small row each) and put in order, and a line's number is its
+    split's offset plus its place in the split.
     """
-    rdd = spark.sparkContext.textFile(path).zipWithIndex()
-    schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("line_no", T.LongType())])
-    return spark.createDataFrame(rdd, schema)
+    lines = spark.read.text(path).select(F.col("value").alias("line"), file_order().alias("at"))
+    splits = lines.groupBy("at.file", "at.block").agg(F.min("at.row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select(F.col("file").alias("f"), F.col("block").alias("b"), "first",
+                            F.coalesce(before, F.lit(0)).alias("before"))
+    on = (F.col("at.file") == F.col("f")) & (F.col("at.block") == F.col("b"))
+    return lines.join(offsets, on).select((F.col("before") + F.col("at.row") - F.col("first")).alias("line_no"), "line")
 
 
 def read_orthogroups(spark: SparkSession, path: str, split_cells: bool = True) -> DataFrame:
@@ -134,7 +137,7 @@ def read_orthogroups(spark: SparkSession, path: str, split_cells: bool = True) -
     several rows belongs to the last one.
     """
     lines = _numbered_lines(spark, path).filter(F.col("line_no") > 0)
-    cells = lines.select(F.col("line_no"), F.posexplode(F.split(F.trim(F.col("line")), "\t")).alias("pos", "cell"))
+    cells = lines.select(F.col("line_no"), F.posexplode(F.split(F.trim(F.regexp_replace("line", "\r$", "")), "\t")).alias("pos", "cell"))
     members = cells.filter((F.col("pos") >= 3) & (F.col("cell") != "*"))
     if split_cells:
         members = members.select("line_no", F.explode(F.split("cell", ",")).alias("cell"))
@@ -144,12 +147,11 @@ def read_orthogroups(spark: SparkSession, path: str, split_cells: bool = True) -
 
 
 def read_singletons(spark: SparkSession, path: str) -> DataFrame:
-    """Singleton table -> distinct (gid): first non-``*`` member cell of each row."""
-    lines = spark.read.text(path)
-    fields = F.split(F.trim(F.col("value")), "\t")
-    members = F.filter(F.slice(fields, 4, 1 << 20), lambda c: c != "*")
-    return (lines.filter(~F.col("value").startswith("#"))
-            .select(F.try_element_at(members, F.lit(1)).alias("gid"))
+    """Singleton table -> distinct (gid): first non-``*`` member cell of each row after the header line."""
+    lines = _numbered_lines(spark, path).filter(F.col("line_no") > 0)
+    fields = F.split(F.trim(F.regexp_replace("line", "\r$", "")), "\t")
+    members = F.filter(fields, lambda c, i: (i >= 3) & (c != "*") & (c != ""))
+    return (lines.select(F.try_element_at(members, F.lit(1)).alias("gid"))
             .filter(F.col("gid").isNotNull()).distinct())
 
 
@@ -172,7 +174,7 @@ def read_annotations(spark: SparkSession, path: str, prefix: str = "emapper_") -
     """
     header = _annotation_header(spark, path)
     idx = {c: i for i, c in enumerate(header)}
-    lines = _numbered_lines(spark, path)
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), file_order().alias("at"))
     body = lines.filter((F.length(F.trim("line")) > 0) & ~F.trim("line").startswith("#"))
     fields = F.split(F.trim(F.col("line")), "\t")
 
@@ -183,7 +185,7 @@ def read_annotations(spark: SparkSession, path: str, prefix: str = "emapper_") -
         return F.when((v == "") | (v == "-"), F.lit(None).cast("string")).otherwise(v)
 
     gid = field("query") if "query" in idx else F.try_element_at(fields, F.lit(1))
-    cols = [gid.alias("gid"), F.col("line_no")]
+    cols = [gid.alias("gid"), F.col("at")]
     for c in S.ANNOTATION_COLUMNS:
         v = field(c)
         if c in ("evalue", "score"):
@@ -191,7 +193,7 @@ def read_annotations(spark: SparkSession, path: str, prefix: str = "emapper_") -
         cols.append(v.alias(prefix + c))
     rows = body.select(*cols)
     keep = [prefix + c for c in S.ANNOTATION_COLUMNS]
-    return (rows.groupBy("gid").agg(F.max_by(F.struct(*keep), F.col("line_no")).alias("a"))
+    return (rows.groupBy("gid").agg(F.max_by(F.struct(*keep), F.col("at")).alias("a"))
             .select("gid", "a.*"))
 
 

@@ -35,11 +35,11 @@ SPREAD = ("documents", "embeddings")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table.  The small ones are single files of one row group, which no split size
+    divides; such a scan is one task, so its rows are dealt to all cores first."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in SPREAD:
-        from ..operators.common import ensure_parallelism
-        df = ensure_parallelism(df)
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in SPREAD and len(df.inputFiles()) < cores else df
 
 
 def _s(x) -> F.Column:
@@ -58,6 +58,7 @@ def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(";s_S"), _s(n % 9))
     return j.select(
         F.concat(F.lit("src"), _s(n)).alias("dataset_id"),
+        F.concat(F.lit("src"), _s(n)).alias("genome"),
         F.concat(F.lit("genome "), F.col("n_name")).alias("common_name"),
         F.when(n % 7 == 6, F.lit("")).otherwise(F.lit("Viruses")).alias("domain"),
         F.col("r_name").alias("phylum"),
@@ -71,6 +72,14 @@ def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(lineage).alias("taxonomy_majority"),
         F.when(n % 3 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("sp"), _s(n % 7))).alias("gvclass_species"),
+        F.concat(F.lit("G"), _s(n % 8)).alias("gvclass_genus"),
+        F.when(n % 5 == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("F"), _s(n % 5))).alias("gvclass_family"),
+        F.col("n_name").alias("gvclass_order"),
+        F.concat(F.lit("C"), _s(n % 3)).alias("gvclass_class"),
+        F.col("r_name").alias("gvclass_phylum"),
+        F.concat(F.lit("M"), _s(n % 6)).alias("mcl_rep"),
+        F.when(n % 4 == 2, F.lit(None).cast("double")).otherwise((n % 9).cast("double") / 8)
+         .alias("order_confidence_score"),
         F.when(n % 4 == 3, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("S"), _s(n % 4))).alias("s_cluster"),
         F.concat(F.lit("src"), _s(n - n % 2)).alias("skani_rep"),

@@ -1,6 +1,7 @@
-"""File sources, ingest, lake, exports, registry and streaming on small files."""
+"""File sources, ingest, lake, exports and registry on small files."""
 
 import os
+import random
 import shutil
 
 import pytest
@@ -13,6 +14,7 @@ from seqlake.operators import registry as R
 from seqlake.sinks import export as X
 from seqlake.sources import files
 from seqlake.sources.lake import open_catalog, read_mart
+from seqlake.schemas import LAKE_COLUMNS
 
 FASTA = ">g1|c_1 first record\nACGTN\nacgu\n>g1|c_2\n\n>g2_7 desc\r\nMKV\r\nLLU\r\n>orphan\nACGT\n"
 
@@ -102,8 +104,10 @@ def test_ingest_end_to_end(spark, tmp_path):
     an = write(tmp_path, "a.tsv", "#query\tseed_ortholog\tevalue\tscore\tCOG_category\ng2|g2_7\ts\t1e-9\t5\tK\n")
     root = str(tmp_path / "lake")
     report = ing.ingest(spark, meta, [fa], root, orthogroups_path=og, singletons_path=st, annotations_path=an)
-    assert report == {"records_read": 4, "records_written": 3, "records_skipped": 1}
+    assert report == {"records_read": 4, "records_written": 3, "records_skipped": 1, "ignored_columns": []}
     lake = open_catalog(spark, root)
+    assert [(f.name, f.dataType.simpleString()) for f in lake.schema.fields if f.name != "seq_type"] == [
+        x for x in LAKE_COLUMNS if x[0] != "seq_type"] and len(lake.columns) == 95
     rows = {r.gid: r for r in lake.collect()}
     assert set(rows) == {"g1|c_1", "g1|c_2", "g2|g2_7"}
     assert rows["g1|c_1"].seq_type == "NT" and rows["g1|c_1"].sequence == "ACGTNACGT"
@@ -147,22 +151,6 @@ def test_export_roundtrip_and_registry(spark, tmp_path):
     assert man.count() == 2 and R.verify_checksums(man, hashes).filter("NOT verified").count() == 0
 
 
-def test_streaming_ingest(spark, tmp_path):
-    src = tmp_path / "incoming"
-    src.mkdir()
-    (src / "one.fna").write_text(FASTA)
-    genomes = spark.createDataFrame([("g1", "OrdA"), ("g2", "OrdB")], "genome string, order string")
-    root, ck = str(tmp_path / "lake"), str(tmp_path / "ck")
-    from seqlake.streaming import stream_ingest
-    q = stream_ingest(spark, str(src), genomes, root, ck)
-    q.awaitTermination(120)
-    assert spark.read.parquet(root).count() == 3
-    (src / "two.fna").write_text(">g2|late\nACGT\n")
-    q = stream_ingest(spark, str(src), genomes, root, ck)
-    q.awaitTermination(120)
-    assert spark.read.parquet(root).count() == 4  # only the new file was processed
-
-
 def _fixture(pattern: str):
     import glob
     found = sorted(glob.glob(os.path.join(FIXTURE_DIR, pattern))) if FIXTURE_DIR else []
@@ -369,3 +357,104 @@ def test_hot_genome_spreads_over_many_files(spark, tmp_path):
     files_with_hot = (open_catalog(spark, root, view=None).filter(F.col("dataset_id") == "hot")
                       .select(F.input_file_name().alias("f")).distinct().count())
     assert files_with_hot >= 6
+
+
+def test_upsert_keeps_every_file_and_survives_rereading(spark, tmp_path):
+    df = spark.createDataFrame([(f"a|{i}", "a", "NT", "ACGT" * i) for i in range(1, 9)],
+                               "gid string, dataset_id string, seq_type string, sequence string")
+    X.export_fasta(df, str(tmp_path / "out"), "NT", num_partitions=4)
+    new = R.manifest(spark, str(tmp_path / "out" / "part-*"), "a", "fna", "v1")
+    root = f"file://{tmp_path}/registry"
+    assert R.load_products(spark, root).count() == 0
+    assert R.register_products(spark, root, new) == 1 and R.load_products(spark, root).count() == 4
+    other = new.withColumn("product", F.lit("faa"))
+    assert R.register_products(spark, root, other) == 2 and R.load_products(spark, root).count() == 8
+    newer = new.limit(3).withColumn("version", F.lit("v2")).withColumn("created_at", F.expr("created_at + interval 1 day"))
+    R.register_products(spark, root, newer)
+    stored = R.load_products(spark, root)
+    assert stored.where("product = 'fna'").count() == 3 and stored.where("product = 'faa'").count() == 4
+    one = sorted(f for f in os.listdir(tmp_path / "out") if f.startswith("part"))[0]
+    os.remove(tmp_path / "out" / f".{one}.crc")  # the local file system's own checksum would reject the file
+    with open(tmp_path / "out" / one, "a") as f:
+        f.write("tampered")
+    checked = R.verify_checksums(R.load_products(spark, root).where("product = 'faa'"),
+                                 R.file_hashes(spark, str(tmp_path / "out" / "part-*"))).collect()
+    assert sorted(r.verified for r in checked) == [False, True, True, True]
+
+
+def test_minimal_lake_has_the_whole_contract(spark, tmp_path):
+    """A six-column metadata table still gives every column, all catalogue operators and all marts."""
+    from seqlake.operators import analytics as an
+    from seqlake.operators import tables as T
+    from seqlake.operators.placement import place_genome
+    from seqlake.sinks.marts import MART_NAMES, build_marts
+
+    rng = random.Random(6)
+    fa = write(tmp_path, "nt.fna", "".join(f">g{i % 4}|c{i}\n{''.join(rng.choices('ACGT', k=300 + i))}\n" for i in range(12))
+               + ">g1|p1\nMKVLLW\n")
+    meta = write(tmp_path, "m.tsv", "genome\tskani_rep\torder\tphylum\tlenbp\textra\n"
+                 + "".join(f"g{i}\tg0\tO{i}\tP\t{i}000\tx\n" for i in range(4)))
+    root, tables = str(tmp_path / "lake"), str(tmp_path / "tables")
+    report = ing.ingest(spark, meta, [fa], root, tables_root=tables)
+    assert report == {"records_read": 13, "records_written": 13, "records_skipped": 0, "ignored_columns": ["extra"]}
+    lake = open_catalog(spark, root, view=None)
+    assert len(lake.columns) == 95 and lake.where("genome = dataset_id").count() == 13
+    assert cat.overview_metrics(lake).collect()[0].total_sequences == 13
+    assert cat.overview_metrics(lake.limit(0)).collect()[0].total_sequences == 0
+    for df in (an.cluster_summary(lake), an.taxonomy_distribution(lake, "order", "phylo"), an.environment_distribution(lake, "ecosystem"),
+               an.genome_statistics(lake), an.annotation_matrix(lake, "emapper_COG_category", "order"), T.orthogroup_stats(lake)):
+        df.collect()
+    marts = build_marts(lake, str(tmp_path / "marts"))
+    assert set(marts) == set(MART_NAMES)
+    stored = sorted(map(tuple, spark.read.parquet(marts["genome_statistics"]).collect()), key=repr)
+    assert stored == sorted(map(tuple, an.genome_statistics(lake).collect()), key=repr)
+    with pytest.raises(ValueError, match="nothing"):
+        build_marts(lake, str(tmp_path / "m2"), ["nothing"])
+    q = lake.where("dataset_id = 'g1' AND seq_type = 'NT'").select(F.lit("q1").alias("query_id"), "gid", "sequence")
+    q = spark.createDataFrame(q.collect(), q.schema)
+    assert set(os.listdir(tables)) == set(T.TABLE_NAMES)
+    tables = str(tmp_path / "dense")
+    T.write_tables(spark, root, tables, sketch_c=1)
+    read = {n: spark.read.parquet(f"{tables}/{n}") for n in T.TABLE_NAMES}
+    full = place_genome(q, lake, ani_c=1)
+    fast = place_genome(q, None, ani_c=1, genomes=read["genomes"], contigs=read["tnf"], ref_sketch=read["sketch"])
+    assert list(map(tuple, fast.collect())) == list(map(tuple, full.collect()))
+    assert full.collect()[0].ani_top_match == "g1" and full.collect()[0].ani == 100.0
+    read_from = {f.split("/")[-2] for f in fast.inputFiles()}
+    assert read_from == {"genomes", "tnf", "sketch"}  # no record of the lake
+    short = spark.createDataFrame([("s", "s|1", "ACG")], "query_id string, gid string, sequence string")
+    assert place_genome(short, lake).collect()[0].placement == "no sampled k-mers - lineage not assessed"
+
+
+def test_line_readers_odd_files(spark, tmp_path):
+    og = write(tmp_path, "og.tsv", "Species\tGenes\tConn\tg1\tg2\r\n1\t1\t0\tg1|a\t*\r\n1\t1\t0\t*\tg2|b\r\n")
+    assert {r.gid: r.orthogroup_id for r in files.read_orthogroups(spark, og).collect()} == {"g1|a": "1", "g2|b": "2"}
+    wide = "\t".join(["*"] * 3000 + ["g9|z"])
+    st = write(tmp_path, "s.tsv", f"Species\tGenes\tConn\tg1\tg2\n1\t1\t0\t*\tg2|p\r\n1\t1\t0\t{wide}\n1\t1\t0\t*\t*\n")
+    assert {r.gid for r in files.read_singletons(spark, st).collect()} == {"g2|p", "g9|z"}
+    an_ = write(tmp_path, "a.tsv", "#query\tPFAMs\tevalue\tCOG_category\nx|1\tPF1\t1e-3\tK\nx|2\tPF2\nx|1\t-\tbad\tL\r\n")
+    rows = {r.gid: r for r in files.read_annotations(spark, an_).collect()}
+    assert (rows["x|1"].emapper_PFAMs, rows["x|1"].emapper_evalue, rows["x|1"].emapper_COG_category) == (None, None, "L")
+    assert rows["x|2"].emapper_PFAMs == "PF2" and rows["x|2"].emapper_COG_category is None
+    big = write(tmp_path, "big.tsv", "h\n" + "".join(f"{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = files._numbered_lines(spark, big).where("line_no > 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.line_no, r.line) for r in rows} == {(i + 1, str(i)) for i in range(5000)}
+
+
+def test_placement_output_lists(spark, tmp_path):
+    import json
+
+    pl = spark.createDataFrame([("q1", "g0"), ("q2", None)], "query_id string, tnf_top_match string")
+    tnf = spark.createDataFrame([("q1", i + 1, f"g{i}", i / 10) for i in range(15)], "query_id string, rank int, dataset_id string, tnf_distance double")
+    ani = spark.createDataFrame([("q1", "g3", 91.0), ("q1", "g1", 97.0)], "query_id string, dataset_id string, ani double")
+    X.write_placement(pl, str(tmp_path), tnf, ani)
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tnf_matches")).count() == 15
+    rows = [json.loads(x) for f in os.listdir(tmp_path / "placement_json") if f.startswith("part")
+            for x in open(tmp_path / "placement_json" / f)]
+    q1 = next(r for r in rows if r["query_id"] == "q1")
+    assert [x["dataset_id"] for x in q1["tnf_top_matches"]] == [f"g{i}" for i in range(10)]
+    assert [x["dataset_id"] for x in q1["ani_top_matches"]] == ["g1", "g3"] and len(rows) == 2
