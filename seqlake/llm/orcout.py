@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import map_arrow, written
-from .tokens import encoder
+from .tokens import encoder, text_slices
 
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
@@ -36,20 +36,16 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # split points are sampled from a scan; texts are encoded after the exchange, once
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    tail = end_id.to_bytes(4, "little")
-
     def encode(batches):
         enc, at = encoder(tokenizer_path, spaced), 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                ids = [enc.encode(t or "") + tail for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+            for part in text_slices(batch, 1):
+                ids, bounds = enc.encode_batch(part.column(1), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.arange(at, at + len(ids), dtype=np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "row", "ids"])
-                at += len(ids)
+                    [part.column(0), pa.array(np.arange(at, at + part.num_rows, dtype=np.int64)), lists],
+                    ["doc_id", "row", "ids"])
+                at += part.num_rows
 
     (map_arrow(dealt, encode, "doc_id long, row long, ids array<int>").write
      .option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(ROW_INDEX_STRIDE))

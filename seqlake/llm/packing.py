@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .tokens import encoder
+from .tokens import encoder, text_slices
 
 #: Documents per group on average, and the tokens after which a single document goes on in another group.
 DOCS_PER_GROUP = 4096
@@ -67,20 +67,17 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, spaced: bool,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, doc_tokens, doc_crc32, ids): every text's ids and ``end_id``, cut at
     multiples of ``capacity``; ``ids`` are little-endian unsigned 32-bit integers."""
-    tail = end_id.to_bytes(4, "little")
-
     def cut(batches):
         enc = encoder(tokenizer_path, spaced)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in text_slices(batch, 1):
+                ids, bounds = enc.encode_batch(part.column(1), end_id)
                 out: list[list] = [[], [], [], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = enc.encode(text or "") + tail
-                    n, crc = len(ids) // 4, zlib.crc32(ids)
-                    for s in range(0, n, capacity):
-                        row = (doc, s, min(capacity, n - s), n, crc, ids[4 * s:4 * (s + capacity)])
-                        for col, value in zip(out, row):
+                for doc, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    crc = zlib.crc32(ids[a:b].data)
+                    for s in range(0, b - a, capacity):
+                        piece = ids[a + s:min(b, a + s + capacity)]
+                        for col, value in zip(out, (doc, s, len(piece), b - a, crc, piece.tobytes())):
                             col.append(value)
                 types = [pa.int64()] * 5 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],

@@ -1,23 +1,76 @@
 """Exact cached encoding with public tokenizer files.
 
-A byte-pair tokenizer works on pre-tokens that never cross a blank, so the ids of a text are the
-ids of its blank-delimited pieces, one after another.  Each distinct piece is given to the tokenizer
-once and its ids are remembered as little-endian bytes; a text is then one ``bytes.join``.  The
-memory of a worker is bounded by two generations of ``CACHE`` pieces.
+A byte-pair tokenizer works on pre-tokens, so the ids of a text are those of its pieces, one after another,
+if it is cut between pre-tokens only.  A batch of texts is cut in its Arrow buffer -- at blanks and
+between Latin letters and punctuation -- the distinct pieces are looked up once each, and the texts'
+ids are gathered from theirs.  Distinct pieces are encoded once and remembered; a word of Latin letters
+goes straight to the library's merge model, anything else through the whole tokenizer.  Texts with other
+characters are cut at blanks only.  A worker's memory is bounded by two generations of ``CACHE`` pieces and by
+``BATCH_BYTES`` of text (or one longer text).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
-CACHE = 250_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+
+CACHE = 300_000
+BATCH_BYTES = 6 << 20
 _LONG_PIECE = 200
 _ENCODERS: dict = {}
 
 # A cut is safe between a visible character (never white space, never a combining mark) and a blank.
 _SAFE = re.compile(r"(?<=[!-~\w])(?=[ \n])")
 _ODD = re.compile(r"[^ \n!-~\w]")
+# Precomposed Latin letters whose lower case is one letter.
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: printable bytes stand
+    for themselves, the others for the characters from 256 on, in order."""
+    keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in keep]
+    return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+# Bytes that a plain text may have: blank, line feed, visible ASCII, and the two-byte letters from U+00C0 to U+024F.
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[[0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+# Punctuation without the apostrophe, which may open a contraction.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and chr(x) != "'"]] = True
+_MULTIPLIER = 0xD6E8FEB86659FD93
+
+
+class Remembered(dict):
+    """UTF-8 text -> ids as bytes, computed on first use; the older of two generations is dropped when full."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.old = compute, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.compute(key)
+            if len(key) > _LONG_PIECE:
+                return ids
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
 
 
 class Encoder:
@@ -30,62 +83,127 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.spaced = spaced
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.merge = self.tok.model.tokenize
+        self.known = Remembered(self.piece_ids)
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces whose ids concatenate to the ids of ``text``."""
-        if _ODD.search(text):
-            return _SAFE.split(text)
+    def piece_ids(self, key: bytes) -> bytes:
+        piece = key.decode()
+        if not _WORD.fullmatch(piece):
+            return array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
         if not self.spaced:
-            return text.split()
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n"):
-            return _SAFE.split(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[p if p[:1] == "\n" else " " + p for p in rest]]
-
-    def learn(self, missing: list[str]) -> None:
-        if len(self.young) + len(missing) > CACHE:
-            self.old, self.young = self.young, {}
-        for i in range(0, len(missing), 2000):
-            part = missing[i:i + 2000]
-            for piece, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.young[piece] = _packed(enc.ids)
+            piece = piece.lower().lstrip()
+        letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """All ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        parts = self.pieces(text)
-        young, old = self.young, self.old
-        distinct = set(parts)
-        missing = []
-        for piece in distinct.difference(young):
-            known = old.get(piece)
-            if known is not None:
-                young[piece] = known
-            else:
-                missing.append(piece)
-        if missing:
-            # very long pieces are encoded for this text alone and not remembered
-            self.learn([p for p in missing if len(p) <= _LONG_PIECE])
-            young = self.young
-            if len(young) < len(distinct) or any(p not in young for p in distinct):
-                table = {p: self.lookup(p) for p in distinct}
-                return b"".join(map(table.__getitem__, parts))
-        return b"".join(map(young.__getitem__, parts))
-
-    def lookup(self, piece: str) -> bytes:
-        known = self.young.get(piece)
-        if known is None:
-            known = self.old.get(piece)
-        if known is None:
-            known = _packed(self.tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids)
-        return known
-
-
-def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+        """All ids of any text, cut at blanks, as little-endian unsigned 32-bit integers."""
+        return b"".join([self.known[p.encode()] for p in _SAFE.split(text)])
+
+    def encode_batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]], its last id is ``end_id``; null is empty."""
+        texts = pa.concat_arrays([texts.fill_null("").cast(pa.large_binary())])
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        body = texts.buffers()[2]
+        data = np.frombuffer(body, dtype=np.uint8)[offsets[0]:offsets[-1]] if body else np.zeros(0, dtype=np.uint8)
+        offsets = offsets - offsets[0]
+        starts = self.piece_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        _, first, which = np.unique(self.piece_hashes(data, starts), return_index=True, return_inverse=True)
+        raw, known, found = data.tobytes(), self.known.__getitem__, []
+        for a, b in zip(starts[first].tolist(), ends[first].tolist()):
+            piece = raw[a:b]
+            if b - a > _LONG_PIECE:  # most likely a text that is not plain
+                found.append(self.encode(piece.decode()))
+                continue
+            if not self.spaced:
+                piece = piece.strip(b" \n")
+                if piece.isalpha():  # ASCII letters only
+                    piece = piece.lower()
+            found.append(known(piece))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        table = np.frombuffer(b"".join(found), dtype="<u4")
+        size = sizes[which]
+        ids_before = np.concatenate([[0], np.cumsum(size)])
+        if ids_before[-1] >= 1 << 31:
+            raise ValueError("a text of more than 2 ** 31 tokens")
+        shift = ((np.cumsum(sizes) - sizes)[which] - ids_before[:-1]).astype(np.int32)
+        at = np.repeat(shift, size)
+        at += np.arange(ids_before[-1], dtype=np.int32)
+        bounds = ids_before[np.searchsorted(starts, offsets)] + np.arange(len(offsets))
+        out = np.full(int(bounds[-1]), end_id, dtype="<u4")
+        inner = np.ones(len(out), dtype=bool)
+        inner[bounds[1:] - 1] = False
+        out[inner] = table[at]
+        return out, bounds
+
+    def piece_starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of the pieces: of texts, and in plain texts the first blank of a run (the first other
+        character after it, if the tokenizer drops blanks) and every change between letters and marks."""
+        begin = offsets[:-1][np.diff(offsets) > 0]
+        blank = (data == 0x20) | (data == 0x0A)
+        letter, mark = _LETTER[data], _MARK[data]
+        opens = np.zeros(len(data), dtype=bool)
+        opens[1:] = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
+        if self.spaced:
+            opens[1:] |= blank[1:] & ~blank[:-1]
+            # a line feed that is a run of its own is a pre-token, and the word after it has no blank
+            single = data == 0x0A
+            single[1:] &= ~blank[:-1]
+            opens[1:] |= single[:-1] & letter[1:]
+        else:
+            opens[1:] |= ~blank[1:] & blank[:-1]
+        odd = ~_PLAIN[data]
+        # signs among the letters, a letter whose lower case is two characters, and what may be a special token
+        for first, second in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (0x3C, 0x7C)):
+            odd[:-1] |= (data[:-1] == first) & (data[1:] == second)
+        if len(begin) and odd.any():
+            sizes = np.diff(np.append(begin, len(data)))
+            opens &= np.repeat(~np.logical_or.reduceat(odd, begin), sizes)
+        opens[begin] = True
+        return np.flatnonzero(opens)
+
+    def piece_hashes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """64-bit hashes that tell the distinct pieces of one batch apart: sums of byte * R ** place mod 2 ** 64,
+        taken at places in the batch and divided by R ** start."""
+        if not len(starts):
+            return np.zeros(0, dtype=np.uint64)
+        up, down = _powers(len(data))
+        codes = data.astype(np.uint64)
+        codes += np.uint64(1)
+        if not self.spaced:
+            codes[(data == 0x20) | (data == 0x0A)] = 0
+        codes *= up
+        sums = np.add.reduceat(codes, starts) * down[starts]
+        return (sums ^ (sums >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """R ** i and R ** -i mod 2 ** 64 for i < n, kept up to the usual size of a batch."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    size = max(n, 2 * BATCH_BYTES)
+    made = []
+    for r in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
+        factors = np.full(size, r, dtype=np.uint64)
+        factors[0] = 1
+        made.append(np.multiply.accumulate(factors))
+    if size == 2 * BATCH_BYTES:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most_rows: int = 2000):
+    """``batch`` in slices of at most ``most_rows`` rows and about BATCH_BYTES of text."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        room = np.cumsum(sizes[at:at + most_rows])
+        n = max(1, int(np.searchsorted(room, BATCH_BYTES, side="right")))
+        yield batch.slice(at, n)
+        at += n
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
@@ -98,7 +216,5 @@ def encoder(path: str, spaced: bool) -> Encoder:
 
 def is_spaced(path: str) -> bool:
     """True for byte-level vocabularies that keep white space."""
-    import json
-
     with open(path, encoding="utf-8") as f:
         return json.load(f)["normalizer"] is None

@@ -1,11 +1,13 @@
 """Token ids, packing and token files against the tokenizers library called on whole texts."""
 
 import math
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from odd_texts import ODD_TEXTS
 from tokenizers import Tokenizer
@@ -25,9 +27,15 @@ def whole(path, texts, end):
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_cached_ids_equal_whole_text_ids(spark, sf, path):
     texts = ODD_TEXTS + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["Foo, bar.Baz\nQux! it's 'S x<|endoftext|>. fin.\nÇa?! ſtraße, ŉ ǆ. İx, ĳ"]
     enc = Encoder(path, is_spaced(path))
-    for text, ids in zip(texts, whole(path, texts, 0)):
+    flat, bounds = enc.encode_batch(pa.array(texts), 7)
+    for i, (text, ids) in enumerate(zip(texts, whole(path, texts, 7))):
         assert np.frombuffer(enc.encode(text or ""), dtype="<u4").tolist() == ids[:-1].tolist(), text[:60]
+        assert flat[bounds[i]:bounds[i + 1]].tolist() == ids.tolist(), text[:60]
+    sliced, bounds = enc.encode_batch(pa.array(["x", *texts[:9], None, ""]).slice(1), 7)
+    assert [len(x) for x in whole(path, [*texts[:9], None, ""], 7)] == np.diff(bounds).tolist()
+    assert enc.encode_batch(pa.array([], pa.string()), 7)[1].tolist() == [0]
 
 
 def test_cache_generations(monkeypatch):
@@ -35,9 +43,28 @@ def test_cache_generations(monkeypatch):
 
     monkeypatch.setattr(tokens, "CACHE", 5)
     enc = Encoder(WORD, False)
-    for text in ["a b c d", "c d e f g h i j k l", "a b c " * 5, "q " + "z" * 500]:
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == whole(WORD, [text], 0)[0][:-1].tolist()
-        assert len(enc.old) <= 20
+    for text in ["a b c d", "c d e f g h i j k l", "a, b. c " * 5, "q " + "z" * 500, "a B! c?! d"]:
+        assert enc.encode_batch(pa.array([text]), 9)[0].tolist() == whole(WORD, [text], 9)[0].tolist()
+        assert len(enc.known) <= 5 and len(enc.known.old) <= 5 and b"z" * 500 not in enc.known
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_random_strings_of_awkward_characters(path):
+    rng = random.Random(4)
+    alphabet = ["a", "B", "é", "İ", "ß", "'", "'s", "'T", ".", ",", "!", "<|", "|>", "<|endoftext|>", "7", "12", " ", "  ", "\n", "\n\n",
+                " \n", "\t", "\u00a0", "×", "̈", "-", "_", "(", "\"", "don't", "x"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(1, 14))) for _ in range(6000)]
+    flat, bounds = Encoder(path, is_spaced(path)).encode_batch(pa.array(texts), 5)
+    for i, (text, ids) in enumerate(zip(texts, whole(path, texts, 5))):
+        assert flat[bounds[i]:bounds[i + 1]].tolist() == ids.tolist(), repr(text)
+
+
+def test_text_slices(monkeypatch):
+    from seqlake.llm import tokens
+
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["aaaa", "bbbb", None, "c" * 50, "", "dd"])], ["i", "t"])
+    assert [p.column(0).to_pylist() for p in tokens.text_slices(batch, 1)] == [[0, 1, 2], [3], [4, 5]]
 
 
 def check_pieces(rows, docs, capacity, end):
