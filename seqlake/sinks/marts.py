@@ -23,7 +23,9 @@ MART_NAMES = ("overview", "taxonomy", "environment", "genome_statistics", "annot
 
 
 def build_marts(seqs: DataFrame, root: str, annotation_fields: list[str] | None = None,
-                metadata: DataFrame | None = None, cluster_limit: int = 1000) -> dict[str, str]:
+                metadata: DataFrame | None = None, cluster_limit: int = 1000,
+                names: tuple[str, ...] = MART_NAMES) -> dict[str, str]:
+    """M1: the marts in ``names`` below ``root``; returns their paths.  An unknown annotation field raises."""
     known = {c.lower(): c for c in seqs.columns}
     fields = annotation_fields or list(MART_FIELDS)
     missing = [f for f in fields if f.lower() not in known]
@@ -35,21 +37,23 @@ def build_marts(seqs: DataFrame, root: str, annotation_fields: list[str] | None
     slim = seqs.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     try:
-        def write(name: str, df: DataFrame, partition: str | None = None):
-            w = df.write.mode("overwrite")
+        def write(name: str, make, partition: str | None = None):
+            if name not in names:
+                return
+            w = make().write.mode("overwrite")
             if partition:
                 w = w.partitionBy(partition)
             path = f"{root.rstrip('/')}/{name}"
             w.parquet(path)
             out[name] = path
 
-        write("overview", overview_metrics(slim))
-        write("taxonomy", an.taxonomy_all_levels(slim), "source")
-        write("environment", an.environment_all_dimensions(slim), "dimension")
-        write("genome_statistics", an.genome_statistics(slim, metadata))
-        write("annotations", an.annotation_matrix_all(slim, fields), "field")
+        write("overview", lambda: overview_metrics(slim))
+        write("taxonomy", lambda: an.taxonomy_all_levels(slim), "source")
+        write("environment", lambda: an.environment_all_dimensions(slim), "dimension")
+        write("genome_statistics", lambda: an.genome_statistics(slim, metadata))
+        write("annotations", lambda: an.annotation_matrix_all(slim, fields), "field")
         # always recomputed (the reference reads this one through its own cache)
-        write("cluster_summary", an.cluster_summary(slim, cluster_limit))
+        write("cluster_summary", lambda: an.cluster_summary(slim, cluster_limit))
     finally:
         slim.unpersist()
     return out
