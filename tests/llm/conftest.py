@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from odd_texts import ODD_TEXTS
+from .odd_texts import ODD_TEXTS
 
 
 @pytest.fixture(scope="session")

@@ -6,9 +6,9 @@ from collections import defaultdict
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_decontam import words
-from test_secret_scan import plain as plain_secrets
-from test_simhash import expected as plain_components
+from .test_decontam import words
+from .test_secret_scan import plain as plain_secrets
+from .test_simhash import expected as plain_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from odd_texts import ODD_TEXTS
+from .odd_texts import ODD_TEXTS
 from tokenizers import Tokenizer
 
 from seqlake.llm import orcout, packing, queries
