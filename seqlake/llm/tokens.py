@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 CACHE = 300_000
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 _LONG_PIECE = 200
 _ENCODERS: dict = {}
 
@@ -184,13 +184,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R ** i and R ** -i mod 2 ** 64 for i < n, kept up to the usual size of a batch."""
     if _POWERS and len(_POWERS[0]) >= n:
         return _POWERS[0][:n], _POWERS[1][:n]
-    size = max(n, 2 * BATCH_BYTES)
+    size = max(n, BATCH_BYTES * 5 // 4)
     made = []
     for r in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
         factors = np.full(size, r, dtype=np.uint64)
         factors[0] = 1
         made.append(np.multiply.accumulate(factors))
-    if size == 2 * BATCH_BYTES:
+    if size == BATCH_BYTES * 5 // 4:
         _POWERS[:] = made
     return made[0][:n], made[1][:n]
 
