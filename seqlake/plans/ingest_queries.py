@@ -118,7 +118,7 @@ SELECT g.dataset_id AS genome, g."order", g.taxonomy_majority, c.taxonomy_majori
        c.gvclass_order, c.order_completeness, g.lenbp
 FROM genomes g LEFT JOIN c ON c.query = g.dataset_id""", ("genomes", "classifier_records"))
 def q_merge_classifier(spark, d):
-    base = sg.genomes(spark, d).withColumnRenamed("dataset_id", "genome")
+    base = sg.genomes(spark, d).drop("dataset_id", "gvclass_order")  # as in a metadata file: no classifier ranks
     cls = an.latest_per_key(sg.classifier_records(spark, d), "query", "row_pos") \
         .withColumnRenamed("query", "genome").drop("row_pos")
     m = ing.merge_classifier(base, cls, "genome")
