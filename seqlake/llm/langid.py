@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -63,11 +64,12 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, text_col: str =
 
     counted = map_arrow(rows.where(keep), count, "lang string, n int, gram string, c long")
     totals = counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
-    return LanguageModel(sorted(sizes), [tuple(r) for r in totals.collect()])
+    found = totals.toArrow()  # columns, not row objects: the driver holds each value once
+    return LanguageModel(sorted(sizes), zip(*(found[c].to_pylist() for c in ("lang", "n", "gram", "c"))))
 
 
 class LanguageModel:
-    def __init__(self, langs: list[str], counts: list[tuple[str, int, str, int]]):
+    def __init__(self, langs: list[str], counts: Iterable[tuple[str, int, str, int]]):
         self.langs = langs
         self.rows: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
         place = {lang: i for i, lang in enumerate(langs)}
