@@ -17,7 +17,7 @@ from seqlake.llm import decontam, langid, packing, secret_scan, simhash
 from seqlake.llm.common import reserve, written
 
 #: Documents whose predicted language is less likely than this, or that have no letter, are rejected.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
