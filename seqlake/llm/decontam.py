@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, reserve
+from .tokens import text_slices
 
 #: Words: letters and digits of ASCII and everything beyond it, A-Z in lower case.
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -186,8 +187,8 @@ def _scanner(spark, items: list, n: int, text: int, width: int):
 
     def scan(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                yield _scan(index.value, batch.slice(i, 2000), text, width)
+            for part in text_slices(batch, text, 500):
+                yield _scan(index.value, part, text, width)
     return scan
 
 
