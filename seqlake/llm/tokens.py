@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-CACHE = 300_000
+CACHE = 200_000
 BATCH_BYTES = 3 << 20
 _LONG_PIECE = 200
 _ENCODERS: dict = {}
