@@ -24,8 +24,9 @@ MAX_GRAM = 5
 MIN_COUNT = 2
 UNKNOWN = "und"
 _SMOOTH = 0.5
-_CACHE = 200_000
+_CACHE = 100_000
 _CHUNK = 50_000
+_HELD_COUNTS = 100_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -48,19 +49,21 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, text_col: str =
         keep = keep | ((F.col("lang") == lang) & (u < min(1.0, rows_per_lang / n)))
 
     def count(batches):
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word, times in Counter(_WORDS.findall(text.lower())).items():
+            for text, lang in zip(batch.column(0), batch.column(1)):
+                lang = lang.as_py()
+                for word, times in Counter(_WORDS.findall(text.as_py().lower())).items():
                     counts[lang, 0, word] += times
                     edged = f"^{word}$"
                     for n in range(1, MAX_GRAM + 1):
                         for i in range(len(edged) - n + 1):
                             counts[lang, n, edged[i:i + n]] += times
-            langs, sizes_, grams = zip(*counts) if counts else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(sizes_, pa.int32()), pa.array(grams, pa.string()),
-                 pa.array(list(counts.values()), pa.int64())], ["lang", "n", "gram", "c"])
+                if len(counts) > _HELD_COUNTS:
+                    yield _counted(counts)
+                    counts = Counter()
+        if counts:
+            yield _counted(counts)
 
     counted = map_arrow(rows.where(keep), count, "lang string, n int, gram string, c long")
     totals = counted.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
@@ -68,6 +71,13 @@ def fit(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, text_col: str =
     return LanguageModel(sorted(sizes), zip(*(found[c].to_pylist() for c in ("lang", "n", "gram", "c"))))
 
 
+def _counted(counts: Counter) -> pa.RecordBatch:
+    langs, sizes, grams = zip(*counts)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(grams, pa.string()),
+         pa.array(list(counts.values()), pa.int64())], ["lang", "n", "gram", "c"])
+
+
 class LanguageModel:
     def __init__(self, langs: list[str], counts: Iterable[tuple[str, int, str, int]]):
         self.langs = langs
