@@ -43,6 +43,7 @@ MIN_BITS = 96.0
 LENGTH_CLASSES = [16, 20, 24, 32, 48, 64, 128]
 FDR = 0.10
 _CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH
+_PARTS = [r"[^+/]{%d,}" % MIN_LENGTH, r"[^_-]{%d,}" % MIN_LENGTH]
 _BINS_PER_DECADE, _MAX_BIN = 32, 1600
 
 
@@ -158,8 +159,9 @@ def length_class(token: Column) -> Column:
 
 
 def p_bin(p: Column) -> Column:
-    """Bin of a p-value: larger is smaller p; a bin's largest p is 10 ** (-bin / 32)."""
-    return F.least(F.lit(_MAX_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-60))) * _BINS_PER_DECADE)).cast("int")
+    """Bin of a p-value: larger is smaller p; a bin's largest p is 10 ** (-bin / 32).  Null without a p-value."""
+    found = F.least(F.lit(_MAX_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-60))) * _BINS_PER_DECADE)).cast("int")
+    return F.when(p.isNotNull(), found)  # greatest and least skip nulls
 
 
 def candidates(text: Column) -> Column:
@@ -167,6 +169,19 @@ def candidates(text: Column) -> Column:
     return matches(text, _CANDIDATE, KINDS.index("random"))
 
 
+def parts(runs: Column) -> Column:
+    """The runs; one that mixes the signs of base64 and base64url, so that no encoding has all its characters, is
+    replaced by its parts of MIN_LENGTH and more between + and /, and those between - and _.  Both are
+    needed, since a key may hold the rarer signs itself; parts of the two kinds may overlap."""
+    def cut(x: Column) -> Column:
+        found = F.concat(*[matches(x["text"], p, KINDS.index("random")) for p in _PARTS])
+        return F.transform(found, lambda m: F.struct((m["start"] + x["start"]).alias("start"), (m["end"] + x["start"]).alias("end"),
+                                                     m["rank"].alias("rank"), m["text"].alias("text")))
+
+    return F.flatten(F.transform(runs, lambda x: F.when(
+        x["text"].rlike("[+/]") & x["text"].rlike("[_-]"), cut(x)).otherwise(F.array(x))))
+
+
 def tested(runs: Column) -> Column:
     """Runs that fit an encoding and carry MIN_BITS bits, as structs (start, end, rank, class, bin)."""
     rows = F.transform(runs, lambda x: F.struct(
@@ -213,9 +228,9 @@ def with_spans(docs: DataFrame, text_col: str, base_col: str, all_col: str, q: f
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base, more = reserve(docs, base_col + "__"), reserve(docs, all_col + "__")
-    least = thresholds(docs.select(F.explode(tested(candidates(text))).alias("c")).select("c.class", "c.bin"), q)
+    least = thresholds(docs.select(F.explode(tested(parts(candidates(text)))).alias("c")).select("c.class", "c.bin"), q)
     rows = docs.withColumn(base, base_spans(text))
-    rows = rows.withColumn(more, tested(apart_from(candidates(text), F.col(base))))
+    rows = rows.withColumn(more, tested(parts(apart_from(candidates(text), F.col(base)))))
     def random(r: Column) -> Column:
         limit = reduce(lambda rest, kv: F.when(r["class"] == kv[0], kv[1]).otherwise(rest), least.items(),
                        F.lit(_MAX_BIN + 1))

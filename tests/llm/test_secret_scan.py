@@ -107,6 +107,33 @@ def test_thresholds_are_benjamini_hochberg(spark):
     assert secret_scan.thresholds(df.limit(0), 0.1) == {}
 
 
+def test_runs_without_p_value_are_no_hypotheses(spark):
+    runs = ["wortzusammenhang", "a+b-c/d_e+f-g/h_i", "AbCdEfGhIjKlMnOpQrSt"]
+    df = spark.createDataFrame([(t,) for t in runs], "t string")
+    one = F.array(F.struct(F.lit(0).alias("start"), F.char_length("t").alias("end"), F.lit(3).alias("rank"), F.col("t").alias("text")))
+    assert [len(r[0]) for r in df.select(secret_scan.tested(one)).collect()] == [0, 0, 1]
+    assert df.select(secret_scan.p_bin(F.lit(None).cast("double")).alias("b")).first().b is None
+
+
+def test_keys_in_runs_of_mixed_signs_are_found(spark):
+    rng = random.Random(5)
+    alnum = string.ascii_letters + string.digits
+    words = ["".join(rng.choices(["tion", "the", "en", "sch", "ment", "er", "and", "los", "que"], k=8)) for _ in range(100)]
+    texts, wanted = [], []
+    for before, alphabet, after in (("/v1/send-message/", alnum, ""), ("/v1/x/y/", alnum + "-_", "-/z"), ("my-own_key-", alnum + "+/", "/-_")):
+        for _ in range(20):
+            key = "".join(rng.choices(alphabet, k=40))
+            texts.append(f"see {before}{key}{after}, ok")
+            wanted.append((4 + len(before), 44 + len(before)))
+    rows = secret_scan.scan(frame(spark, texts + [f"see {w}, /some/long-path/{w}, ok" for w in words])).collect()
+    found = {r.doc_id: [x for x in r.spans if secret_scan.KINDS[x.rank] == "random"] for r in rows}
+    hit = sum(any(x.start <= b and a <= x.end for x in found[i]) for i, (a, b) in enumerate(wanted))
+    assert hit >= 0.8 * len(wanted)
+    whole = sum(any(x.start <= a + 2 and b - 2 <= x.end for x in found[i]) for i, (a, b) in enumerate(wanted))
+    assert whole >= 0.7 * len(wanted)
+    assert sum(bool(found[len(wanted) + i]) for i in range(len(words))) <= 5
+
+
 def test_redaction(spark):
     docs = frame(spark, TEXTS + ["nothing here", "", None])
     rows = secret_scan.scan(docs).select("text", "spans", secret_scan.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()
