@@ -191,9 +191,25 @@ def tested(runs: Column) -> Column:
 
 
 def apart_from(runs: Column, spans: Column) -> Column:
-    """The runs that overlap none of ``spans``."""
-    return let(spans, lambda s: F.filter(runs, lambda x: ~F.exists(
-        s, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+    """What ``spans`` leave of the runs: pieces of MIN_LENGTH and more, in the same form."""
+    def gaps(x: Column, inside: Column) -> Column:
+        ends = F.concat(F.sort_array(F.transform(inside, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))),
+                        F.array(F.struct(x["end"].alias("start"), x["end"].alias("end"))))
+        found = prefix_fold(ends, x["start"], lambda at, b: F.greatest(at, b["end"]), lambda at, b: F.struct(
+            at.alias("start"), b["start"].alias("end"), x["rank"].alias("rank"),
+            F.substring(x["text"], at - x["start"] + 1, b["start"] - at).alias("text")), F.array().cast(_SPAN))
+        return F.filter(found, lambda g: g["end"] - g["start"] >= MIN_LENGTH)
+
+    def left(x: Column, spans: Column) -> Column:
+        inside = F.filter(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        return let(inside, lambda s: F.when(F.size(s) == 0, F.array(x)).otherwise(gaps(x, s)))
+
+    return let(spans, lambda s: F.flatten(F.transform(runs, lambda x: left(x, s))))
+
+
+def hypotheses(text: Column, base: Column) -> Column:
+    """What the battery tests in ``text``: the runs of token characters apart from the base spans."""
+    return tested(parts(apart_from(candidates(text), base)))
 
 
 def thresholds(runs: DataFrame, q: float) -> dict[int, int]:
@@ -228,9 +244,9 @@ def with_spans(docs: DataFrame, text_col: str, base_col: str, all_col: str, q: f
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base, more = reserve(docs, base_col + "__"), reserve(docs, all_col + "__")
-    least = thresholds(docs.select(F.explode(tested(parts(candidates(text)))).alias("c")).select("c.class", "c.bin"), q)
+    least = thresholds(docs.select(F.explode(hypotheses(text, base_spans(text))).alias("c")).select("c.class", "c.bin"), q)
     rows = docs.withColumn(base, base_spans(text))
-    rows = rows.withColumn(more, tested(parts(apart_from(candidates(text), F.col(base)))))
+    rows = rows.withColumn(more, hypotheses(text, F.col(base)))
     def random(r: Column) -> Column:
         limit = reduce(lambda rest, kv: F.when(r["class"] == kv[0], kv[1]).otherwise(rest), least.items(),
                        F.lit(_MAX_BIN + 1))

@@ -134,6 +134,22 @@ def test_keys_in_runs_of_mixed_signs_are_found(spark):
     assert sum(bool(found[len(wanted) + i]) for i in range(len(words))) <= 5
 
 
+def test_what_base_spans_leave_of_a_run_is_tested(spark):
+    rng = random.Random(6)
+    alnum = string.ascii_uppercase + "ghijklmnopqrstuvwxyz"
+    texts, wanted = [], []
+    for _ in range(20):
+        fixed, a, b = "".join(rng.choices("0123456789abcdef", k=40)), *("".join(rng.choices(alnum, k=40)) for _ in range(2))
+        texts += [f"é {fixed}-{a}", f"é {a}+{fixed}/{b}!", f"é AKIA{'AB2' * 6}_{a}", f"é {a}/token=abcdefgh12 x"]
+        wanted += [[(43, 83)], [(2, 42), (84, 124)], [(25, 65)], [(2, 42)]]
+    rows = {r.doc_id: r for r in secret_scan.scan(frame(spark, texts)).collect()}
+    spots = [(i, a, b) for i, spans in enumerate(wanted) for a, b in spans]
+    random_of = {i: [(x.start, x.end) for x in r.spans if secret_scan.KINDS[x.rank] == "random"] for i, r in rows.items()}
+    assert sum(any(s <= a and b <= e for s, e in random_of[i]) for i, a, b in spots) >= 0.8 * len(spots)
+    for i, r in rows.items():
+        assert r.base and all(e <= x.start or x.end <= s for s, e in random_of[i] for x in r.base)
+
+
 def test_redaction(spark):
     docs = frame(spark, TEXTS + ["nothing here", "", None])
     rows = secret_scan.scan(docs).select("text", "spans", secret_scan.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()
