@@ -9,17 +9,21 @@ capacity below them.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
 from .tokens import encoder, text_slices
 
-#: Documents per group on average, and the tokens after which a single document goes on in another group.
+#: Documents and bytes of text per group on average (a token but the end id has a byte at least), and the tokens
+#: after which a single document goes on in another group.
 DOCS_PER_GROUP = 4096
+BYTES_PER_GROUP = 1 << 24
 TOKENS_PER_SEGMENT = 1 << 19
 
 
@@ -65,26 +69,32 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, spaced: bool, capacity: int = 2048,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, doc_tokens, doc_crc32, ids): every text's ids and ``end_id``, cut at
-    multiples of ``capacity``; ``ids`` are little-endian unsigned 32-bit integers."""
+    """(doc_id, start, length, doc_tokens, doc_crc32, copy, ids): every text's ids and ``end_id``, cut at
+    multiples of ``capacity``; ``ids`` are little-endian unsigned 32-bit integers.  ``copy`` numbers a task's rows
+    of the same id and contents, with the task above: equal rows may swap numbers, so a task that is run
+    again in another order still gives the same rows."""
     def cut(batches):
         enc = encoder(tokenizer_path, spaced)
+        task, seen = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, Counter()
         for batch in batches:
             for part in text_slices(batch, 1):
                 ids, bounds = enc.encode_batch(part.column(1), end_id)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 for doc, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                     crc = zlib.crc32(ids[a:b].data)
+                    key = hash((doc, b - a, crc))
+                    copy = task + seen[key]
+                    seen[key] += 1
                     for s in range(0, b - a, capacity):
                         piece = ids[a + s:min(b, a + s + capacity)]
-                        for col, value in zip(out, (doc, s, len(piece), b - a, crc, piece.tobytes())):
+                        for col, value in zip(out, (doc, s, len(piece), b - a, crc, copy, piece.tobytes())):
                             col.append(value)
-                types = [pa.int64()] * 5 + [pa.binary()]
+                types = [pa.int64()] * 6 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],
-                                                 ["doc_id", "start", "length", "doc_tokens", "doc_crc32", "ids"])
+                                                 ["doc_id", "start", "length", "doc_tokens", "doc_crc32", "copy", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, cut, "doc_id long, start long, length long, doc_tokens long, doc_crc32 long, ids binary")
+    return map_arrow(rows, cut, "doc_id long, start long, length long, doc_tokens long, doc_crc32 long, copy long, ids binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, spaced: bool, capacity: int = 2048,
@@ -93,17 +103,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, spaced: bo
     """One row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset,
     sequence_tokens and padded_length (``capacity``, or ``sequence_tokens`` at a power of two).
 
-    The number of groups follows the number of documents; a group is a seeded hash of the document
-    (id and contents) and, beyond ``TOKENS_PER_SEGMENT`` tokens, of the segment, so a task holds a few
-    thousand documents whatever the input's size and however long one text is.  Null texts are empty
+    The number of groups follows the number of documents and the bytes of their texts; a group is a seeded
+    hash of the document (id and contents), its number among a task's equal rows and, beyond
+    ``TOKENS_PER_SEGMENT`` tokens, the segment, so a task holds about ``docs_per_group`` documents and
+    ``BYTES_PER_GROUP`` tokens at most, whatever the input's size, however long the texts are and however
+    often a row is repeated.  Another split of the input into tasks gives other groups.  Null texts are empty
     (the end id alone), null ids are packed like any other, equal lengths and repeated rows are placed in
     (doc_id, start) order, other columns of ``docs`` are ignored, an empty table gives no rows.
     """
-    groups = max(1, -(-docs.count() // docs_per_group))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col))).alias("bytes")).first()
+    groups = max(1, -(-size["n"] // docs_per_group), -(-(size["bytes"] or 0) // BYTES_PER_GROUP))
     pieces = cut_pieces(docs, tokenizer_path, end_id, spaced, capacity, id_col, text_col)
     segment = F.floor(F.col("start") / F.lit(TOKENS_PER_SEGMENT))
     grouped = pieces.withColumn("grp", F.pmod(F.xxhash64(
-        "doc_id", "doc_crc32", segment, F.lit(seed)), F.lit(groups)).cast("long"))
+        "doc_id", "doc_crc32", "copy", segment, F.lit(seed)), F.lit(groups)).cast("long"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending")])
@@ -116,6 +129,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, spaced: bo
             "sequence_id": pa.array((group << 32) + bins), "offset": pa.array(offsets),
             "sequence_tokens": pa.array(used), "padded_length": pa.array(padded.astype(np.int64))})
 
-    return grouped.drop("doc_crc32").groupBy("grp").applyInArrow(
+    return grouped.drop("doc_crc32", "copy").groupBy("grp").applyInArrow(
         pack, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long,"
               " sequence_tokens long, padded_length long")

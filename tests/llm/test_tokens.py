@@ -113,6 +113,22 @@ def test_packing_odd_rows_and_groups(spark, odd_docs):
     assert packing.pack_documents(odd_docs.limit(0), BYTE, 1, True).collect() == []
 
 
+def test_groups_of_long_texts_and_repeated_rows_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    books = spark.range(20, numPartitions=4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("! ab"), 1 << 19).alias("text"))
+    groups = {r.g: r.n for r in packing.pack_documents(books, BYTE, 1, True).groupBy(
+        F.shiftright("sequence_id", 32).alias("g")).agg(F.sum("length").alias("n")).collect()}
+    assert len(groups) > 1 and max(groups.values()) < 0.8 * sum(groups.values())
+    for split in (1, 30):  # copies in one task, and about two in each of many
+        same = spark.range(60, numPartitions=split).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+        rows = packing.pack_documents(same, BYTE, 1, True, docs_per_group=6).collect()
+        held = defaultdict(int)
+        for r in rows:
+            held[r.sequence_id >> 32] += 1
+        assert len(rows) == 60 and len(held) > 5 and max(held.values()) < 30
+
+
 def test_first_fit_decreasing_against_plain_search():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 101, 500)
