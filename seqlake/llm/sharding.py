@@ -4,8 +4,9 @@ Regions hold racks and racks hold shards; every shard has a weight.  A shard dra
 with u hashed from (key, shard); an inner node's draw is the least draw of its children.  The least
 of exponential draws with rates w1, w2, ... is itself exponential with rate w1 + w2 + ..., so each
 level is a weighted draw by subtree weight, and a node whose subtree is unchanged keeps its draw.
-A row descends region -> rack -> shard along least draws.  Growing a weight or adding a shard thus
-moves rows only into that shard; shrinking one moves rows only out of it.
+Descending region -> rack -> shard along least draws thus ends at the least draw of all shards, a flat law:
+regions and racks decide exact ties only.  Growing a weight or adding a shard moves rows only into
+that shard; shrinking one moves rows only out of it, to any region and rack.
 """
 
 from __future__ import annotations
