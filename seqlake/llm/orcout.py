@@ -36,8 +36,13 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # split points are sampled from a scan; texts are encoded after the exchange, once
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+
     def encode(batches):
-        enc, at = encoder(tokenizer_path, spaced), 0
+        with encoder(tokenizer_path, spaced) as enc:
+            yield from encode_with(enc, batches)
+
+    def encode_with(enc, batches):
+        at = 0
         for batch in batches:
             for part in text_slices(batch, 1):
                 ids, bounds = enc.encode_batch(part.column(1), end_id)

@@ -74,7 +74,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, spaced: bool,
     of the same id and contents, with the task above: equal rows may swap numbers, so a task that is run
     again in another order still gives the same rows."""
     def cut(batches):
-        enc = encoder(tokenizer_path, spaced)
+        with encoder(tokenizer_path, spaced) as enc:
+            yield from cut_with(enc, batches)
+
+    def cut_with(enc, batches):
         task, seen = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, Counter()
         for batch in batches:
             for part in text_slices(batch, 1):

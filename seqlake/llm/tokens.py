@@ -3,10 +3,10 @@
 A byte-pair tokenizer works on pre-tokens, so the ids of a text are those of its pieces, one after another,
 if it is cut between pre-tokens only.  A batch of texts is cut in its Arrow buffer -- at blanks and
 between Latin letters and punctuation -- the distinct pieces are looked up once each, and the texts'
-ids are gathered from theirs.  Distinct pieces are encoded once and remembered; a word of Latin letters
-goes straight to the library's merge model, anything else through the whole tokenizer.  Texts with other
-characters are cut at blanks only.  A worker's memory is bounded by two generations of ``CACHE`` pieces and by
-``BATCH_BYTES`` of text (or one longer text).
+ids are gathered from theirs.  Pieces are told apart by their bytes.  Distinct pieces are encoded once and
+remembered; a word of Latin letters goes straight to the library's merge model, anything else through the whole
+tokenizer.  Texts with other characters are cut at blanks only.  A task's memory is bounded by two generations of
+``CACHE_BYTES`` of remembered pieces and by ``BATCH_BYTES`` of text (or one longer text), and is let go at its end.
 """
 
 from __future__ import annotations
@@ -15,15 +15,18 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-CACHE = 200_000
+CACHE_BYTES = 24 << 20
+#: What an entry takes in a dictionary beside its key's and its ids' own bytes.
+ENTRY_BYTES = 200
 BATCH_BYTES = 3 << 20
 _LONG_PIECE = 200
-_ENCODERS: dict = {}
 
 # A cut is safe between a visible character (never white space, never a combining mark) and a blank.
 _SAFE = re.compile(r"(?<=[!-~\w])(?=[ \n])")
@@ -50,7 +53,6 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 # Punctuation without the apostrophe, which may open a contraction.
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and chr(x) != "'"]] = True
-_MULTIPLIER = 0xD6E8FEB86659FD93
 
 
 class Remembered(dict):
@@ -58,7 +60,7 @@ class Remembered(dict):
 
     def __init__(self, compute):
         super().__init__()
-        self.compute, self.old = compute, {}
+        self.compute, self.old, self.held = compute, {}, 0
 
     def __missing__(self, key: bytes) -> bytes:
         ids = self.old.get(key)
@@ -66,10 +68,12 @@ class Remembered(dict):
             ids = self.compute(key)
             if len(key) > _LONG_PIECE:
                 return ids
-        if len(self) >= CACHE:
+        if self.held >= CACHE_BYTES:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = ids
+        self.held += len(key) + len(ids) + ENTRY_BYTES
         return ids
 
 
@@ -107,12 +111,10 @@ class Encoder:
         data = np.frombuffer(body, dtype=np.uint8)[offsets[0]:offsets[-1]] if body else np.zeros(0, dtype=np.uint8)
         offsets = offsets - offsets[0]
         starts = self.piece_starts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        _, first, which = np.unique(self.piece_hashes(data, starts), return_index=True, return_inverse=True)
-        raw, known, found = data.tobytes(), self.known.__getitem__, []
-        for a, b in zip(starts[first].tolist(), ends[first].tolist()):
-            piece = raw[a:b]
-            if b - a > _LONG_PIECE:  # most likely a text that is not plain
+        which, distinct = distinct_pieces(data, starts)
+        known, found = self.known.__getitem__, []
+        for piece in distinct.to_pylist():
+            if len(piece) > _LONG_PIECE:  # most likely a text that is not plain
                 found.append(self.encode(piece.decode()))
                 continue
             if not self.spaced:
@@ -162,37 +164,14 @@ class Encoder:
         opens[begin] = True
         return np.flatnonzero(opens)
 
-    def piece_hashes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """64-bit hashes that tell the distinct pieces of one batch apart: sums of byte * R ** place mod 2 ** 64,
-        taken at places in the batch and divided by R ** start."""
-        if not len(starts):
-            return np.zeros(0, dtype=np.uint64)
-        up, down = _powers(len(data))
-        codes = data.astype(np.uint64)
-        codes += np.uint64(1)
-        if not self.spaced:
-            codes[(data == 0x20) | (data == 0x0A)] = 0
-        codes *= up
-        sums = np.add.reduceat(codes, starts) * down[starts]
-        return (sums ^ (sums >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-
-
-_POWERS: list[np.ndarray] = []
-
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R ** i and R ** -i mod 2 ** 64 for i < n, kept up to the usual size of a batch."""
-    if _POWERS and len(_POWERS[0]) >= n:
-        return _POWERS[0][:n], _POWERS[1][:n]
-    size = max(n, BATCH_BYTES * 5 // 4)
-    made = []
-    for r in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
-        factors = np.full(size, r, dtype=np.uint64)
-        factors[0] = 1
-        made.append(np.multiply.accumulate(factors))
-    if size == BATCH_BYTES * 5 // 4:
-        _POWERS[:] = made
-    return made[0][:n], made[1][:n]
+def distinct_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(place of each piece among the distinct ones, distinct pieces) of a buffer cut at ``starts``."""
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts),
+                                   [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = pieces.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
 
 
 def text_slices(batch: pa.RecordBatch, column: int, most_rows: int = 2000):
@@ -206,12 +185,12 @@ def text_slices(batch: pa.RecordBatch, column: int, most_rows: int = 2000):
         at += n
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
-    """One encoder per Python worker and file."""
-    key = (path, spaced)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, spaced)
-    return _ENCODERS[key]
+@contextmanager
+def encoder(path: str, spaced: bool) -> Iterator[Encoder]:
+    """An encoder for one task; what it remembers goes with it."""
+    yield (enc := Encoder(path, spaced))
+    enc.known.clear()
+    enc.known.old = {}
 
 
 def is_spaced(path: str) -> bool:

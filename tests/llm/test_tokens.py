@@ -41,13 +41,23 @@ def test_cached_ids_equal_whole_text_ids(spark, sf, path):
 def test_cache_generations(monkeypatch):
     from seqlake.llm import tokens
 
-    monkeypatch.setattr(tokens, "CACHE", 5)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1000)
     enc = Encoder(WORD, False)
     for text in ["a b c d", "c d e f g h i j k l", "a, b. c " * 5, "q " + "z" * 500, "a B! c?! d"]:
         assert enc.encode_batch(pa.array([text]), 9)[0].tolist() == whole(WORD, [text], 9)[0].tolist()
         assert len(enc.known) <= 5 and len(enc.known.old) <= 5 and b"z" * 500 not in enc.known
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_texts_that_collide_in_polynomial_hashes(path, n):
+    bits = [bin(i).count("1") & 1 for i in range(n)]  # Thue-Morse and its complement
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    flat, bounds = Encoder(path, is_spaced(path)).encode_batch(pa.array(texts), 7)
+    for i, ids in enumerate(whole(path, texts, 7)):
+        assert flat[bounds[i]:bounds[i + 1]].tolist() == ids.tolist()
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_random_strings_of_awkward_characters(path):
     rng = random.Random(4)
