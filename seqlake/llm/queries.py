@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm, langid, orcout, packing, quality, secret_scan, sharding, simhash, warc
-from .common import scratch_folder
+from . import (balltree, bpe, decontam, hmm, langid, orcout, packing, quality, secret_scan, sharding, simhash, turntrie,
+               warc)
+from .common import scratch_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,12 +132,14 @@ m AS (
     coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-    length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters,
+    length(regexp_replace(text, '[^\p{L}\p{M}]', '', 'g')) AS letters,
     length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS uppers
   FROM doc LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
+  NOT (base_failed OR ((word_chars < 2 * n_words OR word_chars > 15 * n_words)
+      AND NOT regexp_matches(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]'))
+    OR 10 * n_symbols > n_words
     OR 100 * n_dup_lines > 60 * len(ln) OR 100 * letters < 60 * word_chars OR 100 * uppers > 60 * letters
     OR 100 * len(list_filter(ln, lambda x: regexp_matches(x, '^\s*[-*•]'))) > 90 * len(ln)
     OR 100 * len(list_filter(ln, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) > 30 * len(ln)) AS kept
@@ -155,3 +158,75 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     orcout.write_token_orc(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"),
                            end_id=2, spaced=False)
     return orcout.token_digests(orcout.read_token_orc(spark, path))
+
+
+@query
+def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe.decode(bpe.encode(docs, path, bpe.build_lexicon(docs, path)), path)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                         F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+oracle("op12_ranked_search", r"""
+WITH doc AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+size AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS length FROM doc WHERE len(w) > 0),
+dt AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM doc) GROUP BY ALL),
+it AS (SELECT i, t, count(*) AS qf FROM (SELECT i, unnest(w) AS t FROM item) GROUP BY ALL),
+wt AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM dt, size GROUP BY t, n_docs),
+md AS (SELECT d, doc_id, 100 - 75 + ((75 * len(w)::BIGINT * n_docs) // length) AS m FROM doc, size),
+sc AS (SELECT i, d, sum(qf * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM it JOIN dt USING (t) JOIN wt USING (t) JOIN md USING (d) GROUP BY i, d),
+rk AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank
+  FROM sc JOIN md USING (d) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM rk JOIN item USING (i) WHERE rank <= 10
+""")
+
+
+def rebuilt_conversations(turns: DataFrame) -> DataFrame:
+    """Every conversation c with its first crc32(c) % 6 turns taken from conversation c - c % 100."""
+    conv = F.col("conv_id")
+    return turntrie.spliced(turns, conv - conv % 100, (F.crc32(conv.cast("string").cast("binary")) % 6).cast("int"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(turntrie.sequences(table(spark, sf_dir, "conversations")), "turns")
+    return turntrie.trie_nodes(rebuilt_conversations(turns))
+
+
+oracle("op13_conversation_trie", r"""
+WITH RECURSIVE step(b, k, v) AS (SELECT b, 0, b::BIGINT FROM range(256) AS r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS tab FROM step WHERE k = 8),
+o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(strlen(role)::VARCHAR || ':' || role || text)) - 1 AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_concat([4294967295],
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o), crc),
+r AS (SELECT c.conv_id, i, role, text FROM c JOIN o ON o.conv_id = base WHERE i < h
+  UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id WHERE i >= h),
+l AS (SELECT conv_id, coalesce(list({'role': role, 'text': text} ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS s
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM l),
+n AS (SELECT s[1:d] AS node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(s) = d) AS ends FROM p GROUP BY ALL),
+k AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(node[depth].text) ELSE 0 END AS own
+  FROM n LEFT JOIN k USING (node)),
+t AS (SELECT node[1:a] AS node, sum((n_children = 0)::BIGINT) AS n_leaves, sum(own) AS saved
+  FROM (SELECT node, n_children, own, unnest(range(0, depth + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN t ON t.node = m.node LEFT JOIN m AS up ON m.depth > 0 AND up.node = m.node[1:m.depth - 1]
+""")
