@@ -6,7 +6,8 @@ system it can write, and their decompressed contents are exactly the WARC record
 
 Reader: walks an archive member by member (or, in uncompressed stretches, version line by version
 line).  When a check fails -- gzip CRC, version line, Content-Length, block digest, record end -- it
-searches on for the next member or version line that passes, and reports the bytes between as a gap.
+searches on for the next member or version line that passes, and reports the bytes between as a gap.  The
+contents of a member are searched the same way, also what could be inflated of a damaged or cut one.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 #: Payloads below this many bytes are always stored as responses.
 MIN_REVISIT_BYTES = 1000
 _FEED = 1 << 14
+#: Bytes of a run of members and runs of a file: files of about 128 MB at most, or little more than one record.
+RUN_BYTES = 1 << 20
+RUNS_PER_FILE = 128
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -45,12 +49,14 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                         F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = (rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
             .withColumn("payload_bytes", F.octet_length("payload").cast("long")))
+    short, long = (rows.where(F.col("payload_bytes") < min_revisit_bytes), rows.where(F.col("payload_bytes") >= min_revisit_bytes))
     # partial aggregation first: a payload shared by a third of the pages is one row per map task
-    best = (rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy(F.col("digest").alias("of_digest"))
+    best = (long.groupBy(F.col("digest").alias("of_digest"))
             .agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    joined = rows.join(best, F.col("digest") == F.col("of_digest"), "left")
+    joined = long.join(best, F.col("digest") == F.col("of_digest"), "left")
     return joined.select("page_id", "url", "payload", "digest", "payload_bytes",
-                         F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to"))
+                         F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to")
+                         ).unionByName(short.withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, payload_bytes: int,
@@ -70,23 +76,33 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def write_warc(records: DataFrame, path: str, level: int = 1) -> None:
-    """Write the rows of :func:`plan_records` as gzip-member archives below ``path``, one file per task."""
+    """Write the rows of :func:`plan_records` as gzip-member archives below ``path``.
+
+    Rows of the sink are runs of members of about ``RUN_BYTES`` (or one larger member), and a file takes
+    ``RUNS_PER_FILE`` of them at most, so no file outgrows a reading task.
+    """
 
     def members(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500).to_pydict()
-                out = []
+                out, held = [[]], 0
                 for page, url, payload, digest, size, ref in zip(*part.values()):
                     z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    out.append(z.compress(record_bytes(page, url, payload, digest, size, ref)) + z.flush())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                    member = z.compress(record_bytes(page, url, payload, digest, size, ref)) + z.flush()
+                    if held and held + len(member) > RUN_BYTES:
+                        out.append([])
+                        held = 0
+                    out[-1].append(member)
+                    held += len(member)
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(run) for run in out], pa.binary())], ["members"])
 
     # a revisit's payload stays behind: only its length and digest are written
     rows = records.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload").cast("binary"))
                           .otherwise(F.lit(b"")).alias("payload"), "digest", "payload_bytes", "refers_to")
-    (map_arrow(rows, members, "member binary").select(F.col("member").cast("string").alias("value"))
-     .write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path))
+    (map_arrow(rows, members, "members binary").select(F.col("members").cast("string").alias("value"))
+     .write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+     .option("maxRecordsPerFile", RUNS_PER_FILE).text(path))
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict, int, int] | str:
@@ -116,77 +132,118 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int, int] | str:
     return headers, start, end + 4
 
 
-def inflate(data: memoryview, at: int) -> tuple[bytes, int] | str:
-    """(contents, end) of the gzip member at ``at``, or what is wrong with it."""
+def inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """(contents, end, fault) of the gzip member at ``at``; with a fault, what was inflated before it."""
     z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            if pos >= len(data):
-                return "member cut off"
-            step = data[pos:pos + _FEED]
+    while not z.eof:
+        if pos >= len(data):
+            return b"".join(out), pos, "member cut off"
+        step, before = data[pos:pos + _FEED], z.copy()
+        try:
             out.append(z.decompress(step))
             pos += len(step)
-    except zlib.error:
-        return "gzip check failed"
-    return b"".join(out), pos - len(z.unused_data)
+        except zlib.error:  # what this step gives up to the faulty byte
+            for i in range(len(step)):
+                try:
+                    out.append(before.decompress(step[i:i + 1]))
+                except zlib.error:
+                    return b"".join(out), pos + i, "gzip check failed"
+            return b"".join(out), pos + len(step), "gzip check failed"
+    return b"".join(out), pos - len(z.unused_data), None
+
+
+def walk(contents: bytes, proven: bool = False) -> Iterator[tuple]:
+    """('record', start, end, headers, block) and ('gap', start, end, reason, None) of uncompressed records, in order.
+
+    After a failed check the search goes on at the next version line.  ``proven`` takes only records whose block
+    digest was checked.
+    """
+    at, bad_from, reason = 0, None, ""
+    while at < len(contents):
+        record = parse_record(contents, at)
+        if not isinstance(record, str) and proven and not record[0].get("warc-block-digest", "").lower().startswith("sha1:"):
+            record = "no block digest"
+        if isinstance(record, str):
+            if bad_from is None:
+                bad_from, reason = at, record
+            following = VERSION_LINE.search(contents, at + 1)
+            at = following.start() if following else len(contents)
+            continue
+        if bad_from is not None:
+            yield "gap", bad_from, at, reason, None
+            bad_from = None
+        headers, start, end = record
+        yield "record", at, end, headers, contents[start:end - 4]
+        at = end
+    if bad_from is not None:
+        yield "gap", bad_from, len(contents), reason, None
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """('record', offset, length, headers, block) and ('gap', offset, length, reason, None) in order.
+    """('record', offset, length, headers, block), ('gap', offset, length, reason, None) and
+    ('inner gap', offset, length, (reason, start, end), None) in order of offset.
 
-    Gaps and records cover every byte but those of empty gzip members.
+    Records and gaps cover every byte but those of empty gzip members.  A member's records and its inner gaps, at
+    bytes ``start`` to ``end`` of its contents, have the member's offset and length.  A damaged member is a
+    gap; the records that it still gave, proven by their digests, stand before it.
     """
     view, starts = memoryview(data), re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
     at, bad_from, reason = 0, None, ""
+    kept: list[tuple] = []  # what damaged members of the open gap gave
+    fault_end, given = 0, set()
     while at < len(data):
-        found, end = None, at
+        found, end, fault = [], at, None
+        if at >= fault_end:
+            given = set()
         if data.startswith(GZIP_MAGIC, at):
-            member = inflate(view, at)
-            if isinstance(member, str):
-                found = member
+            contents, end, fault = inflate(view, at)
+            parts = list(walk(contents, fault is not None))
+            found = [p for p in parts if p[0] == "record"]
+            if fault:
+                kept += [("record", at, end - at, *p[3:]) for p in found if p[4] not in given]
+                given |= {p[4] for p in found}
+                fault_end = max(fault_end, end)
+            elif contents and not found:
+                fault = parts[0][3]
             else:
-                contents, end = member
-                found, pos = [], 0
-                while pos < len(contents):
-                    record = parse_record(contents, pos)
-                    if isinstance(record, str):
-                        found = record
-                        break
-                    headers, start, stop = record
-                    found.append((headers, contents[start:stop - 4]))
-                    pos = stop
+                found = [("inner gap", at, end - at, (p[3], p[1], p[2]), None) if p[0] == "gap" else ("record", at, end - at, *p[3:])
+                         for p in parts]
         else:
             record = parse_record(data, at)
             if isinstance(record, str):
-                found = record
+                fault = record
             else:
                 headers, start, end = record
-                found = [(headers, data[start:end - 4])]
-        if isinstance(found, str):
+                found = [("record", at, end - at, headers, data[start:end - 4])]
+        if fault:
             if bad_from is None:
-                bad_from, reason = at, found
+                bad_from, reason = at, fault
             following = starts.search(data, at + 1)
             at = following.start() if following else len(data)
             continue
         if bad_from is not None:
+            yield from kept
             yield "gap", bad_from, at - bad_from, reason, None
-            bad_from = None
-        for headers, block in found:
-            yield "record", at, end - at, headers, block
+            bad_from, kept = None, []
+        # inside a damaged member's bytes, a record that it gave already is not given again
+        yield from (f for f in found if f[0] != "record" or at >= fault_end or f[4] not in given)
         at = end
     if bad_from is not None:
+        yield from kept
         yield "gap", bad_from, at - bad_from, reason, None
 
 
 READ_SCHEMA = ("file string, kind string, offset long, length long, reason string, record_type string, record_id string,"
-               " refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary")
+               " refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary,"
+               " inner_start long, inner_end long")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records and gaps of every archive below ``path``: kind is ``record`` or ``gap``.
+    """Records and gaps of every archive below ``path``: kind is ``record``, ``gap`` or ``inner gap`` (bytes
+    ``inner_start`` to ``inner_end`` of a member's contents).
 
-    A task holds one archive file at a time, so a file must fit into a task; the writer's files are one shuffle
-    partition each.  ``payload`` is the body of an HTTP block (a revisit's is empty) or the whole block of
+    A task holds one archive file at a time, so a file must fit into a task; the writer bounds its files by
+    bytes.  ``payload`` is the body of an HTTP block (a revisit's is empty) or the whole block of
     other records; ``payload_bytes`` is the body's declared length for HTTP blocks.  Empty files give no rows.
     """
 
@@ -195,8 +252,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(batch.column(0), batch.column(1)):
                 rows, held, name = [], 0, name.as_py()
                 for kind, offset, length, info, block in salvage(data.as_py()):
-                    if kind == "gap":
-                        rows.append((name, kind, offset, length, info, *[None] * 7))
+                    if kind != "record":
+                        reason, *inner = (info, None, None) if kind == "gap" else info
+                        rows.append((name, kind, offset, length, reason, *[None] * 7, *inner))
                         continue
                     payload, size = block, len(block)
                     if info.get("content-type", "").startswith("application/http"):
@@ -205,7 +263,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         size = int(declared[1]) if declared else len(payload)
                     rows.append((name, kind, offset, length, None, info.get("warc-type"), info.get("warc-record-id"),
                                  info.get("warc-refers-to"), info.get("warc-target-uri"),
-                                 info.get("warc-payload-digest"), size, payload))
+                                 info.get("warc-payload-digest"), size, payload, None, None))
                     held += len(payload)
                     if held > 4 << 20:
                         yield _batch(rows)
@@ -217,8 +275,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(files, scan, READ_SCHEMA)
 
 
-_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
-_NAMES = [c.split()[0] for c in READ_SCHEMA.split(", ")]
+_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+_NAMES = [c.split()[0] for c in READ_SCHEMA.split(",")]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

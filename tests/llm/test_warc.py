@@ -68,6 +68,41 @@ def test_salvage_of_plain_records_and_failed_checks():
     assert list(warc.salvage(b"")) == [] and ids(warc.EMPTY_MEMBER * 3) == []
 
 
+def inner(data):
+    return [info[1:] for kind, _, _, info, _ in warc.salvage(data) if kind == "inner gap"]
+
+
+def test_salvage_inside_one_member():
+    rng = random.Random(4)
+    records = [member(i, rng.randbytes(40_000)) for i in range(6)]
+    ends = [sum(map(len, records[:i])) for i in range(7)]
+    bad = [*records[:2], records[2].replace(b"sha1:", b"sha1:0", 2), *records[3:]]  # one bad digest of six
+    whole = gzip.compress(b"".join(bad))
+    assert ids(whole) == names(0, 1, 3, 4, 5) and gaps(whole) == []
+    assert inner(whole) == [(ends[2], ends[2] + len(bad[2]))]
+    whole = gzip.compress(b"".join(records))
+    after = gzip.compress(member(9))
+    cut = whole[:len(whole) * 3 // 4]  # the member ends inside record 4: what inflated before is kept
+    assert ids(cut) == names(0, 1, 2, 3) and gaps(cut) == [(0, len(cut))]
+    assert ids(whole[:-8] + b"\0" * 8 + after) == names(*range(6), 9)  # the member's own check fails
+    hurt = bytearray(whole)
+    hurt[len(whole) // 2] ^= 0xFF
+    found = ids(bytes(hurt) + after)
+    assert found[:2] == names(0, 1) and found[-1:] == names(9) and len(found) == len(set(found)) >= 4
+    plain = b"".join(records) + b"junk" + after
+    assert ids(gzip.compress(plain[:-len(after)]) + after) == names(*range(6), 9)
+    assert inner(gzip.compress(b"junk" + records[0])) == [(0, 4)]
+
+
+def test_a_damaged_member_gives_no_record_twice_or_unproven():
+    stored = gzip.compress(member(1, b"y" * 300) + member(2, b"z" * 300), compresslevel=0)  # records are visible in the bytes
+    damaged = stored[:-6] + b"\0" * 6
+    assert ids(damaged + gzip.compress(member(3))) == names(1, 2, 3)
+    open_record = member(4).replace(b"WARC-Block-Digest", b"X-Block-Digest")
+    assert ids(gzip.compress(open_record)) == names(4)
+    assert ids(gzip.compress(open_record)[:-5] + b"\0" * 5) == []
+
+
 def expected(rows):
     best = {}
     for r in rows:
@@ -87,6 +122,19 @@ def test_query(spark, sf):
     assert sorted(map(tuple, rows.collect()), key=repr) == expected(spark.read.parquet(f"{sf}/pages.parquet").collect())
 
 
+def test_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN_BYTES", 5000)
+    monkeypatch.setattr(warc, "RUNS_PER_FILE", 2)
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(i, "u", rng.randbytes(1500).hex()) for i in range(60)] + [(99, "u", rng.randbytes(20_000).hex())],
+                                  "page_id long, url string, html string").coalesce(1)
+    path = scratch_folder(spark, "t-warc")
+    warc.write_warc(warc.plan_records(pages), path)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).collect()]
+    assert len(sizes) > 10 and max(sizes) < 2 * 5000 + 30_000
+    assert sorted(r.page_id for r in warc.page_captures(warc.read_warc(spark, path)).collect()) == [*range(60), 99]
+
+
 def test_odd_pages_round_trip_and_damage(spark, tmp_path):
     big = "é<b>" * 400
     rows = [(1, "http://a", big), (5, None, big), (3, "u\r\nrl \x00", big), (5, None, big), (None, "n", big), (7, "s", "tiny"),
@@ -107,6 +155,10 @@ def test_odd_pages_round_trip_and_damage(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(member(1) + b"garbage" + zlib.compress(b"q") + member(2))
     kinds = [(r.kind, r.offset) for r in warc.read_warc(spark, f"file://{tmp_path}").orderBy("offset").collect()]
     assert [k for k, _ in kinds] == ["record", "gap", "record"]
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(member(1) + b"oops" + member(2)))
+    found = warc.read_warc(spark, f"file://{tmp_path}/y.warc.gz").orderBy("kind", "record_id").collect()
+    assert [(r.kind, r.inner_start, r.inner_end) for r in found] == [
+        ("inner gap", len(member(1)), len(member(1)) + 4), ("record", None, None), ("record", None, None)]
     empty = scratch_folder(spark, "t-warc")
     warc.write_warc(warc.plan_records(pages.limit(0)), empty)
     assert warc.read_warc(spark, empty).collect() == []
