@@ -4,21 +4,21 @@ Test items become windows of ``n`` consecutive normalised words (an item of fewe
 window).  Their 64-bit hashes are broadcast as sorted arrays; every document's words are hashed in
 numpy straight from the Arrow buffer, rolling window hashes are looked up, and each hit is verified
 word by word.  Test sets larger than ``block_words`` words are scanned in blocks, each broadcast
-within that bound, whose hits add up in the documents' own rows.
+within that bound and scanned in a pass of its own, whose hits add up in the documents' own rows: a task
+never holds more than one block's index.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, reserve
+from .common import map_arrow, reserve, written
 from .tokens import text_slices
 
 #: Words: letters and digits of ASCII and everything beyond it, A-Z in lower case.
@@ -161,9 +161,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, names: dict[str, str], n: int =
     schema = ", ".join(f"`{c}` {t}" for c, t in fields)
     text, width = docs.columns.index(text_col), len(docs.columns)
     blocks = item_blocks(benchmark, block_words, item_col, item_text_col)
-    for items in chain([next(blocks, [])], blocks):
+    items = next(blocks, [])
+    while True:
         found = map_arrow(found, _scanner(docs.sparkSession, items, n, text, width), schema)
-    return found
+        items = next(blocks, None)
+        if items is None:
+            return found
+        found = written(found, "decontam-block")  # one pass and one index in a task at a time
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = BLOCK_WORDS,
