@@ -37,9 +37,10 @@ ENCODINGS = [
     ("base36", _DIGITS + _LOWER), ("BASE36", _DIGITS + _UPPER), ("base62", _DIGITS + _UPPER + _LOWER),
     ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
 ]
-#: Candidates are runs of at least MIN_LENGTH token characters that can carry MIN_BITS bits.
+#: Candidates are runs of at least MIN_LENGTH token characters that can carry MIN_BITS bits: a key of 16 letters and
+#: digits (95.3 bits) is one, a word of 16 lower-case letters (82.7) is not.  Lower bounds are a parameter.
 MIN_LENGTH = 16
-MIN_BITS = 96.0
+MIN_BITS = 95.0
 LENGTH_CLASSES = [16, 20, 24, 32, 48, 64, 128]
 FDR = 0.10
 _CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH
@@ -182,11 +183,11 @@ def parts(runs: Column) -> Column:
         x["text"].rlike("[+/]") & x["text"].rlike("[_-]"), cut(x)).otherwise(F.array(x))))
 
 
-def tested(runs: Column) -> Column:
-    """Runs that fit an encoding and carry MIN_BITS bits, as structs (start, end, rank, class, bin)."""
+def tested(runs: Column, min_bits: float = MIN_BITS) -> Column:
+    """Runs that fit an encoding and carry ``min_bits`` bits, as structs (start, end, rank, class, bin)."""
     rows = F.transform(runs, lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"),
-        length_class(x["text"]).alias("class"), p_bin(battery(x["text"], MIN_BITS)["p"]).alias("bin")))
+        length_class(x["text"]).alias("class"), p_bin(battery(x["text"], min_bits)["p"]).alias("bin")))
     return F.filter(rows, lambda r: r["bin"].isNotNull())
 
 
@@ -207,9 +208,9 @@ def apart_from(runs: Column, spans: Column) -> Column:
     return let(spans, lambda s: F.flatten(F.transform(runs, lambda x: left(x, s))))
 
 
-def hypotheses(text: Column, base: Column) -> Column:
+def hypotheses(text: Column, base: Column, min_bits: float = MIN_BITS) -> Column:
     """What the battery tests in ``text``: the runs of token characters apart from the base spans."""
-    return tested(parts(apart_from(candidates(text), base)))
+    return tested(parts(apart_from(candidates(text), base)), min_bits)
 
 
 def thresholds(runs: DataFrame, q: float) -> dict[int, int]:
@@ -235,7 +236,8 @@ def base_spans(text: Column) -> Column:
                                for rank, (_, pattern, group, least) in enumerate(PATTERNS)]))
 
 
-def with_spans(docs: DataFrame, text_col: str, base_col: str, all_col: str, q: float = FDR) -> DataFrame:
+def with_spans(docs: DataFrame, text_col: str, base_col: str, all_col: str, q: float = FDR,
+               min_bits: float = MIN_BITS) -> DataFrame:
     """``docs`` with the base spans and all spans: arrays of structs (start, end, rank), sorted, where rank
     counts the kinds assign, access, hex and random; offsets are code points, end exclusive.
 
@@ -244,9 +246,9 @@ def with_spans(docs: DataFrame, text_col: str, base_col: str, all_col: str, q: f
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base, more = reserve(docs, base_col + "__"), reserve(docs, all_col + "__")
-    least = thresholds(docs.select(F.explode(hypotheses(text, base_spans(text))).alias("c")).select("c.class", "c.bin"), q)
+    least = thresholds(docs.select(F.explode(hypotheses(text, base_spans(text), min_bits)).alias("c")).select("c.class", "c.bin"), q)
     rows = docs.withColumn(base, base_spans(text))
-    rows = rows.withColumn(more, hypotheses(text, F.col(base)))
+    rows = rows.withColumn(more, hypotheses(text, F.col(base), min_bits))
     def random(r: Column) -> Column:
         limit = reduce(lambda rest, kv: F.when(r["class"] == kv[0], kv[1]).otherwise(rest), least.items(),
                        F.lit(_MAX_BIN + 1))
@@ -278,10 +280,10 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = FDR) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = FDR, min_bits: float = MIN_BITS) -> DataFrame:
     """(doc_id, text, base, spans) of every document; other columns are ignored, whatever their names."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_spans(rows, "text", "base", "spans", q)
+    return with_spans(rows, "text", "base", "spans", q, min_bits)
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", q: float = FDR) -> DataFrame:

@@ -115,6 +115,19 @@ def test_runs_without_p_value_are_no_hypotheses(spark):
     assert df.select(secret_scan.p_bin(F.lit(None).cast("double")).alias("b")).first().b is None
 
 
+def test_keys_of_sixteen_letters_and_digits_are_tested(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices(["tion", "the", "en", "sch", "ment", "er", "and", "los", "que"], k=8)) for _ in range(300)]
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=16)) for _ in range(60)]
+    df = frame(spark, [f"see {w}, ok" for w in words + keys])
+    found = {r.doc_id for r in secret_scan.scan(df).collect() if any(secret_scan.KINDS[x.rank] == "random" for x in r.spans)}
+    assert sum(i >= len(words) for i in found) >= 0.8 * len(keys) and sum(i < len(words) for i in found) <= 6
+    # a lower bound on bits, as a parameter, takes words of 16 letters into the tests too
+    short = spark.createDataFrame([("wortzusammenhang",)], "t string")
+    one = F.array(F.struct(F.lit(0).alias("start"), F.char_length("t").alias("end"), F.lit(3).alias("rank"), F.col("t").alias("text")))
+    assert [len(short.select(secret_scan.tested(one, bits)).first()[0]) for bits in (secret_scan.MIN_BITS, 80.0)] == [0, 1]
+
+
 def test_keys_in_runs_of_mixed_signs_are_found(spark):
     rng = random.Random(5)
     alnum = string.ascii_letters + string.digits
