@@ -39,6 +39,14 @@ def test_measures_against_direct_counting(spark, odd_docs):
     assert quality.judge(docs.limit(0)).collect() == []
 
 
+def test_scripts_with_vowel_signs_or_without_blanks_are_kept(spark):
+    hindi = ["नमस्ते", "दुनिया", "किताब", "पढ़ना", "अच्छा", "विद्यालय", "मित्र", "सुंदर"]
+    texts = [" ".join(hindi[(i * i + i // 8) % 8] + str(i) for i in range(60)),
+             "".join("這是一個很長的句子沒有空格"[i % 13] for i in range(90)) + " " + " ".join("短句%d" % i for i in range(60))]
+    rows = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.rejected_by for r in sorted(rows)] == [None, None]
+
+
 def test_order_follows_rejections_per_cost():
     e = [quality.Estimate("a", 1.0, 0.1), quality.Estimate("b", 0.1, 0.1), quality.Estimate("c", 5.0, 0.9),
          quality.Estimate("d", 0.2, 0.0), quality.Estimate("e", 0.1, 0.0)]
