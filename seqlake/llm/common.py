@@ -38,7 +38,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     ship_package(spark)
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, "")
+        now = spark.conf.get(key)
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
     return df.mapInArrow(fn, schema)
