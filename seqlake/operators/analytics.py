@@ -16,11 +16,17 @@ from ..functions.taxonomy import (ENVIRONMENT_COLUMNS, PHYLO_COLUMNS, RANK_PREFI
 from ..schemas import CLASSIFIER_PREFIX
 from .common import top
 
+
 def _is(kind: str) -> Column:
     return F.col("seq_type") == kind
 
 
-def per_genome(df: DataFrame, cols, with_rows: bool = False) -> DataFrame:
+def _records(weight: str | None) -> Column:
+    """Number of records: of rows, or the sum of ``weight`` where a row stands for many records."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
+def per_genome(df: DataFrame, cols, with_rows: bool = False, weight: str | None = None) -> DataFrame:
     """One row per genome carrying genome-level columns (constant per genome in
     the catalogue contract) and optionally its record count.
 
@@ -31,7 +37,7 @@ def per_genome(df: DataFrame, cols, with_rows: bool = False) -> DataFrame:
     """
     aggs = [F.first(c, ignorenulls=True).alias(c) for c in cols]
     if with_rows:
-        aggs.append(F.count(F.lit(1)).alias("_rows"))
+        aggs.append(_records(weight).alias("_rows"))
     return df.groupBy("dataset_id").agg(*aggs)
 
 
@@ -89,9 +95,9 @@ def environment_distribution(seqs: DataFrame, dimension: str, n: int | None = 30
     return _genomes_per_label(per_genome(seqs, [dimension], with_rows=True), label, n, with_rows=True)
 
 
-def environment_all_dimensions(seqs: DataFrame) -> DataFrame:
+def environment_all_dimensions(seqs: DataFrame, weight: str | None = None) -> DataFrame:
     """U2 for environments: all six dimensions in one scan (long format)."""
-    g = per_genome(seqs, list(ENVIRONMENT_COLUMNS), with_rows=True)
+    g = per_genome(seqs, list(ENVIRONMENT_COLUMNS), with_rows=True, weight=weight)
     pairs = [F.struct(F.lit(d).alias("dimension"), clean_label(F.col(d), na_is_missing=False).alias("label"))
              for d in ENVIRONMENT_COLUMNS]
     long = g.select("_rows", F.explode(F.array(*pairs)).alias("p")).select("_rows", "p.*")
@@ -166,24 +172,36 @@ def annotation_matrix(seqs: DataFrame, field: str = "emapper_cog_category", leve
     return top(g, n, F.col("sequences").desc(), F.col(rank_col), F.col("annotation_value"))
 
 
+def annotation_counts(seqs: DataFrame, fields: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, taxonomy_majority, field, annotation_value, sequences): proteins per lineage and value of every field.
+
+    Fields are exploded first, so a row of the partial aggregate is one value of one field, never a
+    combination of values of several.
+    """
+    values = [F.struct(F.lit(f).alias("field"),
+                       F.coalesce(F.nullif(F.col(f), F.lit("")), F.lit("Unannotated")).alias("annotation_value")) for f in fields]
+    long = seqs.filter(_is("AA")).select(*by, "taxonomy_majority", F.explode(F.array(*values)).alias("f"))
+    return long.groupBy(*by, "taxonomy_majority", F.col("f.field").alias("field"),
+                        F.col("f.annotation_value").alias("annotation_value")).agg(F.count(F.lit(1)).alias("sequences"))
+
+
+def matrix_of_counts(counts: DataFrame, levels: tuple[str, ...] = ("order", "family", "genus", "class", "phylum", "domain"),
+                     anchored: bool = True) -> DataFrame:
+    """(field, level, rank_label, annotation_value, sequences) of :func:`annotation_counts`."""
+    lv = [F.struct(F.lit(l).alias("level"),
+                   clean_label(rank_raw(F.col("taxonomy_majority"), l, anchored)).alias("rank_label"))
+          for l in levels]
+    long = counts.select("field", "annotation_value", "sequences", F.explode(F.array(*lv)).alias("l"))
+    return long.groupBy("field", F.col("l.level").alias("level"), F.col("l.rank_label").alias("rank_label"),
+                        "annotation_value").agg(F.sum("sequences").alias("sequences"))
+
+
 def annotation_matrix_all(seqs: DataFrame, fields: list[str],
                           levels: tuple[str, ...] = ("order", "family", "genus", "class", "phylum", "domain"),
                           anchored: bool = True) -> DataFrame:
     """U2 for annotations: every (field, level) matrix from ONE scan, long format
     (field, level, rank_label, annotation_value, sequences)."""
-    aa = (seqs.filter(_is("AA")).groupBy("taxonomy_majority", *fields).agg(F.count(F.lit(1)).alias("_n")))
-    lv = [F.struct(F.lit(l).alias("level"),
-                   clean_label(rank_raw(F.col("taxonomy_majority"), l, anchored)).alias("rank_label"))
-          for l in levels]
-    fv = [F.struct(F.lit(f).alias("field"),
-                   F.coalesce(F.nullif(F.col(f), F.lit("")), F.lit("Unannotated")).alias("annotation_value"))
-          for f in fields]
-    long = (aa.select(F.explode(F.array(*lv)).alias("l"), "_n", *[F.col(f) for f in fields])
-            .select("l", "_n", F.explode(F.array(*fv)).alias("f")))
-    return (long.groupBy(F.col("f.field").alias("field"), F.col("l.level").alias("level"),
-                         F.col("l.rank_label").alias("rank_label"),
-                         F.col("f.annotation_value").alias("annotation_value"))
-            .agg(F.sum("_n").alias("sequences")))
+    return matrix_of_counts(annotation_counts(seqs, fields), levels, anchored)
 
 
 def filter_unannotated(matrix: DataFrame, include_unannotated: bool = False) -> DataFrame:
@@ -202,7 +220,7 @@ def annotation_pivot(matrix: DataFrame, values: list[str] | None = None, rank_co
     return m.groupBy(rank_col).pivot("annotation_value", values).agg(F.sum("sequences")).na.fill(0)
 
 
-def cluster_summary(seqs: DataFrame, n: int | None = 50, anchored: bool = True) -> DataFrame:
+def cluster_summary(seqs: DataFrame, n: int | None = 50, anchored: bool = True, weight: str | None = None) -> DataFrame:
     """ANI clusters with genome counts, representative counts and an order label.
 
     ``representatives`` counts records of representative genomes (reference
@@ -214,7 +232,7 @@ def cluster_summary(seqs: DataFrame, n: int | None = 50, anchored: bool = True)
     nt = seqs.filter(_is("NT"))
     raw = F.nullif(F.nullif(rank_raw(F.col("taxonomy_majority"), "order", anchored), F.lit("")), F.lit("NA"))
     per_genome = nt.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("_rows"),
+        _records(weight).alias("_rows"),
         F.first("s_cluster", ignorenulls=True).alias("s_cluster"),
         F.first("is_skani_representative", ignorenulls=True).alias("_rep"),
         F.min(raw).alias("_order"))

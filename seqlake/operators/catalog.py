@@ -120,12 +120,21 @@ def overview_metrics(seqs: DataFrame, approximate: bool = False) -> DataFrame:
     Expand that copies every record once per distinct aggregate.
     ``approximate=True`` uses HyperLogLog sketches on the genome rows.
     """
+    return overview_of(overview_state(seqs), approximate)
+
+
+def overview_state(seqs: DataFrame) -> DataFrame:
+    """What the overview needs of every genome: records, GC sum and count of nucleotide records, three labels."""
     nt_gc = F.when((F.col("seq_type") == "NT") & F.col("gc_content").isNotNull(), F.col("gc_content"))
-    per_genome = seqs.groupBy("dataset_id").agg(
+    return seqs.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.sum(nt_gc.cast("double")).alias("_gc_sum"),
         F.count(nt_gc).alias("_gc_n"),
         *[F.first(c, ignorenulls=True).alias(c) for c in ("taxonomy_majority", "gvclass_species", "s_cluster")])
+
+
+def overview_of(per_genome: DataFrame, approximate: bool = False) -> DataFrame:
+    """The overview's row from one row per genome."""
     cd = (lambda c: F.approx_count_distinct(c)) if approximate else (lambda c: F.countDistinct(c))
     return per_genome.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_sequences"),

@@ -37,3 +37,11 @@ def map_in_pandas(df: DataFrame, fn, schema) -> DataFrame:
 
     ship_package(df.sparkSession)
     return df.mapInPandas(fn, schema)
+
+
+def map_in_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` after making sure executors can import ``seqlake``."""
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)

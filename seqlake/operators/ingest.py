@@ -10,6 +10,9 @@ as zstd parquet partitioned by ``seq_type``.
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from .. import schemas as S
 from ..functions.sequence import gc_col, header_cols, normalise_sequence, seq_type_col
 from .analytics import latest_per_key
 
+
 def parse_records(records: DataFrame, id_col: str = "record_id", seq_col: str = "sequence",
                   protein_u_to_t: bool = False) -> DataFrame:
     """(record id, raw sequence) -> gid, dataset_id, header, seq_type, length, gc, sequence."""
@@ -135,8 +139,70 @@ def extra_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.lower() not in known]
 
 
+#: Places of the input that the layout is sampled at, and the bytes read at each.
+SAMPLED_PLACES = 256
+SAMPLED_BYTES = 64 << 10
+
+
+def sampled_headers(spark, paths: list[str], places: int = SAMPLED_PLACES, each: int = SAMPLED_BYTES) -> list[str]:
+    """Titles of FASTA records at evenly spaced places of the files: where the bytes are, records are sampled.
+
+    Reads ``places`` times ``each`` bytes at most, whatever the input's size; compressed files have no
+    places and give none.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = []
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(conf)
+        for found in fs.globStatus(place) or []:
+            inside = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+            files += [(fs, f.getPath(), f.getLen()) for f in inside if f.isFile() and f.getLen()
+                      and not f.getPath().getName().startswith(("_", ".")) and not f.getPath().getName().endswith((".gz", ".bz2", ".zst"))]
+    total, titles, before = sum(n for *_, n in files), [], 0
+    for fs, path, n in files:
+        mine = [i for i in range(places) if before <= (i + 0.5) * total / places < before + n]
+        before += n
+        if not mine:
+            continue
+        stream = fs.open(path)
+        try:
+            for i in mine:
+                at = max(0, min(int((i + 0.5) * total / places) - before + n, n - 1))
+                stream.seek(at)
+                text = bytes(stream.readNBytes(min(each, n - at))).decode("utf-8", "replace")
+                start = 0 if at == 0 and text.startswith(">") else text.find("\n>") + 1
+                if start or at == 0 and text.startswith(">"):
+                    title = text[start + 1:].split("\n", 1)[0].split()
+                    titles += title[:1]
+        finally:
+            stream.close()
+    return titles
+
+
+def range_bounds(titles: DataFrame, partitions: int) -> list[tuple[str, str]]:
+    """At most ``partitions - 1`` ascending (dataset_id, gid) that cut the sampled records into equal parts."""
+    dataset, header = header_cols(F.col("record_id"))
+    keys = sorted((r["d"], r["g"]) for r in titles.select(dataset.alias("d"), F.concat_ws("|", dataset, header).alias("g")).collect())
+    cuts = [keys[len(keys) * i // partitions] for i in range(1, partitions)] if keys else []
+    return sorted(set(cuts))
+
+
+def _part(bounds: list[tuple[str, str]], partitions: int) -> Column:
+    """Number of the range that (dataset_id, gid) falls into; without bounds, a hash of the gid."""
+    if not bounds:
+        return F.pmod(F.xxhash64("gid"), F.lit(partitions)).cast("int")
+
+    # annotations must be types here, not strings
+    def part(dataset, gid):
+        return pd.Series([bisect.bisect_right(bounds, key) for key in zip(dataset, gid)], dtype="int32")
+
+    part.__annotations__ = {"dataset": pd.Series, "gid": pd.Series, "return": pd.Series}
+    return F.pandas_udf("int")(part)("dataset_id", "gid")
+
+
 def write_sequences(df: DataFrame, root: str, num_partitions: int, mode: str = "overwrite",
-                    compute_tnf: bool = False) -> int:
+                    compute_tnf: bool = False, bounds: list[tuple[str, str]] | None = None) -> int:
     """Sorted lake: range partitions on (dataset_id, gid), zstd, by seq_type; returns the records written.
 
     Sorting makes row-group min/max statistics selective for every reference
@@ -144,34 +210,52 @@ def write_sequences(df: DataFrame, root: str, num_partitions: int, mode: str = "
     partitioning on (dataset_id, gid) splits a hot genome over many tasks.
     ``overwrite`` replaces earlier files (re-ingest never duplicates).
 
-    The exchange samples its input once more, so vectors are computed and records counted
-    after it, once per record.
+    With ``bounds`` (from :func:`range_bounds`) ``df`` is computed once; without them Spark's range exchange
+    computes it a second time for its own sample.  Vectors are computed and records counted after the
+    exchange, once per record.  Every column group of a file has a Bloom filter on gid, so a lookup of an id within a
+    file's range that the file does not hold reads no sequence pages.
     """
+    from ..session import ship_package
     from .kmers import add_tnf
 
+    ship_package(df.sparkSession)
     obs = Observation("ingest")
-    out = df.repartitionByRange(num_partitions, "dataset_id", "gid").observe(obs, F.count(F.lit(1)).alias("written"))
-    out = out.sortWithinPartitions("dataset_id", "gid")
+    if bounds is None:
+        out = df.repartitionByRange(num_partitions, "dataset_id", "gid")
+    else:
+        dealt = df.withColumn("_part", _part(bounds, num_partitions))
+        out = dealt.repartitionById(num_partitions, F.col("_part")).drop("_part")
+    out = out.observe(obs, F.count(F.lit(1)).alias("written")).sortWithinPartitions("dataset_id", "gid")
     if compute_tnf:
         out = add_tnf(out)
-    to_contract(out).write.mode(mode).option("compression", "zstd").option(
-        "maxRecordsPerFile", 5_000_000).partitionBy("seq_type").parquet(root)
+    to_contract(out).write.mode(mode).options(**LAKE_OPTIONS).partitionBy("seq_type").parquet(root)
     return int(obs.get["written"])
 
 
+#: Of the lake's Parquet files.  The Bloom filter's size follows the ids of a row group.
+LAKE_OPTIONS = {"compression": "zstd", "maxRecordsPerFile": "5000000", "parquet.bloom.filter.enabled#gid": "true",
+                "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(4 << 20)}
+
+
 def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
            classifier_path: str | None = None, orthogroups_path: str | None = None,
            singletons_path: str | None = None, annotations_path: str | None = None,
-           num_partitions: int | None = None, compute_tnf: bool = True, tables_root: str | None = None) -> dict:
+           num_partitions: int | None = None, compute_tnf: bool = True, tables_root: str | None = None,
+           versioned: bool = False) -> dict:
     """Metadata -> (annotations if all three given) -> NT and AA -> lake.
 
-    Records of genomes without metadata are dropped before anything is shuffled.
-    The report counts records read, written and skipped and names input
-    columns that the lake contract has no place for.  With ``tables_root`` the
-    normalised tables (genomes, taxonomy, annotations, orthogroups, tnf, sketch) are written too.
+    The FASTA files are read once: the layout comes from titles sampled at a bounded number of places, and
+    records are counted as they are read.  Records of genomes without metadata are dropped before anything is shuffled.
+    The report counts records read, written and skipped and names input columns that the lake contract has
+    no place for.  With ``tables_root`` the normalised tables (genomes, taxonomy, annotations, orthogroups, tnf,
+    sketch) are written too.
+
+    ``versioned`` commits to a versioned lake (:mod:`.snapshots`): the genomes of the metadata file, and no others, are
+    replaced, and the report has the new ``version``.  Without it the lake below ``root`` is replaced.
     """
     from ..sources import files
     from .common import input_bytes, partitions_for
+    from .snapshots import commit_genomes, read_snapshot
 
     meta = files.read_metadata(spark, metadata_path, with_position=True)
     cls = None
@@ -187,14 +271,26 @@ def ingest(spark, metadata_path: str, fasta_paths: list[str], root: str,
     for p in fasta_paths:
         r = files.read_fasta(spark, p).select("record_id", "sequence")
         records = r if records is None else records.unionByName(r)
+    n = num_partitions or partitions_for(input_bytes(spark, fasta_paths))
+    titles = spark.createDataFrame([(t,) for t in sampled_headers(spark, fasta_paths)], "record_id string")
+    bounds = range_bounds(titles, n)
+    obs = Observation("ingest_read")
+    records = records.observe(obs, F.count(F.lit(1)).alias("read"))
     wide = build_sequences(records, genomes.withColumn("_genome", F.col("genome")), members, singletons, annotations)
     wide = wide.withColumnRenamed("_genome", "genome")
-    n = num_partitions or partitions_for(input_bytes(spark, fasta_paths))
-    written = write_sequences(wide, root, n, compute_tnf=compute_tnf)
-    read = records.count()
+    report = {}
+
+    def write(folder: str) -> None:
+        report["records_written"] = write_sequences(wide, folder, n, compute_tnf=compute_tnf, bounds=bounds)
+
+    if versioned:
+        version = commit_genomes(spark, root, genomes.select(F.col("genome").alias("dataset_id")), write)
+    else:
+        write(root)
+    read, written = int(obs.get["read"]), report["records_written"]
     if tables_root:
         from .tables import write_tables
 
-        write_tables(spark, root, tables_root)
+        write_tables(spark, root, tables_root, seqs=read_snapshot(spark, root, version) if versioned else None)
     return {"records_read": read, "records_written": written, "records_skipped": read - written,
-            "ignored_columns": extra_columns(genomes)}
+            "ignored_columns": extra_columns(genomes)} | ({"version": version} if versioned else {})

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kmers import genome_tnf, tnf_136
+from .metric_index import nearest_indexed
 from .search import ani_estimate, sketch
-from .similarity import longest_contig, nearest
+from .similarity import longest_contig, nearest, without_self
 
 TNF_CANDIDATE_COLS = ["dataset_id", "gid", "contig_length", "lenbp", "gcperc", "common_name", "phylum",
                       "order", "taxonomy_majority", "s_cluster", "skani_rep"]
@@ -52,17 +53,23 @@ def tnf_candidates(seqs: DataFrame, dataset_filter: str | None = None, genomes:
 
 def nearest_by_tnf(query_vectors: DataFrame, seqs: DataFrame, metric: str = "cosine", k: int = 10,
                    dataset_filter: str | None = None, exclude_self: bool = False,
-                   genomes: DataFrame | None = None, contigs: DataFrame | None = None) -> DataFrame:
-    """V7: (query_id, tnf_136) vectors -> top-k catalogue genomes by TNF distance."""
-    cand = tnf_candidates(seqs, dataset_filter, genomes, contigs)
-    res = nearest(query_vectors.select("query_id", F.col("tnf_136").alias("vector")),
-                  cand.withColumnRenamed("tnf_136", "vector"), k=k if not exclude_self else k + 1,
-                  metric=metric, order_cols=("dataset_id",), distance_col="tnf_distance")
+                   genomes: DataFrame | None = None, contigs: DataFrame | None = None,
+                   index: str | None = None) -> DataFrame:
+    """V7: (query_id, tnf_136) vectors -> top-k catalogue genomes by TNF distance.
+
+    ``index`` is a stored metric index (:mod:`.metric_index`) of :func:`tnf_candidates` with the same metric; with
+    it nothing else is read, and ``seqs`` may be None.
+    """
+    wanted = k if not exclude_self else k + 1
+    vectors = query_vectors.select("query_id", F.col("tnf_136").alias("vector"))
+    if index is not None:
+        res = nearest_indexed(vectors, index, wanted, order_cols=("dataset_id",), distance_col="tnf_distance")
+    else:
+        cand = tnf_candidates(seqs, dataset_filter, genomes, contigs)
+        res = nearest(vectors, cand.withColumnRenamed("tnf_136", "vector"), k=wanted, metric=metric,
+                      order_cols=("dataset_id",), distance_col="tnf_distance")
     if exclude_self:
-        res = res.filter(F.col("query_id") != F.col("dataset_id"))
-        from pyspark.sql import Window
-        w = Window.partitionBy("query_id").orderBy("tnf_distance", "dataset_id")
-        res = res.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        res = without_self(res, k, "query_id", "dataset_id", "tnf_distance", ("dataset_id",))
     return res.withColumn("tnf_distance", F.greatest(F.col("tnf_distance"), F.lit(0.0)))
 
 

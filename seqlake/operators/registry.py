@@ -4,7 +4,8 @@ The registry is a small table of (dataset_id, product, uri, sha256, version,
 created_at).  A product may have many files: an upsert keeps every file of the newest
 version of each (dataset, product).  Checksums are recomputed for every file in one
 ``binaryFile`` job, never file by file on the driver.  The table lives in Parquet,
-one folder per revision, so a reader never sees a half-written registry.
+one table per revision, and a revision is published by one atomic file (:mod:`.snapshots`): a reader never sees a
+half-written registry, and of two writers the later one upserts into the earlier one's table.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import PRODUCTS
 from .analytics import latest_per_key
+from .snapshots import current, publish
 
 KEY = ["dataset_id", "product"]
 
@@ -38,28 +40,15 @@ def upsert_products(products: DataFrame, new: DataFrame) -> DataFrame:
     return newest_version(both).dropDuplicates([*KEY, "uri"])
 
 
-def load_products(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete revision of the registry; an empty table if there is none."""
-    revision = _revisions(spark, root)[-1:]
-    if not revision:
-        return spark.createDataFrame([], PRODUCTS)
-    return spark.read.schema(PRODUCTS).parquet(f"{root}/revision={revision[0]:08d}")
+def load_products(spark: SparkSession, root: str, revision: int | None = None) -> DataFrame:
+    """A revision of the registry (default: the newest); an empty table if there is none."""
+    return current(spark, root, "tables", PRODUCTS, revision)
 
 
 def register_products(spark: SparkSession, root: str, new: DataFrame) -> int:
     """Upsert ``new`` into the stored registry; returns the revision written."""
-    revision = (_revisions(spark, root) or [0])[-1] + 1
-    out = upsert_products(load_products(spark, root), new.select(*PRODUCTS.fieldNames()))
-    out.write.option("compression", "zstd").parquet(f"{root}/revision={revision:08d}")
-    return revision
-
-
-def _revisions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the complete revisions, ascending."""
-    jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/revision=*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+    rows = new.select(*PRODUCTS.fieldNames())
+    return publish(spark, root, "tables", PRODUCTS, lambda stored: upsert_products(stored, rows))
 
 
 def list_products(products: DataFrame, dataset_id: str | None = None, product: str | None = None) -> DataFrame:
@@ -72,7 +61,8 @@ def list_products(products: DataFrame, dataset_id: str | None = None, product: s
 
 
 def get_product(products: DataFrame, dataset_id: str, product: str) -> DataFrame:
-    return latest_products(list_products(products, dataset_id, product))
+    """Every file of the product's newest version."""
+    return newest_version(list_products(products, dataset_id, product))
 
 
 def file_hashes(spark: SparkSession, path_glob: str) -> DataFrame:

@@ -22,11 +22,14 @@ Protein searches score blocks of queries against chunks of targets
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .blocks import score_in_blocks
-from .common import map_in_pandas
+from .common import map_in_arrow, map_in_pandas
 
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -57,6 +60,11 @@ def _codes_per_row(df: DataFrame, owner_col: str, seq_col: str, fn) -> DataFrame
     return map_in_pandas(df.select(owner_col, seq_col), run, schema).distinct()
 
 
+#: Owners of one code that one partition of a stored sketch holds; a code with more is split.
+CODE_OWNERS = 50_000
+SKETCH_BUCKETS = 256
+
+
 def write_sketch(seqs: DataFrame, path: str, owner_col: str = "dataset_id", k: int = 16, c: int = 1000) -> None:
     """Store the reference sketch (owner, code) once, clustered by code so a
     later join reads it without a shuffle-heavy rebuild."""
@@ -65,6 +73,49 @@ def write_sketch(seqs: DataFrame, path: str, owner_col: str = "dataset_id", k: i
      .write.mode("overwrite").option("compression", "zstd").parquet(path))
 
 
+def store_sketch(seqs: DataFrame, path: str, owner_col: str = "dataset_id", k: int = 16, c: int = 1000,
+                 buckets: int = SKETCH_BUCKETS, code_owners: int = CODE_OWNERS) -> None:
+    """Store the sketch of every owner, co-partitioned for joins on the code.
+
+    ``codes`` is bucketed and sorted by (code, split), so a search joins it where it lies.  A code of more than
+    ``code_owners`` owners is split by a hash of the owner; ``splits`` names these codes and ``owners`` the size of every
+    sketch.  ``buckets`` should reach the session's number of shuffle partitions, or Spark deals both sides anew.
+    """
+    spark = seqs.sparkSession
+    found = sketch(seqs.filter(F.col("seq_type") == "NT") if "seq_type" in seqs.columns else seqs, owner_col, k, c)
+    raw = scratch_path(spark, "sketch")
+    found.write.parquet(raw)
+    found = spark.read.schema(found.schema).parquet(raw)
+    splits = found.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > code_owners) \
+                  .select("code", F.ceil(F.col("n") / code_owners).cast("int").alias("splits"))
+    splits.write.mode("overwrite").parquet(f"{path}/splits")
+    splits = spark.read.schema("code long, splits int").parquet(f"{path}/splits")
+    dealt = found.join(splits, "code", "left").withColumn(
+        "split", F.coalesce(F.pmod(F.xxhash64(owner_col), F.col("splits")), F.lit(0)).cast("int")).drop("splits")
+    name = f"sketch_{uuid.uuid4().hex}"
+    (dealt.write.mode("overwrite").option("compression", "zstd").option("path", f"{path}/codes")
+     .bucketBy(buckets, "code", "split").sortBy("code", "split").saveAsTable(name))
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table is external
+    found.groupBy(owner_col).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/owners")
+    spark.createDataFrame([(owner_col, found.schema[owner_col].dataType.simpleString(), k, c, buckets)],
+                          "owner_col string, owner_type string, k int, c int, buckets int").coalesce(1) \
+         .write.mode("overwrite").parquet(f"{path}/meta")
+
+
+class StoredSketch:
+    """A sketch written by :func:`store_sketch`; ``codes`` is read as the bucketed table that it is."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        meta = spark.read.parquet(f"{path}/meta").first()
+        self.owner_col, self.k, self.c = meta["owner_col"], meta["k"], meta["c"]
+        name = f"sketch_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {name} (`{self.owner_col}` {meta['owner_type']}, code BIGINT, split INT) USING parquet "
+                  f"CLUSTERED BY (code, split) SORTED BY (code, split) INTO {meta['buckets']} BUCKETS LOCATION '{path}/codes'")
+        self.codes = spark.table(name)
+        self.splits = spark.read.schema("code long, splits int").parquet(f"{path}/splits")
+        self.owners = spark.read.parquet(f"{path}/owners")
+
+
 def sketch(seqs: DataFrame, owner_col: str, k: int = 16, c: int = 1000, seq_col: str = "sequence") -> DataFrame:
     """Distinct sampled canonical k-mer codes per owner: (owner, code).
 
@@ -79,19 +130,28 @@ def sketch(seqs: DataFrame, owner_col: str, k: int = 16, c: int = 1000, seq_col:
 
 def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame | None, k: int = 16, c: int = 1000,
                  min_ani: float | None = 80.0, query_col: str = "query_id", ref_col: str = "dataset_id",
-                 ref_sketch: DataFrame | None = None) -> DataFrame:
+                 ref_sketch: DataFrame | StoredSketch | None = None) -> DataFrame:
     """(query, ref, shared, query_kmers, ref_kmers, containment, ani).
 
-    ``ref_sketch``: a stored (ref_col, code) sketch table built once with
-    :func:`sketch` (same k and c) -- then only the queries are sketched.
+    ``ref_sketch``: a sketch built once (same k and c), then only the queries are sketched.  A
+    :class:`StoredSketch` is joined where it lies, without an exchange of its codes; a (ref_col, code) table is joined as any.
     """
     qs = sketch(query_seqs, query_col, k, c).withColumnRenamed(query_col, "_q")
-    rs = (ref_sketch if ref_sketch is not None else sketch(ref_seqs, ref_col, k, c)) \
-        .select(F.col(ref_col).alias("_r"), "code")
     qn = qs.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
-    rn = rs.groupBy("_r").agg(F.count(F.lit(1)).alias("ref_kmers"))
-    shared = (rs.join(qs, "code")
-              .groupBy("_q", "_r").agg(F.count(F.lit(1)).alias("shared")))
+    if isinstance(ref_sketch, StoredSketch):
+        if (ref_sketch.k, ref_sketch.c) != (k, c):
+            raise ValueError(f"the stored sketch has k={ref_sketch.k}, c={ref_sketch.c}")
+        rs = ref_sketch.codes.withColumnRenamed(ref_sketch.owner_col, "_r")
+        rn = ref_sketch.owners.select(F.col(ref_sketch.owner_col).alias("_r"), F.col("n").alias("ref_kmers"))
+        asked = qs.join(ref_sketch.splits, "code", "left").select(
+            "_q", "code", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("split"))
+        pairs = rs.join(asked, ["code", "split"])
+    else:
+        rs = (ref_sketch if ref_sketch is not None else sketch(ref_seqs, ref_col, k, c)) \
+            .select(F.col(ref_col).alias("_r"), "code")
+        rn = rs.groupBy("_r").agg(F.count(F.lit(1)).alias("ref_kmers"))
+        pairs = rs.join(qs, "code")
+    shared = pairs.groupBy("_q", "_r").agg(F.count(F.lit(1)).alias("shared"))
     out = (shared.join(qn, "_q").join(rn, "_r")
            .withColumn("containment", F.col("shared") / F.col("query_kmers"))
            .withColumn("ani", F.lit(100.0) * F.pow(F.col("containment"), F.lit(1.0 / k))))
@@ -101,6 +161,26 @@ def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame | None, k: int = 16,
                       "ref_kmers", "containment", "ani")
 
 
+def protein_codes(seqs: DataFrame, id_cols: list[str], seq_col: str = "sequence", k: int = 5,
+                  alphabet: str = AMINO_ACIDS) -> DataFrame:
+    """(*id_cols, codes): the distinct k-mer codes of every row, ascending."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ..functions.codes import distinct_codes
+    if len(alphabet) ** k >= 2 ** 63:
+        raise ValueError("k too large for 64-bit codes")
+
+    def run(batches):
+        for b in batches:
+            codes = [distinct_codes(s or "", k, alphabet).astype("int64") for s in b.column(len(id_cols)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(id_cols)], pa.array(codes, pa.list_(pa.int64()))], [*id_cols, "codes"])
+
+    rows = seqs.select(*id_cols, seq_col)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("codes", T.ArrayType(T.LongType()))])
+    return map_in_arrow(rows, run, schema)
+
+
 def protein_kmers(seqs: DataFrame, id_col: str, k: int = 5, alphabet: str = AMINO_ACIDS,
                   seq_col: str = "sequence") -> DataFrame:
     """Distinct k-mer codes (base len(alphabet)) per protein: (id, code)."""

@@ -79,6 +79,15 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, metric: str
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def without_self(found: DataFrame, k: int, query_id: str, own_id: str, distance_col: str = "distance",
+                 order_cols: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` nearest other rows out of the ``k + 1`` nearest: a query's own row is left out, and so is the last
+    row of a query that has ``k + 1`` others as near as itself."""
+    w = Window.partitionBy(query_id).orderBy(distance_col, *order_cols)
+    rest = found.filter(~F.col(query_id).eqNullSafe(F.col(own_id))).drop("rank")
+    return rest.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def compare_tnf_ani(tnf_hits: DataFrame, ani_hits: DataFrame, genome_col: str = "dataset_id",
                     ani_col: str = "ani", fraction_col: str = "containment") -> DataFrame:
     """TNF matches with the ANI (and aligned fraction) of the same genome,

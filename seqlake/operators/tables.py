@@ -58,14 +58,15 @@ def orthogroup_stats(seqs: DataFrame) -> DataFrame:
 TABLE_NAMES = ("genomes", "taxonomy", "annotations", "orthogroups", "tnf", "sketch")
 
 
-def write_tables(spark, lake_root: str, root: str, sketch_k: int = 16, sketch_c: int = 1000) -> dict[str, str]:
+def write_tables(spark, lake_root: str, root: str, sketch_k: int = 16, sketch_c: int = 1000,
+                 seqs: DataFrame | None = None) -> dict[str, str]:
     """The normalised tables of a lake: genomes, taxonomy, annotations, orthogroups, and what searches
     and placement read instead of sequences -- tnf (vector and length per contig) and sketch (sampled
-    k-mers per genome)."""
+    k-mers per genome).  ``seqs`` is a lake read already, such as a version of a versioned one."""
     from ..sources.lake import open_catalog
     from .search import write_sketch
 
-    seqs = open_catalog(spark, lake_root, view=None)
+    seqs = open_catalog(spark, lake_root, view=None) if seqs is None else seqs
     out = {name: f"{root.rstrip('/')}/{name}" for name in TABLE_NAMES}
 
     def write(name: str, df: DataFrame) -> None:

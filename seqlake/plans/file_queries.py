@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.sequence import fasta_record
+from ..operators import chunks
 from ..operators import ingest as ing
 from ..operators import registry as R
+from ..operators.snapshots import read_snapshot
 from ..session import scratch_path
 from ..sinks import export as X
+from ..sinks.mart_state import refresh_marts
 from ..sinks.marts import build_marts
-from ..sources import files
+from ..sources import files, ranges
 from ..sources import surrogate as sg
 from ..sources.lake import open_catalog, read_mart
 from . import catalogue_queries, search_queries, table_queries  # noqa: F401  (their oracles are reused below)
@@ -49,6 +52,22 @@ def q_read_fasta(spark, d):
     return files.read_fasta(spark, _fasta_file(spark, d)).select("record_id", "sequence")
 
 
+@query("read_fasta_blocks", "SELECT record_id, raw_sequence AS sequence FROM raw_records", ("raw_records",))
+def q_read_blocks(spark, d):
+    """Block-gzip files, each divided among tasks."""
+    path = scratch_path(spark, "fasta-blocks")
+    ranges.write_fasta_blocks(sg.raw_records(spark, d).select(
+        fasta_record(F.col("record_id"), F.col("raw_sequence")).alias("value")), path)
+    return ranges.read_fasta_blocks(spark, path, split_bytes=1 << 20).select("record_id", "sequence")
+
+
+@query("read_fasta_chunks", "SELECT record_id, CAST(length(raw_sequence) AS BIGINT) AS letters FROM raw_records", ("raw_records",))
+def q_read_chunks(spark, d):
+    """Records in chunks of 1000 letters, never as one row; their letters add up."""
+    c = chunks.read_fasta_chunks(spark, _fasta_file(spark, d), core=1000)
+    return c.groupBy("record_id").agg(F.sum("core").alias("letters"))
+
+
 def _metadata_file(spark, d):
     """Rows in ``row_pos`` order: the last row of a genome wins."""
     return _tsv(sg.metadata_records(spark, d).orderBy("row_pos").select(
@@ -191,6 +210,147 @@ def q_ingest_report(spark, d):
                                  "records_read long, records_written long, records_skipped long")
 
 
+def _batch_records(spark, d):
+    """A later delivery for two genomes: their records of even length."""
+    of_batch = F.col("record_id").rlike("^(src1|src3)[|_]") & (F.length("raw_sequence") % 2 == 0)
+    return _text(sg.raw_records(spark, d).where(of_batch).select(
+        fasta_record(F.col("record_id"), F.col("raw_sequence")).alias("value")), spark, "fasta-batch")
+
+
+def _batch_metadata(spark, d):
+    """The metadata rows of the delivery's genomes."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(_metadata_file(spark, d))
+    return _tsv(rows.where(F.col("Genome").isin("src1", "src3")).orderBy(F.col("Genome Name / Sample Name").cast("long")), spark, "metadata-batch")
+
+
+LAKE_OUT = ("gid", "dataset_id", "genome", "header", "seq_type", "length", "gc_content", "sequence", "lenbp", "ecosystem",
+            "emapper_PFAMs", "is_skani_representative")
+
+
+def _delivered(spark, d):
+    root = scratch_path(spark, "versioned-lake")
+    ing.ingest(spark, _metadata_file(spark, d), [_fasta_file(spark, d)], root, compute_tnf=False, versioned=True)
+    ing.ingest(spark, _batch_metadata(spark, d), [_batch_records(spark, d)], root, compute_tnf=False, versioned=True)
+    return root
+
+
+@query("lake_reingest", LAKE_SQL + """
+WHERE p.dataset_id NOT IN ('src1', 'src3') OR p.length % 2 = 0""", ("raw_records", "metadata_records"))
+def q_reingest(spark, d):
+    """Two genomes of a versioned lake replaced by a later delivery."""
+    out = read_snapshot(spark, _delivered(spark, d)).select(*LAKE_OUT)
+    return out.withColumn("gc_content", F.round(F.col("gc_content").cast("double"), 6))
+
+
+@query("lake_old_version", LAKE_SQL, ("raw_records", "metadata_records"))
+def q_old_version(spark, d):
+    """The version before that delivery, read after it."""
+    out = read_snapshot(spark, _delivered(spark, d), version=1).select(*LAKE_OUT)
+    return out.withColumn("gc_content", F.round(F.col("gc_content").cast("double"), 6))
+
+
+def _refreshed(spark, d, name):
+    """A mart refreshed before and after the delivery: the second time from the second commit's state alone."""
+    lake, state, marts = scratch_path(spark, "versioned-lake"), scratch_path(spark, "mart-state"), scratch_path(spark, "marts")
+    ing.ingest(spark, _metadata_file(spark, d), [_fasta_file(spark, d)], lake, compute_tnf=False, versioned=True)
+    refresh_marts(spark, lake, state, marts)
+    ing.ingest(spark, _batch_metadata(spark, d), [_batch_records(spark, d)], lake, compute_tnf=False, versioned=True)
+    refresh_marts(spark, lake, state, marts)
+    return read_mart(spark, marts, name)
+
+
+REINGESTED_SQL = "WITH lake AS (" + LAKE_SQL + """
+WHERE p.dataset_id NOT IN ('src1', 'src3') OR p.length % 2 = 0)"""
+
+
+@query("mart_environment_refreshed", REINGESTED_SQL + """,
+g AS (SELECT dataset_id, MAX(ecosystem) AS ecosystem, COUNT(*) AS n FROM lake GROUP BY dataset_id),
+d AS (SELECT unnest(['ecosystem', 'ecosystem_category', 'ecosystem_type', 'ecosystem_subtype', 'habitat', 'source']) AS dimension)
+SELECT dimension, CASE WHEN dimension = 'ecosystem' THEN COALESCE(ecosystem, 'Unassigned') ELSE 'Unassigned' END AS label,
+       CAST(COUNT(*) AS BIGINT) AS genomes, CAST(SUM(n) AS BIGINT) AS sequences FROM g, d GROUP BY 1, 2""",
+       ("raw_records", "metadata_records"))
+def q_environment_refreshed(spark, d):
+    return _refreshed(spark, d, "environment").select("dimension", "label", "genomes", "sequences")
+
+
+@query("mart_overview_refreshed", REINGESTED_SQL + """
+SELECT CAST(COUNT(*) AS BIGINT) AS total_sequences, CAST(COUNT(DISTINCT dataset_id) AS BIGINT) AS unique_genomes,
+       round(COALESCE(AVG(CASE WHEN seq_type = 'NT' THEN gc END), 0.0), 4) AS avg_gc_nt
+FROM (SELECT *, gc_content AS gc FROM lake)""", ("raw_records", "metadata_records"))
+def q_overview_refreshed(spark, d):
+    return _refreshed(spark, d, "overview").select("total_sequences", "unique_genomes", F.round("avg_gc_nt", 4).alias("avg_gc_nt"))
+
+
+def _full_metadata(spark, d):
+    """Every second genome represents itself."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(_metadata_file(spark, d))
+    number = F.regexp_extract("Genome", r"(\d+)$", 1).cast("int")
+    rep = F.concat(F.lit("src"), (number - number % 2).cast("string"))
+    return _tsv(rows.withColumn("skani_rep", rep).orderBy(F.col("Genome Name / Sample Name").cast("long")), spark, "metadata-full")
+
+
+def _own_files(spark, d):
+    """Orthogroups, singletons and annotations of the protein records, in gid order."""
+    aa = ing.parse_records(sg.raw_records(spark, d), "record_id", "raw_sequence").where("seq_type = 'AA'").select("gid", "length")
+    kind = F.col("length") % 3
+    both = lambda own: F.concat_ws("\t", F.lit("1"), F.lit("1"), F.lit("0"), own, F.lit("*"))
+
+    def lines(name, header, rows, line):
+        head = spark.createDataFrame([("", header)], "gid string, value string")
+        return _text(rows.select("gid", line.alias("value")).unionByName(head).orderBy("gid"), spark, name)
+
+    return (lines("og", "Species\tGenes\tAlg.-Conn.\ta.faa\tb.faa", aa.where(kind == 1), both(F.col("gid"))),
+            lines("st", "Species\tGenes\tAlg.-Conn.\ta.faa\tb.faa", aa.where(kind == 2), both(F.col("gid"))),
+            lines("an", "#query\tPFAMs\tscore\tCOG_category", aa.where(kind != 0), F.concat_ws(
+                "\t", "gid", F.concat(F.lit("PF"), (F.col("length") % 7).cast("string")), (F.col("length") / 4).cast("string"), F.lit("K"))))
+
+
+INGEST_FULL_SQL = f"""
+WITH {PARSED_SQL.strip()},
+kmers AS (SELECT gid, COUNT(*) AS windows FROM (
+    SELECT gid, substr(sequence, p, 4) AS kmer
+    FROM (SELECT gid, sequence, unnest(generate_series(1, length(sequence) - 3)) AS p FROM parsed WHERE seq_type = 'NT'))
+  WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY gid),
+acgt AS (SELECT gid, COUNT(*) AS n FROM (
+    SELECT gid, substr(sequence, p, 4) AS kmer
+    FROM (SELECT gid, sequence, unnest(generate_series(1, length(sequence) - 3)) AS p FROM parsed WHERE seq_type = 'NT'))
+  WHERE kmer IN ('AAAA', 'TTTT') GROUP BY gid),
+cls AS (SELECT query AS genome, max_by(gvclass_order, row_pos) AS gvclass_order, max_by(taxonomy_majority, row_pos) AS taxonomy_majority,
+          max_by(order_completeness, row_pos) AS order_completeness FROM classifier_records GROUP BY query),
+known AS (SELECT DISTINCT genome FROM metadata_records),
+r AS (SELECT p.*, row_number() OVER (ORDER BY p.gid) AS place,
+        CAST(regexp_extract(p.dataset_id, '([0-9]+)$', 1) AS INTEGER) % 2 = 0 AS rep FROM parsed p JOIN known k ON k.genome = p.dataset_id),
+og AS (SELECT gid, CAST(row_number() OVER (ORDER BY gid) AS VARCHAR) AS orthogroup_id FROM parsed WHERE seq_type = 'AA' AND length % 3 = 1)
+SELECT r.gid, r.dataset_id, r.seq_type, r.length, rep AS is_skani_representative, c.gvclass_order, c.taxonomy_majority, c.order_completeness,
+       CASE WHEN rep THEN og.orthogroup_id END AS orthogroup_id,
+       CASE WHEN rep AND og.gid IS NOT NULL THEN false WHEN rep AND r.seq_type = 'AA' AND r.length % 3 = 2 THEN true END AS is_singleton,
+       CASE WHEN rep AND r.seq_type = 'AA' AND r.length % 3 <> 0 THEN concat('PF', CAST(r.length % 7 AS VARCHAR)) END AS "emapper_PFAMs",
+       CASE WHEN rep AND r.seq_type = 'AA' AND r.length % 3 <> 0 THEN CAST(r.length AS DOUBLE) / 4 END AS emapper_score,
+       CAST(CASE WHEN r.seq_type = 'NT' THEN 136 END AS INTEGER) AS tnf_entries,
+       CASE WHEN r.seq_type = 'NT' THEN round(CASE WHEN w.windows IS NULL THEN 0.0 ELSE
+            CAST(CAST(CAST(COALESCE(a.n, 0) AS DOUBLE) / w.windows AS REAL) AS DOUBLE) END, 6) END AS tnf_first
+FROM r LEFT JOIN og USING (gid) LEFT JOIN cls c ON c.genome = r.dataset_id LEFT JOIN kmers w USING (gid) LEFT JOIN acgt a USING (gid)"""
+
+
+@query("ingest_full_readback", INGEST_FULL_SQL, ("raw_records", "metadata_records", "classifier_records"))
+def q_ingest_full(spark, d):
+    """Proteins and nucleotides from two FASTA files, classifier, orthogroups, singletons, annotations and vectors."""
+    aa = F.col("record_pos") % 5 == 0
+    raw = sg.raw_records(spark, d)
+    fasta = [_text(raw.where(part).select(fasta_record(F.col("record_id"), F.col("raw_sequence")).alias("value")), spark, name)
+             for name, part in (("nt", ~aa), ("aa", aa))]
+    c = sg.classifier_records(spark, d).orderBy("row_pos").select("query", "gvclass_order", "taxonomy_majority", "order_completeness")
+    orthogroups, singletons, annotations = _own_files(spark, d)
+    root = scratch_path(spark, "full-lake")
+    ing.ingest(spark, _full_metadata(spark, d), fasta, root, classifier_path=_tsv(c, spark, "classifier"), orthogroups_path=orthogroups,
+               singletons_path=singletons, annotations_path=annotations, compute_tnf=True)
+    return open_catalog(spark, root, view=None).select(
+        "gid", "dataset_id", "seq_type", "length", "is_skani_representative", "gvclass_order", "taxonomy_majority", "order_completeness",
+        "orthogroup_id", "is_singleton", "emapper_PFAMs", "emapper_score",
+        F.when(F.col("tnf_136").isNotNull(), F.size("tnf_136")).alias("tnf_entries"),
+        F.round(F.col("tnf_136")[0].cast("double"), 6).alias("tnf_first"))
+
+
 @query("export_fasta_readback", "SELECT gid AS record_id, sequence FROM catalogue WHERE seq_type = 'AA'", ("catalogue",))
 def q_export(spark, d):
     path = scratch_path(spark, "export")

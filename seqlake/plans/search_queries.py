@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chunks as CH
 from ..operators import hits as H
 from ..operators import kmers as K
 from ..operators import placement as P
+from ..operators import metric_index as MI
 from ..operators import search as SR
 from ..operators import similarity as SIM
+from ..operators.seed_index import SeedIndex, build_seed_index
+from ..session import scratch_path
 from ..sources import surrogate as sg
 from .ingest_queries import PARSED_SQL
 from .registry import query
@@ -63,8 +67,8 @@ def _nearest_tnf_sql(metric: str) -> str:
     dist = COS if metric == "cosine" else "eu"
     return f"""
 WITH {LONGEST_SQL.strip()},
-qsrc AS (SELECT gid, sequence FROM catalogue WHERE seq_type = 'NT' AND dataset_id = 'src1'),
-{tnf_ctes('q', 'qsrc', 'gid').strip()},
+qsrc AS (SELECT dataset_id, sequence FROM catalogue WHERE seq_type = 'NT'),
+{tnf_ctes('q', 'qsrc', 'dataset_id').strip()},
 {tnf_ctes('c', 'lc_seq', 'gid').strip()},
 {PAIR_SQL.strip()},
 scored AS (
@@ -78,11 +82,11 @@ SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, r.dataset_id, r.gid, r.conti
 FROM ranked r JOIN gmeta m USING (dataset_id) WHERE r.rank <= 10"""
 
 
-def _nearest_tnf(spark, d, metric):
+def _nearest_tnf(spark, d, metric, nearest=P.nearest_by_tnf):
+    """Every genome's vector against the longest contig of every genome."""
     c = sg.catalogue(spark, d)
-    q = c.filter((F.col("seq_type") == "NT") & (F.col("dataset_id") == "src1")).select("gid", "sequence")
-    qv = K.tnf_136(q).select(F.col("gid").alias("query_id"), "tnf_136")
-    r = P.nearest_by_tnf(qv, c, metric, 10)
+    qv = K.genome_tnf(c.filter(F.col("seq_type") == "NT")).select(F.col("dataset_id").alias("query_id"), "tnf_136")
+    r = nearest(qv, c, metric, 10)
     return r.select("query_id", "rank", "dataset_id", "gid", "contig_length", "lenbp", "gcperc", "common_name",
                     "phylum", "order", "taxonomy_majority", "s_cluster", "skani_rep",
                     F.round("tnf_distance", 6).alias("tnf_distance"))
@@ -98,26 +102,51 @@ def q_nn_eu(spark, d):
     return _nearest_tnf(spark, d, "euclidean")
 
 
-@query("kmer_counts", """
+KMER_COUNTS_SQL = """
 SELECT gid, kmer, CAST(COUNT(*) AS BIGINT) AS count FROM (
   SELECT gid, substr(sequence, p, 4) AS kmer
   FROM (SELECT gid, sequence, unnest(generate_series(1, length(sequence) - 3)) AS p FROM catalogue WHERE seq_type = 'NT')
-) WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY 1, 2""", CAT)
+) WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY 1, 2"""
+
+
+@query("kmer_counts", KMER_COUNTS_SQL, CAT)
 def q_kmer_counts(spark, d):
     c = sg.catalogue(spark, d).filter(F.col("seq_type") == "NT")
     return K.kmer_counts(c, 4)
 
 
-@query("tnf_136", "WITH " + PARSED_SQL.strip() + ",\nnt AS (SELECT gid, sequence FROM parsed WHERE seq_type = 'NT'),\n"
+TNF_SQL = ("WITH " + PARSED_SQL.strip() + ",\nnt AS (SELECT gid, sequence FROM parsed WHERE seq_type = 'NT'),\n"
        + tnf_ctes("t", "nt", "gid").strip() + """
-SELECT id AS gid, CAST(idx AS INTEGER) AS idx, round(CAST(value AS DOUBLE), 6) AS value FROM t_tnf""",
-       ("raw_records", "kmer_index"))
+SELECT id AS gid, CAST(idx AS INTEGER) AS idx, round(CAST(value AS DOUBLE), 6) AS value FROM t_tnf""")
+
+
+@query("tnf_136", TNF_SQL, ("raw_records", "kmer_index"))
 def q_tnf(spark, d):
     from ..operators import ingest as ing
     p = ing.parse_records(sg.raw_records(spark, d), "record_id", "raw_sequence").filter(F.col("seq_type") == "NT")
     return K.tnf_long(K.tnf_136(p.select("gid", "sequence")), "gid")
 
 
+def _chunked(spark, seqs, id_col):
+    """The stored chunk table of the sequences; a small core cuts every record."""
+    path = scratch_path(spark, "chunks")
+    CH.write_chunks(seqs, path, [id_col], core=500)
+    return spark.read.parquet(path)
+
+
+@query("kmer_counts_chunked", KMER_COUNTS_SQL, CAT)
+def q_kmer_counts_chunked(spark, d):
+    c = sg.catalogue(spark, d).filter(F.col("seq_type") == "NT")
+    return CH.kmer_counts(_chunked(spark, c, "gid"), 4)
+
+
+@query("tnf_136_chunked", TNF_SQL, ("raw_records", "kmer_index"))
+def q_tnf_chunked(spark, d):
+    from ..operators import ingest as ing
+    p = ing.parse_records(sg.raw_records(spark, d), "record_id", "raw_sequence").filter(F.col("seq_type") == "NT")
+    return K.tnf_long(CH.tnf_136(_chunked(spark, p, "gid")), "gid")
+
+
 @query("genome_tnf", "WITH nt AS (SELECT dataset_id, gid, sequence FROM catalogue WHERE seq_type = 'NT'),\n"
        + tnf_ctes("t", "nt", "dataset_id").strip() + """
 SELECT id AS dataset_id, CAST(idx AS INTEGER) AS idx, round(CAST(value AS DOUBLE), 6) AS value FROM t_tnf""",
@@ -132,30 +161,65 @@ def q_longest(spark, d):
     return SIM.longest_contig(sg.catalogue(spark, d))
 
 
-@query("nearest_embedding", """
+NEAREST_EMBEDDING_SQL = """
 WITH e AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(generate_series(1, len(embedding))) AS idx FROM embeddings),
-q AS (SELECT vec_id AS id, idx, v AS value FROM e WHERE vec_id = 0),
-c AS (SELECT vec_id AS id, idx, v AS value FROM e WHERE vec_id <> 0),
+q AS (SELECT vec_id AS id, idx, v AS value FROM e WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id AS id, idx, v AS value FROM e),
 pairs AS (
   SELECT q.id AS query_id, c.id AS cand,
          SUM(CAST(q.value AS DOUBLE) * CAST(c.value AS DOUBLE)) AS dot,
          sqrt(SUM(CAST(q.value AS DOUBLE) * CAST(q.value AS DOUBLE))) AS nq,
          sqrt(SUM(CAST(c.value AS DOUBLE) * CAST(c.value AS DOUBLE))) AS nc
-  FROM q JOIN c ON q.idx = c.idx GROUP BY 1, 2
+  FROM q JOIN c ON q.idx = c.idx WHERE q.id <> c.id GROUP BY 1, 2
 ),
 ranked AS (SELECT query_id, cand, CASE WHEN nq = 0 OR nc = 0 THEN 1.0 ELSE 1.0 - dot / (nq * nc) END AS d,
                   row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN nq = 0 OR nc = 0 THEN 1.0 ELSE 1.0 - dot / (nq * nc) END, cand) AS rank
            FROM pairs)
 SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, r.cand AS vec_id, e.label, round(r.d, 6) AS distance
-FROM ranked r JOIN (SELECT DISTINCT vec_id, label FROM embeddings) e ON e.vec_id = r.cand WHERE r.rank <= 10""")
-def q_nn_embed(spark, d):
+FROM ranked r JOIN (SELECT DISTINCT vec_id, label FROM embeddings) e ON e.vec_id = r.cand WHERE r.rank <= 10"""
+
+
+def _embeddings(spark, d):
+    """(queries, candidates): every vector whose id is divisible by 100, and all vectors."""
     e = sg.table(spark, d, "embeddings")
-    q = e.filter(F.col("vec_id") == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    c = e.filter(F.col("vec_id") != 0).select("vec_id", "label", F.col("embedding").alias("vector"))
-    r = SIM.nearest(q, c, k=10, metric="cosine", order_cols=("vec_id",))
+    q = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return q, e.select("vec_id", "label", F.col("embedding").alias("vector"))
+
+
+def _embedding_rows(found):
+    r = SIM.without_self(found, 10, "query_id", "vec_id", "distance", ("vec_id",))
     return r.select("query_id", "rank", "vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
+@query("nearest_embedding", NEAREST_EMBEDDING_SQL)
+def q_nn_embed(spark, d):
+    q, c = _embeddings(spark, d)
+    return _embedding_rows(SIM.nearest(q, c, k=11, metric="cosine", order_cols=("vec_id",)))
+
+
+@query("nearest_embedding_indexed", NEAREST_EMBEDDING_SQL)
+def q_nn_embed_indexed(spark, d):
+    """The same neighbours from a stored metric index."""
+    q, c = _embeddings(spark, d)
+    root = scratch_path(spark, "embedding-index")
+    MI.build_index(c, root, "cosine", page_rows=2000)
+    return _embedding_rows(MI.nearest_indexed(q, root, k=11, order_cols=("vec_id",)))
+
+
+def _tnf_through_index(spark):
+    def nearest(vectors, seqs, metric, k):
+        root = scratch_path(spark, "tnf-index")
+        MI.build_index(P.tnf_candidates(seqs), root, metric, vec_col="tnf_136", page_rows=2000)
+        return P.nearest_by_tnf(vectors, None, metric, k, index=root)
+    return nearest
+
+
+@query("nearest_by_tnf_indexed", _nearest_tnf_sql("euclidean"), CAT + ("kmer_index",))
+def q_nn_tnf_indexed(spark, d):
+    """Genomes against a stored index of the longest contigs' vectors."""
+    return _nearest_tnf(spark, d, "euclidean", _tnf_through_index(spark))
+
+
 # ------------------------------------------------------------------ ANI / seeds
 
 def _code_sql(expr_char, k: int) -> str:
@@ -180,7 +244,7 @@ sk_h4 AS (SELECT owner, code, xor(h, h >> 13) AS h FROM sk_h3),
 sk_h5 AS (SELECT owner, code, (h * CAST(3266489909 AS UBIGINT)) % CAST(4294967296 AS UBIGINT) AS h FROM sk_h4),
 sk_h6 AS (SELECT owner, code, xor(h, h >> 16) AS h FROM sk_h5),
 ref_sk AS (SELECT DISTINCT owner, code FROM sk_h6 WHERE h < {(1 << 32) // c}),
-q_sk AS (SELECT * FROM ref_sk WHERE owner IN ('src1', 'src2')),
+q_sk AS (SELECT * FROM ref_sk),
 qn AS (SELECT owner, COUNT(*) AS n FROM q_sk GROUP BY owner),
 rn AS (SELECT owner, COUNT(*) AS n FROM ref_sk GROUP BY owner),
 shared AS (SELECT q.owner AS query_id, r.owner AS dataset_id, COUNT(*) AS shared
@@ -194,9 +258,9 @@ ani AS (
 
 
 def _query_genomes(spark, d):
+    """Every genome is a query."""
     c = sg.catalogue(spark, d)
-    q = c.filter((F.col("seq_type") == "NT") & F.col("dataset_id").isin("src1", "src2")) \
-         .select(F.col("dataset_id").alias("query_id"), "gid", "sequence")
+    q = c.filter(F.col("seq_type") == "NT").select(F.col("dataset_id").alias("query_id"), "gid", "sequence")
     return c, q
 
 
@@ -210,8 +274,21 @@ def q_ani(spark, d):
     return r.withColumn("containment", F.round("containment", 6)).withColumn("ani", F.round("ani", 6))
 
 
+@query("ani_estimate_stored", "WITH " + _sketch_sql().strip() + """
+SELECT query_id, dataset_id, shared, query_kmers, ref_kmers, round(containment, 6) AS containment, round(ani, 6) AS ani
+FROM ani WHERE ani >= 80""", CAT)
+def q_ani_stored(spark, d):
+    """Against a stored, co-partitioned sketch with heavy codes split."""
+    c, q = _query_genomes(spark, d)
+    path = scratch_path(spark, "stored-sketch")
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    SR.store_sketch(c.filter(F.col("seq_type") == "NT").select("dataset_id", "sequence"), path, buckets=buckets, code_owners=8)
+    r = SR.ani_estimate(q, None, 16, 1000, 80.0, ref_sketch=SR.StoredSketch(spark, path))
+    return r.withColumn("containment", F.round("containment", 6)).withColumn("ani", F.round("ani", 6))
+
+
 @query("compare_tnf_ani", "WITH " + LONGEST_SQL.strip() + ",\n"
-       + "qsrc AS (SELECT dataset_id, gid, sequence FROM catalogue WHERE seq_type = 'NT' AND dataset_id IN ('src1', 'src2')),\n"
+       + "qsrc AS (SELECT dataset_id, gid, sequence FROM catalogue WHERE seq_type = 'NT'),\n"
        + tnf_ctes("q", "qsrc", "dataset_id").strip() + ",\n" + tnf_ctes("c", "lc_seq", "gid").strip() + ",\n"
        + PAIR_SQL.strip() + ",\n" + _sketch_sql().strip() + f""",
 scored AS (SELECT p.query_id, lc.dataset_id, {COS} AS d FROM pairs p JOIN lc ON lc.gid = p.cand),
@@ -232,7 +309,7 @@ def q_compare(spark, d):
 
 
 @query("place_genome", "WITH " + LONGEST_SQL.strip() + ",\n"
-       + "qsrc AS (SELECT dataset_id, gid, sequence FROM catalogue WHERE seq_type = 'NT' AND dataset_id IN ('src1', 'src2')),\n"
+       + "qsrc AS (SELECT dataset_id, gid, sequence FROM catalogue WHERE seq_type = 'NT'),\n"
        + tnf_ctes("q", "qsrc", "dataset_id").strip() + ",\n" + tnf_ctes("c", "lc_seq", "gid").strip() + ",\n"
        + PAIR_SQL.strip() + ",\n" + _sketch_sql().strip() + f""",
 scored AS (SELECT p.query_id, lc.dataset_id, {COS} AS d FROM pairs p JOIN lc ON lc.gid = p.cand
@@ -258,25 +335,46 @@ def q_place(spark, d):
                     F.round("ani", 6).alias("ani"), "ani_cluster", "placement")
 
 
-@query("protein_seed_search", """
-WITH aa AS (SELECT gid, dataset_id, sequence FROM catalogue WHERE seq_type = 'AA'),
+SEED_SQL = """
+aa AS (SELECT gid, dataset_id, sequence FROM catalogue WHERE seq_type = 'AA'),
 aa_k AS (
   SELECT DISTINCT gid, kmer FROM (
     SELECT gid, substr(sequence, p, 5) AS kmer
     FROM (SELECT gid, sequence, unnest(generate_series(1, length(sequence) - 4)) AS p FROM aa))
   WHERE regexp_full_match(kmer, '[ACDEFGHIKLMNPQRSTVWY]+')
 ),
-q_k AS (SELECT gid AS q, kmer FROM aa_k WHERE gid IN (SELECT gid FROM aa WHERE dataset_id = 'src5')),
+q_k AS (SELECT gid AS q, kmer FROM aa_k WHERE CAST(regexp_extract(gid, '_([0-9]+)$', 1) AS BIGINT) % 100 = 0),
 qn AS (SELECT q, COUNT(*) AS n FROM q_k GROUP BY q),
 pairs AS (SELECT q.q, t.gid AS t, COUNT(*) AS shared FROM q_k q JOIN aa_k t ON q.kmer = t.kmer GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY shared DESC, t) AS hit_rank FROM pairs)
-SELECT r.q AS query_id, r.t AS target_id, CAST(r.shared AS BIGINT) AS shared, CAST(qn.n AS BIGINT) AS query_kmers,
-       round(CAST(r.shared AS DOUBLE) / qn.n, 6) AS containment, CAST(r.hit_rank AS INTEGER) AS hit_rank
-FROM ranked r JOIN qn USING (q) WHERE r.hit_rank <= 25""", CAT)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY shared DESC, t) AS hit_rank FROM pairs),
+seed AS (
+  SELECT r.q AS query_id, r.t AS target_id, CAST(r.shared AS BIGINT) AS shared, CAST(qn.n AS BIGINT) AS query_kmers,
+         round(CAST(r.shared AS DOUBLE) / qn.n, 6) AS containment, CAST(r.hit_rank AS INTEGER) AS hit_rank
+  FROM ranked r JOIN qn USING (q) WHERE r.hit_rank <= 25
+)"""
+ALL_SEEDS = "WITH " + SEED_SQL.strip() + "\nSELECT * FROM seed"
+
+
+def _seed_queries(aa):
+    """Every protein whose document's id is divisible by 100."""
+    number = F.regexp_extract("gid", "_([0-9]+)$", 1).cast("long")
+    return aa.filter(number % 100 == 0).select(F.col("gid").alias("query_id"), "sequence")
+
+
+@query("protein_seed_search", ALL_SEEDS, CAT)
 def q_seed(spark, d):
     c = sg.catalogue(spark, d).filter(F.col("seq_type") == "AA")
-    q = c.filter(F.col("dataset_id") == "src5").select(F.col("gid").alias("query_id"), "sequence")
-    r = SR.protein_seed_search(q, c.select("gid", "sequence"), k=5, max_target_seqs=25)
+    r = SR.protein_seed_search(_seed_queries(c), c.select("gid", "sequence"), k=5, max_target_seqs=25)
+    return r.withColumn("containment", F.round("containment", 6))
+
+
+@query("protein_seed_search_indexed", ALL_SEEDS, CAT)
+def q_seed_indexed(spark, d):
+    """The same targets from a stored inverted index."""
+    c = sg.catalogue(spark, d).filter(F.col("seq_type") == "AA")
+    root = scratch_path(spark, "seed-index")
+    build_seed_index(c.select("gid", "sequence"), root, k=5)
+    r, _ = SeedIndex(spark, root).search(_seed_queries(c), max_target_seqs=25)
     return r.withColumn("containment", F.round("containment", 6))
 
 
@@ -345,6 +443,15 @@ def q_enrich_ani(spark, d):
     return H.enrich_ani_hits(sg.ani_hits(spark, d), sg.catalogue(spark, d), 80.0, ANI_META)
 
 
+@query("order_by_ani", f"""
+SELECT h.*, split_part(h."Ref_name", '|', 1) AS dataset_id, {ANI_META_SQL}
+FROM ani_hits h LEFT JOIN {GMETA_SQL} g ON g.dataset_id = split_part(h."Ref_name", '|', 1)
+WHERE h."ANI" >= 80 ORDER BY h."ANI" DESC, h."Query_name", h."Ref_name" LIMIT 200""", CAT + ("ani_hits",))
+def q_order_by_ani(spark, d):
+    """The 200 best ANI hits (a top-k report)."""
+    return H.enrich_ani_hits(sg.ani_hits(spark, d), sg.catalogue(spark, d), 80.0, ANI_META, max_results=200)
+
+
 @query("cluster_hit_counts", f"""
 SELECT g.s_cluster, CAST(COUNT(*) AS BIGINT) AS hits
 FROM ani_hits h LEFT JOIN {GMETA_SQL} g ON g.dataset_id = split_part(h."Ref_name", '|', 1)
@@ -419,25 +526,6 @@ def q_export_counts(spark, d):
     return H.export_counts(sg.catalogue(spark, d), "AA")
 
 
-SEED_SQL = """
-aa AS (SELECT gid, dataset_id, sequence FROM catalogue WHERE seq_type = 'AA'),
-aa_k AS (
-  SELECT DISTINCT gid, kmer FROM (
-    SELECT gid, substr(sequence, p, 5) AS kmer
-    FROM (SELECT gid, sequence, unnest(generate_series(1, length(sequence) - 4)) AS p FROM aa))
-  WHERE regexp_full_match(kmer, '[ACDEFGHIKLMNPQRSTVWY]+')
-),
-q_k AS (SELECT gid AS q, kmer FROM aa_k WHERE gid IN (SELECT gid FROM aa WHERE dataset_id = 'src5')),
-qn AS (SELECT q, COUNT(*) AS n FROM q_k GROUP BY q),
-pairs AS (SELECT q.q, t.gid AS t, COUNT(*) AS shared FROM q_k q JOIN aa_k t ON q.kmer = t.kmer GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY shared DESC, t) AS hit_rank FROM pairs),
-seed AS (
-  SELECT r.q AS query_id, r.t AS target_id, CAST(r.shared AS BIGINT) AS shared, CAST(qn.n AS BIGINT) AS query_kmers,
-         round(CAST(r.shared AS DOUBLE) / qn.n, 6) AS containment, CAST(r.hit_rank AS INTEGER) AS hit_rank
-  FROM ranked r JOIN qn USING (q) WHERE r.hit_rank <= 25
-)"""
-
-
 @query("seed_search_with_metadata", "WITH " + SEED_SQL.strip() + """
 SELECT s.*, m.dataset_id, m.length AS target_length, m.common_name, m.phylum, m."class", m."order", m.family,
        m.genus, m.ecosystem, m.habitat
@@ -445,7 +533,7 @@ FROM seed s LEFT JOIN (SELECT * FROM catalogue WHERE seq_type = 'AA') m ON m.gid
 def q_seed_meta(spark, d):
     c = sg.catalogue(spark, d)
     aa = c.filter(F.col("seq_type") == "AA")
-    q = aa.filter(F.col("dataset_id") == "src5").select(F.col("gid").alias("query_id"), "sequence")
+    q = _seed_queries(aa)
     hits = SR.protein_seed_search(q, aa.select("gid", "sequence"), k=5, max_target_seqs=25) \
         .withColumn("containment", F.round("containment", 6))
     return H.seed_search_with_metadata(hits, c)
