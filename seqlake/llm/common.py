@@ -26,8 +26,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows and bytes of an Arrow batch at most; a batch is held by the JVM and by the Python worker, on both ways.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch at most; a batch is held by the JVM and by the Python worker, on both ways.
 BATCH_BYTES = 8 << 20
 
 
@@ -36,11 +35,10 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     have been bounded for rows that are whole texts.  A session that sets smaller batches keeps them."""
     spark = df.sparkSession
     ship_package(spark)
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key)
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
