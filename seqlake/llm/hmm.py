@@ -4,7 +4,7 @@ Tokens are words and one end per text.  Every token belongs to a class: each of
 class of its own, other words share classes by their ending, the end is the last class.  Latent states
 emit classes, and P(token) = P(class | states) * P(word | class), the latter from counts of the whole
 corpus.  Baum-Welch runs over all training texts: tasks sum expected counts, Spark adds them up by
-(state, class), and the driver sees tables of a fixed size only.  The likelihood of a text is exact:
+(state, class), and the driver sees tables of a fixed size only; training ends when the likelihood has settled.  The likelihood of a text is exact:
 a forward recursion over the whole text, scaled at every step.
 
 The vocabulary grows with the corpus and is never broadcast.  A task numbers the words of a block of texts
@@ -14,6 +14,7 @@ texts, so what is shuffled is words per block, not tokens.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,27 +26,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_remainder, map_arrow, scratch_folder
+from .tokens import text_slices
 
-#: Model size: latent states, words with classes of their own, classes of word endings, training passes.
+#: Model size: latent states, words with classes of their own, classes of word endings; most training passes.
 STATES = 6
 OWN_CLASSES = 4096
 ENDING_CLASSES = 1024
-PASSES = 3
-#: A block of texts ends after so many bytes or distinct words.
+PASSES = 12
+#: Training ends before that when a pass raises the mean log10 likelihood of a token by less than this.
+SETTLED = 5e-3
+#: A block of texts ends after so many bytes (or one longer text); its distinct words are fewer than half as many.
 BLOCK_BYTES = 16 << 20
-BLOCK_WORDS = 400_000
 #: Tokens that are run through the model side by side, and the segments in which longer texts are trained on.
 _WAVE = 400_000
 SEGMENT = 65_536
 _SMOOTH = 0.1
-
-
-class Numbers(dict):
-    """Word -> number in order of first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 _BLOCK_SCHEMA = "blk long, word string, local int, n long, doc_id long, held_out boolean, ids binary"
@@ -58,43 +57,61 @@ def _block_rows(docs: DataFrame) -> DataFrame:
     (blk, doc_id, held_out, ids) with a text's words as numbers of its block."""
 
     def number(batches):
-        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        words, rows, trained, size, blk = Numbers(), [], [], 0, first
-
-        def flush():
-            counts = np.zeros(len(words), dtype=np.int64)
-            for ids in trained:
-                counts += np.bincount(ids, minlength=len(words))
-            known = list(words)
-            for i in range(0, len(known), 100_000):
-                part = [w.decode() for w in known[i:i + 100_000]]
-                m = len(part)
-                yield _rows(m, {"blk": np.full(m, blk), "word": part, "local": np.arange(i, i + m, dtype=np.int32),
-                                "n": counts[i:i + m]})
-            doc_ids, held, ids = zip(*rows)
-            yield _rows(len(rows), {"blk": np.full(len(rows), blk), "doc_id": doc_ids, "held_out": held, "ids": ids})
-
+        blk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        held, size = [], 0
         for batch in batches:
-            for doc, held, text in zip(*(batch.column(i) for i in range(3))):
-                data = (text.as_py() or "").encode().lower()
-                tokens = data.split()
-                ids = np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-                if not held.as_py():
-                    trained.append(ids)
-                rows.append((doc.as_py(), held.as_py(), zlib.compress(ids.tobytes(), 1)))
-                size += len(data) + 64
-                if size > BLOCK_BYTES or len(words) > BLOCK_WORDS:
-                    yield from flush()
-                    words, rows, trained, size, blk = Numbers(), [], [], 0, blk + 1
-        if rows:
-            yield from flush()
+            for part in text_slices(batch, 2):
+                held.append(part)
+                size += part.column(2).nbytes + 64 * part.num_rows
+                if size > BLOCK_BYTES:
+                    yield from _block(blk, pa.Table.from_batches(held))
+                    held, size, blk = [], 0, blk + 1
+        if held:
+            yield from _block(blk, pa.Table.from_batches(held))
 
     return map_arrow(docs, number, _BLOCK_SCHEMA)
 
 
+def tokens_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, bounds): text i has words[bounds[i]:bounds[i + 1]]: what is between blanks, A-Z in lower case."""
+    texts = pa.concat_arrays([texts.fill_null("").cast(pa.large_binary())])
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, dtype=np.uint8)[offsets[0]:offsets[-1]] if body else np.zeros(0, dtype=np.uint8)
+    offsets = offsets - offsets[0]
+    inside = ~_BLANK[data]
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    firsts = offsets[:-1][offsets[:-1] < len(data)]
+    opens[firsts] = inside[firsts]
+    starts = np.flatnonzero(opens)
+    letters = _LOWER[data[inside]]
+    bounds = np.append(np.cumsum(inside)[starts] - 1, len(letters)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
+    return words, np.searchsorted(starts, offsets)
+
+
+def _block(blk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The words and the texts of one block."""
+    one = lambda i: pa.concat_arrays(rows.column(i).chunks)
+    words, bounds = tokens_in(one(2))
+    coded = words.dictionary_encode()
+    ids, known = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).cast(pa.string())
+    held = one(1).to_numpy(zero_copy_only=False).astype(bool)
+    trained = np.repeat(~held, np.diff(bounds))
+    counts = np.bincount(ids[trained], minlength=len(known))
+    for i in range(0, len(known), 100_000):
+        part = known.slice(i, 100_000)
+        m = len(part)
+        yield _rows(m, {"blk": np.full(m, blk), "word": part, "local": np.arange(i, i + m, dtype=np.int32), "n": counts[i:i + m]})
+    packed = [zlib.compress(ids[a:b].tobytes(), 1) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    yield _rows(len(held), {"blk": np.full(len(held), blk), "doc_id": one(0), "held_out": one(1), "ids": packed})
+
+
 def _rows(rows: int, columns: dict) -> pa.RecordBatch:
     """A batch of the block schema; absent columns are null."""
-    arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in zip(_BLOCK_NAMES, _BLOCK_TYPES)]
+    arrays = [(columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t)) if c in columns else pa.nulls(rows, t)
+              for c, t in zip(_BLOCK_NAMES, _BLOCK_TYPES)]
     return pa.RecordBatch.from_arrays(arrays, _BLOCK_NAMES)
 
 
@@ -126,6 +143,7 @@ class Model:
     start: np.ndarray  # K
     move: np.ndarray  # K x K
     emit: np.ndarray  # classes x K
+    fit: float = 0.0  # of expected counts: log10 likelihood of the sequences under the model that they come from
 
 
 def initial_model(classes: int, states: int, seed: int = 1) -> Model:
@@ -188,6 +206,7 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> Model:
             alpha = (model.start if t == 0 else alphas[t - 1, :n] @ model.move) * model.emit[symbols[t, :n]]
             scales[t, :n] = alpha.sum(axis=1)
             np.divide(alpha, scales[t, :n, None], out=alphas[t, :n])
+        counts.fit += float(np.log10(scales).sum())
         beta = np.ones((symbols.shape[1], k))
         moves = np.zeros((k, k))
         for t in range(len(symbols) - 1, 0, -1):
@@ -215,11 +234,14 @@ def _slices(batch: pa.RecordBatch, rows: int = 4000):
         yield batch.slice(i, rows)
 
 
-def train(encoded: DataFrame, classes: int, states: int = STATES, passes: int = PASSES) -> Model:
-    """Baum-Welch over all rows of ``encoded`` that are not held out (column ``symbols``)."""
+def train(encoded: DataFrame, classes: int, states: int = STATES, passes: int = PASSES, settled: float = SETTLED,
+          log: list[float] | None = None) -> Model:
+    """Baum-Welch over all rows of ``encoded`` that are not held out (column ``symbols``), ``passes`` times at most
+    or until the likelihood has ``settled``; ``log`` gets each pass's mean log10 likelihood of a token."""
     spark = encoded.sparkSession
-    model = initial_model(classes, states)
+    model, before = initial_model(classes, states), -math.inf
     texts = encoded.where(~F.col("held_out")).select("symbols")
+    end = 1 + states + classes
     for _ in range(passes):
         shared = spark.sparkContext.broadcast(model)
 
@@ -230,9 +252,9 @@ def train(encoded: DataFrame, classes: int, states: int = STATES, passes: int =
                     pieces = [s[i:i + SEGMENT] for s in _sequences(part, 0) for i in range(0, len(s), SEGMENT)]
                     found = expected_counts(model, pieces)
                     total = found if total is None else Model(
-                        total.start + found.start, total.move + found.move, total.emit + found.emit)
+                        total.start + found.start, total.move + found.move, total.emit + found.emit, total.fit + found.fit)
             if total is not None:
-                table = np.concatenate([total.start[None], total.move, total.emit])
+                table = np.concatenate([total.start[None], total.move, total.emit, np.full((1, states), total.fit)])
                 for s in range(table.shape[1]):
                     rows = np.flatnonzero(table[:, s])
                     yield pa.RecordBatch.from_arrays(
@@ -241,10 +263,16 @@ def train(encoded: DataFrame, classes: int, states: int = STATES, passes: int =
 
         sums = map_arrow(texts, count, "state int, place int, v double").groupBy("state", "place").agg(
             F.sum("v").alias("v"))
-        table = np.zeros((1 + states + classes, states))
-        for r in sums.collect():  # at most states * (1 + states + classes) rows
+        table = np.zeros((1 + end, states))
+        for r in sums.collect():  # at most states * (2 + states + classes) rows
             table[r["place"], r["state"]] = r["v"]
-        model = updated(Model(table[0], table[1:1 + states], table[1 + states:]))
+        model = updated(Model(table[0], table[1:1 + states], table[1 + states:end]))
+        fit = table[end, 0] / max(1.0, table[1 + states:end].sum())  # a token's emission counts add up to 1
+        if log is not None:
+            log.append(fit)
+        if fit - before < settled:
+            break
+        before = fit
     return model
 
 

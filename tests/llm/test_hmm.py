@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from seqlake.llm import hmm, queries
@@ -107,6 +108,29 @@ def test_whole_score_by_hand(spark, odd_docs):
     assert np.allclose(sorted(r.score for r in rows), want, atol=1e-5)
 
 
+def test_training_ends_when_the_likelihood_has_settled(spark):
+    rng = np.random.default_rng(7)
+    texts = [np.concatenate([rng.integers(0, 4, 20), rng.integers(4, 8, 20)]) for _ in range(60)]
+    rows = [(False, zlib.compress(t.astype("<u2").tobytes(), 1)) for t in texts]
+    encoded = spark.createDataFrame(rows, "held_out boolean, symbols binary").repartition(3)
+    log = []
+    model = hmm.train(encoded, 8, states=2, passes=40, settled=1e-3, log=log)
+    assert 3 <= len(log) < 40 and log[-1] - log[-2] < 1e-3 and all(b > a - 1e-9 for a, b in zip(log, log[1:]))
+    assert all(b - a >= 1e-3 for a, b in zip(log[:-2], log[1:-1]))
+    # the last logged fit is that of the model before the last step
+    start = hmm.initial_model(8, 2)
+    assert math.isclose(log[0], hmm.log_likelihoods(start, texts).sum() / sum(map(len, texts)), rel_tol=1e-9)
+    assert hmm.log_likelihoods(model, texts).sum() / sum(map(len, texts)) >= log[-1] - 1e-9
+    assert len(hmm.train(encoded, 8, states=2, passes=2).emit) == 8
+
+
+def test_words_of_a_block(spark):
+    texts = pa.array(["The cat\tTHE\x0b dog\r\n", None, "", " x ", "é É\u00a0z cat"]).slice(0)
+    words, bounds = hmm.tokens_in(texts)
+    got = [[w.decode() for w in words.to_pylist()[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [tokens(t) for t in texts.to_pylist()]
+
+
 def test_blocks_do_not_matter(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = queries.op9_hmm_scoring(spark, sf).collect()
