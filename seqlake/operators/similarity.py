@@ -66,8 +66,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, metric: str
             raise ValueError("vectors of different lengths; use valid_vectors to reject them first")
         Q, C = (np.array(x.tolist(), dtype=np.float64) for x in (qdf["_qvec"], cdf[vec_col]))
         parts = []
+        # the noise of Euclidean distances grows with the vectors
+        size = max(1.0, *(float(np.sqrt((x * x).sum(axis=1)).max(initial=0)) for x in (Q, C))) if metric == "euclidean" else 1.0
         for s in range(0, len(Q), 256):
-            for j, rows in enumerate(topk_with_ties(distance_block(C, Q[s:s + 256], metric), k), start=s):
+            near = topk_with_ties(distance_block(C, Q[s:s + 256], metric), k, 1e-7 * size)
+            for j, rows in enumerate(near, start=s):
                 part = cdf.loc[rows, cand_cols].copy()
                 part.insert(0, query_id, qdf[query_id].iloc[j])
                 part[distance_col] = distance_rows(C[rows], Q[j], metric)

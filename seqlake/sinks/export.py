@@ -33,14 +33,23 @@ def fasta_text(df: DataFrame, header: Column | None = None, width: int = 60) ->
     return df.select("gid", fasta_record(h, F.col("sequence"), width).alias("value"))
 
 
-def _write_sorted_text(text: DataFrame, path: str, num_partitions: int | None) -> int:
+def _letters(df: DataFrame) -> Column:
+    """Letters of a record: the stored length where there is one, so that no sequence is read to plan a write."""
+    return F.col("length") if "length" in df.columns else F.length("sequence")
+
+
+def _write_sorted(df: DataFrame, order: list[str], header: Column, path: str, num_partitions: int | None, folder: str | None = None) -> int:
+    """Write the records of ``df`` as FASTA text in ``order``; returns their number.
+
+    Records are dealt as they are and wrapped after the exchange, so each is wrapped once; they are counted there
+    too, since the exchange's sampling pass runs what is below it again.
+    """
     obs = Observation("fasta_export")
-    n = num_partitions or partitions_for(text.agg(F.sum(F.length("value"))).first()[0])
-    # observed after the range exchange: the partitioner's sampling pass
-    # re-runs the plan below it and would count records twice
-    out = text.repartitionByRange(n, "gid").observe(obs, F.count(F.lit(1)).alias("records"))
-    (out.sortWithinPartitions("gid").select("value")
-        .write.mode("overwrite").option("compression", "none").text(path))
+    n = num_partitions or partitions_for(df.agg(F.sum(_letters(df).cast("long"))).first()[0])
+    out = (df.repartitionByRange(n, *order).observe(obs, F.count(F.lit(1)).alias("records")).sortWithinPartitions(*order)
+           .select(*([folder] if folder else []), fasta_record(header, F.col("sequence")).alias("value")))
+    writer = out.write.mode("overwrite").option("compression", "none").option("maxRecordsPerFile", 5_000_000)
+    (writer.partitionBy(folder) if folder else writer).text(path)
     return int(obs.get["records"])
 
 
@@ -50,12 +59,13 @@ def export_fasta(seqs: DataFrame, path: str, seq_type: str, dataset_id: str | No
     df = seqs.filter(F.col("seq_type") == F.lit(seq_type))
     if dataset_id:
         df = df.filter(F.col("dataset_id") == F.lit(dataset_id))
-    return _write_sorted_text(fasta_text(df.select("gid", "sequence")), path, num_partitions)
+    df = df.select("gid", "sequence", *[c for c in ("length",) if c in df.columns])
+    return _write_sorted(df, ["gid"], F.col("gid"), path, num_partitions)
 
 
 def export_fasta_by_genome(seqs: DataFrame, root: str, seq_type: str, genome_ids: list[str] | None = None,
-                           num_partitions: int | None = None) -> None:
-    """K2: one FASTA folder per genome (``dataset_id=<id>/part-*``) in a single write.
+                           num_partitions: int | None = None) -> int:
+    """K2: one FASTA folder per genome (``dataset_id=<id>/part-*``) in a single write; returns the count.
 
     Range partitioning on (dataset_id, gid) -- not hashing on dataset_id --
     so a genome with a third of all records is written by many tasks; its
@@ -65,11 +75,8 @@ def export_fasta_by_genome(seqs: DataFrame, root: str, seq_type: str, genome_ids
     if genome_ids:
         wanted = seqs.sparkSession.createDataFrame([(g,) for g in genome_ids], "dataset_id string")
         df = df.join(wanted, "dataset_id", "left_semi")
-    n = num_partitions or partitions_for(df.agg(F.sum(F.length("sequence"))).first()[0])
-    text = df.select("dataset_id", "gid", fasta_record(F.col("gid"), F.col("sequence")).alias("value"))
-    (text.repartitionByRange(n, "dataset_id", "gid").sortWithinPartitions("dataset_id", "gid")
-         .select("dataset_id", "value")
-         .write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy("dataset_id").text(root))
+    df = df.select("dataset_id", "gid", "sequence", *[c for c in ("length",) if c in df.columns])
+    return _write_sorted(df, ["dataset_id", "gid"], F.col("gid"), root, num_partitions, "dataset_id")
 
 
 def export_hits(extracted: DataFrame, fasta_path: str | None = None, tsv_path: str | None = None,
@@ -78,7 +85,7 @@ def export_hits(extracted: DataFrame, fasta_path: str | None = None, tsv_path: s
     if not (fasta_path or tsv_path or json_path):
         raise ValueError("at least one of fasta_path, tsv_path, json_path is required")
     if fasta_path:
-        _write_sorted_text(fasta_text(extracted, enriched_header()), fasta_path, None)
+        _write_sorted(extracted, ["gid"], enriched_header(), fasta_path, None)
     if tsv_path:
         extracted.write.mode("overwrite").option("sep", "\t").option("header", True).csv(tsv_path)
     if json_path:

@@ -45,6 +45,22 @@ def test_metric_index_equals_the_plain_search_and_skips(spark, metric):
     assert 0 < spent.compared < 0.45 * spent.pairs
 
 
+def test_long_vectors_that_differ_a_little(spark):
+    """Norms of 1,000 and relative distances of 1e-7: within the noise of a matrix product."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(16)
+    base *= 1000 / np.linalg.norm(base)
+    rows = [(i, "l", (base + rng.standard_normal(16) * 1e-4).tolist()) for i in range(500)]
+    cands = spark.createDataFrame(rows, VECTORS).repartition(3)
+    queries = spark.createDataFrame([("q", base.tolist())], "query_id string, vector array<double>")
+    exact = sorted((float(np.sqrt(((np.array(v) - base) ** 2).sum())), i) for i, _, v in rows)[:9]
+    for got in (nearest(queries, cands, 9, "euclidean", order_cols=("cid",)),):
+        assert [r.cid for r in got.orderBy("rank").collect()] == [i for _, i in exact]
+    root = scratch_path(spark, "metric-index")
+    M.build_index(cands, root, "euclidean", page_rows=50)
+    assert [r.cid for r in M.nearest_indexed(queries, root, 9, order_cols=("cid",)).orderBy("rank").collect()] == [i for _, i in exact]
+
+
 def test_metric_index_of_few_or_no_vectors(spark):
     queries = spark.createDataFrame([("a", [1.0, 0.0]), ("z", [0.0, 0.0])], "query_id string, vector array<double>")
     for rows in ([], [(1, "x", None)], [(1, "x", [0.0, 0.0]), (2, "y", [0.0, 0.0])], [(1, "x", [0.5, 1.0])]):
