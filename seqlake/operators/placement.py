@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .kmers import genome_tnf, tnf_136
 from .metric_index import nearest_indexed
-from .search import ani_estimate, sketch
+from .search import StoredSketch, ani_estimate, sketch
 from .similarity import longest_contig, nearest, without_self
 
 TNF_CANDIDATE_COLS = ["dataset_id", "gid", "contig_length", "lenbp", "gcperc", "common_name", "phylum",
@@ -77,7 +77,7 @@ def place_genome(query_seqs: DataFrame, seqs: DataFrame, metric: str = "cosine",
                  min_ani: float = 80.0, skip_tnf: bool = False, skip_ani: bool = False,
                  exclude_self: bool = False, ani_k: int = 16, ani_c: int = 1000,
                  genomes: DataFrame | None = None, contigs: DataFrame | None = None,
-                 ref_sketch: DataFrame | None = None) -> DataFrame:
+                 ref_sketch: DataFrame | StoredSketch | None = None) -> DataFrame:
     """V9: one placement row per query genome.
 
     ``query_seqs``: (query_id, gid, sequence) NT contigs of the query genomes.

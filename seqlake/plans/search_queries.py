@@ -11,6 +11,7 @@ from ..operators import placement as P
 from ..operators import metric_index as MI
 from ..operators import search as SR
 from ..operators import similarity as SIM
+from ..operators import tables as T
 from ..operators.seed_index import SeedIndex, build_seed_index
 from ..session import scratch_path
 from ..sources import surrogate as sg
@@ -308,7 +309,7 @@ def q_compare(spark, d):
                       F.round("ani", 6).alias("ani"), F.round("containment", 6).alias("containment"))
 
 
-@query("place_genome", "WITH " + LONGEST_SQL.strip() + ",\n"
+PLACE_SQL = ("WITH " + LONGEST_SQL.strip() + ",\n"
        + "qsrc AS (SELECT dataset_id, gid, sequence FROM catalogue WHERE seq_type = 'NT'),\n"
        + tnf_ctes("q", "qsrc", "dataset_id").strip() + ",\n" + tnf_ctes("c", "lc_seq", "gid").strip() + ",\n"
        + PAIR_SQL.strip() + ",\n" + _sketch_sql().strip() + f""",
@@ -325,14 +326,33 @@ SELECT qs.query_id, t.dataset_id AS tnf_top_match, round(greatest(t.d, 0.0), 6)
             WHEN a.ani >= 95 THEN 'species-level match' WHEN a.ani >= 90 THEN 'genus-level similarity'
             ELSE 'distant relationship' END AS placement
 FROM qs LEFT JOIN tbest t ON t.query_id = qs.query_id LEFT JOIN gmeta m ON m.dataset_id = t.dataset_id
-LEFT JOIN abest a ON a.query_id = qs.query_id LEFT JOIN gmeta am ON am.dataset_id = a.dataset_id""",
-       CAT + ("kmer_index",))
+LEFT JOIN abest a ON a.query_id = qs.query_id LEFT JOIN gmeta am ON am.dataset_id = a.dataset_id""")
+
+
+@query("place_genome", PLACE_SQL, CAT + ("kmer_index",))
 def q_place(spark, d):
     c, q = _query_genomes(spark, d)
-    r = P.place_genome(q, c, "cosine", k=20, min_ani=80.0, exclude_self=True)
-    return r.select("query_id", "tnf_top_match", F.round("tnf_distance", 6).alias("tnf_distance"), "tnf_taxonomy",
-                    F.round("tnf_similarity", 6).alias("tnf_similarity"), "ani_top_match",
-                    F.round("ani", 6).alias("ani"), "ani_cluster", "placement")
+    return _placed(P.place_genome(q, c, "cosine", k=20, min_ani=80.0, exclude_self=True))
+
+
+def _placed(found):
+    return found.select("query_id", "tnf_top_match", F.round("tnf_distance", 6).alias("tnf_distance"), "tnf_taxonomy",
+                        F.round("tnf_similarity", 6).alias("tnf_similarity"), "ani_top_match",
+                        F.round("ani", 6).alias("ani"), "ani_cluster", "placement")
+
+
+@query("place_genome_stored", PLACE_SQL, CAT + ("kmer_index",))
+def q_place_stored(spark, d):
+    """Placement from stored tables: genomes, contig vectors and a co-partitioned sketch; no reference record is read."""
+    c, q = _query_genomes(spark, d)
+    root = scratch_path(spark, "placement-tables")
+    nt = c.filter(F.col("seq_type") == "NT")
+    T.genome_table(c).write.parquet(f"{root}/genomes")
+    K.add_tnf(nt.select("gid", "dataset_id", "seq_type", "length", "sequence")).drop("sequence").write.parquet(f"{root}/tnf")
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    SR.store_sketch(nt.select("dataset_id", "sequence"), f"{root}/sketch", buckets=buckets)
+    return _placed(P.place_genome(q, None, "cosine", k=20, min_ani=80.0, exclude_self=True, genomes=spark.read.parquet(f"{root}/genomes"),
+                                  contigs=spark.read.parquet(f"{root}/tnf"), ref_sketch=SR.StoredSketch(spark, f"{root}/sketch")))
 
 
 SEED_SQL = """
