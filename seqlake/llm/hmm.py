@@ -32,7 +32,7 @@ from .tokens import text_slices
 STATES = 6
 OWN_CLASSES = 4096
 ENDING_CLASSES = 1024
-PASSES = 12
+PASSES = 5
 #: Training ends before that when a pass raises the mean log10 likelihood of a token by less than this.
 SETTLED = 5e-3
 #: A block of texts ends after so many bytes (or one longer text); its distinct words are fewer than half as many.
