@@ -85,21 +85,86 @@ def code_counts(seq: str, k: int, alphabet: str):
     return np.unique(code, return_counts=True)
 
 
-def shared_counts(target_codes: np.ndarray, index_codes: np.ndarray, index_owner: np.ndarray,
-                  n_owners: int) -> np.ndarray:
-    """Number of ``target_codes`` each owner shares, from a code-sorted index
-    of (code, owner) pairs: binary search per target code, then one bincount."""
-    lo = np.searchsorted(index_codes, target_codes, side="left")
-    hi = np.searchsorted(index_codes, target_codes, side="right")
-    hit = hi > lo
-    if not hit.any():
-        return np.zeros(n_owners, dtype=np.int64)
-    lo, hi = lo[hit], hi[hit]
-    lens = hi - lo
-    # positions lo..hi-1 of every matched code, concatenated
-    starts = np.repeat(lo - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens)
-    pos = starts + np.arange(lens.sum())
-    return np.bincount(index_owner[pos], minlength=n_owners)
+class SharedCodes:
+    """A block of code sets, indexed to count what each shares with other code sets.
+
+    The codes that many sets have are columns of a dense matrix, so that a batch is counted by one product; of the
+    others the owners are listed, and a batch's hits are counted by one ``bincount`` per few million.
+    """
+
+    #: Codes of the dense part at most, and hits expanded at a time.
+    DENSE, HITS = 4096, 1 << 22
+
+    def __init__(self, names: np.ndarray, codes: list[np.ndarray]):
+        """``codes[i]`` belongs to ``names[i]``; the rows of one name are one set."""
+        self.names, owner = np.unique(names, return_inverse=True)
+        n = len(self.names)
+        self.codes, code = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]).astype(np.int64), return_inverse=True)
+        pairs = np.sort(code * n + np.repeat(owner, [len(c) for c in codes]))
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[:len(pairs)]]
+        code, self.owners = np.divmod(pairs, max(1, n))
+        self.sizes = np.bincount(self.owners, minlength=n)
+        self.lengths = np.bincount(code, minlength=len(self.codes))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        often = np.argsort(-self.lengths, kind="stable")[:self.DENSE]
+        often = often[(self.lengths[often] * 16 > n) & (self.lengths[often] > 16)]
+        self.column = np.full(len(self.codes), -1)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), dtype=np.float32)
+        for j, i in enumerate(often):
+            self.dense[j, self.owners[self.starts[i]:self.starts[i] + self.lengths[i]]] = 1
+
+    def counts(self, codes: list[np.ndarray]) -> np.ndarray:
+        """(rows of ``codes``, names): the number of distinct codes that a row shares with each set."""
+        n = len(self.names)
+        if not len(self.codes) or not codes:
+            return np.zeros((len(codes), n), dtype=np.int64)
+        row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        code = np.concatenate(codes).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        known = self.codes[at] == code
+        row, at = row[known], at[known]
+        column = self.column[at]
+        have = np.zeros((len(codes), len(self.dense)), dtype=np.float32)
+        have[row[column >= 0], column[column >= 0]] = 1
+        out = np.rint(have @ self.dense).astype(np.int64)
+        row, at = row[column < 0], at[column < 0]
+        length = self.lengths[at]
+        ends = np.cumsum(length)
+        cut = 0
+        while cut < len(at):
+            upto = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + self.HITS, side="right")))
+            r, ls = row[cut:upto], length[cut:upto]
+            # the owners of every matched code, one after the other
+            first = self.starts[at[cut:upto]] - np.concatenate([[0], np.cumsum(ls)[:-1]])
+            hit = self.owners[np.repeat(first, ls) + np.arange(ls.sum())]
+            low, high = int(r[0]), int(r[-1]) + 1
+            out[low:high] += np.bincount(np.repeat((r - low) * n, ls) + hit, minlength=(high - low) * n).reshape(high - low, n)
+            cut = upto
+        return out
+
+
+def most_shared(block: SharedCodes, names: np.ndarray, codes: list[np.ndarray], k: int, least: np.ndarray, rows: int = 512):
+    """Per set of ``block``, the ``k`` of ``names`` that share most codes, ties to the smaller name: arrays
+    (set number, name, shared).  A name with several rows counts with its best one.  A set's entry of ``least`` is
+    the count to reach; it is raised, in place, to the ``k``-th best count found so far."""
+    order = np.argsort(names, kind="stable")
+    names = names[order]
+    out = []
+    for at in range(0, len(names), rows):
+        part = names[at:at + rows]
+        count = block.counts([codes[i] for i in order[at:at + rows]])
+        first = np.concatenate([[True], part[1:] != part[:-1]]).nonzero()[0]
+        part, count = part[first], np.maximum.reduceat(count, first, axis=0)
+        if len(part) > k:
+            np.maximum(least, np.partition(count, len(part) - k, axis=0)[len(part) - k], out=least)
+        i, t = np.nonzero((count >= least[None, :]).T)
+        c = count[t, i]
+        best = np.lexsort((t, -c, i))
+        i, t, c = i[best], t[best], c[best]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        out.append((i[place < k], part[t[place < k]], c[place < k]))
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def distance_block(C: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:

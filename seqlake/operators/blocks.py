@@ -17,11 +17,11 @@ from .common import map_in_pandas
 
 
 def score_in_blocks(queries: DataFrame, candidates: DataFrame, query_key: str, score: Callable, schema,
-                    query_rows: int = 4096) -> DataFrame:
+                    query_rows: int = 4096, prepare: Callable | None = None) -> DataFrame:
     """Union of ``score(query rows, candidate rows)`` over all pairs of a query block and a candidate batch.
 
     ``score`` gets two pandas frames with the columns of ``queries`` and ``candidates`` and returns a frame of
-    ``schema`` (or None).  Rows of one ``query_key`` value stay in one block.  About ``query_rows`` query
+    ``schema`` (or None).  With ``prepare`` it gets ``prepare(query rows)``, made once per block and chunk, for the first.  Rows of one ``query_key`` value stay in one block.  About ``query_rows`` query
     rows make a block; the number of chunks is the session's number of shuffle partitions.
     """
     import pandas as pd
@@ -42,7 +42,7 @@ def score_in_blocks(queries: DataFrame, candidates: DataFrame, query_key: str, s
         *[F.col(f"`{x}`").alias(f"c_{i}") for i, x in enumerate(c_cols)])
 
     def run(batches):
-        held, key = [], None
+        held, key, ready = [], None, None
         for pdf in batches:
             # consecutive rows of one group and side
             ids = pdf[["_chunk", "_block", "_side"]].to_numpy()
@@ -52,14 +52,15 @@ def score_in_blocks(queries: DataFrame, candidates: DataFrame, query_key: str, s
                     continue
                 group, side, part = tuple(ids[a][:2]), ids[a][2], pdf.iloc[a:b]
                 if group != key:
-                    held, key = [], group
+                    held, key, ready = [], group, None
                 if side == 0:
                     held.append(part[[f"q_{i}" for i in range(len(q_cols))]].set_axis(q_cols, axis=1))
                 elif held:
-                    if len(held) > 1:
-                        held = [pd.concat(held, ignore_index=True)]
+                    if ready is None:
+                        ready = pd.concat(held, ignore_index=True)
+                        ready = ready if prepare is None else prepare(ready)
                     cand = part[[f"c_{i}" for i in range(len(c_cols))]].set_axis(c_cols, axis=1)
-                    out = score(held[0].reset_index(drop=True), cand.reset_index(drop=True))
+                    out = score(ready, cand.reset_index(drop=True))
                     if out is not None and len(out):
                         yield out
 

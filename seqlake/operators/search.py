@@ -202,43 +202,46 @@ def protein_seed_search(queries: DataFrame, targets: DataFrame, k: int = 5, max_
 
     Blocks of about ``query_rows`` queries are indexed by code, and every
     target is scored against a block in the task that holds it; a task gives at most
-    ``max_target_seqs`` targets per query and Arrow batch.
+    ``max_target_seqs`` targets per query and few hundred targets, and only what reaches its best so far.
     """
+    from ..functions.codes import distinct_codes
+
+    if len(alphabet) ** k >= 2 ** 63:
+        raise ValueError("k too large for 64-bit codes")
+    codes = lambda seqs: [distinct_codes(s or "", k, alphabet) for s in seqs]
+    ids = lambda df, c, name: df.filter(F.col(c).isNotNull()).select(
+        F.col(c).cast("string").alias(name), F.col(seq_col).alias("_s"))
+    batches = shared_in_blocks(ids(queries, query_col, "_q"), ids(targets, target_col, "_t"), codes, max_target_seqs,
+                               min_shared, query_rows)
+    return ranked_shared(batches, max_target_seqs, query_col)
+
+
+def shared_in_blocks(queries: DataFrame, targets: DataFrame, codes, k: int, min_shared: int, query_rows: int = 4096) -> DataFrame:
+    """(_q, _t, shared, query_kmers) of every query's best targets in each task, from (_q, _s) and (_t, _s) rows;
+    ``codes(values of _s)`` gives the distinct codes of every row."""
     import numpy as np
     import pandas as pd
 
-    from ..functions.codes import distinct_codes, shared_counts
-    from .hits import top_hits_per_query
+    from ..functions.codes import SharedCodes, most_shared
 
-    if len(alphabet) ** k >= 2 ** 63:
-        raise ValueError("k too large for 64-bit codes")
+    def prepare(q: pd.DataFrame):
+        block = SharedCodes(q["_q"].to_numpy(dtype=object), codes(q["_s"]))
+        return block, np.full(len(block.names), max(1, min_shared), dtype=np.int64)
 
-    def score(q: pd.DataFrame, t: pd.DataFrame):
-        names, owner_of_row = np.unique(q["_q"].to_numpy(dtype=object).astype(str), return_inverse=True)
-        per_row = [distinct_codes(s or "", k, alphabet) for s in q["_s"]]
-        pairs = np.unique(np.stack([np.concatenate(per_row).astype(np.int64),
-                                    np.repeat(owner_of_row, [len(c) for c in per_row])], axis=1), axis=0)
-        codes, owners = pairs[:, 0].astype(np.uint64), pairs[:, 1]
-        sizes = np.bincount(owners, minlength=len(names))
-        found: list[tuple] = []
-        for target, seq in zip(t["_t"], t["_s"]):
-            n = shared_counts(distinct_codes(seq or "", k, alphabet), codes, owners, len(names))
-            found += [(int(i), target, int(n[i])) for i in np.nonzero(n >= max(1, min_shared))[0]]
-        if not found:
-            return None
-        hits = pd.DataFrame(found, columns=["i", "_t", "shared"]).sort_values(["i", "shared", "_t"],
-                                                                            ascending=[True, False, True])
-        hits = hits.drop_duplicates(["i", "_t"])
-        hits = hits[hits.groupby("i").cumcount() < max_target_seqs]
-        return pd.DataFrame({"_q": names[hits["i"]], "_t": hits["_t"].to_numpy(),
-                             "shared": hits["shared"].to_numpy(), "query_kmers": sizes[hits["i"]]})
+    def score(prepared, t: pd.DataFrame):
+        block, least = prepared
+        i, found, shared = most_shared(block, t["_t"].to_numpy(dtype=object), codes(t["_s"]), k, least)
+        return pd.DataFrame({"_q": block.names[i], "_t": found, "shared": shared, "query_kmers": block.sizes[i]})
+
+    return score_in_blocks(queries, targets, "_q", score, "_q string, _t string, shared long, query_kmers long", query_rows, prepare)
+
+
+def ranked_shared(batches: DataFrame, k: int, query_col: str) -> DataFrame:
+    """The ``k`` best targets per query out of :func:`shared_in_blocks`."""
+    from .hits import top_hits_per_query
 
-    ids = lambda df, c, name: df.filter(F.col(c).isNotNull()).select(
-        F.col(c).cast("string").alias(name), F.col(seq_col).alias("_s"))
-    batches = score_in_blocks(ids(queries, query_col, "_q"), ids(targets, target_col, "_t"), "_q", score,
-                              "_q string, _t string, shared long, query_kmers long", query_rows)
     best = batches.groupBy("_q", "_t").agg(F.max("shared").alias("shared"), F.first("query_kmers").alias("query_kmers"))
     scored = best.withColumn("containment", F.col("shared") / F.col("query_kmers"))
-    ranked = top_hits_per_query(scored, max_target_seqs, "_q", "shared", "_t")
+    ranked = top_hits_per_query(scored, k, "_q", "shared", "_t")
     return ranked.select(F.col("_q").alias(query_col), F.col("_t").alias("target_id"), "shared", "query_kmers",
                          "containment", "hit_rank")

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -256,3 +257,52 @@ def test_occurrences_at_chunk_borders(spark):
     df = spark.createDataFrame(seqs, "gid int, sequence string")
     got = sorted((r.gid, r.kmer) for r in kmer_occurrences(df, 4, ["gid"], chunk=4).collect())
     assert got == sorted((i, s[p:p + 4]) for i, s in seqs for p in range(len(s) - 3))
+
+
+def test_shared_codes_equal_set_intersections(monkeypatch):
+    """Frequent codes (a matrix product), rare ones (lists, a few hits at a time), repeated names and empty sets."""
+    import numpy as np
+
+    from seqlake.functions.codes import SharedCodes, most_shared
+
+    rng = np.random.default_rng(2)
+    draw = lambda n: [np.unique(np.minimum(rng.geometric(0.02, rng.integers(0, 90)), 400)) for _ in range(n)]
+    sets, others = draw(150), draw(70)
+    names = np.array([f"s{i % 140:03d}" for i in range(150)], dtype=object)
+    own = {}
+    for name, codes in zip(names, sets):
+        own.setdefault(name, set()).update(codes.tolist())
+    monkeypatch.setattr(SharedCodes, "HITS", 500)
+    block = SharedCodes(names, sets)
+    assert 0 < len(block.dense) < len(block.codes) and block.sizes.tolist() == [len(own[n]) for n in block.names]
+    want = [[len(own[n] & set(o.tolist())) for n in block.names] for o in others]
+    assert block.counts(others).tolist() == want
+    targets = np.array([f"t{i % 60:02d}" for i in range(70)], dtype=object)
+    least = np.ones(len(own), dtype=np.int64)
+    i, t, c = most_shared(block, targets, others, 3, least, rows=20)
+    for j, name in enumerate(block.names):
+        best = {}
+        for target, row in zip(targets, want):
+            best[target] = max(best.get(target, 0), row[j])
+        top = sorted((-n, target) for target, n in best.items() if n)[:3]
+        found = {(-n, target) for a, target, n in zip(i, t, c) if a == j}
+        assert set(top) <= found and (len(top) < 3 or least[j] <= -top[2][0])
+
+
+def test_a_block_is_prepared_once_for_all_batches_of_a_chunk(spark):
+    from seqlake.operators.blocks import score_in_blocks
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        def prepare(q):
+            return {"n": len(q), "batches": 0}
+
+        def score(held, c):
+            held["batches"] += 1
+            return pd.DataFrame({"rows": [len(c)], "asked": [held["n"]], "batch": [held["batches"]]})
+
+        found = score_in_blocks(spark.range(20).withColumnRenamed("id", "q"), spark.range(300), "q", score,
+                                "rows long, asked long, batch long", 4096, prepare).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found["rows"].sum() == 300 and set(found["asked"]) == {20} and found["batch"].max() > 1
