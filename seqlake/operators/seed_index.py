@@ -4,8 +4,9 @@ The index holds a posting (code, target) per distinct k-mer of a target, in fold
 sorted by it; the length of every posting list; and each target's own codes.  A search reads only the folders
 of its queries' codes and stops early (MaxScore): a list adds at most one to a target's count, so once a
 lower bound t on a query's last kept count is known, a target that is in none but the t - 1 longest lists cannot
-be kept.  Candidates come from the shorter lists alone; what the long lists add is counted from
-the candidates' own codes.  Results equal :func:`.search.protein_seed_search`.
+be kept.  Candidates come from the shorter lists alone, as targets and not as (query, target) pairs, whose number
+grows with the square of the table; they are counted from their own codes, blocks of queries against chunks of
+candidates (:mod:`.blocks`).  Results equal :func:`.search.protein_seed_search`.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .hits import top_hits_per_query
-from .search import AMINO_ACIDS, protein_codes
+from .search import AMINO_ACIDS, protein_codes, ranked_shared, shared_in_blocks
 
 #: Folders that codes are hashed into.
 BUCKETS = 64
@@ -67,7 +67,7 @@ class SeedIndex:
     def search(self, queries: DataFrame, max_target_seqs: int = 100, query_col: str = "query_id", seq_col: str = "sequence",
                min_shared: int = 1) -> tuple[DataFrame, DataFrame]:
         """(hits, work): hits as :func:`.search.protein_seed_search` gives them, and as (figure, n) rows how many
-        postings the queries' lists have, how many were read for candidates and how many candidates were counted in full."""
+        postings the queries' lists have, how many were read for candidates and how many candidates were counted from their codes."""
         spark, k = self.spark, max_target_seqs
         named = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).cast("string").alias("q"), F.col(seq_col).alias("sequence"))
         path = scratch_path(spark, "seed-queries")
@@ -86,38 +86,27 @@ class SeedIndex:
          .withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("q"))).write.parquet(path))
         lists = spark.read.parquet(path)
 
-        def counted(of: DataFrame) -> DataFrame:
-            return of.select("q", "code").join(postings, "code").groupBy("q", "target", "part").agg(F.count(F.lit(1)).alias("seen"))
-
-        def kth(counts: DataFrame, name: str) -> DataFrame:
-            """The ``k``-th highest count of a query's targets: no lower count can be kept in the end."""
-            best = counts.groupBy("q", "target").agg(F.max("seen").alias("seen"))
-            rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("seen")))
-            return best.withColumn("rank", rank).where(F.col("rank") == k).select("q", F.col("seen").alias(name))
-
-        probe = kth(counted(lists.where(F.col("before") < PROBE_POSTINGS)), "least")
+        # the ``k``-th highest count of a query's targets in its shortest lists: no lower count can be kept in the end
+        seen = lists.where(F.col("before") < PROBE_POSTINGS).select("q", "code").join(postings, "code") \
+                    .groupBy("q", "target", "part").agg(F.count(F.lit(1)).alias("seen")) \
+                    .groupBy("q", "target").agg(F.max("seen").alias("seen"))
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("seen")))
+        probe = seen.withColumn("rank", rank).where(F.col("rank") == k).select("q", F.col("seen").alias("least"))
         bounded = lists.join(probe, "q", "left").withColumn("least", F.greatest(F.coalesce("least", F.lit(1)), F.lit(min_shared), F.lit(1)))
-        short = bounded.where(F.col("place") <= F.col("lists") - F.col("least") + 1)
-        path = scratch_path(spark, "seed-counts")
-        counted(short).write.parquet(path)
-        seen = spark.read.parquet(path)
-        facts = bounded.groupBy("q").agg(F.max("lists").alias("lists"), F.max("least").alias("least"))
-        facts = facts.join(kth(seen, "least2"), "q", "left").withColumn("least", F.greatest("least", F.coalesce("least2", F.lit(0))))
-        # the long lists left out are ``least - 1`` at most, by the bound of the first probe
-        left_out = bounded.groupBy("q").agg(F.sum((F.col("place") > F.col("lists") - F.col("least") + 1).cast("int")).alias("left_out"))
-        open_ = seen.join(facts, "q").join(left_out, "q").where(F.col("seen") + F.col("left_out") >= F.col("least"))
-        asked = codes.groupBy("q").agg(F.collect_list("code").alias("asked"), F.count(F.lit(1)).alias("query_kmers"))
-        whole = open_.where("left_out > 0").select("q", "target", "part").join(self.table("targets"), ["target", "part"]).join(asked, "q") \
-                     .select("q", "target", F.size(F.array_intersect("codes", "asked")).cast("long").alias("shared"))
-        done = open_.where("left_out = 0").select("q", "target", F.col("seen").alias("shared"))
-        best = done.unionByName(whole).groupBy("q", "target").agg(F.max("shared").alias("shared")).where(F.col("shared") >= max(1, min_shared))
-        scored = best.join(asked.select("q", "query_kmers"), "q").withColumn("containment", F.col("shared") / F.col("query_kmers"))
-        ranked = top_hits_per_query(scored, k, "q", "shared", "target")
+        # a query's lists but the ``least - 1`` longest
+        path = scratch_path(spark, "seed-short-lists")
+        bounded.where(F.col("place") <= F.col("lists") - F.col("least") + 1).select("code", "length").write.parquet(path)
+        short = spark.read.schema("code long, length long").parquet(path)
+        path = scratch_path(spark, "seed-candidates")
+        (postings.join(short.select("code").distinct(), "code", "left_semi").select("target", "part").distinct()
+         .join(self.table("targets"), ["target", "part"]).select(F.col("target").alias("_t"), F.col("codes").alias("_s")).write.parquet(path))
+        candidates = spark.read.schema("_t string, _s array<long>").parquet(path)
+        asked = codes.groupBy("q").agg(F.collect_list("code").alias("_s")).select(F.col("q").alias("_q"), "_s")
+        ranked = ranked_shared(shared_in_blocks(asked, candidates, list, k, min_shared), k, query_col)
         figures = {"postings": lists.select("length"), "read": short.select("length"),
-                   "counted_in_full": open_.where("left_out > 0").select(F.lit(1).alias("length"))}
+                   "counted_in_full": candidates.select(F.lit(1).alias("length"))}
         work = None
         for name, df in figures.items():
             one = df.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n")).select(F.lit(name).alias("figure"), "n")
             work = one if work is None else work.unionByName(one)
-        return ranked.select(F.col("q").alias(query_col), F.col("target").alias("target_id"), "shared", "query_kmers",
-                             "containment", "hit_rank"), work
+        return ranked, work

@@ -141,6 +141,19 @@ def test_seed_search_reads_only_its_folders(spark):
     assert hits(index.search(one, 5)[0]) == hits(SR.protein_seed_search(one, ts, max_target_seqs=5))
 
 
+def test_seed_index_counts_targets_and_not_pairs(spark):
+    """Every protein asked against all: the candidates kept and counted are targets, however many queries ask for them."""
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("ACDE", k=60)) for _ in range(60)]  # few letters: every pair shares codes
+    ts = spark.createDataFrame([(f"t{i:02d}", s) for i, s in enumerate(seqs)], "gid string, sequence string")
+    qs = ts.withColumnRenamed("gid", "query_id")
+    root = scratch_path(spark, "seed-index")
+    build_seed_index(ts, root, buckets=8)
+    got, work = SeedIndex(spark, root).search(qs, 5)
+    assert hits(got) == hits(SR.protein_seed_search(qs, ts, max_target_seqs=5))
+    assert {r.figure: r.n for r in work.collect()}["counted_in_full"] <= 60
+
+
 def test_seed_index_of_nothing(spark):
     empty = spark.createDataFrame([], "gid string, sequence string")
     root = scratch_path(spark, "seed-index")
