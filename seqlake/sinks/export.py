@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import fasta_record
 from ..operators.common import partitions_for
+from ..session import scratch_path
 
 
 def _na(c: str) -> Column:
@@ -84,6 +85,10 @@ def export_hits(extracted: DataFrame, fasta_path: str | None = None, tsv_path: s
     """K3: extracted hit records as enriched FASTA, TSV (with header) and/or JSON lines."""
     if not (fasta_path or tsv_path or json_path):
         raise ValueError("at least one of fasta_path, tsv_path, json_path is required")
+    if sum(bool(p) for p in (fasta_path, tsv_path, json_path)) > 1:  # found once for all forms
+        stored = scratch_path(extracted.sparkSession, "extracted")
+        extracted.write.option("compression", "zstd").parquet(stored)
+        extracted = extracted.sparkSession.read.schema(extracted.schema).parquet(stored)
     if fasta_path:
         _write_sorted(extracted, ["gid"], enriched_header(), fasta_path, None)
     if tsv_path:

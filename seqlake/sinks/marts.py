@@ -3,7 +3,7 @@
 Instead of one query per (source, level), (dimension) and (field, level) --
 51 separate scans -- each family is computed in one scan in long format and
 written once, partitioned by its selector column so a reader prunes to one
-slice.  The wide table is filtered/projected once and persisted for the
+slice.  For several marts the wide table is filtered/projected once and persisted for the
 duration of the build (recomputed from lineage if an executor is lost).
 """
 
@@ -34,7 +34,10 @@ def build_marts(seqs: DataFrame, root: str, annotation_fields: list[str] | None
     # only what the marts read is persisted: no sequences, no vectors
     used = {c.lower() for c in (*GENOME_COLUMNS, *fields, "gid", "dataset_id", "seq_type", "length", "gc_content")}
     cols = [c for c in seqs.columns if c.lower() in used]
-    slim = seqs.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    slim = seqs.select(*cols)
+    shared = len(set(names) & set(MART_NAMES)) > 1
+    if shared:  # a single mart reads its own columns, once
+        slim = slim.persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     try:
         def write(name: str, make, partition: str | None = None):
@@ -55,7 +58,8 @@ def build_marts(seqs: DataFrame, root: str, annotation_fields: list[str] | None
         # always recomputed (the reference reads this one through its own cache)
         write("cluster_summary", lambda: an.cluster_summary(slim, cluster_limit))
     finally:
-        slim.unpersist()
+        if shared:
+            slim.unpersist()
     return out
 
 

@@ -458,3 +458,37 @@ def test_placement_output_lists(spark, tmp_path):
     q1 = next(r for r in rows if r["query_id"] == "q1")
     assert [x["dataset_id"] for x in q1["tnf_top_matches"]] == [f"g{i}" for i in range(10)]
     assert [x["dataset_id"] for x in q1["ani_top_matches"]] == ["g1", "g3"] and len(rows) == 2
+
+
+def test_export_of_several_forms_finds_its_records_once(spark, tmp_path):
+    from seqlake.sinks.export import export_hits
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"g{i}", "d", None if i % 2 else "p", 4, "ACGT") for i in range(50)]
+    df = spark.createDataFrame(rows, "gid string, dataset_id string, phylum string, length int, sequence string")
+    export_hits(df.mapInArrow(look, df.schema), f"{tmp_path}/fasta", f"{tmp_path}/tsv", f"{tmp_path}/json")
+    assert seen.value == 50
+    assert spark.read.json(f"{tmp_path}/json").count() == spark.read.option("header", True).option("sep", "\t").csv(f"{tmp_path}/tsv").count() == 50
+    assert spark.read.option("lineSep", "\n>").text(f"{tmp_path}/fasta").count() == 50
+
+
+def test_a_single_mart_is_not_cached_first(spark, tmp_path, monkeypatch):
+    from seqlake.sinks.marts import build_marts
+    from seqlake.sources.surrogate import catalogue
+
+    kept = []
+    seqs = catalogue(spark, "/root/testdata/sf0.001")
+    persist = type(seqs).persist
+    monkeypatch.setattr(type(seqs), "persist", lambda self, *a: kept.append(1) or persist(self, *a))
+    build_marts(seqs, str(tmp_path / "one"), names=("genome_statistics",))
+    assert not kept
+    build_marts(seqs, str(tmp_path / "two"), names=("genome_statistics", "overview"))
+    assert kept == [1]
+    one, two = (spark.read.parquet(str(tmp_path / x / "genome_statistics")) for x in ("one", "two"))
+    assert one.count() == two.count() > 0
