@@ -9,19 +9,23 @@ one row and may be longer than a row can hold.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.codes import code_counts
 from ..session import scratch_path
-from .common import map_in_arrow, map_in_pandas
-from .kmers import BASES, TNF_DIM, class_counts_batch, decode_kmer
+from .common import map_in_arrow
+from .kmers import BASES, TNF_DIM, class_counts_batch, decode_kmer, list_array
 
 CORE = 1 << 20
 OVERLAP = 30
+#: Letters that one partition of summed k-mers should stand for.
+PARTITION_LETTERS = 8 << 20
+#: Letters of one sequence whose chunks are dealt to one task.
+STRETCH = 64 << 20
 
 
 def cut_chunks(seqs: DataFrame, id_cols: list[str], seq_col: str = "sequence", core: int = CORE, overlap: int = OVERLAP) -> DataFrame:
@@ -47,8 +51,10 @@ def cut_chunks(seqs: DataFrame, id_cols: list[str], seq_col: str = "sequence", c
 
 def write_chunks(seqs: DataFrame, path: str, id_cols: list[str], seq_col: str = "sequence", core: int = CORE,
                  overlap: int = OVERLAP) -> None:
-    """Store the chunks of ``seqs``, dealt by (ids, place) so that no task holds a whole long sequence."""
-    (cut_chunks(seqs, id_cols, seq_col, core, overlap).repartition(*id_cols, "place")
+    """Store the chunks of ``seqs``, dealt by ids and stretch of places so that no task holds a whole long sequence,
+    while the chunks of a short one lie one after the other."""
+    (cut_chunks(seqs, id_cols, seq_col, core, overlap).repartition(*id_cols, F.floor(F.col("place") / STRETCH))
+     .sortWithinPartitions(*id_cols, "place")
      .write.option("compression", "zstd").parquet(path))
 
 
@@ -137,39 +143,62 @@ def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
                                       ["file", "block", "record", "title", "at", "n", "sequence", "head"])
 
 
+def _runs(ids: pa.Array) -> tuple[pa.Array, list[tuple[int, int]]]:
+    """Neighbouring rows of one id: the first row of each run, and (first row, row after the last) pairs."""
+    same = pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, max(0, len(ids) - 1))), False).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.nonzero(~same.astype(bool))[0] + 1).tolist(), len(ids)] if len(ids) else [0]
+    return pa.array(cuts[:-1], pa.int64()), list(zip(cuts[:-1], cuts[1:]))
+
+
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several pieces as counts of the whole."""
+    codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
+
+
 def kmer_counts(chunks: DataFrame, k: int = 4, id_col: str = "gid", alphabet: str = BASES, overlap: int = OVERLAP) -> DataFrame:
     """V1 over chunks: (id, kmer, count), equal to :func:`.kmers.kmer_counts` of the whole sequences."""
     if k > overlap + 1:
         raise ValueError("k is longer than the chunks' overlap allows")
 
     def run(batches):
-        for pdf in batches:
+        for b in batches:
+            at, runs = _runs(b.column(0))
+            cores = b.column(1).to_pylist()
             codes, counts = [], []
-            for s, core in zip(pdf["sequence"], pdf["core"]):
-                c, n = code_counts(s[:core + k - 1], k, alphabet)
-                codes.append(c.astype("int64").tolist())
-                counts.append(n.astype("int64").tolist())
-            yield pd.DataFrame({id_col: pdf[id_col], "codes": codes, "counts": counts})
+            for low, high in runs:
+                found = [code_counts(s[:core + k - 1], k, alphabet) for s, core in
+                         zip(b.column(2).slice(low, high - low).to_pylist(), cores[low:high])]
+                c, n = found[0] if len(found) == 1 else _added(found)
+                codes.append(c.astype("int64"))
+                counts.append(n.astype("int64"))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), list_array(codes), list_array(counts)], [id_col, "codes", "counts"])
 
     schema = T.StructType([chunks.schema[id_col], T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
-    pairs = map_in_pandas(chunks.select(id_col, "core", "sequence"), run, schema).select(
-        id_col, F.explode(F.arrays_zip("codes", "counts")).alias("z"))
-    summed = pairs.groupBy(id_col, F.col("z.codes").alias("code")).agg(F.sum("z.counts").alias("count"))
+    pairs = map_in_arrow(chunks.select(id_col, "core", "sequence"), run, schema).select(
+        id_col, F.explode(F.arrays_zip("codes", "counts")).alias("z")).select(id_col, F.col("z.codes").alias("code"), F.col("z.counts").alias("n"))
+    # a task's table of sums is bounded: the partitions grow with the letters
+    parts = -(-int(chunks.agg(F.sum(F.col("core").cast("long"))).first()[0] or 0) // PARTITION_LETTERS)
+    if parts > int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        pairs = pairs.repartition(parts, id_col, "code")
+    summed = pairs.groupBy(id_col, "code").agg(F.sum("n").alias("count"))
     return summed.select(id_col, decode_kmer(F.col("code"), k, alphabet).alias("kmer"), "count")
 
 
 def tnf_136(chunks: DataFrame, id_col: str = "gid") -> DataFrame:
     """V3 (V4 with a genome's id) over chunks: (id, tnf_136, windows), equal to the vectors of the whole sequences."""
     def run(batches):
-        for pdf in batches:
-            counts = class_counts_batch([s[:core + 3] for s, core in zip(pdf["sequence"], pdf["core"])])
-            total = pd.DataFrame(np.stack(counts) if counts else np.zeros((0, TNF_DIM), dtype=np.int64), index=pdf[id_col].index)
-            # chunks of one sequence that lie in one batch are summed here
-            for key, part in total.groupby(pdf[id_col], sort=False):
-                yield pd.DataFrame({id_col: [key], "class_counts": [part.to_numpy().sum(axis=0).tolist()]})
+        for b in batches:
+            at, runs = _runs(b.column(0))
+            cores = b.column(1).to_pylist()
+            sums = []
+            for low, high in runs:  # chunks of one sequence that lie side by side are summed here
+                pieces = [s[:core + 3] for s, core in zip(b.column(2).slice(low, high - low).to_pylist(), cores[low:high])]
+                sums.append(np.sum(class_counts_batch(pieces), axis=0))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), list_array(sums)], [id_col, "class_counts"])
 
     schema = T.StructType([chunks.schema[id_col], T.StructField("class_counts", T.ArrayType(T.LongType()))])
-    counts = map_in_pandas(chunks.select(id_col, "core", "sequence"), run, schema)
+    counts = map_in_arrow(chunks.select(id_col, "core", "sequence"), run, schema)
     # element-wise sums: 136 partial aggregates of numbers, no explode
     summed = counts.groupBy(id_col).agg(F.array(*[F.sum(F.col("class_counts")[i]) for i in range(TNF_DIM)]).alias("class_counts"))
     total = F.aggregate("class_counts", F.lit(0).cast("long"), lambda a, x: a + x)

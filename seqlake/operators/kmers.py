@@ -16,7 +16,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from .common import map_in_pandas
+from .common import map_in_arrow, map_in_pandas
 
 BASES = "ACGT"
 TNF_DIM = 136
@@ -142,6 +142,16 @@ def _to_vector(class_counts: DataFrame, id_col: str) -> DataFrame:
     return per.select(id_col, vec.alias("tnf_136"), F.col("total").alias("windows"))
 
 
+@lru_cache(maxsize=1)
+def _base_lut():
+    import numpy as np
+    lut = np.full(256, -1, dtype=np.int64)
+    for j, b in enumerate(BASES):
+        lut[ord(b)] = j
+    return lut
+
+
+@lru_cache(maxsize=1)
 def _class_index_array():
     import numpy as np
     return np.array([i for _, _, i in canonical_classes(4)], dtype=np.int64)
@@ -156,10 +166,7 @@ def class_counts_batch(seqs) -> "list":
     counted with one ``bincount`` per sequence.
     """
     import numpy as np
-    lut = np.full(256, -1, dtype=np.int64)
-    for j, b in enumerate(BASES):
-        lut[ord(b)] = j
-    cls = _class_index_array()
+    lut, cls = _base_lut(), _class_index_array()
     out = []
     for s in seqs:
         if s is None or len(s) < 4:
@@ -172,19 +179,52 @@ def class_counts_batch(seqs) -> "list":
     return out
 
 
-def _arrow_class_counts(df: DataFrame, id_col: str, seq_col: str, extra: list[str]) -> DataFrame:
+#: Records counted at a time: a task holds the count arrays of these alone.
+COUNT_ROWS = 512
+
+
+def list_array(rows):
+    """One list of longs per numpy array of ``rows``."""
+    import numpy as np
+    import pyarrow as pa
+    ends = np.cumsum([0, *(len(x) for x in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
+def _arrow_class_counts(df: DataFrame, id_col: str, seq_col: str) -> DataFrame:
+    """(id, class_counts) of every record, ``COUNT_ROWS`` records at a time."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, COUNT_ROWS):
+                part = b.slice(at, COUNT_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), list_array(class_counts_batch(part.column(1).to_pylist()))],
+                                                 [id_col, "class_counts"])
+
+    schema = T.StructType([df.schema[id_col], T.StructField("class_counts", T.ArrayType(T.LongType()))])
+    return map_in_arrow(df.select(id_col, seq_col), run, schema)
+
+
+def _summed_class_counts(df: DataFrame, owner_col: str, seq_col: str) -> DataFrame:
+    """(owner, class_counts): one row per owner and Arrow batch, the sum over its records there."""
+    import numpy as np
+    import pyarrow as pa
     from pyspark.sql import types as T
 
     def run(batches):
-        for pdf in batches:
-            counts = class_counts_batch(pdf[seq_col].tolist())
-            res = pdf[[id_col, *extra]].copy()
-            res["class_counts"] = [c.tolist() for c in counts]
-            yield res
+        for b in batches:
+            owners = b.column(0).dictionary_encode(null_encoding="encode")
+            place = owners.indices.to_numpy()
+            sums = np.zeros((len(owners.dictionary), TNF_DIM), dtype=np.int64)
+            for at in range(0, b.num_rows, COUNT_ROWS):
+                counts = class_counts_batch(b.column(1).slice(at, COUNT_ROWS).to_pylist())
+                np.add.at(sums, place[at:at + COUNT_ROWS], np.stack(counts))
+            yield pa.RecordBatch.from_arrays([owners.dictionary, list_array(list(sums))], [owner_col, "class_counts"])
 
-    schema = T.StructType([*df.select(id_col, *extra).schema.fields,
-                           T.StructField("class_counts", T.ArrayType(T.LongType()))])
-    return map_in_pandas(df.select(id_col, *extra, seq_col), run, schema)
+    schema = T.StructType([df.schema[owner_col], T.StructField("class_counts", T.ArrayType(T.LongType()))])
+    return map_in_arrow(df.select(owner_col, seq_col), run, schema)
 
 
 def tnf_136(df: DataFrame, id_col: str = "gid", seq_col: str = "sequence", chunk: int = 256,
@@ -202,7 +242,7 @@ def tnf_136(df: DataFrame, id_col: str = "gid", seq_col: str = "sequence", chunk
         return _to_vector(_class_counts(df, id_col, seq_col, chunk), id_col)
     if method != "arrow":
         raise ValueError(f"unknown method {method}")
-    cc = _arrow_class_counts(df, id_col, seq_col, [])
+    cc = _arrow_class_counts(df, id_col, seq_col)
     total = F.aggregate(F.col("class_counts"), F.lit(0).cast("bigint"), lambda a, x: a + x)
     vec = F.transform(F.col("class_counts"), lambda x: F.when(F.col("_t") > 0, x / F.col("_t"))
                       .otherwise(F.lit(0.0)).cast("float"))
@@ -214,16 +254,16 @@ def genome_tnf(df: DataFrame, genome_col: str = "dataset_id", id_col: str = "gid
     """V4: TNF of a whole genome = class counts summed over its contigs (no
     windows are invented across contig ends).
 
-    Per-contig class counts (136 numbers) are exploded and summed per
-    (genome, class) -- a partial aggregate, so a genome with a third of all
-    contigs is reduced map-side -- then turned into one vector per genome.
+    Class counts (136 numbers) are summed per genome in the task that reads its contigs, an
+    Arrow batch at a time; these few rows are exploded and summed per (genome, class), then turned into
+    one vector per genome.
     """
     if method == "explode":
         cc = _class_counts(df.select(genome_col, id_col, seq_col), id_col, seq_col, chunk)
         owner = df.select(id_col, genome_col)
         per_genome = cc.join(owner, id_col).groupBy(genome_col, "idx").agg(F.sum("n").alias("n"))
         return _to_vector(per_genome, genome_col)
-    cc = _arrow_class_counts(df, id_col, seq_col, [genome_col])
+    cc = _summed_class_counts(df, genome_col, seq_col)
     per_class = (cc.select(genome_col, F.posexplode("class_counts").alias("idx", "n"))
                  .groupBy(genome_col, "idx").agg(F.sum("n").alias("n")))
     return _to_vector(per_class, genome_col)

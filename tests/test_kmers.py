@@ -306,3 +306,54 @@ def test_a_block_is_prepared_once_for_all_batches_of_a_chunk(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found["rows"].sum() == 300 and set(found["asked"]) == {20} and found["batch"].max() > 1
+
+
+def test_letters_of_other_alphabets_become_x_wherever_they_stand(spark):
+    from seqlake.sources.surrogate import _letters
+
+    texts = ["", None, "abc", "жabжжc", "ab ж", "Ünï-çødé 42!", "漢字x漢", "a\U00010400b\U0001F600c", "жжж", "x\n\ty" * 3000 + "ж", "ab" * 50000]
+    want = ["", None, "abc", "xabxxc", "abx", "unicodehe", "xxxx", "axbc", "xxx", "xy" * 3000 + "x", "ab" * 50000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", _letters(F.col("t")).alias("l")).orderBy("i").collect()
+    assert [r.l for r in rows] == want
+    plan = df.select(_letters(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\G([a-z]*+)[^a-z]" in plan  # runs of a-z are passed in one step
+
+
+def test_chunks_of_a_short_sequence_lie_together(spark):
+    from seqlake.operators import chunks as CH
+    from seqlake.session import scratch_path
+
+    rng = random.Random(8)
+    rows = [(f"g{i}", "".join(rng.choices("ACGTN", k=200))) for i in range(60)] + [("none", None), ("short", "AC")]
+    seqs = spark.createDataFrame(rows, "gid string, sequence string").repartition(5)
+    path = scratch_path(spark, "chunks")
+    CH.write_chunks(seqs, path, ["gid"], core=20)
+    stored = spark.read.parquet(path)
+    files = stored.select("gid", F.input_file_name().alias("file")).groupBy("gid").agg(F.countDistinct("file").alias("n"), F.count(F.lit(1)).alias("chunks"))
+    assert files.agg(F.max("n"), F.max("chunks")).first() == (1, 10)
+    assert sorted(map(tuple, CH.kmer_counts(stored, 4).collect())) == sorted(map(tuple, K.kmer_counts(seqs, 4).collect()))
+    assert sorted(map(tuple, CH.tnf_136(stored).collect())) == sorted(map(tuple, K.tnf_136(seqs).collect()))
+
+
+def test_sums_of_chunks_take_more_partitions_for_more_letters(spark, monkeypatch):
+    from seqlake.operators import chunks as CH
+
+    seqs = spark.createDataFrame([(f"g{i}", "ACGTTGCAAC" * 9) for i in range(40)], "gid string, sequence string")
+    monkeypatch.setattr(CH, "PARTITION_LETTERS", 100)
+    got = CH.kmer_counts(CH.cut_chunks(seqs, ["gid"], core=20), 3)
+    assert "hashpartitioning(gid#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 36)" in plan
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, K.kmer_counts(seqs, 3).collect()))
+
+
+def test_genome_counts_are_one_row_per_genome_and_batch(spark):
+    rng = random.Random(6)
+    rows = [(None if i % 7 == 0 else f"d{i % 3}", f"g{i}", "".join(rng.choices("ACGTN", k=30)) if i % 5 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "dataset_id string, gid string, sequence string").coalesce(1)
+    assert K._summed_class_counts(df, "dataset_id", "sequence").count() == 4
+    records = K._arrow_class_counts(df, "gid", "sequence").collect()
+    assert len(records) == 1500 and {len(r.class_counts) for r in records} == {136}
+    got = {r.dataset_id: r for r in K.genome_tnf(df).collect()}
+    for genome in ("d0", "d1", "d2", None):
+        whole = K.class_counts_batch([s for d, _, s in rows if d == genome])
+        assert got[genome].windows == sum(int(c.sum()) for c in whole)
