@@ -75,6 +75,72 @@ def sketch_codes(seq: str, k: int, c: int) -> np.ndarray:
     return np.unique(canon[keep])
 
 
+#: Windows that the batch kernels hold at a time: their arrays stay in the processor's cache.
+PIECE = 1 << 16
+_DNA_SYMBOL = np.full(256, 4, dtype=np.uint8)
+_DNA_SYMBOL[[ord(x) for x in DNA]] = range(4)
+
+
+def joined(seqs) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, ends): the sequences' letters one after the other, each sequence followed by a letter that
+    is no base; ``ends[i]`` is the place after the one that follows sequence i.  A null sequence is empty."""
+    texts = [s or "" for s in seqs]
+    data = np.frombuffer(("\n".join(texts) + "\n").encode("latin-1", "replace"), dtype=np.uint8)
+    return data, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+
+
+def dna_windows(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, reverse complements' codes, valid) of every window of ``k`` letters (k <= 31); longer windows are
+    put together from shorter ones, in as many steps as ``k`` has binary digits."""
+    kind = np.uint8 if k <= 4 else np.uint32 if k <= 16 else np.uint64
+    symbol = _DNA_SYMBOL[letters]
+    ok = symbol < 4
+    fwd = (symbol & np.uint8(3)).astype(kind)
+    rev = kind(3) - fwd
+    n = len(letters) - k + 1
+    if n <= 0:
+        return fwd[:0], rev[:0], ok[:0]
+    code = back = valid = None
+    size, have, rest = 1, 0, k
+    while True:
+        if rest & 1:
+            part = slice(have, have + n)
+            if code is None:
+                code, back, valid = fwd[part], rev[part], ok[part]
+            else:
+                code = (code << kind(2 * size)) | fwd[part]
+                back = back | (rev[part] << kind(2 * have))
+                valid = valid & ok[part]
+            have += size
+        rest >>= 1
+        if not rest:
+            return code, back, valid
+        shift = kind(2 * size)
+        fwd, rev, ok = (fwd[:-size] << shift) | fwd[size:], rev[:-size] | (rev[size:] << shift), ok[:-size] & ok[size:]
+        size *= 2
+
+
+def sketch_batch(seqs, k: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence number, code) of every window that the 1/c hash sample keeps, repeats included; a
+    sequence's distinct codes are its :func:`sketch_codes`."""
+    data, ends = joined(seqs)
+    limit = (1 << 32) // c
+    places, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(data) - k + 1, PIECE):
+        code, back, valid = dna_windows(data[at:at + PIECE + k - 1], k)
+        canon = np.minimum(code, back)
+        h = canon.astype(np.uint32) if k <= 16 else (canon ^ (canon >> np.uint64(32))).astype(np.uint32)
+        h ^= h >> np.uint32(16)
+        h *= np.uint32(FMIX_C1)
+        h ^= h >> np.uint32(13)
+        h *= np.uint32(FMIX_C2)
+        h ^= h >> np.uint32(16)
+        kept = np.flatnonzero((h < limit) & valid)
+        places.append(kept + at)
+        codes.append(canon[kept].astype(np.int64))
+    return np.searchsorted(ends, np.concatenate(places), side="right"), np.concatenate(codes)
+
+
 def distinct_codes(seq: str, k: int, alphabet: str) -> np.ndarray:
     code, _ = window_codes(symbols(seq, alphabet), k, len(alphabet))
     return np.unique(code)

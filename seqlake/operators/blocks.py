@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_in_pandas
+from .common import map_in_pandas, stored
 
 
 def score_in_blocks(queries: DataFrame, candidates: DataFrame, query_key: str, score: Callable, schema,
@@ -22,12 +22,14 @@ def score_in_blocks(queries: DataFrame, candidates: DataFrame, query_key: str, s
 
     ``score`` gets two pandas frames with the columns of ``queries`` and ``candidates`` and returns a frame of
     ``schema`` (or None).  With ``prepare`` it gets ``prepare(query rows)``, made once per block and chunk, for the first.  Rows of one ``query_key`` value stay in one block.  About ``query_rows`` query
-    rows make a block; the number of chunks is the session's number of shuffle partitions.
+    rows make a block; the number of chunks is the session's number of shuffle partitions.  The queries are
+    stored when this is called: they are counted and dealt, and may be costly to compute.
     """
     import pandas as pd
 
     spark = candidates.sparkSession
     chunks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = stored(queries, "block-queries")
     blocks = max(1, -(-queries.count() // query_rows))
     q_cols, c_cols = list(queries.columns), list(candidates.columns)
     q = queries.select(

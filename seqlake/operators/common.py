@@ -45,3 +45,13 @@ def map_in_arrow(df: DataFrame, fn, schema) -> DataFrame:
 
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written now below the shared checkpoint folder and read again, so that every use of it reads these
+    rows instead of computing them anew.  For small tables that a plan uses more than once."""
+    from ..session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

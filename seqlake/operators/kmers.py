@@ -143,39 +143,41 @@ def _to_vector(class_counts: DataFrame, id_col: str) -> DataFrame:
 
 
 @lru_cache(maxsize=1)
-def _base_lut():
+def _class_matrix():
+    """(256, 136): 1 where a 4-mer code is of a class."""
     import numpy as np
-    lut = np.full(256, -1, dtype=np.int64)
-    for j, b in enumerate(BASES):
-        lut[ord(b)] = j
-    return lut
-
-
-@lru_cache(maxsize=1)
-def _class_index_array():
-    import numpy as np
-    return np.array([i for _, _, i in canonical_classes(4)], dtype=np.int64)
+    out = np.zeros((4 ** 4, TNF_DIM), dtype=np.int64)
+    for _, code, i in canonical_classes(4):
+        out[code, i] = 1
+    return out
 
 
 def class_counts_batch(seqs) -> "list":
     """Canonical 4-mer class counts (136 ints) of each sequence in a batch.
 
-    Small numpy helper run inside Arrow-batched tasks: bases are coded 0-3
-    through a byte lookup table, a window is valid when its 4 bases are, the
-    2-bit window codes are folded to their reverse-complement class and
-    counted with one ``bincount`` per sequence.
+    Small numpy helper run inside Arrow-batched tasks: ``COUNT_ROWS`` sequences are coded
+    as one run of letters, a window is valid when its 4 letters are bases of one sequence, and (sequence, code)
+    pairs are counted with one ``bincount`` per piece and folded to their reverse-complement classes.
     """
     import numpy as np
-    lut, cls = _base_lut(), _class_index_array()
+
+    from ..functions.codes import PIECE, dna_windows, joined
+
     out = []
-    for s in seqs:
-        if s is None or len(s) < 4:
-            out.append(np.zeros(TNF_DIM, dtype=np.int64))
-            continue
-        v = lut[np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8)]
-        ok = (v[:-3] >= 0) & (v[1:-2] >= 0) & (v[2:-1] >= 0) & (v[3:] >= 0)
-        code = (v[:-3] << 6) | (v[1:-2] << 4) | (v[2:-1] << 2) | v[3:]
-        out.append(np.bincount(cls[code[ok]], minlength=TNF_DIM))
+    seqs = list(seqs)
+    for low in range(0, len(seqs), COUNT_ROWS):
+        data, ends = joined(seqs[low:low + COUNT_ROWS])
+        counts = np.zeros((len(ends), 4 ** 4), dtype=np.int64)
+        for at in range(0, len(data) - 3, PIECE):
+            code, _, valid = dna_windows(data[at:at + PIECE + 3], 4)
+            first, last = np.searchsorted(ends, [at, at + len(code) - 1], side="right")
+            sizes = np.diff(np.concatenate([[at], ends[first:last], [at + len(code)]]))
+            key = np.repeat(np.arange(last - first + 1) << 8, sizes)
+            key |= code
+            cells = (last - first + 1) << 8
+            found = np.bincount(key, minlength=cells) - np.bincount(key[~valid], minlength=cells)
+            counts[first:last + 1] += found.reshape(-1, 4 ** 4)
+        out.extend(counts @ _class_matrix())
     return out
 
 

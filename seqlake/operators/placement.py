@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .kmers import genome_tnf, tnf_136
 from .metric_index import nearest_indexed
 from .search import StoredSketch, ani_estimate, sketch
@@ -42,7 +43,7 @@ def tnf_candidates(seqs: DataFrame, dataset_filter: str | None = None, genomes:
         vec = contigs.select("gid", "tnf_136").join(best.select("gid"), "gid", "left_semi")
         meta = genome_meta(seqs) if genomes is None else genomes.select("dataset_id", *META_COLS)
         return best.join(vec, "gid").join(meta, "dataset_id")
-    best = longest_contig(seqs, dataset_filter)
+    best = stored(longest_contig(seqs, dataset_filter), "longest-contigs")  # one row per genome, used twice
     if "tnf_136" in seqs.columns:  # vectors stored in the lake at ingest
         vec = seqs.select("gid", "tnf_136").join(best.select("gid"), "gid", "left_semi")
     else:
@@ -87,7 +88,7 @@ def place_genome(query_seqs: DataFrame, seqs: DataFrame, metric: str = "cosine",
     evidence about its lineage and is reported as such.
     """
     if not skip_tnf:
-        qv = genome_tnf(query_seqs.select(F.col("query_id"), "gid", "sequence"), genome_col="query_id")
+        qv = stored(genome_tnf(query_seqs.select(F.col("query_id"), "gid", "sequence"), genome_col="query_id"), "query-tnf")
         out = qv.select("query_id")  # every query genome has a (possibly all-zero) vector
         tn = nearest_by_tnf(qv, seqs, metric, k, exclude_self=exclude_self, genomes=genomes,
                             contigs=contigs).filter(F.col("rank") == 1)
@@ -101,7 +102,9 @@ def place_genome(query_seqs: DataFrame, seqs: DataFrame, metric: str = "cosine",
         refs = None
         if ref_sketch is None:
             refs = seqs.filter(F.col("seq_type") == "NT").select("dataset_id", "sequence")
-        ani = ani_estimate(query_seqs.select("query_id", "sequence"), refs, ani_k, ani_c, min_ani, ref_sketch=ref_sketch)
+        query_sketch = stored(sketch(query_seqs.select("query_id", "sequence"), "query_id", ani_k, ani_c), "query-sketch")
+        ani = ani_estimate(query_seqs.select("query_id", "sequence"), refs, ani_k, ani_c, min_ani, ref_sketch=ref_sketch,
+                           query_sketch=query_sketch)
         if exclude_self:
             ani = ani.filter(F.col("query_id") != F.col("dataset_id"))
         clusters = (genome_meta(seqs) if genomes is None else genomes).select("dataset_id", "s_cluster")
@@ -111,8 +114,7 @@ def place_genome(query_seqs: DataFrame, seqs: DataFrame, metric: str = "cosine",
                 .select("query_id", F.col("b.dataset_id").alias("ani_top_match"), F.col("b.ani").alias("ani"))
                 .join(clusters.withColumnRenamed("dataset_id", "ani_top_match"), "ani_top_match", "left")
                 .withColumnRenamed("s_cluster", "ani_cluster"))
-        sketched = sketch(query_seqs.select("query_id", "sequence"), "query_id", ani_k, ani_c) \
-            .select("query_id").distinct().withColumn("_sketched", F.lit(True))
+        sketched = query_sketch.select("query_id").distinct().withColumn("_sketched", F.lit(True))
         out = out.join(best, "query_id", "left").join(sketched, "query_id", "left")
         band = (F.when(F.col("_sketched").isNull(), F.lit("no sampled k-mers - lineage not assessed"))
                 .when(F.col("ani").isNull(), F.lit("no close ANI match - likely novel lineage"))

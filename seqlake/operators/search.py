@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .blocks import score_in_blocks
-from .common import map_in_arrow, map_in_pandas
+from .common import map_in_arrow, map_in_pandas, stored
 
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -122,21 +122,44 @@ def sketch(seqs: DataFrame, owner_col: str, k: int = 16, c: int = 1000, seq_col:
     Canonical code = min(2-bit code, reverse-complement code); kept when the
     32-bit murmur3-finalizer hash of the code is below 2^32/c (FracMinHash).
     """
-    from ..functions.codes import sketch_codes
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ..functions.codes import sketch_batch
     if not 1 <= k <= 31:
         raise ValueError("k must be in 1..31")
-    return _codes_per_row(seqs, owner_col, seq_col, lambda s: sketch_codes(s, k, c))
+
+    def run(batches):
+        for b in batches:
+            owners = b.column(0).dictionary_encode(null_encoding="encode")
+            row, code = sketch_batch(b.column(1).to_pylist(), k, c)
+            owner = owners.indices.to_numpy()[row]
+            order = np.lexsort((code, owner))
+            owner, code = owner[order], code[order]
+            first = np.ones(len(code), dtype=bool)
+            first[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+            yield pa.RecordBatch.from_arrays([owners.dictionary.take(pa.array(owner[first])), pa.array(code[first])],
+                                             [owner_col, "code"])
+
+    schema = T.StructType([seqs.schema[owner_col], T.StructField("code", T.LongType(), False)])
+    return map_in_arrow(seqs.select(owner_col, seq_col), run, schema).distinct()
 
 
 def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame | None, k: int = 16, c: int = 1000,
                  min_ani: float | None = 80.0, query_col: str = "query_id", ref_col: str = "dataset_id",
-                 ref_sketch: DataFrame | StoredSketch | None = None) -> DataFrame:
+                 ref_sketch: DataFrame | StoredSketch | None = None, query_sketch: DataFrame | None = None) -> DataFrame:
     """(query, ref, shared, query_kmers, ref_kmers, containment, ani).
 
+    Sketches are made and stored when this is called: sequences are read once, and the plan reads the sketches.
+
     ``ref_sketch``: a sketch built once (same k and c), then only the queries are sketched.  A
     :class:`StoredSketch` is joined where it lies, without an exchange of its codes; a (ref_col, code) table is joined as any.
+    ``query_sketch``: the stored :func:`sketch` of ``query_seqs``, if the caller has it.
     """
-    qs = sketch(query_seqs, query_col, k, c).withColumnRenamed(query_col, "_q")
+    if query_sketch is None:
+        query_sketch = stored(sketch(query_seqs, query_col, k, c), "query-sketch")
+    qs = query_sketch.withColumnRenamed(query_col, "_q")
     qn = qs.groupBy("_q").agg(F.count(F.lit(1)).alias("query_kmers"))
     if isinstance(ref_sketch, StoredSketch):
         if (ref_sketch.k, ref_sketch.c) != (k, c):
@@ -147,7 +170,7 @@ def ani_estimate(query_seqs: DataFrame, ref_seqs: DataFrame | None, k: int = 16,
             "_q", "code", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("split"))
         pairs = rs.join(asked, ["code", "split"])
     else:
-        rs = (ref_sketch if ref_sketch is not None else sketch(ref_seqs, ref_col, k, c)) \
+        rs = (ref_sketch if ref_sketch is not None else stored(sketch(ref_seqs, ref_col, k, c), "ref-sketch")) \
             .select(F.col(ref_col).alias("_r"), "code")
         rn = rs.groupBy("_r").agg(F.count(F.lit(1)).alias("ref_kmers"))
         pairs = rs.join(qs, "code")

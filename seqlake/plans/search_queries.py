@@ -12,6 +12,7 @@ from ..operators import metric_index as MI
 from ..operators import search as SR
 from ..operators import similarity as SIM
 from ..operators import tables as T
+from ..operators.common import stored
 from ..operators.seed_index import SeedIndex, build_seed_index
 from ..session import scratch_path
 from ..sources import surrogate as sg
@@ -265,6 +266,13 @@ def _query_genomes(spark, d):
     return c, q
 
 
+def _stored_genomes(spark, d):
+    """The nucleotide records of the catalogue, derived from the driver's texts once; every genome is a query."""
+    c = sg.catalogue(spark, d).filter(F.col("seq_type") == "NT")
+    nt = stored(c.select("dataset_id", "gid", "seq_type", "length", "sequence", *P.META_COLS), "nt-records")
+    return nt, nt.select(F.col("dataset_id").alias("query_id"), "gid", "sequence")
+
+
 @query("ani_estimate", "WITH " + _sketch_sql().strip() + """
 SELECT query_id, dataset_id, shared, query_kmers, ref_kmers, round(containment, 6) AS containment, round(ani, 6) AS ani
 FROM ani WHERE ani >= 80""", CAT)
@@ -331,7 +339,7 @@ LEFT JOIN abest a ON a.query_id = qs.query_id LEFT JOIN gmeta am ON am.dataset_i
 
 @query("place_genome", PLACE_SQL, CAT + ("kmer_index",))
 def q_place(spark, d):
-    c, q = _query_genomes(spark, d)
+    c, q = _stored_genomes(spark, d)
     return _placed(P.place_genome(q, c, "cosine", k=20, min_ani=80.0, exclude_self=True))
 
 

@@ -357,3 +357,47 @@ def test_genome_counts_are_one_row_per_genome_and_batch(spark):
     for genome in ("d0", "d1", "d2", None):
         whole = K.class_counts_batch([s for d, _, s in rows if d == genome])
         assert got[genome].windows == sum(int(c.sum()) for c in whole)
+
+
+@pytest.mark.parametrize("k, c", [(16, 1000), (16, 1), (8, 4), (31, 3), (17, 2), (4, 1), (1, 1)])
+def test_batch_sketch_equals_that_of_single_sequences(k, c):
+    from seqlake.functions import codes
+
+    rng = random.Random(k)
+    seqs = ["".join(rng.choices("ACGTNé中", [30, 30, 30, 30, 1, .2, .2], k=n)) for n in (0, 1, k - 1, k, 40, 500, 70000, 140000, 3)]
+    seqs += [None, "ACGT" * 9, seqs[5]]
+    row, code = codes.sketch_batch(seqs, k, c)
+    for i, s in enumerate(seqs):
+        assert sorted(set(code[row == i].tolist())) == codes.sketch_codes(s or "", k, c).tolist()
+    assert len(codes.sketch_batch([], k, c)[0]) == 0
+
+
+def _counted(df, log):
+    """``df``, and in ``log`` one mark per row and time that it is computed."""
+    def run(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write("x" * len(b))
+            yield b
+
+    return df.coalesce(1).mapInPandas(run, df.schema)
+
+
+def _genome_rows():
+    rng = random.Random(4)
+    return [(f"g{i % 3}", f"g{i % 3}|{i}", "NT", n, "".join(rng.choices("ACGT", k=n))) for i, n in enumerate([900, 700, 800, 300, 200, 600])]
+
+
+def test_placement_reads_query_sequences_twice(spark, tmp_path):
+    """Once for the TNF and once for the sketch, whatever the plan makes of them."""
+    from seqlake.operators.placement import META_COLS, place_genome
+
+    rows = _genome_rows()
+    refs = spark.createDataFrame(rows, "dataset_id string, gid string, seq_type string, length int, sequence string")
+    refs = refs.select("*", *[F.lit("m").alias(c) for c in META_COLS])
+    asked = refs.select(F.col("dataset_id").alias("query_id"), "gid", "sequence")
+    got = place_genome(_counted(asked, tmp_path / "q"), _counted(refs, tmp_path / "r"), ani_c=2).collect()
+    assert {(r.query_id, r.ani_top_match, r.placement) for r in got} == {(f"g{i}", f"g{i}", "species-level match") for i in range(3)}
+    assert len((tmp_path / "q").read_text()) == 2 * len(rows)
+    # longest contigs, their letters, the sketch, and the metadata for either part
+    assert len((tmp_path / "r").read_text()) <= 5 * len(rows)
