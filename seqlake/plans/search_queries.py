@@ -277,8 +277,8 @@ def _stored_genomes(spark, d):
 SELECT query_id, dataset_id, shared, query_kmers, ref_kmers, round(containment, 6) AS containment, round(ani, 6) AS ani
 FROM ani WHERE ani >= 80""", CAT)
 def q_ani(spark, d):
-    c, q = _query_genomes(spark, d)
-    refs = c.filter(F.col("seq_type") == "NT").select("dataset_id", "sequence")
+    c, q = _stored_genomes(spark, d)
+    refs = c.select("dataset_id", "sequence")
     r = SR.ani_estimate(q, refs, 16, 1000, 80.0)
     return r.withColumn("containment", F.round("containment", 6)).withColumn("ani", F.round("ani", 6))
 
@@ -307,10 +307,10 @@ SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, r.dataset_id, round(greatest
 FROM ranked r LEFT JOIN ani a ON a.query_id = r.query_id AND a.dataset_id = r.dataset_id
 WHERE r.rank <= 10""", CAT + ("kmer_index",))
 def q_compare(spark, d):
-    c, q = _query_genomes(spark, d)
+    c, q = _stored_genomes(spark, d)
     qv = K.genome_tnf(q, genome_col="query_id")
     tn = P.nearest_by_tnf(qv, c, "cosine", 10).select("query_id", "rank", "dataset_id", "tnf_distance")
-    refs = c.filter(F.col("seq_type") == "NT").select("dataset_id", "sequence")
+    refs = c.select("dataset_id", "sequence")
     ani = SR.ani_estimate(q.select("query_id", "sequence"), refs, 16, 1000, None)
     out = SIM.compare_tnf_ani(tn, ani)
     return out.select("query_id", "rank", "dataset_id", F.round("tnf_distance", 6).alias("tnf_distance"),

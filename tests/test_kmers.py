@@ -401,3 +401,18 @@ def test_placement_reads_query_sequences_twice(spark, tmp_path):
     assert len((tmp_path / "q").read_text()) == 2 * len(rows)
     # longest contigs, their letters, the sketch, and the metadata for either part
     assert len((tmp_path / "r").read_text()) <= 5 * len(rows)
+
+
+def test_comparison_reads_query_sequences_twice(spark, tmp_path):
+    from seqlake.operators import placement, similarity
+
+    rows = _genome_rows()
+    refs = spark.createDataFrame(rows, "dataset_id string, gid string, seq_type string, length int, sequence string")
+    refs = refs.select("*", *[F.lit("m").alias(c) for c in placement.META_COLS])
+    asked = _counted(refs.select(F.col("dataset_id").alias("query_id"), "gid", "sequence"), tmp_path / "q")
+    found = placement.nearest_by_tnf(K.genome_tnf(asked, genome_col="query_id"), refs, "cosine", 10)
+    ani = SR.ani_estimate(asked, _counted(refs.select("dataset_id", "sequence"), tmp_path / "r"), 16, 2, None)
+    got = similarity.compare_tnf_ani(found, ani).collect()
+    assert len(got) == 9 and {r.dataset_id for r in got if r.ani == 100.0 and r.query_id == "g1"} == {"g1"}
+    assert len((tmp_path / "q").read_text()) == 2 * len(rows)
+    assert len((tmp_path / "r").read_text()) == len(rows)
