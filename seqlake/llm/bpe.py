@@ -132,7 +132,7 @@ def _gather(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 def _cut(enc: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(text offsets, piece starts, each piece's place among the distinct ones, distinct pieces)."""
     offsets, data = _buffers(pa.concat_arrays([texts.fill_null("").cast(pa.large_binary())]))
-    starts = enc.piece_starts(data, offsets)
+    starts, _ = enc.piece_starts(data, offsets)
     return (offsets, starts, *distinct_pieces(data, starts))
 
 

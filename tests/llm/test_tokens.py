@@ -12,7 +12,7 @@ import pytest
 from .odd_texts import ODD_TEXTS
 from tokenizers import Tokenizer
 
-from seqlake.llm import orcout, packing, queries
+from seqlake.llm import orcout, packing, queries, tokens
 from seqlake.llm.common import scratch_folder
 from seqlake.llm.tokens import Encoder, is_spaced
 
@@ -182,3 +182,24 @@ def test_orc_odd_rows_and_pruning(spark, odd_docs):
     empty = scratch_folder(spark, "t-orc")
     orcout.write_token_orc(odd_docs.limit(0), empty, WORD, 2, False)
     assert orcout.token_digests(orcout.read_token_orc(spark, empty)).collect() == []
+
+
+def test_pieces_differ_by_letters_only_where_blanks_and_case_do_not_count(monkeypatch):
+    texts = ["Word word  word\nWORD \n word", " \n ", "", None, "  WORD", "It'S  A1b, É Éa ÉA", "word 中 Word <|endoftext|> ", "İ Word"]
+    seen, find = [], tokens.distinct_pieces
+
+    def watched(*cut):
+        seen.append(find(*cut))
+        return seen[-1]
+
+    monkeypatch.setattr(tokens, "distinct_pieces", watched)
+    with tokens.encoder(WORD, False) as enc:
+        for batch in ([t] for t in texts):
+            ids, bounds = enc.encode_batch(pa.array(batch, pa.string()), 2)
+            assert [*enc.tok.encode(batch[0] or "", add_special_tokens=False).ids, 2] == ids.tolist()
+        assert seen[0][1].to_pylist() == [b"word"] and len(seen[0][0]) == 5
+        ids, bounds = enc.encode_batch(pa.array(texts, pa.string()).slice(1), 2)
+        want = whole(WORD, texts[1:], 2)
+        assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == [w.tolist() for w in want]
+    assert tokens.byte_strings(pa.array([b"x", b"", b"\xff\x00y"], pa.large_binary()).slice(1)) == [b"", b"\xff\x00y"]
+    assert tokens.byte_strings(pa.array([], pa.large_binary())) == []
