@@ -158,8 +158,8 @@ class SharedCodes:
     others the owners are listed, and a batch's hits are counted by one ``bincount`` per few million.
     """
 
-    #: Codes of the dense part at most, and hits expanded at a time.
-    DENSE, HITS = 4096, 1 << 22
+    #: Codes of the dense part at most, and hits expanded at a time (few enough to stay in the processor's cache).
+    DENSE, HITS = 4096, 1 << 17
 
     def __init__(self, names: np.ndarray, codes: list[np.ndarray]):
         """``codes[i]`` belongs to ``names[i]``; the rows of one name are one set."""
@@ -233,6 +233,162 @@ def most_shared(block: SharedCodes, names: np.ndarray, codes: list[np.ndarray],
     return [np.concatenate(x) for x in zip(*out)]
 
 
+class PrunedBlock:
+    """A block of code sets, indexed to find the few other sets that share at least ``least[i]`` codes with set i.
+
+    A set of ``size`` codes that shares ``least`` of them with another has at most ``size - least`` codes that the other
+    lacks.  So a part of every set, its rarest codes and one more than it may lack at least, is listed by code; a hit list
+    counts it, and the rest, of fewer than ``least`` codes, is counted for those alone that can still reach ``least``.
+    Sets smaller than ``least`` are left out before.  ``least`` rises with what is found.
+    """
+
+    #: Sets and others counted at a time (the counts stay in the processor's cache), hits expanded and pairs held at a time.
+    SPAN, ROWS, HITS, HELD = 1024, 16, 1 << 17, 1 << 20
+    #: The share of a set that is listed at least, and the codes up to which they are looked up in a table.
+    LISTED, TABLE = 0.4, 1 << 23
+
+    def __init__(self, names: np.ndarray, sizes: np.ndarray, codes: np.ndarray, least: np.ndarray):
+        """``codes`` holds the sets' distinct codes, one set after the other; a name comes once."""
+        n, order = len(names), np.argsort(least, kind="stable")
+        self.names, self.least, self.sizes = names[order], least[order].astype(np.int64), sizes[order].astype(np.int64)
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        owner = np.repeat(place, sizes)
+        # codes are numbered from the rarest in the block to the most frequent
+        if len(codes) and codes.max() < self.TABLE:
+            seen = np.zeros(codes.max() + 1, dtype=bool)
+            seen[codes] = True
+            self.values = np.flatnonzero(seen)
+        else:
+            self.values = np.unique(codes)
+        self.number = None
+        self.table = None
+        if len(self.values) and self.values[-1] < self.TABLE:
+            self.table = np.full(self.values[-1] + 2, -1, dtype=np.int64)
+            self.table[self.values] = np.arange(len(self.values))
+        at = self._numbers(codes)
+        v = max(1, len(self.values))
+        self.number = np.empty(len(self.values), dtype=np.int64)
+        self.number[np.argsort(np.bincount(at, minlength=len(self.values)), kind="stable")] = np.arange(len(self.values))
+        owner, code = np.divmod(np.sort(owner * v + self.number[at]), v)
+        if self.table is not None:
+            self.table[self.values] = self.number
+        listed = np.minimum(self.sizes, np.maximum(self.sizes - self.least + 1, np.ceil(self.LISTED * self.sizes).astype(np.int64)))
+        starts = np.cumsum(self.sizes) - self.sizes
+        is_listed = np.arange(len(code)) < np.repeat(starts + listed, self.sizes)
+        self.rest = self.sizes - listed
+        self.rest_codes, self.rest_ends = code[~is_listed], np.cumsum(self.rest)
+        self.spans = []
+        for a in range(0, n, self.SPAN):
+            b = min(n, a + self.SPAN)
+            part = slice(starts[a], starts[b - 1] + self.sizes[b - 1])
+            c, o = np.divmod(np.sort((code[part] * self.SPAN + owner[part] - a)[is_listed[part]]), self.SPAN)
+            length = np.bincount(c, minlength=v)
+            self.spans.append((a, b, o.astype(np.int32), (np.cumsum(length) - length).astype(np.int32), length.astype(np.int32)))
+        self.steps = np.arange(self.HITS, dtype=np.int32)
+
+    def _numbers(self, codes: np.ndarray) -> np.ndarray:
+        """The codes' numbers, -1 for those that no set has."""
+        if self.table is not None:
+            return self.table[np.minimum(codes, len(self.table) - 1)]
+        if not len(self.values):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.values, codes), len(self.values) - 1)
+        return np.where(self.values[at] == codes, at if self.number is None else self.number[at], -1)
+
+    def search(self, names: np.ndarray, sizes: np.ndarray, codes: np.ndarray, k: int):
+        """Per set, the ``k`` of ``names`` that share most codes, ties to the smaller name, as far as they reach the set's
+        ``least``: arrays (set number, name, shared).  A name with several rows counts with its best one."""
+        order = np.argsort(-sizes, kind="stable")
+        code = self._numbers(codes)
+        known = code >= 0
+        have = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes)).astype(np.int64)
+        code, starts = code[known], np.cumsum(have) - have
+        sizes, have, starts = sizes[order].astype(np.int64), have[order], starts[order]
+        ends = np.cumsum(have)
+        code = code[np.repeat(starts - (ends - have), have) + np.arange(len(code))]  # in the order of the rows
+        starts = ends - have
+        row = np.repeat(np.arange(len(sizes)), have)
+        unique, name = np.unique(names[order], return_inverse=True)
+        held, pairs, out = [], 0, []
+        for a in range(0, len(sizes), self.ROWS):
+            b = min(len(sizes), a + self.ROWS)
+            part = slice(starts[a], ends[b - 1])
+            for low, high, owners, first, length in self.spans:
+                if sizes[a] < self.least[low:high].min():
+                    continue
+                r, q, shared = self._listed(code[part], row[part] - a, b - a, low, high, owners, first, length)
+                fits = (sizes[a + r] >= self.least[q]) & (shared + np.minimum(self.rest[q], sizes[a + r] - shared) >= self.least[q])
+                if fits.any():
+                    held.append((a + r[fits], q[fits], shared[fits]))
+                    pairs += len(held[-1][0])
+                if pairs > self.HELD:
+                    out.append(self._best(held, code, starts, ends, name, k))
+                    held, pairs = [], 0
+        if held:
+            out.append(self._best(held, code, starts, ends, name, k))
+        if not out:
+            return np.zeros(0, np.int64), unique[:0], np.zeros(0, np.int64)
+        q, t, shared = map(np.concatenate, zip(*out))
+        return q, unique[t], shared
+
+    def _listed(self, code, row, rows, low, high, owners, first, length):
+        """(row, set, count) of the pairs whose listed parts alone have as many hits as they need."""
+        size = length[code]
+        some = np.flatnonzero(size)
+        size, begin, row = size[some], first[code[some]], (row[some] * self.SPAN).astype(np.int32)
+        ends, cut, count = np.cumsum(size), 0, None
+        while cut < len(size):
+            before = int(ends[cut - 1]) if cut else 0
+            upto = max(cut + 1, int(np.searchsorted(ends, before + self.HITS, side="right")))
+            s, total = size[cut:upto], int(ends[upto - 1]) - before
+            at = np.repeat(begin[cut:upto] - (ends[cut:upto] - before - s).astype(np.int32), s)
+            at += self.steps[:total] if total <= self.HITS else np.arange(total, dtype=np.int32)
+            cell = owners[at]
+            cell += np.repeat(row[cut:upto], s)
+            found = np.bincount(cell, minlength=rows * self.SPAN)
+            count = found if count is None else count + found
+            cut = upto
+        if count is None:
+            return (np.zeros(0, np.int64),) * 3
+        count = count.reshape(rows, self.SPAN)[:, :high - low]
+        r, q = np.nonzero(count >= (self.least[low:high] - self.rest[low:high])[None, :])
+        return r, q + low, count[r, q]
+
+    def _best(self, held, code, starts, ends, name, k):
+        """Counts the pairs' other parts, keeps every set's ``k`` best names and raises its ``least``."""
+        r, q, shared = map(np.concatenate, zip(*held))
+        order = np.argsort(q, kind="stable")
+        r, q, shared = r[order], q[order], shared[order]
+        cuts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])).tolist() + [len(q)]
+        in_rest = np.zeros(max(1, len(self.values)), dtype=np.uint8)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            i = q[a]
+            if not self.rest[i]:
+                continue
+            rest = self.rest_codes[self.rest_ends[i] - self.rest[i]:self.rest_ends[i]]
+            in_rest[rest] = 1
+            for c in range(a, b, 4096):
+                d = min(b, c + 4096)
+                s, e = starts[r[c:d]], ends[r[c:d]]
+                theirs = np.concatenate([code[x:y] for x, y in zip(s.tolist(), e.tolist())])
+                shared[c:d] += np.add.reduceat(in_rest[theirs], np.cumsum(e - s) - (e - s), dtype=np.int64)
+            in_rest[rest] = 0
+        fits = shared >= self.least[q]
+        q, t, shared = q[fits], name[r[fits]], shared[fits]
+        order = np.lexsort((-shared, t, q))
+        q, t, shared = q[order], t[order], shared[order]
+        first = np.ones(len(q), dtype=bool)
+        first[1:] = (q[1:] != q[:-1]) | (t[1:] != t[:-1])
+        q, t, shared = q[first], t[first], shared[first]
+        order = np.lexsort((t, -shared, q))
+        q, t, shared = q[order], t[order], shared[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == k - 1
+        self.least[q[last]] = np.maximum(self.least[q[last]], shared[last])
+        return q[place < k], t[place < k], shared[place < k]
+
+
 def distance_block(C: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
     """Distances (candidates x queries) in float64.
 

@@ -16,8 +16,8 @@ k-mer string rows are materialised and sketching happens before any shuffle
 (only sampled codes move).
 There is one plan for every size.  Sketches are joined on the code by a plain
 join: Spark broadcasts a small side at run time and splits skewed codes.
-Protein searches score blocks of queries against chunks of targets
-(:mod:`.blocks`), and a task gives the best targets per query, never all pairs.
+Protein searches count packs of targets against blocks of queries
+(:mod:`.packs`), and a task gives the best targets per query, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .blocks import score_in_blocks
 from .common import map_in_arrow, map_in_pandas, stored
 
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
@@ -223,48 +222,30 @@ def protein_seed_search(queries: DataFrame, targets: DataFrame, k: int = 5, max_
     with several rows is one set of k-mers; a target id with several rows
     counts with its best row.
 
-    Blocks of about ``query_rows`` queries are indexed by code, and every
-    target is scored against a block in the task that holds it; a task gives at most
-    ``max_target_seqs`` targets per query and few hundred targets, and only what reaches its best so far.
+    Blocks of about ``query_rows`` queries meet packs of targets (:mod:`.packs`): the targets with the most codes are
+    counted first, in full, when this is called; of the others only those that can reach a query's last kept count.
     """
-    from ..functions.codes import distinct_codes
+    from .packs import Search, write_packs
 
     if len(alphabet) ** k >= 2 ** 63:
         raise ValueError("k too large for 64-bit codes")
-    codes = lambda seqs: [distinct_codes(s or "", k, alphabet) for s in seqs]
     ids = lambda df, c, name: df.filter(F.col(c).isNotNull()).select(
         F.col(c).cast("string").alias(name), F.col(seq_col).alias("_s"))
-    batches = shared_in_blocks(ids(queries, query_col, "_q"), ids(targets, target_col, "_t"), codes, max_target_seqs,
-                               min_shared, query_rows)
-    return ranked_shared(batches, max_target_seqs, query_col)
-
-
-def shared_in_blocks(queries: DataFrame, targets: DataFrame, codes, k: int, min_shared: int, query_rows: int = 4096) -> DataFrame:
-    """(_q, _t, shared, query_kmers) of every query's best targets in each task, from (_q, _s) and (_t, _s) rows;
-    ``codes(values of _s)`` gives the distinct codes of every row."""
-    import numpy as np
-    import pandas as pd
-
-    from ..functions.codes import SharedCodes, most_shared
+    packs = write_packs(ids(targets, target_col, "_t"), scratch_path(targets.sparkSession, "packs"), k, alphabet)
+    asked = protein_codes(ids(queries, query_col, "_q"), ["_q"], "_s", k, alphabet).withColumnRenamed("codes", "_s")
+    return ranked_shared(Search(asked, packs, max_target_seqs, min_shared, query_rows).batches(), max_target_seqs, query_col)
 
-    def prepare(q: pd.DataFrame):
-        block = SharedCodes(q["_q"].to_numpy(dtype=object), codes(q["_s"]))
-        return block, np.full(len(block.names), max(1, min_shared), dtype=np.int64)
 
-    def score(prepared, t: pd.DataFrame):
-        block, least = prepared
-        i, found, shared = most_shared(block, t["_t"].to_numpy(dtype=object), codes(t["_s"]), k, least)
-        return pd.DataFrame({"_q": block.names[i], "_t": found, "shared": shared, "query_kmers": block.sizes[i]})
+def best_shared(batches: DataFrame, k: int) -> DataFrame:
+    """(_q, _t, shared, query_kmers, hit_rank) of the ``k`` best targets per query; a target counts with its best row."""
+    from .hits import top_hits_per_query
 
-    return score_in_blocks(queries, targets, "_q", score, "_q string, _t string, shared long, query_kmers long", query_rows, prepare)
+    best = batches.groupBy("_q", "_t").agg(F.max("shared").alias("shared"), F.first("query_kmers").alias("query_kmers"))
+    return top_hits_per_query(best, k, "_q", "shared", "_t")
 
 
 def ranked_shared(batches: DataFrame, k: int, query_col: str) -> DataFrame:
-    """The ``k`` best targets per query out of :func:`shared_in_blocks`."""
-    from .hits import top_hits_per_query
-
-    best = batches.groupBy("_q", "_t").agg(F.max("shared").alias("shared"), F.first("query_kmers").alias("query_kmers"))
-    scored = best.withColumn("containment", F.col("shared") / F.col("query_kmers"))
-    ranked = top_hits_per_query(scored, k, "_q", "shared", "_t")
+    """The ``k`` best targets per query out of (_q, _t, shared, query_kmers) rows."""
+    ranked = best_shared(batches, k).withColumn("containment", F.col("shared") / F.col("query_kmers"))
     return ranked.select(F.col("_q").alias(query_col), F.col("_t").alias("target_id"), "shared", "query_kmers",
                          "containment", "hit_rank")

@@ -212,3 +212,23 @@ def test_stored_sketch_joins_where_it_lies_and_splits_heavy_codes(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     with pytest.raises(ValueError, match="k=11"):
         SR.ani_estimate(q, None, 16, 20, None, ref_sketch=stored)
+
+
+def test_seed_index_has_two_bytes_a_posting(spark):
+    """A row per code and pack with the targets' numbers, not a row of names per posting; the candidates are bits."""
+    rng = random.Random(6)
+    rows = [(f"t{i:03d}", s) for i, s in enumerate(proteins(rng, 300))]
+    ts = spark.createDataFrame(rows, "gid string, sequence string").coalesce(1)
+    root = scratch_path(spark, "seed-index")
+    build_seed_index(ts, root, buckets=8)
+    index = SeedIndex(spark, root)
+    kmers = [{s[i:i + 5] for i in range(len(s) - 4)} for _, s in rows]
+    postings = index.table("postings").collect()
+    assert len(postings) == len(set().union(*kmers)) and sum(len(r.targets) for r in postings) == 2 * sum(map(len, kmers)) == 2 * index.size
+    names = index.table("targets").first().names
+    number = {c: i for i, c in enumerate(SR.AMINO_ACIDS)}
+    held = {r.code: {names[i] for i in np.frombuffer(r.targets, dtype=np.uint16)} for r in postings}
+    for code in rng.sample(sorted(held), 20):
+        text = "".join(SR.AMINO_ACIDS[code // 20 ** i % 20] for i in (4, 3, 2, 1, 0))
+        assert held[code] == {t for (t, _), own in zip(rows, kmers) if text in own} and sum(number[c] * 20 ** (4 - i) for i, c in enumerate(text)) == code
+    assert {r.length for r in index.table("lists").collect()} == {len(x) for x in held.values()}

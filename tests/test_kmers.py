@@ -416,3 +416,64 @@ def test_comparison_reads_query_sequences_twice(spark, tmp_path):
     assert len(got) == 9 and {r.dataset_id for r in got if r.ani == 100.0 and r.query_id == "g1"} == {"g1"}
     assert len((tmp_path / "q").read_text()) == 2 * len(rows)
     assert len((tmp_path / "r").read_text()) == len(rows)
+
+
+@pytest.mark.parametrize("table", [1 << 23, 0])
+def test_pruned_block_finds_all_that_reach_the_bound(monkeypatch, table):
+    """Spans, rows, hits and held pairs in many small pieces; codes by table and by search; repeated names."""
+    import numpy as np
+
+    from seqlake.functions.codes import PrunedBlock
+
+    for name, value in (("SPAN", 16), ("ROWS", 5), ("HITS", 300), ("HELD", 40), ("TABLE", table)):
+        monkeypatch.setattr(PrunedBlock, name, value)
+    rng = np.random.default_rng(5)
+    draw = lambda n: [np.unique(np.minimum(rng.geometric(0.03, rng.integers(0, 120)), 200)) for _ in range(n)]
+    sets, others = draw(50), draw(80)
+    names = np.array([f"s{i:02d}" for i in range(50)], dtype=object)
+    targets = np.array([f"t{i % 70:02d}" for i in range(80)], dtype=object)
+    sizes = np.array([len(s) for s in sets])
+    for least in (np.ones(50, np.int64), np.maximum(1, (sizes * 0.7).astype(np.int64)), rng.integers(1, 60, 50), np.full(50, 500)):
+        block = PrunedBlock(names, sizes, np.concatenate(sets), least.copy())
+        i, t, c = block.search(targets, np.array([len(o) for o in others]), np.concatenate(others), 4)
+        for j, name in enumerate(names):
+            best = {}
+            for target, o in zip(targets, others):
+                best[target] = max(best.get(target, 0), len(set(sets[j].tolist()) & set(o.tolist())))
+            top = sorted((-n, target) for target, n in best.items() if n >= least[j])[:4]
+            got = {}
+            for a, target, n in zip(i, t, c):
+                if block.names[a] == name:
+                    got[target] = max(got.get(target, 0), n)  # rows of a target may be found apart
+            assert sorted((-n, target) for target, n in got.items())[:4] == top
+
+
+@pytest.mark.parametrize("probe", [0, 12, 1000])
+def test_search_in_two_passes_equals_brute_force(spark, probe):
+    from seqlake.operators import search as SR
+    from seqlake.operators.packs import Search, write_packs
+    from seqlake.session import scratch_path
+
+    rng = random.Random(probe)
+    motifs = ["".join(rng.choices(SR.AMINO_ACIDS, k=8)) for _ in range(40)]
+    seqs = ["".join(rng.choices(motifs, k=rng.randrange(1, 12))) for _ in range(150)]
+    targets = [(f"t{i % 140:03d}", s) for i, s in enumerate(seqs)] + [("none", None)]
+    asked = [(f"q{i % 11}", seqs[i * 7]) for i in range(14)] + [("empty", "")]
+    packs = write_packs(spark.createDataFrame(targets, "_t string, _s string").repartition(3), scratch_path(spark, "packs"), 5, SR.AMINO_ACIDS)
+    codes = SR.protein_codes(spark.createDataFrame(asked, "_q string, _s string"), ["_q"], "_s").withColumnRenamed("codes", "_s")
+    search = Search(codes, packs, 6, 2, query_rows=4, probe=probe)
+    assert search.asked.blocks == 4
+    kmers = lambda s: {s[i:i + 5] for i in range(len(s or "") - 4)}
+    sets = {}
+    for q, s in asked:
+        sets.setdefault(q, set()).update(kmers(s))
+    want = []
+    for q, own in sets.items():
+        best = {}
+        for t, s in targets:
+            best[t] = max(best.get(t, 0), len(own & kmers(s)))
+        want += [(q, t, n, len(own), r + 1) for r, (n, t) in enumerate(sorted((-n, t) for t, n in best.items() if n >= 2)[:6])]
+    got = SR.best_shared(search.batches(), 6)
+    assert sorted((r._q, r._t, -r.shared, r.query_kmers, r.hit_rank) for r in got.collect()) == sorted(want)
+    plan = search.batches()._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # no query or target is dealt to many partitions
