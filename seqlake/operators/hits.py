@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import top
+from .common import stored, top
 
 # Metadata attached to protein hits (target length renamed).
 PROTEIN_META = ["gid", "dataset_id", "length", "common_name", "phylum", "class", "order", "family",
@@ -173,8 +173,9 @@ def export_counts(seqs: DataFrame, seq_type: str | None = None, genome_ids: list
 
 
 def seed_search_with_metadata(seed_hits: DataFrame, seqs: DataFrame) -> DataFrame:
-    """E3 as one lineage: protein candidate hits joined back to target metadata."""
-    return enrich_protein_hits(seed_hits, seqs, id_col="target_id", seq_type="AA")
+    """E3 as one lineage: protein candidate hits joined back to target metadata.  The hits are stored when this is
+    called: the join-back reads them twice, and either read would search anew."""
+    return enrich_protein_hits(stored(seed_hits, "seed-hits"), seqs, id_col="target_id", seq_type="AA")
 
 
 def ani_with_metadata(ani: DataFrame, seqs: DataFrame, metadata_cols: list[str] | None = None,

@@ -477,3 +477,19 @@ def test_search_in_two_passes_equals_brute_force(spark, probe):
     assert sorted((r._q, r._t, -r.shared, r.query_kmers, r.hit_rank) for r in got.collect()) == sorted(want)
     plan = search.batches()._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate" not in plan  # no query or target is dealt to many partitions
+
+
+def test_hits_with_metadata_are_searched_once(spark):
+    from seqlake.operators import hits as H
+    from seqlake.operators import search as SR
+
+    rows = [(f"g{i}|p{i}", f"g{i}", "AA", 20, "".join(random.Random(i % 5).choices(SR.AMINO_ACIDS, k=20))) for i in range(20)]
+    cat = spark.createDataFrame(rows, "gid string, dataset_id string, seq_type string, length int, sequence string")
+    for c in H.PROTEIN_META[3:]:
+        cat = cat.withColumn(c, F.lit(c))
+    found = SR.protein_seed_search(cat.limit(3).select(F.col("gid").alias("query_id"), "sequence"), cat, max_target_seqs=4)
+    out = H.seed_search_with_metadata(found, cat)
+    assert "MapIn" not in out._jdf.queryExecution().executedPlan().toString()  # the plan reads hits, which are found before
+    assert sorted((r.query_id, r.target_id, r.dataset_id, r.target_length) for r in out.collect()) == \
+        sorted((r.query_id, r.target_id, r.target_id.split("|")[0], 20) for r in found.collect())
+    assert out.count() == 12
